@@ -77,3 +77,81 @@ FROM w1 GROUP BY grp
 def q_event_rate_by_basin(spark, sf_dir):
     """A4 (flagship): W1 change -> P20 class edge -> % of changes >= 30 per group."""
     return explore.event_rate(_w1(spark, sf_dir), ["grp"], "d24_VMAX", 30.0)
+
+
+# ------------------------------------------------------------ W2, W3, W4
+
+
+@register("change_24h_realtime", f"""
+WITH p AS (SELECT *, row_number() OVER (ORDER BY DATE_full, storm_id) AS pos FROM cycles)
+SELECT a.storm_id, a.DATE_full,
+       CASE WHEN b.DATE_full = a.DATE_full + INTERVAL 1 DAY THEN {R('b.VMAX - a.VMAX')} END AS d24_VMAX
+FROM p a LEFT JOIN p b ON b.pos = a.pos + 4
+""", ("cycles",))
+def q_change_24h_realtime(spark, sf_dir):
+    """Realtime 24-h change: all storms in date order as one series."""
+    cyc = V.cycles(spark, sf_dir)
+    return series.change_24h_realtime(cyc, "DATE_full", ["VMAX"], tiebreak=["storm_id"]).select(
+        "storm_id", "DATE_full", "d24_VMAX")
+
+
+@register("track_change", f"""
+WITH p AS (SELECT *, row_number() OVER (PARTITION BY storm_id ORDER BY DATE_full) AS pos FROM cycles)
+SELECT a.storm_id, a.DATE_full, {R('a.VMAX')} AS VMAX, {R('a.MSLP')} AS MSLP, a.grp, a.n,
+       CASE WHEN b.DATE_full = a.DATE_full + INTERVAL 1 DAY THEN {R('b.VMAX - a.VMAX')} END AS d24_VMAX,
+       CASE WHEN b.DATE_full = a.DATE_full + INTERVAL 1 DAY THEN {R('b.MSLP - a.MSLP')} END AS d24_MSLP
+FROM p a LEFT JOIN p b ON a.storm_id = b.storm_id AND b.pos = a.pos + 4
+""", ("cycles",))
+def q_track_change(spark, sf_dir):
+    """d24 VMAX and MSLP written onto every track row."""
+    return series.track_change(V.cycles(spark, sf_dir), ["storm_id"], "DATE_full")
+
+
+@register("change_reverse", f"""
+WITH p AS (SELECT *, row_number() OVER (PARTITION BY storm_id ORDER BY DATE_full) AS pos FROM cycles)
+SELECT a.storm_id, a.DATE_full, {R('b.VMAX - a.VMAX')} AS d_rev
+FROM p a JOIN p b ON a.storm_id = b.storm_id AND b.pos = a.pos - 4
+WHERE b.VMAX - a.VMAX >= 40
+""", ("cycles",))
+def q_change_reverse(spark, sf_dir):
+    """Earlier-minus-current change over 4 rows, kept when >= 40."""
+    return series.change_reverse(V.cycles(spark, sf_dir), ["storm_id"], "DATE_full", "VMAX")
+
+
+# ------------------------------------------------------------------ J4
+
+
+@register("exact_time_change", f"""
+SELECT a.storm_id, a.DATE_full, {R('a.VMAX')} AS VMAX, {R('a.MSLP')} AS MSLP, a.grp, a.n,
+       {R('b.VMAX - a.VMAX')} AS d_V
+FROM cycles a LEFT JOIN cycles b ON a.storm_id = b.storm_id AND b.DATE_full = a.DATE_full + INTERVAL 1 DAY
+""", ("cycles",))
+def q_exact_time_change(spark, sf_dir):
+    """Change to exactly +24 h by self equi-join on (storm, time)."""
+    return series.exact_time_change(V.cycles(spark, sf_dir), ["storm_id"], "DATE_full")
+
+
+@register("event_rate_exact", f"""
+WITH j AS (SELECT a.grp, b.VMAX - a.VMAX AS d_V
+           FROM cycles a LEFT JOIN cycles b ON a.storm_id = b.storm_id AND b.DATE_full = a.DATE_full + INTERVAL 1 DAY)
+SELECT grp, {R('100.0 * count(*) FILTER (WHERE d_V >= 30) / nullif(count(d_V), 0)')} AS event_pct,
+       count(d_V) AS n_changes, count(*) FILTER (WHERE d_V >= 30) AS n_events
+FROM j GROUP BY grp
+""", ("cycles",))
+def q_event_rate_exact(spark, sf_dir):
+    """A4 over J4 changes (the realtime verification rate)."""
+    d = series.exact_time_change(V.cycles(spark, sf_dir), ["storm_id"], "DATE_full")
+    return explore.event_rate(d, ["grp"], "d_V", 30.0)
+
+
+# ----------------------------------------------------------------- W10
+
+
+@register("number_cases", """
+SELECT storm_id, DATE_full, row_number() OVER (PARTITION BY storm_id ORDER BY DATE_full) AS CASE_NO
+FROM cycles
+""", ("cycles",))
+def q_number_cases(spark, sf_dir):
+    """Running case number per storm (distributed positions)."""
+    cyc = V.cycles(spark, sf_dir).select("storm_id", "DATE_full")
+    return series.number_cases(cyc, ["storm_id"], ["DATE_full"], "CASE_NO")

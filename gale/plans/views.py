@@ -59,23 +59,25 @@ def hours(spark: SparkSession, sf_dir: str) -> DataFrame:
     def sentinel(cond, value):
         return F.when(cond, F.lit(SENTINEL)).otherwise(value)
 
+    # Values are built from exact integer arithmetic (few decimals) so that
+    # every engine computes identical doubles.
     g = li.groupBy("l_orderkey", "l_linenumber").agg(
         F.sum("l_quantity").alias("VMAX"),
-        (F.sum("l_extendedprice") / 1000.0).alias("VMPI"),
-        (F.sum("l_tax") * 100.0).alias("DELV"),
-        (F.sum("l_discount") * 100.0).alias("_shrg"),
-        (F.avg("l_tax") * 1000.0).alias("D200"),
-        ((F.sum("l_discount") - F.sum("l_tax")) * 100.0).alias("Z850"),
+        (F.floor(F.max("l_extendedprice") / 500.0)).cast("double").alias("VMPI"),
+        F.round(F.sum("l_tax") * 100.0).alias("DELV"),
+        F.round(F.sum("l_discount") * 100.0).alias("_shrg"),
+        F.round(F.sum("l_tax") * 1000.0).alias("D200"),
+        F.round((F.sum("l_discount") - F.sum("l_tax")) * 100.0).alias("Z850"),
         (F.avg("l_quantity") * 2.0).alias("RHMD"),
-        (F.min("l_suppkey") * 10.0).alias("DTL"),
-        (F.avg("l_discount") * 1000.0).alias("NSST"),
-        (F.avg("l_tax") * 1000.0 + 200.0).alias("RSST"),
-        (F.max("l_extendedprice") / 1000.0).alias("_ir00"),
-        (F.min("l_extendedprice") / 1000.0).alias("_irm1"),
-        (F.avg("l_extendedprice") / 1000.0).alias("IRM3"),
-        (F.sum("l_discount") * 10.0).alias("_pc00"),
-        (F.max("l_discount") * 10.0).alias("_pcm1"),
-        (F.min("l_discount") * 10.0).alias("PCM3"),
+        (F.min("l_suppkey") * 10).cast("double").alias("DTL"),
+        F.round(F.sum("l_discount") * 1000.0).alias("NSST"),
+        (F.round(F.sum("l_tax") * 1000.0) + 200.0).alias("RSST"),
+        (F.floor(F.max("l_extendedprice")) / 100.0).alias("_ir00"),
+        (F.floor(F.min("l_extendedprice")) / 100.0).alias("_irm1"),
+        (F.floor(F.max("l_extendedprice") / 10.0) / 100.0).alias("IRM3"),
+        (F.round(F.sum("l_discount") * 100.0) / 10.0).alias("_pc00"),
+        (F.round(F.max("l_discount") * 100.0) / 10.0).alias("_pcm1"),
+        (F.round(F.min("l_discount") * 100.0) / 10.0).alias("PCM3"),
     )
     return g.select(
         F.col("l_orderkey").alias("case_id"),
@@ -94,19 +96,19 @@ def hours(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 HOURS_SQL = """
 SELECT l_orderkey AS case_id, CAST((l_linenumber - 3) * 6 AS INTEGER) AS TIME,
-       sum(l_quantity) AS VMAX, sum(l_extendedprice) / 1000.0 AS VMPI,
-       sum(l_tax) * 100.0 AS DELV,
+       sum(l_quantity) AS VMAX, CAST(floor(max(l_extendedprice) / 500.0) AS DOUBLE) AS VMPI,
+       round(sum(l_tax) * 100.0) AS DELV,
        CASE WHEN (l_orderkey % 11 = 0 AND l_linenumber > 2) OR (l_orderkey + l_linenumber) % 5 = 0
-            THEN 9999.0 ELSE sum(l_discount) * 100.0 END AS SHRG,
-       avg(l_tax) * 1000.0 AS D200, (sum(l_discount) - sum(l_tax)) * 100.0 AS Z850,
-       avg(l_quantity) * 2.0 AS RHMD, min(l_suppkey) * 10.0 AS DTL,
-       avg(l_discount) * 1000.0 AS NSST, avg(l_tax) * 1000.0 + 200.0 AS RSST,
-       CASE WHEN l_orderkey % 3 = 0 THEN 9999.0 ELSE max(l_extendedprice) / 1000.0 END AS IR00,
-       CASE WHEN l_orderkey % 4 = 1 THEN 9999.0 ELSE min(l_extendedprice) / 1000.0 END AS IRM1,
-       avg(l_extendedprice) / 1000.0 AS IRM3,
-       CASE WHEN (l_orderkey + l_linenumber) % 4 = 0 THEN 9999.0 ELSE sum(l_discount) * 10.0 END AS PC00,
-       CASE WHEN l_orderkey % 6 = 5 THEN 9999.0 ELSE max(l_discount) * 10.0 END AS PCM1,
-       min(l_discount) * 10.0 AS PCM3
+            THEN 9999.0 ELSE round(sum(l_discount) * 100.0) END AS SHRG,
+       round(sum(l_tax) * 1000.0) AS D200, round((sum(l_discount) - sum(l_tax)) * 100.0) AS Z850,
+       avg(l_quantity) * 2.0 AS RHMD, CAST(min(l_suppkey) * 10 AS DOUBLE) AS DTL,
+       round(sum(l_discount) * 1000.0) AS NSST, round(sum(l_tax) * 1000.0) + 200.0 AS RSST,
+       CASE WHEN l_orderkey % 3 = 0 THEN 9999.0 ELSE floor(max(l_extendedprice)) / 100.0 END AS IR00,
+       CASE WHEN l_orderkey % 4 = 1 THEN 9999.0 ELSE floor(min(l_extendedprice)) / 100.0 END AS IRM1,
+       floor(max(l_extendedprice) / 10.0) / 100.0 AS IRM3,
+       CASE WHEN (l_orderkey + l_linenumber) % 4 = 0 THEN 9999.0 ELSE round(sum(l_discount) * 100.0) / 10.0 END AS PC00,
+       CASE WHEN l_orderkey % 6 = 5 THEN 9999.0 ELSE round(max(l_discount) * 100.0) / 10.0 END AS PCM1,
+       round(min(l_discount) * 100.0) / 10.0 AS PCM3
 FROM lineitem GROUP BY l_orderkey, l_linenumber
 """
 
