@@ -213,8 +213,8 @@ def performance_columns(df: DataFrame, precision: str = "Precision", recall: str
     csi = F.when((pod == 0) | (sr == 0), F.lit(0.0)).otherwise(
         safe_div(F.lit(1.0), F.lit(1.0) / sr + F.lit(1.0) / pod - F.lit(1.0)))
     return df.withColumns({
-        "POD": pod, "FAR": F.lit(1.0) - sr, "Success Ratio": sr, "CSI": csi,
-        "Bias": safe_div(pod, sr), "Thresh Round": round_half_even(threshold, 2)})
+        "POD": pod, "FAR": F.lit(1.0) - sr, "Success_Ratio": sr, "CSI": csi,
+        "Bias": safe_div(pod, sr), "Thresh_Round": round_half_even(threshold, 2)})
 
 
 def high_probability_cases(df: DataFrame, prob_col: str, change_col: str, *, min_prob: float = 70,
