@@ -44,6 +44,27 @@ SELECT user_id AS storm_id,
 FROM events GROUP BY 1, 2
 """
 
+# -------------------------------------------------------------- forecasts
+
+
+def forecasts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Probability forecasts: one per (user, 6-hour slot, event type) with
+    the largest event value as the probability in percent."""
+    ev = read_table(spark, sf_dir, "events").select("user_id", "ts", "value", "event_type")
+    slot = (F.date_trunc("hour", "ts") - F.make_dt_interval(F.lit(0), F.hour("ts") % 6))\
+        .cast("timestamp_ntz")
+    return (ev.groupBy(F.col("user_id").alias("storm_id"), slot.alias("DATE_full"),
+                       F.col("event_type").alias("Tech"))
+            .agg(F.max("value").alias("prob"), F.count(F.lit(1)).alias("n")))
+
+
+FORECASTS_SQL = """
+SELECT user_id AS storm_id,
+       date_trunc('hour', ts) - to_hours(CAST(hour(ts) % 6 AS BIGINT)) AS DATE_full,
+       event_type AS Tech, max(value) AS prob, count(*) AS n
+FROM events GROUP BY 1, 2, 3
+"""
+
 # ------------------------------------------------------------------ hours
 
 PREDICTORS = ["VMAX", "VMPI", "DELV", "SHRG", "D200", "Z850", "RHMD", "DTL",
@@ -191,6 +212,7 @@ JOIN nation ON s_nationkey = n_nationkey JOIN region ON n_regionkey = r_regionke
 
 VIEW_SQL = {
     "cycles": CYCLES_SQL,
+    "forecasts": FORECASTS_SQL,
     "hours": HOURS_SQL,
     "case_keys": CASE_KEYS_SQL,
     "cases": CASES_SQL,
@@ -200,7 +222,7 @@ VIEW_SQL = {
 
 def with_views(sql: str, *names: str) -> str:
     """Prefix ``sql`` with the CTEs for ``names`` (dependencies first)."""
-    order = ["cycles", "hours", "case_keys", "cases", "scored"]
+    order = ["cycles", "forecasts", "hours", "case_keys", "cases", "scored"]
     need = set(names)
     if "cases" in need:
         need |= {"hours", "case_keys"}
