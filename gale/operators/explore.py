@@ -19,3 +19,122 @@ def event_rate(df: DataFrame, group_cols: list[str], change_col: str,
         (F.lit(100.0) * safe_div(count_if(d >= threshold), F.count(d))).alias(out_col),
         F.count(d).alias("n_changes"),
         count_if(d >= threshold).alias("n_events"))
+
+
+def class_weights(labels: DataFrame, basin_col: str, class_col: str) -> DataFrame:
+    """Cases per (basin, class) and over all basins ('ALL'), the share
+    of each class within its basin (FRAC) and WEIGHT = 1 / FRAC."""
+    from gale.operators.verify import with_all_scope
+    c = labels.groupBy(basin_col, class_col).agg(F.count(F.lit(1)).alias("CASES"))
+    c = with_all_scope(c, basin_col, ["CASES"], [class_col])
+    tot = c.groupBy(basin_col).agg(F.sum("CASES").alias("_tot"))
+    out = c.join(tot, basin_col).withColumn("FRAC", safe_div("CASES", "_tot")).drop("_tot")
+    return out.withColumn("WEIGHT", safe_div(F.lit(1.0), F.col("FRAC")))
+
+
+def count_cases(df: DataFrame, cols: list[str], value_col: str | None = None) -> DataFrame:
+    """A3: counts over a rollup of ``cols`` (subtotals have null keys);
+    ``count(value_col)`` skips nulls as pandas does."""
+    cnt = F.count(F.col(value_col)) if value_col else F.count(F.lit(1))
+    return df.rollup(*cols).agg(cnt.alias("n"))
+
+
+def exact_quantiles(df: DataFrame, group_cols: list[str], value: str,
+                    qs: dict[str, float]) -> DataFrame:
+    """Exact quantiles with linear interpolation (pandas' default),
+    without collecting a group anywhere: non-null values are numbered inside
+    each group with the distributed scan, and only the two order statistics
+    around each quantile are read back (equi-join on position)."""
+    from gale.operators.scan import with_position
+    x = df.select(*group_cols, F.col(value).alias("_v")).where(F.col("_v").isNotNull())
+    pos = with_position(x, group_cols, ["_v"], position_col="_p")
+    n = x.groupBy(*group_cols).agg(F.count(F.lit(1)).alias("_n"))
+    wanted = []
+    for name, q in qs.items():
+        h = (F.col("_n") - 1) * F.lit(float(q))
+        wanted.append(F.struct(F.lit(name).alias("q"), h.alias("h"),
+                               (F.floor(h) + 1).cast("bigint").alias("lo"),
+                               (F.ceil(h) + 1).cast("bigint").alias("hi")))
+    need = n.select(*group_cols, F.explode(F.array(*wanted)).alias("w")).select(
+        *group_cols, "w.*")
+    pts = need.select(*group_cols, "q", F.col("lo").alias("_p")).unionByName(
+        need.select(*group_cols, "q", F.col("hi").alias("_p"))).distinct()
+    vals = pos.join(pts, group_cols + ["_p"])
+    j = need.join(vals.withColumnRenamed("_p", "lo").withColumnRenamed("_v", "v_lo"),
+                  group_cols + ["q", "lo"]).join(
+        vals.withColumnRenamed("_p", "hi").withColumnRenamed("_v", "v_hi"), group_cols + ["q", "hi"])
+    frac = F.col("h") - (F.col("lo") - 1)
+    res = j.select(*group_cols, "q", (F.col("v_lo") + (F.col("v_hi") - F.col("v_lo")) * frac).alias("val"))
+    return res.groupBy(*group_cols).pivot("q", list(qs)).agg(F.first("val"))
+
+
+def pearson_pairs(df: DataFrame, cols: list[str], min_abs: float = 0.0) -> DataFrame:
+    """Pearson r of every pair (upper triangle) in one aggregate pass,
+    unpivoted, kept when |r| >= min_abs. z-scoring first (the reference's
+    step) does not change r."""
+    pairs = [(a, b) for i, a in enumerate(cols) for b in cols[i + 1:]]
+    row = df.agg(*[F.corr(a, b).alias(f"{a}|{b}") for a, b in pairs])
+    st = F.explode(F.array(*[F.struct(F.lit(a).alias("feature_a"), F.lit(b).alias("feature_b"),
+                                      F.col(f"`{a}|{b}`").alias("r")) for a, b in pairs]))
+    out = row.select(st.alias("p")).select("p.*")
+    return out.where(F.abs(F.col("r")) >= min_abs)
+
+
+def histogram_fixed(df: DataFrame, group_cols: list[str], value: str, width: float = 10.0) -> DataFrame:
+    """Counts per fixed-width bin (left edge = floor(x / width) * width)."""
+    b = F.floor(F.col(value) / width) * width
+    return (df.where(F.col(value).isNotNull()).groupBy(*group_cols, b.cast("double").alias("bin_left"))
+            .agg(F.count(F.lit(1)).alias("n")))
+
+
+def histogram_equal(df: DataFrame, value: str, bins: int = 10) -> DataFrame:
+    """Numpy-style equal-width bins between the global min and max (the
+    last bin includes the max). The range is one scalar aggregate."""
+    x = df.where(F.col(value).isNotNull())
+    lo, hi = x.agg(F.min(value), F.max(value)).first()
+    if lo is None:
+        return x.select(F.lit(0).alias("bin"), F.lit(0.0).alias("bin_left"), F.lit(0).cast("bigint").alias("n")).limit(0)
+    width = (hi - lo) / bins if hi > lo else 1.0
+    idx = F.least(F.floor((F.col(value) - F.lit(lo)) / F.lit(width)), F.lit(bins - 1)).cast("int")
+    return (x.groupBy(idx.alias("bin")).agg(F.count(F.lit(1)).alias("n"))
+            .withColumn("bin_left", F.lit(lo) + F.col("bin") * F.lit(width)))
+
+
+def gaussian_kde(df: DataFrame, group_cols: list[str], value: str, grid: tuple[float, float, int]) -> DataFrame:
+    """Gaussian kernel density per group on a fixed grid (Scott's rule:
+    h = sample std * n^(-1/5)). Values are first reduced to distinct
+    (value, count) pairs; each distinct value then adds its kernel to the
+    grid points (``explode`` of the grid index), so work is distinct values
+    times grid size, never pairs of rows."""
+    start, stop, num = grid
+    step = (stop - start) / (num - 1)
+    x = df.where(F.col(value).isNotNull())
+    st = x.groupBy(*group_cols).agg(F.count(F.lit(1)).alias("_n"), F.stddev_samp(value).alias("_sd"))
+    st = st.withColumn("_h", F.col("_sd") * F.pow(F.col("_n").cast("double"), F.lit(-0.2)))
+    d = x.groupBy(*group_cols, F.col(value).alias("_x")).agg(F.count(F.lit(1)).alias("_c"))
+    j = d.join(st, group_cols).where(F.col("_h") > 0)
+    g = j.select("*", F.explode(F.sequence(F.lit(0), F.lit(num - 1))).alias("_k"))
+    gx = F.lit(start) + F.col("_k") * F.lit(step)
+    z = (gx - F.col("_x")) / F.col("_h")
+    k = F.col("_c") * F.exp(F.lit(-0.5) * z * z)
+    dens = F.sum(k) / (F.first("_n") * F.first("_h") * F.lit((2 * 3.141592653589793) ** 0.5))
+    return g.groupBy(*group_cols, gx.alias("x")).agg(dens.alias("density"))
+
+
+def mean_by(df: DataFrame, group_cols: list[str], value: str, out_col: str | None = None) -> DataFrame:
+    """Mean per group."""
+    return df.groupBy(*group_cols).agg(F.avg(value).alias(out_col or f"mean_{value}"))
+
+
+def distinct_values(df: DataFrame, cols: list[str]) -> DataFrame:
+    """Distinct combinations of ``cols``."""
+    return df.select(*cols).distinct()
+
+
+def standardise(df: DataFrame, cols: list[str]) -> DataFrame:
+    """(x - mean) / sample std per column. The means and deviations are
+    one scalar aggregate (two numbers per column), applied as literals."""
+    row = df.agg(*[F.avg(c).alias(f"m_{c}") for c in cols],
+                 *[F.stddev_samp(c).alias(f"s_{c}") for c in cols]).first()
+    return df.withColumns({c: F.try_divide(F.col(c) - F.lit(row[f"m_{c}"]), F.lit(row[f"s_{c}"]))
+                           for c in cols})
