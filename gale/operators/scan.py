@@ -5,8 +5,10 @@ When one group may hold a third of all rows (one storm, one model/basin/fold
 of predictions) that task is the job. The functions here compute the same
 running quantities in two levels instead:
 
-1. every row gets a bucket: its position on a per-group equal-width grid of
-   the first order column (``buckets`` cells between the group's min and max);
+1. every row gets a bucket: its cell on a grid of the first order column,
+   either a fixed width chosen from the domain (``bucket_width``) or
+   ``buckets`` equal cells between the group's min and max (one extra
+   aggregate and join);
 2. per (group, bucket) totals are aggregated (map-side partial aggregation),
    and a window over the at most ``buckets + 2`` rows of each group turns
    them into offsets;
@@ -41,10 +43,16 @@ def _numeric_key(df: DataFrame, c: str) -> Column:
 
 
 def _bucketed(df: DataFrame, group_cols: list[str], first: str, descending: bool,
-              buckets: int) -> DataFrame:
+              buckets: int, width: float | None = None) -> DataFrame:
     key = _numeric_key(df, first)
     if descending:
         key = -key
+    if width:
+        # Fixed grid chosen by the caller from the domain (e.g. 7 days of
+        # storm time, 1/1024 of probability): no per-group statistics pass.
+        b = F.when(key.isNull(), F.lit(None)).otherwise(F.floor(key / F.lit(float(width))))
+        nb = F.lit(2 ** 62) if descending else F.lit(-(2 ** 62))
+        return df.withColumn("_b", F.coalesce(b.cast("bigint"), nb))
     keyed = df.withColumn("_k", key)
     if group_cols:
         stats = keyed.groupBy(*group_cols).agg(F.min("_k").alias("_lo"), F.max("_k").alias("_hi"))
@@ -63,7 +71,8 @@ def _bucketed(df: DataFrame, group_cols: list[str], first: str, descending: bool
 
 def running_totals(df: DataFrame, group_cols: list[str], order_cols: list[str],
                    value_cols: dict[str, Column] | None = None, *, descending: bool = False,
-                   position_col: str | None = "_pos", buckets: int = DEFAULT_BUCKETS) -> DataFrame:
+                   position_col: str | None = "_pos", buckets: int = DEFAULT_BUCKETS,
+                   bucket_width: float | None = None) -> DataFrame:
     """Inclusive running sums in (group, order) order, distributed.
 
     ``value_cols`` maps an output name to the column whose running sum it
@@ -75,7 +84,7 @@ def running_totals(df: DataFrame, group_cols: list[str], order_cols: list[str],
     if position_col:
         values[position_col] = F.lit(1).cast("bigint")
     tmp = {name: f"_v_{i}" for i, name in enumerate(values)}
-    base = _bucketed(df, group_cols, order_cols[0], descending, buckets)
+    base = _bucketed(df, group_cols, order_cols[0], descending, buckets, bucket_width)
     base = base.withColumns({tmp[n]: c for n, c in values.items()})
 
     per_bucket = base.groupBy(*group_cols, "_b").agg(
@@ -95,10 +104,10 @@ def running_totals(df: DataFrame, group_cols: list[str], order_cols: list[str],
 
 def with_position(df: DataFrame, group_cols: list[str], order_cols: list[str], *,
                   descending: bool = False, position_col: str = "_pos",
-                  buckets: int = DEFAULT_BUCKETS) -> DataFrame:
+                  buckets: int = DEFAULT_BUCKETS, bucket_width: float | None = None) -> DataFrame:
     """1-based row number inside each group, without a whole-group window."""
     return running_totals(df, group_cols, order_cols, None, descending=descending,
-                          position_col=position_col, buckets=buckets)
+                          position_col=position_col, buckets=buckets, bucket_width=bucket_width)
 
 
 def shifted(df_with_pos: DataFrame, group_cols: list[str], cols: list[str], k: int,

@@ -19,6 +19,15 @@ from pyspark.sql import functions as F
 
 from gale.operators.scan import shifted, with_position
 
+# Grid for numbering rows of a storm series: one bucket per 7 days of time
+# (unix microseconds), so a long or hot series spreads over many tasks.
+TIME_BUCKET = 7 * 86400 * 1e6
+
+
+def _width(df: DataFrame, time_col: str) -> float | None:
+    t = df.schema[time_col].dataType.simpleString()
+    return TIME_BUCKET if t.startswith("timestamp") else None
+
 
 def _interval(gap: str) -> Column:
     return F.expr(f"INTERVAL {gap}")
@@ -39,7 +48,7 @@ def change_over_rows(df: DataFrame, keys: list[str], time_col: str, value_cols:
     carry = [c for c in (carry or []) if c not in keys and c != time_col]
     order = [time_col] + list(tiebreak or [])
     base = df.select(*dict.fromkeys(keys + order + carry + value_cols))
-    pos = with_position(base, keys, order)
+    pos = with_position(base, keys, order, bucket_width=_width(df, time_col))
     j = shifted(pos, keys, [time_col] + value_cols, steps, suffix="_later")
     ok = F.lit(True) if gap is None else (F.col(time_col + "_later") == F.col(time_col) + _interval(gap))
     diffs = {prefix + c: F.when(ok, F.col(c + "_later") - F.col(c)) for c in value_cols}
@@ -88,7 +97,8 @@ def change_reverse(df: DataFrame, keys: list[str], time_col: str, value_col: str
     """Value ``steps`` rows *earlier* minus the value now, null below
     ``floor``; rows without a value are dropped."""
     order = [time_col] + list(tiebreak or [])
-    pos = with_position(df.select(*dict.fromkeys(keys + order + [value_col])), keys, order)
+    pos = with_position(df.select(*dict.fromkeys(keys + order + [value_col])), keys, order,
+                        bucket_width=_width(df, time_col))
     j = shifted(pos, keys, [value_col], -steps, suffix="_earlier")
     d = F.col(value_col + "_earlier") - F.col(value_col)
     return (j.select(*dict.fromkeys(keys + order), F.when(d >= floor, d).alias(out_col))
@@ -186,7 +196,8 @@ def number_cases(df: DataFrame, partition_cols: list[str], order_cols: list[str]
                  out_col: str = "CASE") -> DataFrame:
     """Running case number (1-based) in (partition, order) order,
     computed with distributed positions."""
-    return with_position(df, partition_cols, order_cols, position_col=out_col)
+    return with_position(df, partition_cols, order_cols, position_col=out_col,
+                         bucket_width=_width(df, order_cols[0]))
 
 
 def share_of_group(df: DataFrame, group_cols: list[str], count_col: str,

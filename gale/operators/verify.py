@@ -18,6 +18,8 @@ from gale.functions.numeric import round_half_even, safe_div
 from gale.operators.scan import running_totals, shifted
 
 ALL = "ALL"
+# Probability grid for the two-level scan over distinct scores.
+SCORE_BUCKET = 1.0 / 1024
 
 
 def _zdiv(a: Column, b: Column) -> Column:
@@ -176,7 +178,7 @@ def _cumulative(counts: DataFrame, group_cols: list[str]) -> DataFrame:
     the descending position, group totals P, N, number of distinct scores and
     the lowest event score."""
     cum = running_totals(counts, group_cols, ["score"], {"TP": F.col("tp_c"), "FP": F.col("fp_c")},
-                         descending=True, position_col="pos")
+                         descending=True, position_col="pos", bucket_width=SCORE_BUCKET)
     tot = counts.groupBy(*group_cols).agg(
         F.sum("tp_c").alias("P"), F.sum("fp_c").alias("N"), F.count(F.lit(1)).alias("n_scores"),
         F.min(F.when(F.col("tp_c") > 0, F.col("score"))).alias("min_event_score"))
