@@ -3,8 +3,9 @@
 A query is ``(spark, sf_dir) -> DataFrame`` built from the package's
 operators over the stand-in views. Its twin is plain SQL over the driver
 tables (the view definitions are prepended as CTEs), written independently of
-the Spark code. Doubles are rounded to 1e-6 (ties to even, -0 folded into 0)
-in both so results compare exactly.
+the Spark code. Doubles are rounded to a binary grid of 2^-20 (ties to even,
+-0 folded into 0) in both so results compare exactly: decimal data never sits
+exactly on a binary half-step, so summation-order noise cannot flip a digit.
 """
 
 from __future__ import annotations
@@ -19,25 +20,27 @@ from gale.plans.views import with_views
 
 QueryFn = Callable[[SparkSession, str], DataFrame]
 
+GRID = 1048576.0  # 2^20
+
 QUERIES: dict[str, QueryFn] = {}
 ORACLE: dict[str, str] = {}
 DOCS: dict[str, str] = {}
 
 
 def finish(df: DataFrame) -> DataFrame:
-    """Round every double to 6 decimals the way the oracle does."""
+    """Round every double to the 2^-20 grid the way the oracle does."""
     exprs = []
     for f in df.schema.fields:
         c = F.col(f"`{f.name}`")
         if isinstance(f.dataType, (T.DoubleType, T.FloatType)):
-            c = (F.rint(c.cast("double") * F.lit(1e6)) / F.lit(1e6) + F.lit(0.0))
+            c = (F.rint(c.cast("double") * F.lit(GRID)) / F.lit(GRID) + F.lit(0.0))
         exprs.append(c.alias(f.name))
     return df.select(*exprs)
 
 
 def R(expr: str) -> str:
     """SQL twin of :func:`finish` for one expression."""
-    return f"(round_even(CAST({expr} AS DOUBLE) * 1e6, 0) / 1e6 + 0.0)"
+    return f"(round_even(CAST({expr} AS DOUBLE) * {GRID!r}, 0) / {GRID!r} + 0.0)"
 
 
 def register(name: str, sql: str | None = None, views: tuple[str, ...] = ()):
