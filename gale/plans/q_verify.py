@@ -103,7 +103,7 @@ def q_classification_report(spark, sf_dir):
 
 @register("brier_reference", f"""
 WITH {_SCOPE}, t AS (SELECT k / 10.0 AS Threshold FROM range(0, 11) r(k))
-SELECT {GS}, Threshold, {R('avg(power(y_true - Threshold, 2))')} AS BS, {R('avg(y_true)')} AS BS_ref,
+SELECT {GS}, {R('Threshold')} AS Threshold, {R('avg(power(y_true - Threshold, 2))')} AS BS, {R('avg(y_true)')} AS BS_ref,
        {R('avg(power(p1 - y_true, 2))')} AS BS_model,
        {R('1 - avg(power(p1 - y_true, 2)) / nullif(avg(y_true), 0)')} AS BSS_model
 FROM sc CROSS JOIN t GROUP BY ALL
