@@ -1,3 +1,169 @@
-"""Queries: q_models."""
+"""Sampling and model queries."""
 
 from __future__ import annotations
+
+from pyspark.sql import functions as F
+
+from gale.operators import clean, features, models, sampling, verify
+from gale.plans import views as V
+from gale.plans.catalog import R, register
+from gale.session import checkpoint_dir
+from gale.sources.results import shared_path
+
+_H = "CAST(('0x' || substr(md5({}), 1, 8)) AS UBIGINT)"
+
+
+def _h(expr: str) -> str:
+    return _H.format(expr)
+
+
+@register("bootstrap_year_splits", f"""
+WITH y AS (SELECT DISTINCT YEAR AS year FROM case_keys),
+d AS (SELECT d.draw, y.year, {_h("'0|' || d.draw || '|' || y.year")} AS h FROM y, range(0, 25) d(draw)),
+r AS (SELECT *, row_number() OVER (PARTITION BY draw ORDER BY h, year) AS rk FROM d)
+SELECT draw, year FROM r WHERE rk <= 3
+""", ("case_keys",))
+def q_bootstrap_year_splits(spark, sf_dir):
+    """M1: 25 draws of 3 held-out years from the years in the data."""
+    return sampling.year_draws(V.case_keys(spark, sf_dir), "YEAR", 25, 3, seed=0).select(
+        F.col("draw").cast("bigint").alias("draw"), "year")
+
+
+@register("stratified_folds", f"""
+SELECT case_key, y_true, CAST((row_number() OVER (PARTITION BY y_true ORDER BY {_h("'0|0|' || case_key")}, case_key) - 1) % 10 AS INTEGER) AS fold
+FROM scored
+""", ("scored",))
+def q_stratified_folds(spark, sf_dir):
+    """M8: 10 folds, each class dealt evenly by hash rank (distributed)."""
+    s = V.scored(spark, sf_dir).select("case_key", "y_true")
+    return sampling.stratified_folds(s, "case_key", "y_true", 10)
+
+
+@register("balanced_weights", f"""
+WITH c AS (SELECT y_true, count(*) AS nc FROM scored GROUP BY y_true),
+t AS (SELECT sum(nc) AS n, count(*) AS k FROM c)
+SELECT s.case_key, s.y_true, {R('t.n / (t.k * c.nc)')} AS weight FROM scored s JOIN c USING (y_true), t
+""", ("scored",))
+def q_balanced_weights(spark, sf_dir):
+    """M3: 'balanced' class weights n / (k * n_c) per row."""
+    return sampling.balanced_weights(V.scored(spark, sf_dir).select("case_key", "y_true"), "y_true")
+
+
+@register("random_oversample", f"""
+WITH c AS (SELECT count(*) FILTER (WHERE y_true = 1) AS nmin, count(*) FILTER (WHERE y_true = 0) AS nmaj FROM scored),
+e AS (SELECT CAST(floor(0.7 * nmaj) AS BIGINT) - nmin AS extra, nmin FROM c),
+m AS (SELECT case_key, y_true, row_number() OVER (ORDER BY {_h("'0|' || case_key")}, case_key) AS p FROM scored WHERE y_true = 1),
+d AS (SELECT {_h("'os0|' || i")} % (SELECT nmin FROM e) + 1 AS p FROM range(0, 100000000) r(i) WHERE i < (SELECT extra FROM e))
+SELECT case_key, y_true FROM scored UNION ALL SELECT m.case_key, m.y_true FROM d JOIN m USING (p)
+""", ("scored",))
+def q_random_oversample(spark, sf_dir):
+    """M4: minority topped up with replacement to exactly floor(0.7 * majority)."""
+    s = V.scored(spark, sf_dir).select("case_key", "y_true")
+    return sampling.random_oversample(s, "case_key", "y_true", 1, 0.7)
+
+
+@register("random_undersample", f"""
+WITH n AS (SELECT count(*) AS nmin FROM scored WHERE y_true = 1),
+r AS (SELECT case_key, y_true, row_number() OVER (PARTITION BY y_true ORDER BY {_h("'0|' || case_key")}, case_key) AS rk FROM scored)
+SELECT case_key, y_true FROM r WHERE y_true = 1 OR rk <= (SELECT nmin FROM n)
+""", ("scored",))
+def q_random_undersample(spark, sf_dir):
+    """M6: majority reduced to the minority count by hash rank."""
+    s = V.scored(spark, sf_dir).select("case_key", "y_true")
+    return sampling.random_undersample(s, "case_key", "y_true", 1)
+
+
+@register("shuffle_rows", "SELECT case_key, y_true FROM scored", ("scored",))
+def q_shuffle_rows(spark, sf_dir):
+    """Reproducible permutation; labels stay on their rows."""
+    return sampling.shuffle_rows(V.scored(spark, sf_dir).select("case_key", "y_true"), "case_key")
+
+
+@register("standardise_features", f"""
+WITH s AS (SELECT avg(VMAX) AS mv, stddev_samp(VMAX) AS sv, avg(DELV) AS md, stddev_samp(DELV) AS sd FROM hours)
+SELECT case_id, TIME, {R('(VMAX - mv) / sv')} AS z_VMAX, {R('(DELV - md) / sd')} AS z_DELV FROM hours, s
+""", ("hours",))
+def q_standardise_features(spark, sf_dir):
+    """M7: StandardScaler (mean, sample std) as a pipeline stage."""
+    from pyspark.ml.functions import vector_to_array
+    h = V.hours(spark, sf_dir).select("case_id", "TIME", "VMAX", "DELV")
+    z = sampling.standardise_features(h, ["VMAX", "DELV"])
+    a = vector_to_array("features")
+    return z.select("case_id", "TIME", a[0].alias("z_VMAX"), a[1].alias("z_DELV"))
+
+
+# ------------------------------------------------------------ training
+
+_FEATS = ["SHRG", "VMAX", "DELV", "D200", "IR00"]
+# Light grids for the registered queries (runtime); the reference grids are
+# the defaults of models.forest_search / models.logistic_search.
+_LIGHT_RF = dict(depths=[4, 6], max_features=[2], trees=20, min_leaf=5, k=3)
+_LIGHT_LR = dict(c_values=[0.1, 1.0], max_iter=[100], k=3)
+
+
+def _frame(spark, sf_dir):
+    c = clean.sentinel_to_null(V.cases(spark, sf_dir), _FEATS)
+    tf = features.training_frame(c, ["storm_id"], ["case_id", "BASIN", "YEAR"], "DATE_full", _FEATS,
+                                 steps=1, tiebreak=["case_id"])
+    return tf.withColumn("label", F.col("I_class").cast("double"))
+
+
+def _split(spark, sf_dir):
+    """Training frame labelled, split and folded once, then checkpointed to
+    the shared checkpoint folder so every cross-validation fit reads the
+    materialized rows instead of re-running the feature lineage."""
+    checkpoint_dir(spark)
+    tf = _frame(spark, sf_dir)
+    train, test = clean.split_by_year(tf, [1999, 2000], year_col="YEAR")
+    train = sampling.stratified_folds(train, "case_id", "I_class", 3).checkpoint()
+    return train, test.checkpoint()
+
+
+@register("train_and_predict")
+def q_train_and_predict(spark, sf_dir):
+    """M9 + M10 + M12 + M14 + S12: grid searches by cross-validation on the
+    training years, best model saved and re-loaded, predictions on held-out
+    years."""
+    train, test = _split(spark, sf_dir)
+    n = float(train.count())
+    lr = models.logistic_search(_FEATS, "label", fold_col="fold", n_rows=n, **_LIGHT_LR).fit(train)
+    rf = models.forest_search(_FEATS, "label", fold_col="fold", **_LIGHT_RF).fit(train)
+    path = shared_path(spark, "model-rf")
+    models.save_model(rf.bestModel, path)
+    loaded = models.load_model(path)
+    keys = ["storm_id", "case_id", "BASIN", "YEAR"]
+    return (models.predict(lr.bestModel, test, keys, "label", "Logistic Reg.")
+            .unionByName(models.predict(loaded, test, keys, "label", "Random Forest")))
+
+
+@register("fit_four_models")
+def q_fit_four_models(spark, sf_dir):
+    """M11 + M3 + M4 + M6 + M15: logistic, weighted forest, oversampled and
+    undersampled forests on one split, then contingency scores per basin and
+    ALL."""
+    train, test = _split(spark, sf_dir)
+    keys = ["storm_id", "case_id", "BASIN", "YEAR"]
+    wtrain = sampling.balanced_weights(train, "I_class")
+    out = []
+    n = float(train.count())
+    cv = models.logistic_search(_FEATS, "label", fold_col="fold", weight_col="weight", n_rows=n, **_LIGHT_LR)
+    out.append(models.predict(cv.fit(wtrain).bestModel, test, keys, "label", "Logistic Reg."))
+    rfw = models.forest_search(_FEATS, "label", fold_col="fold", weight_col="weight", **_LIGHT_RF)
+    out.append(models.predict(rfw.fit(wtrain).bestModel, test, keys, "label", "Random Forest (weights)"))
+    over = sampling.random_oversample(train, "case_id", "I_class", 1, 0.7)
+    rf = models.forest_search(_FEATS, "label", fold_col="fold", **_LIGHT_RF)
+    out.append(models.predict(rf.fit(over).bestModel, test, keys, "label", "Random Forest (oversample)"))
+    under = sampling.random_undersample(train, "case_id", "I_class", 1)
+    out.append(models.predict(rf.fit(under).bestModel, test, keys, "label", "Random Forest (undersample)"))
+    pred = out[0]
+    for p in out[1:]:
+        pred = pred.unionByName(p)
+    return verify.contingency_stats(pred, ["Model", "BASIN"], "y_true", "y_pred", [0, 1], basin_col="BASIN")
+
+
+@register("permutation_importance")
+def q_permutation_importance(spark, sf_dir):
+    """Accuracy drop per shuffled feature on held-out years."""
+    train, test = _split(spark, sf_dir)
+    rf = models.forest_search(_FEATS, "label", fold_col="fold", **_LIGHT_RF).fit(train)
+    return models.permutation_importance(rf.bestModel, test, ["case_id"], _FEATS, "label", repeats=2)
