@@ -1,3 +1,29 @@
-"""Queries: q_streaming."""
+"""Streaming queries (R1, R3); each has the same result as its batch twin."""
 
 from __future__ import annotations
+
+from gale.plans import render
+from gale.plans.catalog import R, register
+from gale.plans.q_ingest import _S1_OUT_SQL, _s1_out
+from gale.sources.tables import read_table
+from gale.streaming import jobs
+
+
+@register("stream_ingest_cases", _S1_OUT_SQL, ("cases",))
+def q_stream_ingest_cases(spark, sf_dir):
+    """Case-record files ingested by a file stream (availableNow)."""
+    path = render.write_case_records(spark, sf_dir)
+    df = jobs.stream_ingest_cases(spark, path, ["VMAX", "SHRG", "RSST", "IR00", "PC00"],
+                                  with_age=["RSST", "PC00"])
+    return _s1_out(df)
+
+
+@register("stream_cycle_counts", f"""
+SELECT date_trunc('hour', ts) - to_hours(CAST(hour(ts) % 6 AS BIGINT)) AS window_start, event_type,
+       count(*) AS n, {R('avg(value)')} AS mean_value
+FROM events GROUP BY ALL
+""")
+def q_stream_cycle_counts(spark, sf_dir):
+    """6-hour tumbling counts and means per event type with a watermark."""
+    schema = read_table(spark, sf_dir, "events").schema
+    return jobs.stream_cycle_counts(spark, sf_dir, schema, glob="events.parquet")

@@ -60,7 +60,13 @@ def ingest_case_diagnostics(spark: SparkSession, paths: str | list[str], predict
     reader = spark.read.option("lineSep", line_sep)
     if path_glob:
         reader = reader.option("pathGlobFilter", path_glob)
-    raw = reader.text(paths)
+    return parse_case_records(reader.text(paths), predictors, with_age=with_age)
+
+
+def parse_case_records(raw: DataFrame, predictors: list[str], *,
+                       with_age: list[str] | None = None) -> DataFrame:
+    """Record text rows (column ``value``) -> hourly rows; only projections
+    and an explode, so it runs unchanged on a streaming source (R1)."""
     text = F.regexp_replace(F.col("value"), "\ufeff|\r", "")
     lines = F.filter(F.split(text, "\n"), lambda l: F.length(F.trim(l)) > 0)
     rec = raw.select(lines.alias("lines")).where(F.size("lines") > 0)
