@@ -422,3 +422,12 @@ def q_training_frame(spark, sf_dir):
     """M2: label (W1+P20), average hours 0-18 (A1), align (J2) in one job."""
     c = clean.sentinel_to_null(V.cases(spark, sf_dir), _TF)
     return features.training_frame(c, ["storm_id"], ["case_id"], "DATE_full", _TF, **_LABEL_KW)
+
+
+@register("drop_feature_columns", f"""
+SELECT case_id, TIME, {R('VMAX')} AS VMAX, {R('VMPI')} AS VMPI, {R('DELV')} AS DELV FROM hours
+""", ("hours",))
+def q_drop_feature_columns(spark, sf_dir):
+    """Bookkeeping / non-feature columns removed."""
+    h = V.hours(spark, sf_dir).select("case_id", "TIME", "VMAX", "VMPI", "DELV", "DTL", "SHRG")
+    return clean.drop_feature_columns(h, ["DTL", "SHRG"])

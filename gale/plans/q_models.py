@@ -167,3 +167,47 @@ def q_permutation_importance(spark, sf_dir):
     train, test = _split(spark, sf_dir)
     rf = models.forest_search(_FEATS, "label", fold_col="fold", **_LIGHT_RF).fit(train)
     return models.permutation_importance(rf.bestModel, test, ["case_id"], _FEATS, "label", repeats=2)
+
+
+@register("select_and_refit")
+def q_select_and_refit(spark, sf_dir):
+    """M14 + J12 + M1: for each draw of held-out years, fit on the other
+    training years and score the event Threat on the ALL scope; per model the
+    best draw's parameters (ties: lowest draw) are looked up and refitted on
+    all training years, then used on the test years."""
+    checkpoint_dir(spark)
+    tf = _frame(spark, sf_dir)
+    train_all, test = clean.split_by_year(tf, [2000, 2001], year_col="YEAR")
+    train_all, test = train_all.checkpoint(), test.checkpoint()
+    draws = sampling.year_draws(train_all, "YEAR", 2, 1, seed=7).collect()  # 2 rows
+    keys = ["storm_id", "case_id", "BASIN", "YEAR"]
+    rows = []
+    for d in draws:
+        tr, va = clean.split_by_year(train_all, [d["year"]], year_col="YEAR")
+        tr = sampling.stratified_folds(tr, "case_id", "I_class", 3)
+        for name, cv in (("Logistic Reg.", models.logistic_search(_FEATS, "label", fold_col="fold",
+                                                                   n_rows=1000.0, **_LIGHT_LR)),
+                         ("Random Forest", models.forest_search(_FEATS, "label", fold_col="fold", **_LIGHT_RF))):
+            m = cv.fit(tr)
+            cm = verify.contingency_stats(models.predict(m.bestModel, va, keys, "label", name),
+                                          ["Model"], "y_true", "y_pred", [0, 1]).where("Category = 1")
+            threat = cm.select("Threat").first()["Threat"]
+            rows.append((name, int(d["draw"]), float(threat) if threat is not None else -1.0,
+                         models.best_params(m)))
+    out = []
+    for name in ("Logistic Reg.", "Random Forest"):
+        best = sorted([r for r in rows if r[0] == name], key=lambda r: (-r[2], r[1]))[0]
+        params = best[3]
+        folds = sampling.stratified_folds(train_all, "case_id", "I_class", 3)
+        if name == "Logistic Reg.":
+            c_best = 1.0 / (params.get("regParam", 1e-3) * 1000.0)  # regParam = 1 / (C * 1000)
+            cv = models.logistic_search(_FEATS, "label", fold_col="fold", n_rows=1000.0,
+                                        c_values=[c_best], max_iter=[params.get("maxIter", 100)], k=3)
+        else:
+            cv = models.forest_search(_FEATS, "label", fold_col="fold", depths=[params.get("maxDepth", 4)],
+                                      max_features=[params.get("featureSubsetStrategy", "2")], trees=20,
+                                      min_leaf=5, k=3)
+        fit = cv.fit(folds)
+        out.append(models.predict(fit.bestModel, test, keys, "label", name)
+                   .withColumn("best_draw", F.lit(best[1])))
+    return out[0].unionByName(out[1])

@@ -57,3 +57,28 @@ def stream_cycle_counts(spark: SparkSession, src: str, schema, *, glob: str | No
     last = upd.groupBy("window_start", key).agg(F.max_by(F.struct("n", "total"), "batch").alias("v"))
     return last.select("window_start", key, F.col("v.n").alias("n"),
                        (F.col("v.total") / F.col("v.n")).alias("mean_value"))
+
+
+def stream_verify_24h(spark: SparkSession, src: str, schema, *, storm: str = "storm_id",
+                      ts: str = "DATE_full", value: str = "VMAX", hours: int = 24,
+                      watermark: str = "30 hours") -> DataFrame:
+    """R2: verify a case when the same storm's value ``hours`` later arrives:
+    a stream-stream inner join on (storm, time + hours) with watermarks on
+    both sides, so join state is dropped once a case can no longer match."""
+    def side(alias):
+        s = (spark.readStream.schema(schema).option("maxFilesPerTrigger", 8).parquet(src)
+             .select(F.col(storm).alias(f"{alias}_storm"), F.col(ts).cast("timestamp").alias(f"{alias}_t"),
+                     F.col(value).alias(f"{alias}_v")))
+        return s.withWatermark(f"{alias}_t", watermark)
+    a, b = side("a"), side("b")
+    lag = F.expr(f"INTERVAL {hours} HOURS")
+    cond = ((F.col("a_storm") == F.col("b_storm")) & (F.col("b_t") >= F.col("a_t") + lag)
+            & (F.col("b_t") <= F.col("a_t") + lag))
+    j = a.join(b, cond, "inner").select(
+        F.col("a_storm").alias(storm), F.col("a_t").cast("timestamp_ntz").alias(ts),
+        (F.col("b_v") - F.col("a_v")).alias("d_V"))
+    out, ck = shared_path(spark, "r2-out"), shared_path(spark, "r2-ckpt")
+    q = (j.writeStream.format("parquet").option("checkpointLocation", ck).outputMode("append")
+         .trigger(availableNow=True).start(out))
+    q.awaitTermination()
+    return spark.read.parquet(out)
