@@ -215,7 +215,7 @@ SELECT case_id, TIME, {', '.join(f'{R(_q(c))} AS {_q(c)}' for c in _DYN_COLS)} F
 """, ("hours",))
 def q_dynamic_features(spark, sf_dir):
     """P1 -> P2 -> W5 -> W6 -> P7 -> W9 in one chain over all cases."""
-    return features.dynamic_features(V.hours(spark, sf_dir), CASE, DYN, hours=FORE)
+    return features.dynamic_features(V.hours(spark, sf_dir, materialized=True), CASE, DYN, hours=FORE)
 
 
 _F2_SQL = f"""
@@ -250,7 +250,7 @@ FROM interp i LEFT JOIN f2 ON i.case_id = f2.case_id AND i.TIME = f2.TIME
 """, ("hours",))
 def q_join_dynamic_ir(spark, sf_dir):
     """Dynamic (F1) and IR (F2) features joined on (case, hour)."""
-    h = V.hours(spark, sf_dir)
+    h = V.hours(spark, sf_dir, materialized=True)
     dyn = features.dynamic_features(h, CASE, DYN, hours=FORE)
     ir = features.ir_features(h, CASE, hours=FORE, ir_slots=IR_SLOTS, ir_names=IR_NAMES,
                               pc_slots=PC_SLOTS, pc_names=PC_NAMES)
@@ -286,7 +286,7 @@ SELECT case_id, TIME, {', '.join(f'{R(_q(c))} AS {_q(c)}' for c in _DYN_COLS + _
 """, ("hours",))
 def q_case_features(spark, sf_dir):
     """landfall gate -> sentinel -> land mask -> F1 + F2 -> J3."""
-    return features.case_features(V.hours(spark, sf_dir), CASE, DYN, hours=FORE,
+    return features.case_features(V.hours(spark, sf_dir, materialized=True), CASE, DYN, hours=FORE,
                                   ir_kw=dict(ir_slots=IR_SLOTS, ir_names=IR_NAMES,
                                              pc_slots=PC_SLOTS, pc_names=PC_NAMES))
 
@@ -406,7 +406,7 @@ SELECT storm_id, case_id, DATE_full, {', '.join(f'{R(c)} AS {c}' for c in _TF)},
 """, ("cases",))
 def q_align_features_labels(spark, sf_dir):
     """Complete averaged features of labelled cases with their labels."""
-    c = V.cases(spark, sf_dir)
+    c = V.cases(spark, sf_dir, materialized=True)
     lab = features.case_labels(c, ["storm_id"], ["case_id"], "DATE_full", **_LABEL_KW)
     keys = ["storm_id", "case_id", "DATE_full"]
     feats = features.average_hours(clean.sentinel_to_null(c, _TF), keys, _TF)
@@ -420,7 +420,7 @@ SELECT storm_id, case_id, DATE_full, {', '.join(f'{R(c)} AS {c}' for c in _TF)},
 """, ("cases",))
 def q_training_frame(spark, sf_dir):
     """M2: label (W1+P20), average hours 0-18 (A1), align (J2) in one job."""
-    c = clean.sentinel_to_null(V.cases(spark, sf_dir), _TF)
+    c = clean.sentinel_to_null(V.cases(spark, sf_dir, materialized=True), _TF)
     return features.training_frame(c, ["storm_id"], ["case_id"], "DATE_full", _TF, **_LABEL_KW)
 
 

@@ -66,7 +66,7 @@ m AS (SELECT f.storm_id, f.DATE_full, f.Tech, f.prob, t.grp, t.d24_VMAX FROM for
 
 
 def _matched(spark, sf_dir):
-    trk = series.track_change(V.cycles(spark, sf_dir), ["storm_id"], "DATE_full", ("VMAX",))
+    trk = series.track_change(V.cycles(spark, sf_dir, materialized=True), ["storm_id"], "DATE_full", ("VMAX",))
     fc = V.forecasts(spark, sf_dir).select("storm_id", "DATE_full", "Tech", "prob")
     return rel.verify_forecasts(fc, trk.select("storm_id", "DATE_full", "grp", "d24_VMAX"),
                                 ["storm_id", "DATE_full"])
@@ -90,7 +90,7 @@ WHERE EXISTS (SELECT 1 FROM w1 WHERE w1.storm_id = f.storm_id AND w1.DATE_full =
 """, ("cycles", "forecasts"))
 def q_restrict_to_predicted(spark, sf_dir):
     """Forecasts at times that carry a W1 label (left semi join)."""
-    w1 = series.change_24h(V.cycles(spark, sf_dir), ["storm_id"], "DATE_full", ["VMAX"])
+    w1 = series.change_24h(V.cycles(spark, sf_dir, materialized=True), ["storm_id"], "DATE_full", ["VMAX"])
     fc = V.forecasts(spark, sf_dir).select("storm_id", "DATE_full", "Tech", "prob")
     return rel.restrict_to_predicted(fc, w1, ["storm_id", "DATE_full"])
 
@@ -147,7 +147,7 @@ SELECT storm_id, DATE_full FROM forecasts WHERE Tech = 'click' INTERSECT SELECT
 """, ("cycles", "forecasts"))
 def q_intersect_keys(spark, sf_dir):
     """(storm, time) keys common to one technique's forecasts and the labels."""
-    w1 = series.change_24h(V.cycles(spark, sf_dir), ["storm_id"], "DATE_full", ["VMAX"])
+    w1 = series.change_24h(V.cycles(spark, sf_dir, materialized=True), ["storm_id"], "DATE_full", ["VMAX"])
     fc = V.forecasts(spark, sf_dir).where(F.col("Tech") == "click")
     return fc.select("storm_id", "DATE_full").intersect(w1.select("storm_id", "DATE_full"))
 

@@ -20,7 +20,7 @@ WHERE b.DATE_full = a.DATE_full + INTERVAL 1 DAY
 """, ("cycles",))
 def q_change_24h(spark, sf_dir):
     """24-hour change over four 6-hour cycles of one storm, 1-day guard."""
-    cyc = V.cycles(spark, sf_dir)
+    cyc = V.cycles(spark, sf_dir, materialized=True)
     return series.change_24h(cyc, ["storm_id"], "DATE_full", ["VMAX", "MSLP"], carry=["grp"])
 
 
@@ -35,7 +35,7 @@ w1 AS (SELECT a.storm_id, a.DATE_full, a.grp, b.VMAX - a.VMAX AS d24_VMAX
 
 
 def _w1(spark, sf_dir):
-    cyc = V.cycles(spark, sf_dir)
+    cyc = V.cycles(spark, sf_dir, materialized=True)
     return series.change_24h(cyc, ["storm_id"], "DATE_full", ["VMAX"], carry=["grp"])
 
 
@@ -90,7 +90,7 @@ FROM p a LEFT JOIN p b ON b.pos = a.pos + 4
 """, ("cycles",))
 def q_change_24h_realtime(spark, sf_dir):
     """Realtime 24-h change: all storms in date order as one series."""
-    cyc = V.cycles(spark, sf_dir)
+    cyc = V.cycles(spark, sf_dir, materialized=True)
     return series.change_24h_realtime(cyc, "DATE_full", ["VMAX"], tiebreak=["storm_id"]).select(
         "storm_id", "DATE_full", "d24_VMAX")
 
@@ -104,7 +104,7 @@ FROM p a LEFT JOIN p b ON a.storm_id = b.storm_id AND b.pos = a.pos + 4
 """, ("cycles",))
 def q_track_change(spark, sf_dir):
     """d24 VMAX and MSLP written onto every track row."""
-    return series.track_change(V.cycles(spark, sf_dir), ["storm_id"], "DATE_full")
+    return series.track_change(V.cycles(spark, sf_dir, materialized=True), ["storm_id"], "DATE_full")
 
 
 @register("change_reverse", f"""
@@ -115,7 +115,7 @@ WHERE b.VMAX - a.VMAX >= 40
 """, ("cycles",))
 def q_change_reverse(spark, sf_dir):
     """Earlier-minus-current change over 4 rows, kept when >= 40."""
-    return series.change_reverse(V.cycles(spark, sf_dir), ["storm_id"], "DATE_full", "VMAX")
+    return series.change_reverse(V.cycles(spark, sf_dir, materialized=True), ["storm_id"], "DATE_full", "VMAX")
 
 
 # ------------------------------------------------------------------ J4
@@ -128,7 +128,7 @@ FROM cycles a LEFT JOIN cycles b ON a.storm_id = b.storm_id AND b.DATE_full = a.
 """, ("cycles",))
 def q_exact_time_change(spark, sf_dir):
     """Change to exactly +24 h by self equi-join on (storm, time)."""
-    return series.exact_time_change(V.cycles(spark, sf_dir), ["storm_id"], "DATE_full")
+    return series.exact_time_change(V.cycles(spark, sf_dir, materialized=True), ["storm_id"], "DATE_full")
 
 
 @register("event_rate_exact", f"""
@@ -140,7 +140,7 @@ FROM j GROUP BY grp
 """, ("cycles",))
 def q_event_rate_exact(spark, sf_dir):
     """A4 over J4 changes (the realtime verification rate)."""
-    d = series.exact_time_change(V.cycles(spark, sf_dir), ["storm_id"], "DATE_full")
+    d = series.exact_time_change(V.cycles(spark, sf_dir, materialized=True), ["storm_id"], "DATE_full")
     return explore.event_rate(d, ["grp"], "d_V", 30.0)
 
 
@@ -153,5 +153,5 @@ FROM cycles
 """, ("cycles",))
 def q_number_cases(spark, sf_dir):
     """Running case number per storm (distributed positions)."""
-    cyc = V.cycles(spark, sf_dir).select("storm_id", "DATE_full")
+    cyc = V.cycles(spark, sf_dir, materialized=True).select("storm_id", "DATE_full")
     return series.number_cases(cyc, ["storm_id"], ["DATE_full"], "CASE_NO")

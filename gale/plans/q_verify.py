@@ -9,6 +9,7 @@ from gale.functions.names import CLASS_LABELS_2
 from gale.operators import clean, verify
 from gale.plans import views as V
 from gale.plans.catalog import R, register
+from gale.session import checkpoint_dir
 
 G = ["Model", "BASIN", "Fold"]
 GS = "Model, BASIN, Fold"
@@ -24,7 +25,11 @@ _SCOPE = """sc AS (SELECT Model, BASIN, Fold, y_true, y_pred, p1 FROM scored
 
 
 def _counts(spark, sf_dir):
-    return verify.score_counts(_scored(spark, sf_dir), G, "y_true", "p1", basin_col="BASIN")
+    """(group, distinct score) counts: every curve reads them several times,
+    so they are materialized once (checkpoint in the shared folder) instead
+    of re-aggregating the prediction rows in each branch of the plan."""
+    checkpoint_dir(spark)
+    return verify.score_counts(_scored(spark, sf_dir), G, "y_true", "p1", basin_col="BASIN").checkpoint()
 
 
 def _pr(spark, sf_dir):

@@ -28,7 +28,12 @@ SENTINEL = 9999.0
 # ----------------------------------------------------------------- cycles
 
 
-def cycles(spark: SparkSession, sf_dir: str) -> DataFrame:
+def cycles(spark: SparkSession, sf_dir: str, materialized: bool = False) -> DataFrame:
+    """With ``materialized`` the series table is checkpointed once (it feeds
+    several branches of the series plans)."""
+    if materialized:
+        from gale.session import materialize
+        return materialize(cycles(spark, sf_dir))
     ev = read_table(spark, sf_dir, "events").select("user_id", "ts", "value", "event_type")
     slot = (F.date_trunc("hour", "ts") - F.make_dt_interval(F.lit(0), F.hour("ts") % 6))\
         .cast("timestamp_ntz")
@@ -71,7 +76,10 @@ PREDICTORS = ["VMAX", "VMPI", "DELV", "SHRG", "D200", "Z850", "RHMD", "DTL",
               "NSST", "RSST", "IR00", "IRM1", "IRM3", "PC00", "PCM1", "PCM3"]
 
 
-def hours(spark: SparkSession, sf_dir: str) -> DataFrame:
+def hours(spark: SparkSession, sf_dir: str, materialized: bool = False) -> DataFrame:
+    if materialized:
+        from gale.session import materialize
+        return materialize(hours(spark, sf_dir))
     li = read_table(spark, sf_dir, "lineitem").select(
         "l_orderkey", "l_linenumber", "l_suppkey", "l_quantity", "l_extendedprice",
         "l_discount", "l_tax")
@@ -153,8 +161,12 @@ def case_keys(spark: SparkSession, sf_dir: str) -> DataFrame:
                     F.year("o_orderdate").cast("int").alias("YEAR")))
 
 
-def cases(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return case_keys(spark, sf_dir).join(hours(spark, sf_dir), "case_id")
+def cases(spark: SparkSession, sf_dir: str, materialized: bool = False) -> DataFrame:
+    c = case_keys(spark, sf_dir).join(hours(spark, sf_dir), "case_id")
+    if materialized:
+        from gale.session import materialize
+        return materialize(c)
+    return c
 
 
 CASE_KEYS_SQL = """

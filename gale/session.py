@@ -61,3 +61,11 @@ def checkpoint_dir(spark: SparkSession) -> str:
         spark.conf.set("spark.checkpoint.dir", configured)
     sc.setCheckpointDir(configured)
     return sc.getCheckpointDir() or configured
+
+
+def materialize(df):
+    """Write ``df`` once to the shared checkpoint folder and return the
+    re-read table (lineage cut). Used where one derived input feeds several
+    branches of a plan, so the source is scanned once instead of per branch."""
+    checkpoint_dir(df.sparkSession)
+    return df.checkpoint(eager=True)
