@@ -15,7 +15,9 @@ from pyspark.sql import functions as F
 from gale.functions.hashing import md5_number
 from gale.operators.scan import shifted, with_position  # noqa: F401
 
-HASH_BUCKET = float(2 ** 32) / 1024  # grid over the 32-bit hash for the scan
+# Grid over the 32-bit hash for ranks inside a class (a class may hold half
+# of all rows): 2^20 cells, so each window task sees ~1e-6 of the class.
+HASH_BUCKET = float(2 ** 32) / 2 ** 20
 
 
 def year_draws(df: DataFrame, year_col: str, n_draws: int, k: int, seed: int = 0) -> DataFrame:
@@ -47,10 +49,10 @@ def class_counts(df: DataFrame, class_col: str) -> dict:
 
 def balanced_weights(df: DataFrame, class_col: str, out_col: str = "weight") -> DataFrame:
     """M3: scikit-learn's 'balanced' weight n / (k * n_c) as a column."""
-    c = df.groupBy(class_col).agg(F.count(F.lit(1)).alias("_nc"))
-    tot = c.agg(F.sum("_nc").alias("_n"), F.count(F.lit(1)).alias("_k"))
-    w = c.crossJoin(F.broadcast(tot)).select(  # tot is one row
-        class_col, (F.col("_n") / (F.col("_k") * F.col("_nc"))).alias(out_col))
+    counts = class_counts(df, class_col)  # one row per class
+    n, k = float(sum(counts.values())), len(counts)
+    w = df.sparkSession.createDataFrame([(c, n / (k * nc)) for c, nc in counts.items()],
+                                        [class_col, out_col])
     return df.join(F.broadcast(w), class_col)  # one row per class
 
 

@@ -58,8 +58,8 @@ def _bucketed(df: DataFrame, group_cols: list[str], first: str, descending: bool
         stats = keyed.groupBy(*group_cols).agg(F.min("_k").alias("_lo"), F.max("_k").alias("_hi"))
         keyed = keyed.join(stats, group_cols, "left")
     else:
-        stats = keyed.agg(F.min("_k").alias("_lo"), F.max("_k").alias("_hi"))
-        keyed = keyed.crossJoin(F.broadcast(stats))  # one row: size bound 1
+        lo, hi = keyed.agg(F.min("_k"), F.max("_k")).first()  # two scalars
+        keyed = keyed.withColumns({"_lo": F.lit(lo).cast("double"), "_hi": F.lit(hi).cast("double")})
     width = F.col("_hi") - F.col("_lo")
     raw = F.when(width > 0, F.floor((F.col("_k") - F.col("_lo")) / width * F.lit(buckets)))\
         .otherwise(F.lit(0))

@@ -19,9 +19,10 @@ from pyspark.sql import functions as F
 
 from gale.operators.scan import shifted, with_position
 
-# Grid for numbering rows of a storm series: one bucket per 7 days of time
-# (unix microseconds), so a long or hot series spreads over many tasks.
-TIME_BUCKET = 7 * 86400 * 1e6
+# Grid for numbering rows of a storm series: one bucket per day of time
+# (unix microseconds), so a long or hot series spreads over many tasks and
+# the per-series offsets table has one row per day the series spans.
+TIME_BUCKET = 86400 * 1e6
 
 
 def _width(df: DataFrame, time_col: str) -> float | None:

@@ -18,8 +18,10 @@ from gale.functions.numeric import round_half_even, safe_div
 from gale.operators.scan import running_totals, shifted
 
 ALL = "ALL"
-# Probability grid for the two-level scan over distinct scores.
-SCORE_BUCKET = 1.0 / 1024
+# Probability grid for the two-level scan over distinct scores: 2^20 cells,
+# so one cell holds the distinct scores of a 1e-6 wide interval and the
+# per-group offsets table has at most ~1e6 rows whatever the data volume.
+SCORE_BUCKET = 1.0 / 2 ** 20
 
 
 def _zdiv(a: Column, b: Column) -> Column:
