@@ -49,14 +49,16 @@ def parse_issue_time(yymmdd: Column, hh: Column) -> Column:
 
 
 def ingest_case_diagnostics(spark: SparkSession, paths: str | list[str], predictors: list[str], *,
-                            with_age: list[str] | None = None, line_sep: str = "LAST\n",
+                            with_age: list[str] | None = None, line_sep: str = "\nLAST",
                             path_glob: str | None = None) -> DataFrame:
     """``(ATCFID, NAME, DATE_full, TIME, <predictors> as string, <p>_AGE)``.
 
     Values stay strings here (``try_cast`` in P3 turns bad text into null);
-    ``with_age`` lists predictors whose age token becomes ``<p>_AGE``. A
-    byte-order mark and carriage returns are removed; blank fragments (after
-    the last record) are skipped."""
+    ``with_age`` lists predictors whose age token becomes ``<p>_AGE``.
+    Records are split at a line starting with ``LAST`` (``\nLAST`` matches LF
+    and CRLF files); the rest of that line, a byte-order mark and carriage
+    returns are removed; fragments without a header are skipped. A final
+    record without ``LAST`` is kept."""
     reader = spark.read.option("lineSep", line_sep)
     if path_glob:
         reader = reader.option("pathGlobFilter", path_glob)
@@ -89,7 +91,7 @@ def parse_case_records(raw: DataFrame, predictors: list[str], *,
                        (F.lit(FIRST_HOUR) + F.col("i") * STEP_HOURS).cast("int").alias("TIME"), *cols)
 
 
-def scan_cycle_files(spark: SparkSession, root: str, prefix: str, *, line_sep: str = "LAST\n",
+def scan_cycle_files(spark: SparkSession, root: str, prefix: str, *, line_sep: str = "\nLAST",
                      predictors: list[str]) -> DataFrame:
     """Read only the cycle folders whose name starts with ``prefix``
     (``YYMMDDHHBB``); the glob prunes files before any task starts."""

@@ -16,7 +16,7 @@ from gale.sources.results import shared_path
 
 
 def stream_ingest_cases(spark: SparkSession, src: str, predictors: list[str], *,
-                        with_age: list[str] | None = None, line_sep: str = "LAST\n") -> DataFrame:
+                        with_age: list[str] | None = None, line_sep: str = "\nLAST") -> DataFrame:
     """Case-record files arriving in ``src`` -> hourly rows, appended to
     a parquet sink (stateless: projections and explode only). Runs until the
     files present are processed (``availableNow``) and returns the sink."""
