@@ -74,3 +74,19 @@ def test_reliability_totals(spark):
     total = rel.agg(F.sum("Observed_No_Total")).first()[0]
     top = sum(1 for _, s in rows if round(s * 100 / 10) * 10 == 100)
     assert total == len(rows) - top
+
+
+def test_name_maps(spark):
+    from gale.functions.names import basin_long_name, technique_name
+    df = spark.createDataFrame([("AL", "RIOC"), ("CP", "RIOD"), ("SH", "LDA0"), ("XX", "ZZZZ")], "b string, t string")
+    got = df.select(basin_long_name("b").alias("b1"), basin_long_name("b", merge_central=True).alias("b2"),
+                    technique_name("t").alias("t1")).collect()
+    assert [r.b1 for r in got] == ["ATLANTIC", "CENTRAL_PACIFIC", "SOUTHERN_HEM", "XX"]
+    assert [r.b2 for r in got] == ["ATLANTIC", "EAST_PACIFIC", "SOUTHERN_HEM", "XX"]
+    assert [r.t1 for r in got] == ["OP-CON", "SHIPS-RII", "RIPA", "ZZZZ"]
+
+
+def test_w1_counts_match_survey(spark):
+    import __spark_entry__ as E
+    rows = E.queries()["event_rate_by_basin"](spark, "/root/testdata/sf0.01").collect()
+    assert sum(r.n_changes for r in rows) == 246 and sum(r.n_events for r in rows) == 54
