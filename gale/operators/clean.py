@@ -93,10 +93,21 @@ def landfall_gate(df: DataFrame, case_keys: list[str], hour_col: str = "TIME",
 
 def filter_years(df: DataFrame, years: list[int], date_col: str = "DATE_full",
                  year_col: str | None = None, keep: bool = True) -> DataFrame:
-    """Rows whose year is (not) in ``years``; on a YEAR-partitioned table
-    pass ``year_col`` so the filter prunes partitions."""
-    y = F.col(year_col) if year_col else F.year(date_col)
-    cond = y.isin(list(years))
+    """Rows whose year is (not) in ``years``. On a YEAR-partitioned table
+    pass ``year_col`` so the filter prunes partitions; otherwise the years
+    become half-open time ranges on ``date_col``, which parquet pushdown
+    turns into row-group skipping (``year(x) IN ...`` would not push)."""
+    if year_col:
+        cond = F.col(year_col).isin(list(years))
+    else:
+        t = df.schema[date_col].dataType.simpleString()
+        cast = "timestamp_ntz" if t == "timestamp_ntz" else ("date" if t == "date" else "timestamp")
+        c = F.col(date_col)
+        ranges = [(c >= F.lit(f"{y}-01-01").cast(cast)) & (c < F.lit(f"{y + 1}-01-01").cast(cast))
+                  for y in sorted(set(years))]
+        cond = ranges[0]
+        for r in ranges[1:]:
+            cond = cond | r
     return df.where(cond if keep else ~cond)
 
 
