@@ -122,3 +122,44 @@ def shifted(df_with_pos: DataFrame, group_cols: list[str], cols: list[str], k: i
         *group_cols, (F.col(position_col) - F.lit(k)).alias(position_col),
         *[F.col(c).alias(c + suffix) for c in cols])
     return df_with_pos.join(other, group_cols + [position_col], how)
+
+
+def with_lead(df: DataFrame, group_cols: list[str], order_cols: list[str], cols: list[str], k: int, *,
+              suffix: str | None = None, buckets: int = DEFAULT_BUCKETS,
+              bucket_width: float | None = None) -> DataFrame:
+    """``lead(c, k)`` (k > 0) or ``lag(c, -k)`` (k < 0) inside each group in
+    (group, order) order, without a whole-group window and without joining
+    the full data on position.
+
+    Rows are bucketed as in :func:`running_totals` and the shift is taken by
+    a window over (group, bucket). Only rows whose partner lies in another
+    bucket (at most |k| per bucket) are completed by an equi-join on
+    (group, position) against the at most |k| first (lead) or last (lag)
+    rows of every bucket: a partner |k| positions away that lies in another
+    bucket always has fewer than |k| rows before (after) it in its own
+    bucket. So the full data is shuffled once, for the window.
+    """
+    if k == 0:
+        raise ValueError("k must be non-zero")
+    suffix = suffix or (f"_lead{k}" if k > 0 else f"_lag{-k}")
+    base = _bucketed(df, group_cols, order_cols[0], False, buckets, bucket_width)
+    per_bucket = base.groupBy(*group_cols, "_b").agg(F.count(F.lit(1)).alias("_nb"))
+    wb = Window.partitionBy(*group_cols).orderBy("_b").rowsBetween(Window.unboundedPreceding, -1)
+    offsets = per_bucket.select(*group_cols, "_b", "_nb",
+                                F.coalesce(F.sum("_nb").over(wb), F.lit(0)).alias("_off"))
+    x = base.join(offsets, group_cols + ["_b"], "left")
+    w = Window.partitionBy(*group_cols, "_b").orderBy(*[F.col(c).asc() for c in order_cols])
+    shift = F.lead if k > 0 else F.lag
+    m = abs(k)
+    x = x.withColumns({"_rn": F.row_number().over(w),
+                       "_in": shift(F.lit(1), m).over(w).isNotNull(),
+                       **{c + suffix: shift(F.col(c), m).over(w) for c in cols}})
+    x = x.withColumn("_pos", F.col("_rn") + F.col("_off"))
+    inside = x.where(F.col("_in"))
+    edge = x.where(~F.col("_in")).drop(*[c + suffix for c in cols])
+    ends = x.where((F.col("_rn") <= m) if k > 0 else (F.col("_rn") > F.col("_nb") - m))
+    partner = ends.select(*group_cols, (F.col("_pos") - F.lit(k)).alias("_pos"),
+                          *[F.col(c).alias(c + suffix) for c in cols])
+    edge = edge.join(partner, group_cols + ["_pos"], "left")
+    helpers = ["_b", "_nb", "_off", "_rn", "_in", "_pos"]
+    return inside.unionByName(edge.select(*inside.columns)).drop(*helpers)

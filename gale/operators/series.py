@@ -3,8 +3,9 @@
 Two kinds of grouping appear:
 
 * a **storm** (series) may be arbitrarily long, so row offsets inside it are
-  computed with :mod:`gale.operators.scan` (positions, then an equi-join on
-  (storm, position)); no task ever holds a whole storm;
+  computed with :func:`gale.operators.scan.with_lead` (a window per (storm,
+  day bucket) plus a small join for rows whose partner is in another
+  bucket); no task ever holds a whole storm;
 * a **case** holds one row per forecast hour, at most 23 rows by the data
   model (TIME is one of -12..120 step 6, unique per case), so windows and
   grouped aggregates partitioned by the case are bounded.
@@ -17,7 +18,7 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from gale.operators.scan import shifted, with_position
+from gale.operators.scan import with_lead, with_position
 
 # Grid for numbering rows of a storm series: one bucket per day of time
 # (unix microseconds), so a long or hot series spreads over many tasks and
@@ -49,8 +50,8 @@ def change_over_rows(df: DataFrame, keys: list[str], time_col: str, value_cols:
     carry = [c for c in (carry or []) if c not in keys and c != time_col]
     order = [time_col] + list(tiebreak or [])
     base = df.select(*dict.fromkeys(keys + order + carry + value_cols))
-    pos = with_position(base, keys, order, bucket_width=_width(df, time_col))
-    j = shifted(pos, keys, [time_col] + value_cols, steps, suffix="_later")
+    j = with_lead(base, keys, order, [time_col] + value_cols, steps, suffix="_later",
+                  bucket_width=_width(df, time_col))
     ok = F.lit(True) if gap is None else (F.col(time_col + "_later") == F.col(time_col) + _interval(gap))
     diffs = {prefix + c: F.when(ok, F.col(c + "_later") - F.col(c)) for c in value_cols}
     out = j.select(*dict.fromkeys(keys + order + carry), *[v.alias(k) for k, v in diffs.items()])
@@ -98,9 +99,8 @@ def change_reverse(df: DataFrame, keys: list[str], time_col: str, value_col: str
     """Value ``steps`` rows *earlier* minus the value now, null below
     ``floor``; rows without a value are dropped."""
     order = [time_col] + list(tiebreak or [])
-    pos = with_position(df.select(*dict.fromkeys(keys + order + [value_col])), keys, order,
-                        bucket_width=_width(df, time_col))
-    j = shifted(pos, keys, [value_col], -steps, suffix="_earlier")
+    j = with_lead(df.select(*dict.fromkeys(keys + order + [value_col])), keys, order, [value_col], -steps,
+                  suffix="_earlier", bucket_width=_width(df, time_col))
     d = F.col(value_col + "_earlier") - F.col(value_col)
     return (j.select(*dict.fromkeys(keys + order), F.when(d >= floor, d).alias(out_col))
             .where(F.col(out_col).isNotNull()))

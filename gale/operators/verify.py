@@ -15,7 +15,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from gale.functions.numeric import round_half_even, safe_div
-from gale.operators.scan import running_totals, shifted
+from gale.operators.scan import running_totals, with_lead
 
 ALL = "ALL"
 # Probability grid for the two-level scan over distinct scores: 2^20 cells,
@@ -237,7 +237,9 @@ def roc_curve(counts: DataFrame, group_cols: list[str], drop_intermediate: bool
         F.sum((fpr - fpr_prev) * (tpr + tpr_prev) / 2).alias("AUC"))
     pts = c
     if drop_intermediate:
-        pts = shifted(c, group_cols, ["tp_c", "fp_c"], 1, position_col="pos", suffix="_next")
+        # next row in descending score order = previous row in ascending order
+        pts = with_lead(c, group_cols, ["score"], ["tp_c", "fp_c"], -1, suffix="_next",
+                        bucket_width=SCORE_BUCKET)
         same = (F.col("tp_c_next") == F.col("tp_c")) & (F.col("fp_c_next") == F.col("fp_c"))
         keep = (F.col("pos") == 1) | (F.col("pos") == F.col("n_scores")) | ~same
         pts = pts.where(keep)
@@ -268,9 +270,10 @@ def scores_at_cutoff(counts: DataFrame, cutoffs: DataFrame, group_cols: list[str
 def area_under_performance(pr: DataFrame, group_cols: list[str]) -> DataFrame:
     """Signed trapezoid of POD (recall) over success ratio (precision),
     rows by threshold ascending, i.e. each row paired with the next lower
-    threshold (one more descending position); equi-join on position."""
-    nx = shifted(pr.select(*group_cols, "pos", "Precision", "Recall"), group_cols,
-                 ["Precision", "Recall"], 1, position_col="pos", suffix="_low", how="inner")
+    threshold (a lag in ascending threshold order, see ``with_lead``)."""
+    nx = with_lead(pr.select(*group_cols, "Thresholds", "Precision", "Recall"), group_cols, ["Thresholds"],
+                   ["Precision", "Recall"], -1, suffix="_low", bucket_width=SCORE_BUCKET)
+    nx = nx.where(F.col("Precision_low").isNotNull() | F.col("Recall_low").isNotNull())
     term = (F.col("Precision") - F.col("Precision_low")) * (F.col("Recall") + F.col("Recall_low")) / 2
     return nx.groupBy(*group_cols).agg(F.sum(term).alias("AUPD"))
 

@@ -40,3 +40,16 @@ def test_shifted_is_lead(spark):
     pos = with_position(df, ["g"], ["x"])
     got = {(r.g, r.x): r.v_lead2 for r in shifted(pos, ["g"], ["v"], 2).collect()}
     assert got == want
+
+
+def test_with_lead_and_lag_match_window(spark):
+    from gale.operators.scan import with_lead
+    df = _data(spark)
+    w = Window.partitionBy("g").orderBy("x")
+    for k in (1, 4, -4):
+        f = F.lead if k > 0 else F.lag
+        want = {(r.g, r.x): r.l for r in df.withColumn("l", f("v", abs(k)).over(w)).collect()}
+        for width in (None, 997.0, 5.0):
+            out = with_lead(df, ["g"], ["x"], ["v"], k, suffix="_s", bucket_width=width)
+            got = {(r.g, r.x): r.v_s for r in out.collect()}
+            assert got == want, (k, width)
