@@ -55,14 +55,15 @@ def exact_quantiles(df: DataFrame, group_cols: list[str], value: str,
         wanted.append(F.struct(F.lit(name).alias("q"), h.alias("h"),
                                (F.floor(h) + 1).cast("bigint").alias("lo"),
                                (F.ceil(h) + 1).cast("bigint").alias("hi")))
-    need = n.select(*group_cols, F.explode(F.array(*wanted)).alias("w")).select(
-        *group_cols, "w.*")
-    pts = need.select(*group_cols, "q", F.col("lo").alias("_p")).unionByName(
-        need.select(*group_cols, "q", F.col("hi").alias("_p"))).distinct()
-    vals = pos.join(pts, group_cols + ["_p"])
-    j = need.join(vals.withColumnRenamed("_p", "lo").withColumnRenamed("_v", "v_lo"),
-                  group_cols + ["q", "lo"]).join(
-        vals.withColumnRenamed("_p", "hi").withColumnRenamed("_v", "v_hi"), group_cols + ["q", "hi"])
+    need = n.select(*group_cols, F.explode(F.array(*wanted)).alias("w")).select(*group_cols, "w.*")
+    pts = need.select(*group_cols, "q", "h", "lo", F.explode(F.array(
+        F.struct(F.lit(True).alias("is_lo"), F.col("lo").alias("_p")),
+        F.struct(F.lit(False).alias("is_lo"), F.col("hi").alias("_p")))).alias("e")).select(
+        *group_cols, "q", "h", "lo", "e.*")
+    vals = pos.join(pts, group_cols + ["_p"])  # one join: only the needed order statistics
+    j = vals.groupBy(*group_cols, "q", "h", "lo").agg(
+        F.max(F.when(F.col("is_lo"), F.col("_v"))).alias("v_lo"),
+        F.max(F.when(~F.col("is_lo"), F.col("_v"))).alias("v_hi"))
     frac = F.col("h") - (F.col("lo") - 1)
     res = j.select(*group_cols, "q", (F.col("v_lo") + (F.col("v_hi") - F.col("v_lo")) * frac).alias("val"))
     return res.groupBy(*group_cols).pivot("q", list(qs)).agg(F.first("val"))

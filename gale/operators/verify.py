@@ -62,6 +62,12 @@ def contingency_stats(pred: DataFrame, group_cols: list[str], y_true: str, y_pre
 
     Ratios with a zero denominator are null (pandas gives NaN/inf)."""
     counts = class_counts(pred, group_cols, y_true, y_pred, basin_col=basin_col)
+    return contingency_from_counts(counts, group_cols, y_true, y_pred, classes, names)
+
+
+def contingency_from_counts(counts: DataFrame, group_cols: list[str], y_true: str, y_pred: str,
+                            classes: list[int], names: dict[int, str] | None = None) -> DataFrame:
+    """A7 from a (group, y, y_hat, n) count table (see :func:`class_counts`)."""
     cls = F.explode(F.array(*[F.lit(int(c)) for c in classes])).alias("Category")
     x = counts.select("*", cls)
     c, y, yh, n = F.col("Category"), F.col(y_true), F.col(y_pred), F.col("n")
@@ -98,15 +104,24 @@ def classification_report(pred: DataFrame, group_cols: list[str], y_true: str, y
     'accuracy', 'macro avg' and 'weighted avg' rows (scikit-learn layout,
     zero_division -> 0)."""
     counts = class_counts(pred, group_cols, y_true, y_pred, basin_col=basin_col)
-    labels = (counts.select(*group_cols, F.col(y_true).alias("c"))
-              .unionByName(counts.select(*group_cols, F.col(y_pred).alias("c"))).distinct())
-    x = counts.join(labels, group_cols)
-    c, y, yh, n = F.col("c"), F.col(y_true), F.col(y_pred), F.col("n")
-    per = x.groupBy(*group_cols, "c").agg(
-        F.sum(F.when(yh == c, n).otherwise(0)).alias("np"),
-        F.sum(F.when(y == c, n).otherwise(0)).alias("na"),
-        F.sum(F.when((y == c) & (yh == c), n).otherwise(0)).alias("tp"),
-        F.sum(n).alias("tot"))
+    return report_from_counts(counts, group_cols, y_true, y_pred)
+
+
+def report_from_counts(counts: DataFrame, group_cols: list[str], y_true: str, y_pred: str) -> DataFrame:
+    """A8 from a (group, y, y_hat, n) count table. Each count row adds to its
+    true class (support, hits) and to its predicted class (predictions), so
+    the observed labels come out of one aggregate, without a labels join."""
+    y, yh, n = F.col(y_true), F.col(y_pred), F.col("n")
+    zero = F.lit(0).cast("bigint")
+    parts = F.array(
+        F.struct(y.alias("c"), n.alias("na"), zero.alias("np"),
+                 F.when(y == yh, n).otherwise(zero).alias("tp")),
+        F.struct(yh.alias("c"), zero.alias("na"), n.alias("np"), zero.alias("tp")))
+    per = (counts.select(*group_cols, F.explode(parts).alias("p")).select(*group_cols, "p.*")
+           .groupBy(*group_cols, "c").agg(F.sum("np").alias("np"), F.sum("na").alias("na"),
+                                          F.sum("tp").alias("tp")))
+    tot = per.groupBy(*group_cols).agg(F.sum("na").alias("tot"))
+    per = per.join(tot, group_cols)
     p = _zdiv(F.col("tp"), F.col("np"))
     r = _zdiv(F.col("tp"), F.col("na"))
     per = per.withColumns({"precision": p, "recall": r})

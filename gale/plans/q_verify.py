@@ -59,9 +59,16 @@ _CM_OUT = ("Model, BASIN, Fold, Category, Category_Name, N_predicted, N_actual,
            f"{R('Threat')} AS Threat, {R('BIAS')} AS BIAS")
 
 
+def _class_counts(spark, sf_dir):
+    """(model, basin/ALL, fold, y, y_hat) -> n, materialized once: the
+    contingency and report tables read it from several plan branches."""
+    checkpoint_dir(spark)
+    return verify.class_counts(_scored(spark, sf_dir), G, "y_true", "y_pred", basin_col="BASIN").checkpoint()
+
+
 def _cm(spark, sf_dir):
-    return verify.contingency_stats(_scored(spark, sf_dir), G, "y_true", "y_pred", [0, 1],
-                                    CLASS_LABELS_2, basin_col="BASIN")
+    return verify.contingency_from_counts(_class_counts(spark, sf_dir), G, "y_true", "y_pred", [0, 1],
+                                          CLASS_LABELS_2)
 
 
 @register("contingency_stats", f"WITH {_CM_SQL} SELECT {_CM_OUT} FROM cms", ("scored",))
@@ -103,7 +110,7 @@ SELECT {GS}, label, {R('precision')} AS precision, {R('recall')} AS recall, {R('
 """, ("scored",))
 def q_classification_report(spark, sf_dir):
     """precision/recall/f1/support per class with accuracy, macro and weighted rows."""
-    return verify.classification_report(_scored(spark, sf_dir), G, "y_true", "y_pred", basin_col="BASIN")
+    return verify.report_from_counts(_class_counts(spark, sf_dir), G, "y_true", "y_pred")
 
 
 @register("brier_reference", f"""
