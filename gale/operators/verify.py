@@ -202,12 +202,19 @@ def _cumulative(counts: DataFrame, group_cols: list[str]) -> DataFrame:
     return cum.join(tot, group_cols)
 
 
-def precision_recall_curve(counts: DataFrame, group_cols: list[str]) -> DataFrame:
+def cumulative_table(counts: DataFrame, group_cols: list[str]) -> DataFrame:
+    """The per-score cumulative table shared by the PR and ROC curves
+    (pass it as ``cum`` to compute both from one materialized scan)."""
+    return _cumulative(counts, group_cols)
+
+
+def precision_recall_curve(counts: DataFrame, group_cols: list[str], cum: DataFrame | None = None) -> DataFrame:
     """A10: one row per distinct score from the lowest event score up
     (scikit-learn stops once full recall is reached), with TP/FP counted at
     score >= threshold; P = TP/(TP+FP), R = TP/P_total, F1 = 2PR/(P+R)
     (null when P+R = 0). The (1, 0) end point is not a row."""
-    c = _cumulative(counts, group_cols).where(F.col("score") >= F.col("min_event_score"))
+    c = (cum if cum is not None else _cumulative(counts, group_cols)).where(
+        F.col("score") >= F.col("min_event_score"))
     p = safe_div(F.col("TP"), F.col("TP") + F.col("FP"))
     r = safe_div(F.col("TP"), F.col("P"))
     out = c.select(*group_cols, F.col("score").alias("Thresholds"), p.alias("Precision"),
@@ -237,13 +244,14 @@ def choose_cutoff(pr: DataFrame, group_cols: list[str], scoring: str = "f1_weigh
     return pr.groupBy(*group_cols).agg(F.min(F.when(cond, thr)).alias("Cutoff_Threshold"))
 
 
-def roc_curve(counts: DataFrame, group_cols: list[str], drop_intermediate: bool = True) -> DataFrame:
+def roc_curve(counts: DataFrame, group_cols: list[str], drop_intermediate: bool = True,
+              cum: DataFrame | None = None) -> DataFrame:
     """(FPR, TPR) at each distinct score, descending, after a start
     point (0, 0) whose threshold is the top score + 1, and the trapezoid AUC
     per group. With ``drop_intermediate`` a point is dropped when the step
     out of it equals the step into it (scikit-learn's rule); the area is
     computed over every point (dropping collinear points leaves it equal)."""
-    c = _cumulative(counts, group_cols)
+    c = cum if cum is not None else _cumulative(counts, group_cols)
     tpr = safe_div(F.col("TP"), F.col("P"))
     fpr = safe_div(F.col("FP"), F.col("N"))
     tpr_prev = safe_div(F.col("TP") - F.col("tp_c"), F.col("P"))

@@ -59,7 +59,7 @@ SELECT grp, {R('quantile_cont(d24_VMAX, 0.95)')} AS p95 FROM w1 GROUP BY grp
 """, ("cycles",))
 def q_percentile_by_basin(spark, sf_dir):
     """A5: exact 95th percentile (linear) of the 24-h change per group."""
-    return explore.exact_quantiles(_w1(spark, sf_dir), ["grp"], "d24_VMAX", {"p95": 0.95})
+    return explore.exact_quantiles(_w1(spark, sf_dir, materialized=True), ["grp"], "d24_VMAX", {"p95": 0.95})
 
 
 @register("box_stats", f"""
@@ -116,7 +116,7 @@ FROM d JOIN st ON d.grp = st.grp CROSS JOIN g WHERE h > 0 GROUP BY d.grp, gx
 """, ("cycles",))
 def q_density_by_basin(spark, sf_dir):
     """Gaussian KDE (Scott bandwidth) of the 24-h change per group."""
-    return explore.gaussian_kde(_w1(spark, sf_dir), ["grp"], "d24_VMAX", (-60.0, 60.0, 121))
+    return explore.gaussian_kde(_w1(spark, sf_dir, materialized=True), ["grp"], "d24_VMAX", (-60.0, 60.0, 121))
 
 
 @register("mean_probability_by_storm", f"""

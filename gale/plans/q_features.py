@@ -351,8 +351,8 @@ SELECT storm_id, case_id, DATE_full, {R('d24_VMAX')} AS d24_VMAX, I_class, "I_cl
 """, ("cases",))
 def q_case_labels(spark, sf_dir):
     """W1 + P20 at hour 0 on cases (next case of the storm exactly 1 day later)."""
-    return features.case_labels(V.cases(spark, sf_dir), ["storm_id"], ["case_id"], "DATE_full",
-                                **_LABEL_KW)
+    return features.case_labels(V.cases(spark, sf_dir, materialized=True), ["storm_id"], ["case_id"],
+                                "DATE_full", **_LABEL_KW)
 
 
 @register("attach_label", f"""
@@ -361,7 +361,7 @@ SELECT c.case_id, c.TIME, lab.I_class FROM cases c LEFT JOIN lab ON c.case_id =
 """, ("cases",))
 def q_attach_label(spark, sf_dir):
     """Case label left-joined onto every hour of the case."""
-    c = V.cases(spark, sf_dir)
+    c = V.cases(spark, sf_dir, materialized=True)
     lab = features.case_labels(c, ["storm_id"], ["case_id"], "DATE_full", **_LABEL_KW)
     return features.attach_label(c.select("case_id", "TIME"), lab.select("case_id", "I_class"), ["case_id"])
 

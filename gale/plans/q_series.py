@@ -34,9 +34,13 @@ w1 AS (SELECT a.storm_id, a.DATE_full, a.grp, b.VMAX - a.VMAX AS d24_VMAX
 """
 
 
-def _w1(spark, sf_dir):
+def _w1(spark, sf_dir, materialized: bool = False):
     cyc = V.cycles(spark, sf_dir, materialized=True)
-    return series.change_24h(cyc, ["storm_id"], "DATE_full", ["VMAX"], carry=["grp"])
+    w1 = series.change_24h(cyc, ["storm_id"], "DATE_full", ["VMAX"], carry=["grp"])
+    if materialized:  # the change table feeds several branches downstream
+        from gale.session import materialize
+        return materialize(w1)
+    return w1
 
 
 @register("classify_intensity", f"""

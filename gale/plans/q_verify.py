@@ -9,7 +9,7 @@ from gale.functions.names import CLASS_LABELS_2
 from gale.operators import clean, verify
 from gale.plans import views as V
 from gale.plans.catalog import R, register
-from gale.session import checkpoint_dir
+from gale.session import checkpoint_dir, materialize
 
 G = ["Model", "BASIN", "Fold"]
 GS = "Model, BASIN, Fold"
@@ -32,8 +32,14 @@ def _counts(spark, sf_dir):
     return verify.score_counts(_scored(spark, sf_dir), G, "y_true", "p1", basin_col="BASIN").checkpoint()
 
 
-def _pr(spark, sf_dir):
-    return verify.precision_recall_curve(_counts(spark, sf_dir), G)
+def _cum(spark, sf_dir):
+    """Cumulative hits per distinct score, materialized: the PR curve, the
+    ROC curve and the areas all read it."""
+    return materialize(verify.cumulative_table(_counts(spark, sf_dir), G))
+
+
+def _pr(spark, sf_dir, cum=None):
+    return verify.precision_recall_curve(None, G, cum=cum if cum is not None else _cum(spark, sf_dir))
 
 
 _CM_SQL = f"""
@@ -153,7 +159,7 @@ SELECT {GS}, {R('score')} AS score, CAST(TP AS BIGINT) AS TP, CAST(FP AS BIGINT)
 """, ("scored",))
 def q_cumulative_hits(spark, sf_dir):
     """Events / non-events at or above each distinct score (two-level scan)."""
-    c = verify._cumulative(_counts(spark, sf_dir), G)
+    c = _cum(spark, sf_dir)
     return c.select(*G, "score", F.col("TP").cast("bigint").alias("TP"), F.col("FP").cast("bigint").alias("FP"))
 
 
@@ -188,7 +194,7 @@ FROM pts JOIN auc ON pts.Model = auc.Model AND pts.BASIN = auc.BASIN AND pts.Fol
 """, ("scored",))
 def q_roc_curve_auc(spark, sf_dir):
     """A12 + W13: ROC points (scikit-learn's intermediate-point rule) and trapezoid AUC."""
-    return verify.roc_curve(_counts(spark, sf_dir), G)
+    return verify.roc_curve(None, G, cum=_cum(spark, sf_dir))
 
 
 @register("scores_at_cutoff", f"""
@@ -207,7 +213,7 @@ FROM s
 def q_scores_at_cutoff(spark, sf_dir):
     """Both classes' recall and precision at the rounded F1 cutoff."""
     counts = _counts(spark, sf_dir)
-    cut = verify.choose_cutoff(verify.precision_recall_curve(counts, G), G, "f1_weighted")
+    cut = verify.choose_cutoff(_pr(spark, sf_dir), G, "f1_weighted")
     return verify.scores_at_cutoff(counts, cut, G)
 
 
@@ -302,9 +308,9 @@ FROM co JOIN auc ON co.Model = auc.Model AND co.BASIN = auc.BASIN AND co.Fold =
 """, ("scored",))
 def q_threshold_band(spark, sf_dir):
     """Range of cutoff and AUC over folds per model and basin."""
-    counts = _counts(spark, sf_dir)
-    cut = verify.choose_cutoff(verify.precision_recall_curve(counts, G), G, "f1_weighted")
-    auc = verify.roc_curve(counts, G).select(*G, "AUC").distinct()
+    cum = _cum(spark, sf_dir)
+    cut = verify.choose_cutoff(_pr(spark, sf_dir, cum), G, "f1_weighted")
+    auc = verify.roc_curve(None, G, drop_intermediate=False, cum=cum).select(*G, "AUC").distinct()
     j = cut.join(auc, G)
     return j.groupBy("Model", "BASIN").agg(
         F.min("Cutoff_Threshold").alias("min_cutoff"), F.max("Cutoff_Threshold").alias("max_cutoff"),
