@@ -46,8 +46,8 @@ def q_ingest_case_diagnostics(spark, sf_dir):
 def q_scan_cycle_files(spark, sf_dir):
     """Only the cycle folders of one prefix (1996) are read."""
     path = render.write_case_records(spark, sf_dir, by_cycle=True)
-    df = diagnostics.scan_cycle_files(spark, path, "96", predictors=["VMAX", "SHRG", "RSST", "IR00", "PC00"])
-    df = df.withColumns({"RSST_AGE": F.lit("3"), "PC00_AGE": F.lit("0")})
+    df = diagnostics.scan_cycle_files(spark, path, "96", predictors=["VMAX", "SHRG", "RSST", "IR00", "PC00"],
+                                      with_age=["RSST", "PC00"])
     return _s1_out(df)
 
 

@@ -121,9 +121,9 @@ def _split(spark, sf_dir):
 
 @register("train_and_predict")
 def q_train_and_predict(spark, sf_dir):
-    """M9 + M10 + M12 + M14 + S12: grid searches by cross-validation on the
-    training years, best model saved and re-loaded, predictions on held-out
-    years."""
+    """M9 + M10 + M12 + S12: grid searches by cross-validation on the
+    training years, the best forest saved and re-loaded, predictions of both
+    models on the held-out years."""
     train, test = _split(spark, sf_dir)
     n = float(train.count())
     lr = models.logistic_search(_FEATS, "label", fold_col="fold", n_rows=n, **_LIGHT_LR).fit(train)

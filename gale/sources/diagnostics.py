@@ -92,11 +92,11 @@ def parse_case_records(raw: DataFrame, predictors: list[str], *,
 
 
 def scan_cycle_files(spark: SparkSession, root: str, prefix: str, *, line_sep: str = "\nLAST",
-                     predictors: list[str]) -> DataFrame:
+                     predictors: list[str], with_age: list[str] | None = None) -> DataFrame:
     """Read only the cycle folders whose name starts with ``prefix``
     (``YYMMDDHHBB``); the glob prunes files before any task starts."""
     return ingest_case_diagnostics(spark, f"{root.rstrip('/')}/cycle={prefix}*", predictors,
-                                   line_sep=line_sep)
+                                   with_age=with_age, line_sep=line_sep)
 
 
 def load_scale_factors(spark: SparkSession, path: str, *, json_lines: bool = False) -> DataFrame:
