@@ -88,27 +88,27 @@ def permutation_importance(model, df: DataFrame, keys: list[str], features: list
                            repeats: int = 3, seed: int = 0) -> DataFrame:
     """Mean and std of the accuracy drop when one feature is shuffled.
 
-    Each (feature, repeat) copy re-deals the feature's column by a hash rank
-    (position of a row in one md5 order receives the value of the row at the
-    same position in another md5 order, both from the distributed scan), all
-    copies are scored in one ``transform``, and accuracy is a grouped
-    aggregate."""
+    The rows are exploded once into (feature, repeat) copies. Inside each
+    copy two independent md5 orders are numbered with the distributed scan
+    (group = feature, repeat); the row at position p in the first order takes
+    the feature value of the row at position p in the second (a permutation
+    of that column, other columns untouched). All copies are scored by one
+    ``transform`` and accuracy is a grouped aggregate."""
     ev = F.avg((F.col("prediction") == F.col(label)).cast("double"))
     base = model.transform(df).agg(ev.alias("a")).first()["a"]
-    copies = []
-    for f in features:
-        for r in range(repeats):
-            a = with_position(df.withColumn("_h", md5_number(*keys, seed=f"a{seed}|{f}|{r}")), [],
-                              ["_h"] + keys, position_col="_p", bucket_width=HASH_BUCKET).drop("_h")
-            b = with_position(df.select(*keys, f).withColumn("_h", md5_number(*keys, seed=f"b{seed}|{f}|{r}")),
-                              [], ["_h"] + keys, position_col="_p", bucket_width=HASH_BUCKET)
-            b = b.select("_p", F.col(f).alias("_v"))
-            c = a.join(b, "_p").withColumn(f, F.col("_v")).drop("_v", "_p")
-            copies.append(c.withColumn("_feature", F.lit(f)).withColumn("_rep", F.lit(r)))
-    allc = copies[0]
-    for c in copies[1:]:
-        allc = allc.unionByName(c)
-    s = model.transform(allc).groupBy("_feature", "_rep").agg(ev.alias("acc"))
+    copies = F.explode(F.array(*[F.struct(F.lit(f).alias("_feature"), F.lit(r).alias("_rep"))
+                                 for f in features for r in range(repeats)]))
+    ex = df.select("*", copies.alias("_e")).select("*", "_e._feature", "_e._rep").drop("_e")
+    grp = ["_feature", "_rep"]
+    a = with_position(ex.withColumn("_h", md5_number(*keys, "_feature", "_rep", seed=f"a{seed}")), grp,
+                      ["_h"] + keys, position_col="_p", bucket_width=HASH_BUCKET).drop("_h")
+    value = F.coalesce(*[F.when(F.col("_feature") == f, F.col(f).cast("double")) for f in features])
+    b = with_position(ex.select(*keys, *grp, value.alias("_v"))
+                      .withColumn("_h", md5_number(*keys, "_feature", "_rep", seed=f"b{seed}")), grp,
+                      ["_h"] + keys, position_col="_p", bucket_width=HASH_BUCKET).select(*grp, "_p", "_v")
+    dealt = a.join(b, grp + ["_p"]).withColumns(
+        {f: F.when(F.col("_feature") == f, F.col("_v")).otherwise(F.col(f)) for f in features})
+    s = model.transform(dealt.drop("_v", "_p")).groupBy(*grp).agg(ev.alias("acc"))
     d = s.withColumn("drop", F.lit(base) - F.col("acc"))
     return d.groupBy(F.col("_feature").alias("feature")).agg(
         F.avg("drop").alias("mean_importance"), F.stddev_pop("drop").alias("std_importance"))

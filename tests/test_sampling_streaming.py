@@ -61,3 +61,18 @@ def test_stream_join_equals_batch_join(spark):
     b = series.exact_time_change(cyc, ["storm_id"], "DATE_full").where(F.col("d_V").isNotNull())
     key = ["storm_id", "DATE_full", "d_V"]
     assert sorted(map(tuple, s.select(*key).collect())) == sorted(map(tuple, b.select(*key).collect()))
+
+
+def test_permutation_importance_constant_feature(spark):
+    from pyspark.ml import Pipeline
+    from pyspark.ml.classification import LogisticRegression
+    from pyspark.ml.feature import VectorAssembler
+
+    from gale.operators.models import permutation_importance
+    rows = [(i, float(i % 10), 1.0, float(i % 10 >= 5)) for i in range(400)]
+    df = spark.createDataFrame(rows, "k long, x double, c double, label double")
+    pipe = Pipeline(stages=[VectorAssembler(inputCols=["x", "c"], outputCol="features"),
+                            LogisticRegression(labelCol="label")]).fit(df)
+    imp = {r.feature: r.mean_importance for r in
+           permutation_importance(pipe, df, ["k"], ["x", "c"], "label", repeats=2).collect()}
+    assert imp["c"] == 0.0 and imp["x"] > 0.2
