@@ -53,7 +53,7 @@ def q_balanced_weights(spark, sf_dir):
 WITH c AS (SELECT count(*) FILTER (WHERE y_true = 1) AS nmin, count(*) FILTER (WHERE y_true = 0) AS nmaj FROM scored),
 e AS (SELECT CAST(floor(0.7 * nmaj) AS BIGINT) - nmin AS extra, nmin FROM c),
 m AS (SELECT case_key, y_true, row_number() OVER (ORDER BY {_h("'0|' || case_key")}, case_key) AS p FROM scored WHERE y_true = 1),
-d AS (SELECT {_h("'os0|' || i")} % (SELECT nmin FROM e) + 1 AS p FROM range(0, 100000000) r(i) WHERE i < (SELECT extra FROM e))
+d AS (SELECT {_h("'os0|' || i")} % (SELECT nmin FROM e) + 1 AS p FROM range(0, (SELECT greatest(extra, 0) FROM e)) r(i))
 SELECT case_key, y_true FROM scored UNION ALL SELECT m.case_key, m.y_true FROM d JOIN m USING (p)
 """, ("scored",))
 def q_random_oversample(spark, sf_dir):
