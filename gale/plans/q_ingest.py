@@ -53,6 +53,10 @@ def q_scan_cycle_files(spark, sf_dir):
 
 _ROUTE_SQL = "CASE WHEN Tech IN ('click', 'view') THEN 'RI' WHEN Tech = 'error' THEN 'IN' ELSE 'RW' END"
 _BASIN_SQL = "CASE storm_id % 3 WHEN 0 THEN 'AL' WHEN 1 THEN 'EP' ELSE 'IO' END"
+_CODE_SQL = ("CASE Tech WHEN 'click' THEN 'RIOC' WHEN 'view' THEN 'RIOD' WHEN 'purchase' THEN 'LDA0' "
+             "WHEN 'signup' THEN 'RAPC' ELSE 'FRIA' END")
+_NAME_SQL = ("CASE Tech WHEN 'click' THEN 'OP-CON' WHEN 'view' THEN 'SHIPS-RII' WHEN 'purchase' THEN 'RIPA' "
+             "WHEN 'signup' THEN 'RIPA' ELSE 'FRIA' END")
 
 
 def _ri(spark, sf_dir, route="RI"):
@@ -62,13 +66,14 @@ def _ri(spark, sf_dir, route="RI"):
 @register("ingest_prob_forecasts", f"""
 SELECT CASE {_BASIN_SQL} WHEN 'AL' THEN 'ATLANTIC' WHEN 'EP' THEN 'EAST_PACIFIC' ELSE 'INDIAN_OCEAN' END AS BASIN,
        {_BASIN_SQL} || lpad(CAST(storm_id AS VARCHAR), 2, '0') || CAST(year(DATE_full) AS VARCHAR) AS ATCFID,
-       DATE_full, Tech, {R('prob')} AS ProbItem,
+       DATE_full, {_NAME_SQL} AS Tech, {R('prob')} AS ProbItem,
        CASE WHEN Tech = 'view' THEN 40 ELSE 30 END AS "Intensity Change",
        CASE WHEN n > 1 THEN 48 ELSE 24 END AS RIstopTAU
 FROM forecasts WHERE Tech IN ('click', 'view')
 """, ("forecasts",))
 def q_ingest_prob_forecasts(spark, sf_dir):
-    """S3 + P12 + P14: RI records routed, typed, basin named, ATCF id built."""
+    """S3 + P12 + P13 + P14: RI records routed, typed, basin and technique
+    named, ATCF id built."""
     ri = _ri(spark, sf_dir)
     ts = F.to_timestamp_ntz(F.col("DATE"), F.lit("yyyyMMddHH"))
     return ri.select(
@@ -98,7 +103,7 @@ def q_select_forecast_window(spark, sf_dir):
     """Window 0-24 h, change 30 kt, technique list."""
     ri = _ri(spark, sf_dir).withColumns({c: F.col(c).try_cast("int") for c in
                                          ("RIstartTAU", "RIstopTAU", "Intensity Change")})
-    w = clean.select_forecast_window(ri, techniques=["click"])
+    w = clean.select_forecast_window(ri, techniques=["RIOC"])
     return w.select(F.col("CYCLONE NO").try_cast("bigint").alias("storm_id"),
                     F.to_timestamp_ntz(F.col("DATE"), F.lit("yyyyMMddHH")).alias("DATE_full"),
                     F.col("ProbItem").try_cast("double").alias("ProbItem"))
@@ -118,7 +123,7 @@ def q_high_probability_cases(spark, sf_dir):
 
 
 @register("drop_outlier_probability", f"""
-SELECT storm_id, DATE_full, Tech, {R('prob')} AS ProbItem FROM forecasts WHERE Tech IN ('click', 'view') AND prob <= 90
+SELECT storm_id, DATE_full, {_CODE_SQL} AS Tech, {R('prob')} AS ProbItem FROM forecasts WHERE Tech IN ('click', 'view') AND prob <= 90
 """, ("forecasts",))
 def q_drop_outlier_probability(spark, sf_dir):
     """Rows above the outlier limit dropped (limit 90 on this data; 500 in the reference)."""
@@ -129,7 +134,7 @@ def q_drop_outlier_probability(spark, sf_dir):
 
 
 @register("filter_named_storms", f"""
-SELECT storm_id, DATE_full, Tech FROM forecasts
+SELECT storm_id, DATE_full, {_CODE_SQL} AS Tech FROM forecasts
 WHERE Tech IN ('click', 'view') AND storm_id BETWEEN 1 AND 50 AND {_BASIN_SQL} <> 'IO'
 """, ("forecasts",))
 def q_filter_named_storms(spark, sf_dir):
@@ -154,7 +159,7 @@ def q_strip_commas(spark, sf_dir):
 
 @register("ingest_prob_forecasts_v2019", f"""
 SELECT {_BASIN_SQL} || printf('%02d', storm_id) || CAST(year(DATE_full) AS VARCHAR) AS ATCFID,
-       Tech AS Technique, {R('prob')} AS Probability
+       {_CODE_SQL} AS Technique, {R('prob')} AS Probability
 FROM forecasts WHERE Tech <> 'error'
 """, ("forecasts",))
 def q_ingest_prob_forecasts_v2019(spark, sf_dir):
@@ -167,7 +172,7 @@ def q_ingest_prob_forecasts_v2019(spark, sf_dir):
 @register("ingest_prob_forecasts_multi_year", f"""
 SELECT CAST(year(DATE_full) AS INTEGER) AS YEAR,
        {_BASIN_SQL} || printf('%02d', storm_id) || CAST(year(DATE_full) AS VARCHAR) AS ATCFID,
-       Tech, {R('prob')} AS ProbItem
+       {_CODE_SQL} AS Tech, {R('prob')} AS ProbItem
 FROM forecasts WHERE Tech <> 'error'
 """, ("forecasts",))
 def q_ingest_prob_forecasts_multi_year(spark, sf_dir):

@@ -52,6 +52,14 @@ def write_case_records(spark: SparkSession, sf_dir: str, by_cycle: bool = False)
     return path
 
 
+# Stand-in technique codes: event types renamed into the deck's code domain.
+TECH_CODES = {"click": "RIOC", "view": "RIOD", "purchase": "LDA0", "signup": "RAPC", "error": "FRIA"}
+
+
+def _code(tech: F.Column) -> F.Column:
+    return F.create_map(*[F.lit(x) for kv in TECH_CODES.items() for x in kv])[tech]
+
+
 def _route(tech: F.Column) -> F.Column:
     return F.when(tech.isin("click", "view"), "RI").when(tech == "error", "IN").otherwise("RW")
 
@@ -65,9 +73,10 @@ def deck_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
     route = _route(F.col("Tech"))
     change = F.when(F.col("Tech") == "view", F.lit("40")).otherwise(F.lit("30"))
     stop = F.when(F.col("n") > 1, F.lit("48")).otherwise(F.lit("24"))
-    ri = F.concat_ws(", ", basin, cy, date, route, F.col("Tech"), F.lit("0"), F.lit("150N"), F.lit("600W"),
+    code = _code(F.col("Tech"))
+    ri = F.concat_ws(", ", basin, cy, date, route, code, F.lit("0"), F.lit("150N"), F.lit("600W"),
                      F.col("prob").cast("string"), change, F.lit("0"), F.lit("ABC"), F.lit("0"), stop)
-    inn = F.concat_ws(", ", basin, cy, date, route, F.col("Tech"), F.lit("0"), F.lit("150N"), F.lit("600W"),
+    inn = F.concat_ws(", ", basin, cy, date, route, code, F.lit("0"), F.lit("150N"), F.lit("600W"),
                       F.col("prob").cast("string"), F.lit("XX"), F.lit("0"), F.col("n").cast("string"))
     return f.select(F.when(route == "IN", inn).otherwise(ri).alias("value"),
                     F.year("DATE_full").alias("year"))
