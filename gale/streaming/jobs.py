@@ -30,24 +30,28 @@ def stream_ingest_cases(spark: SparkSession, src: str, predictors: list[str], *,
 
 
 def stream_cycle_counts(spark: SparkSession, src: str, schema, *, glob: str | None = None,
-                        ts: str = "ts", key: str = "event_type",
-                        value: str = "value", window: str = "6 hours", watermark: str = "30 hours") -> DataFrame:
-    """Per (6-hour window, key) count and mean of ``value`` with a
-    watermark bounding state. Each micro-batch's updated windows are appended
-    with the batch id; the current table keeps the last update per window
-    (max_by over batch id), so no state is collected on the driver."""
+                        ts: str = "ts", key: str = "event_type", value: str = "value",
+                        window_hours: int = 6, watermark: str = "30 hours") -> DataFrame:
+    """Per (``window_hours`` tumbling window of wall-clock time, key)
+    count and mean of ``value``. The window start is the event's wall-clock
+    hour rounded down to a multiple of ``window_hours`` (independent of the
+    session time zone); the watermark is on that grouping column, so state
+    for a window is dropped once it is complete. Each micro-batch's updated
+    windows are appended with the batch id; the current table keeps the last
+    update per window (max_by over batch id), so nothing is collected on the
+    driver."""
     reader = spark.readStream.schema(schema).option("maxFilesPerTrigger", 1)
     if glob:
         reader = reader.option("pathGlobFilter", glob)
+    slot = (F.date_trunc("hour", F.col(ts)) - F.make_dt_interval(F.lit(0), F.hour(ts) % window_hours))
     s = (reader.parquet(src)
-         .withColumn(ts, F.col(ts).cast("timestamp"))  # watermarks need TIMESTAMP (session tz UTC)
-         .withWatermark(ts, watermark))
-    agg = s.groupBy(F.window(ts, window).alias("w"), key).agg(
-        F.count(F.lit(1)).alias("n"), F.sum(value).alias("total"))
+         .withColumn("_slot", slot.cast("timestamp_ntz").cast("timestamp"))  # watermarks need TIMESTAMP
+         .withWatermark("_slot", watermark))
+    agg = s.groupBy("_slot", key).agg(F.count(F.lit(1)).alias("n"), F.sum(value).alias("total"))
     out, ck = shared_path(spark, "r3-out"), shared_path(spark, "r3-ckpt")
 
     def sink(batch: DataFrame, batch_id: int) -> None:
-        (batch.select(F.col("w.start").cast("timestamp_ntz").alias("window_start"), key, "n", "total")
+        (batch.select(F.col("_slot").cast("timestamp_ntz").alias("window_start"), key, "n", "total")
          .withColumn("batch", F.lit(batch_id)).write.mode("append").parquet(out))
 
     q = (agg.writeStream.outputMode("update").option("checkpointLocation", ck)
