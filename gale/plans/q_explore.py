@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from gale.operators import clean, explore, features, series
+from gale.operators import clean, explore, features
 from gale.plans import views as V
 from gale.plans.catalog import R, register
 from gale.plans.q_series import _W1_SQL, _w1

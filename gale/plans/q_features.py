@@ -4,7 +4,6 @@ J7, M2)."""
 
 from __future__ import annotations
 
-from pyspark.sql import functions as F
 
 from gale.operators import clean, features, series
 from gale.plans import views as V

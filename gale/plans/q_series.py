@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-from pyspark.sql import functions as F
 
 from gale.functions.labels import class_label, intensity_class
 from gale.operators import explore, series
