@@ -29,8 +29,10 @@ FROM c JOIN t ON c.BASIN = t.BASIN
 def q_class_weights(spark, sf_dir):
     """A2: class shares per basin and ALL, weight = 1 / share."""
     from gale.session import materialize
-    lab = features.case_labels(V.cases(spark, sf_dir, materialized=True), ["storm_id"], ["case_id", "BASIN"],
-                               "DATE_full", steps=1, tiebreak=["case_id"])
+    # only the hour-0 rows take part in labelling: materialize that slice, then the labels
+    t0 = materialize(V.cases(spark, sf_dir).where("TIME = 0").select("storm_id", "case_id", "BASIN",
+                                                                       "DATE_full", "TIME", "VMAX"))
+    lab = features.case_labels(t0, ["storm_id"], ["case_id", "BASIN"], "DATE_full", steps=1, tiebreak=["case_id"])
     return explore.class_weights(materialize(lab.select("BASIN", "I_class")), "BASIN", "I_class")
 
 
@@ -68,7 +70,8 @@ SELECT BASIN, {R('quantile_cont(VMAX, 0.25)')} AS q25, {R('quantile_cont(VMAX, 0
 """, ("cases",))
 def q_box_stats(spark, sf_dir):
     """Quartiles per basin (distributed exact order statistics)."""
-    c = V.cases(spark, sf_dir, materialized=True).where(F.col("TIME") == 0)
+    from gale.session import materialize
+    c = materialize(V.cases(spark, sf_dir).where(F.col("TIME") == 0).select("BASIN", "VMAX"))
     return explore.exact_quantiles(c, ["BASIN"], "VMAX", {"q25": 0.25, "q50": 0.5, "q75": 0.75})
 
 

@@ -8,6 +8,7 @@ from __future__ import annotations
 from gale.operators import clean, features, series
 from gale.plans import views as V
 from gale.plans.catalog import R, register
+from gale.session import materialize
 
 SENT = ["SHRG", "IR00", "IRM1", "PC00", "PCM1"]
 CASE = ["case_id"]
@@ -344,14 +345,27 @@ lab AS (SELECT a.storm_id, a.case_id, a.DATE_full, b.VMAX - a.VMAX AS d24_VMAX,
 _LABEL_KW = dict(steps=1, gap="1 DAY", tiebreak=["case_id"])
 
 
+def _hour0(spark, sf_dir):
+    """The hour-0 slice labels are computed from, materialized once (the
+    TIME filter reaches the lineitem aggregation)."""
+    return materialize(V.cases(spark, sf_dir).where("TIME = 0")
+                       .select("storm_id", "case_id", "DATE_full", "TIME", "VMAX"))
+
+
+def _feature_hours(spark, sf_dir):
+    """Hours 0-18 with the label and feature columns, materialized once: the
+    labels and the averaged features both read it."""
+    cols = ["storm_id", "case_id", "DATE_full", "TIME"] + list(dict.fromkeys(["VMAX"] + _TF))
+    return materialize(V.cases(spark, sf_dir).where("TIME IN (0, 6, 12, 18)").select(*cols))
+
+
 @register("case_labels", f"""
 WITH {_LABEL_SQL}
 SELECT storm_id, case_id, DATE_full, {R('d24_VMAX')} AS d24_VMAX, I_class, "I_class label" FROM lab
 """, ("cases",))
 def q_case_labels(spark, sf_dir):
     """W1 + P20 at hour 0 on cases (next case of the storm exactly 1 day later)."""
-    return features.case_labels(V.cases(spark, sf_dir, materialized=True), ["storm_id"], ["case_id"],
-                                "DATE_full", **_LABEL_KW)
+    return features.case_labels(_hour0(spark, sf_dir), ["storm_id"], ["case_id"], "DATE_full", **_LABEL_KW)
 
 
 @register("attach_label", f"""
@@ -360,9 +374,9 @@ SELECT c.case_id, c.TIME, lab.I_class FROM cases c LEFT JOIN lab ON c.case_id =
 """, ("cases",))
 def q_attach_label(spark, sf_dir):
     """Case label left-joined onto every hour of the case."""
-    c = V.cases(spark, sf_dir, materialized=True)
-    lab = features.case_labels(c, ["storm_id"], ["case_id"], "DATE_full", **_LABEL_KW)
-    return features.attach_label(c.select("case_id", "TIME"), lab.select("case_id", "I_class"), ["case_id"])
+    lab = features.case_labels(_hour0(spark, sf_dir), ["storm_id"], ["case_id"], "DATE_full", **_LABEL_KW)
+    return features.attach_label(V.cases(spark, sf_dir).select("case_id", "TIME"),
+                                 lab.select("case_id", "I_class"), ["case_id"])
 
 
 _AVG = ["SHRG", "VMAX", "DELV", "IR00"]
@@ -405,7 +419,7 @@ SELECT storm_id, case_id, DATE_full, {', '.join(f'{R(c)} AS {c}' for c in _TF)},
 """, ("cases",))
 def q_align_features_labels(spark, sf_dir):
     """Complete averaged features of labelled cases with their labels."""
-    c = V.cases(spark, sf_dir, materialized=True)
+    c = _feature_hours(spark, sf_dir)
     lab = features.case_labels(c, ["storm_id"], ["case_id"], "DATE_full", **_LABEL_KW)
     keys = ["storm_id", "case_id", "DATE_full"]
     feats = features.average_hours(clean.sentinel_to_null(c, _TF), keys, _TF)
@@ -419,7 +433,7 @@ SELECT storm_id, case_id, DATE_full, {', '.join(f'{R(c)} AS {c}' for c in _TF)},
 """, ("cases",))
 def q_training_frame(spark, sf_dir):
     """M2: label (W1+P20), average hours 0-18 (A1), align (J2) in one job."""
-    c = clean.sentinel_to_null(V.cases(spark, sf_dir, materialized=True), _TF)
+    c = clean.sentinel_to_null(_feature_hours(spark, sf_dir), _TF)
     return features.training_frame(c, ["storm_id"], ["case_id"], "DATE_full", _TF, **_LABEL_KW)
 
 

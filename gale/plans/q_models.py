@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 from gale.operators import clean, features, models, sampling, verify
 from gale.plans import views as V
 from gale.plans.catalog import R, register
-from gale.session import checkpoint_dir
+from gale.session import checkpoint_dir, materialize
 from gale.sources.results import shared_path
 
 _H = "CAST(('0x' || substr(md5({}), 1, 8)) AS UBIGINT)"
@@ -109,14 +109,14 @@ def _frame(spark, sf_dir):
 
 
 def _split(spark, sf_dir):
-    """Training frame labelled, split and folded once, then checkpointed to
+    """Training frame labelled, split and folded once, then written as a table to
     the shared checkpoint folder so every cross-validation fit reads the
     materialized rows instead of re-running the feature lineage."""
     checkpoint_dir(spark)
     tf = _frame(spark, sf_dir)
     train, test = clean.split_by_year(tf, [1999, 2000], year_col="YEAR")
-    train = sampling.stratified_folds(train, "case_id", "I_class", 3).checkpoint()
-    return train, test.checkpoint()
+    train = materialize(sampling.stratified_folds(train, "case_id", "I_class", 3))
+    return train, materialize(test)
 
 
 @register("train_and_predict")
@@ -178,7 +178,7 @@ def q_select_and_refit(spark, sf_dir):
     checkpoint_dir(spark)
     tf = _frame(spark, sf_dir)
     train_all, test = clean.split_by_year(tf, [2000, 2001], year_col="YEAR")
-    train_all, test = train_all.checkpoint(), test.checkpoint()
+    train_all, test = materialize(train_all), materialize(test)
     draws = sampling.year_draws(train_all, "YEAR", 2, 1, seed=7).collect()  # 2 rows
     keys = ["storm_id", "case_id", "BASIN", "YEAR"]
     rows = []

@@ -26,10 +26,10 @@ _SCOPE = """sc AS (SELECT Model, BASIN, Fold, y_true, y_pred, p1 FROM scored
 
 def _counts(spark, sf_dir):
     """(group, distinct score) counts: every curve reads them several times,
-    so they are materialized once (checkpoint in the shared folder) instead
+    so they are materialized once (a table in the shared folder) instead
     of re-aggregating the prediction rows in each branch of the plan."""
     checkpoint_dir(spark)
-    return verify.score_counts(_scored(spark, sf_dir), G, "y_true", "p1", basin_col="BASIN").checkpoint()
+    return verify.score_counts(_scored(spark, sf_dir), G, "y_true", "p1", basin_col="BASIN").transform(materialize)
 
 
 def _cum(spark, sf_dir):
@@ -69,7 +69,7 @@ def _class_counts(spark, sf_dir):
     """(model, basin/ALL, fold, y, y_hat) -> n, materialized once: the
     contingency and report tables read it from several plan branches."""
     checkpoint_dir(spark)
-    return verify.class_counts(_scored(spark, sf_dir), G, "y_true", "y_pred", basin_col="BASIN").checkpoint()
+    return verify.class_counts(_scored(spark, sf_dir), G, "y_true", "y_pred", basin_col="BASIN").transform(materialize)
 
 
 def _cm(spark, sf_dir):
