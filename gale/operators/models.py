@@ -125,6 +125,18 @@ def load_model(path: str) -> PipelineModel:
     return PipelineModel.load(path)
 
 
+def fit_best(cv: CrossValidator, data: DataFrame):
+    """Cross-validated fit -> (best model, its parameters). When the data is
+    too small for the folds (an empty fold), the first grid point is fitted
+    on all rows instead of failing."""
+    try:
+        m = cv.fit(data)
+        return m.bestModel, best_params(m)
+    except ValueError:
+        pm = cv.getEstimatorParamMaps()[0]
+        return cv.getEstimator().fit(data, pm), {p.name: v for p, v in pm.items()}
+
+
 def best_params(cv_model) -> dict:
     """The winning grid point of a cross-validated search."""
     import numpy as np

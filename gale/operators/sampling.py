@@ -82,6 +82,8 @@ def random_undersample(df: DataFrame, key: str, class_col: str, minority, seed:
     """M6: keep every minority row and as many rows of each other class
     (lowest md5 ranks)."""
     n_min = class_counts(df, class_col).get(minority, 0)
+    if n_min == 0:  # nothing to balance against
+        return df
     x = df.withColumn("_h", md5_number(key, seed=seed))
     pos = with_position(x, [class_col], ["_h", key], position_col="_r", bucket_width=HASH_BUCKET)
     keep = (F.col(class_col) == minority) | (F.col("_r") <= n_min)

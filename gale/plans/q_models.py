@@ -126,13 +126,13 @@ def q_train_and_predict(spark, sf_dir):
     models on the held-out years."""
     train, test = _split(spark, sf_dir)
     n = float(train.count())
-    lr = models.logistic_search(_FEATS, "label", fold_col="fold", n_rows=n, **_LIGHT_LR).fit(train)
-    rf = models.forest_search(_FEATS, "label", fold_col="fold", **_LIGHT_RF).fit(train)
+    lr, _ = models.fit_best(models.logistic_search(_FEATS, "label", fold_col="fold", n_rows=n, **_LIGHT_LR), train)
+    rf, _ = models.fit_best(models.forest_search(_FEATS, "label", fold_col="fold", **_LIGHT_RF), train)
     path = shared_path(spark, "model-rf")
-    models.save_model(rf.bestModel, path)
+    models.save_model(rf, path)
     loaded = models.load_model(path)
     keys = ["storm_id", "case_id", "BASIN", "YEAR"]
-    return (models.predict(lr.bestModel, test, keys, "label", "Logistic Reg.")
+    return (models.predict(lr, test, keys, "label", "Logistic Reg.")
             .unionByName(models.predict(loaded, test, keys, "label", "Random Forest")))
 
 
@@ -147,14 +147,14 @@ def q_fit_four_models(spark, sf_dir):
     out = []
     n = float(train.count())
     cv = models.logistic_search(_FEATS, "label", fold_col="fold", weight_col="weight", n_rows=n, **_LIGHT_LR)
-    out.append(models.predict(cv.fit(wtrain).bestModel, test, keys, "label", "Logistic Reg."))
+    out.append(models.predict(models.fit_best(cv, wtrain)[0], test, keys, "label", "Logistic Reg."))
     rfw = models.forest_search(_FEATS, "label", fold_col="fold", weight_col="weight", **_LIGHT_RF)
-    out.append(models.predict(rfw.fit(wtrain).bestModel, test, keys, "label", "Random Forest (weights)"))
+    out.append(models.predict(models.fit_best(rfw, wtrain)[0], test, keys, "label", "Random Forest (weights)"))
     over = sampling.random_oversample(train, "case_id", "I_class", 1, 0.7)
     rf = models.forest_search(_FEATS, "label", fold_col="fold", **_LIGHT_RF)
-    out.append(models.predict(rf.fit(over).bestModel, test, keys, "label", "Random Forest (oversample)"))
+    out.append(models.predict(models.fit_best(rf, over)[0], test, keys, "label", "Random Forest (oversample)"))
     under = sampling.random_undersample(train, "case_id", "I_class", 1)
-    out.append(models.predict(rf.fit(under).bestModel, test, keys, "label", "Random Forest (undersample)"))
+    out.append(models.predict(models.fit_best(rf, under)[0], test, keys, "label", "Random Forest (undersample)"))
     pred = out[0]
     for p in out[1:]:
         pred = pred.unionByName(p)
@@ -165,8 +165,8 @@ def q_fit_four_models(spark, sf_dir):
 def q_permutation_importance(spark, sf_dir):
     """Accuracy drop per shuffled feature on held-out years."""
     train, test = _split(spark, sf_dir)
-    rf = models.forest_search(_FEATS, "label", fold_col="fold", **_LIGHT_RF).fit(train)
-    return models.permutation_importance(rf.bestModel, test, ["case_id"], _FEATS, "label", repeats=2)
+    rf, _ = models.fit_best(models.forest_search(_FEATS, "label", fold_col="fold", **_LIGHT_RF), train)
+    return models.permutation_importance(rf, test, ["case_id"], _FEATS, "label", repeats=2)
 
 
 @register("select_and_refit")
@@ -188,12 +188,12 @@ def q_select_and_refit(spark, sf_dir):
         for name, cv in (("Logistic Reg.", models.logistic_search(_FEATS, "label", fold_col="fold",
                                                                    n_rows=1000.0, **_LIGHT_LR)),
                          ("Random Forest", models.forest_search(_FEATS, "label", fold_col="fold", **_LIGHT_RF))):
-            m = cv.fit(tr)
-            cm = verify.contingency_stats(models.predict(m.bestModel, va, keys, "label", name),
+            m, params = models.fit_best(cv, tr)
+            cm = verify.contingency_stats(models.predict(m, va, keys, "label", name),
                                           ["Model"], "y_true", "y_pred", [0, 1]).where("Category = 1")
-            threat = cm.select("Threat").first()["Threat"]
-            rows.append((name, int(d["draw"]), float(threat) if threat is not None else -1.0,
-                         models.best_params(m)))
+            first = cm.select("Threat").first()
+            threat = first["Threat"] if first is not None else None
+            rows.append((name, int(d["draw"]), float(threat) if threat is not None else -1.0, params))
     out = []
     for name in ("Logistic Reg.", "Random Forest"):
         best = sorted([r for r in rows if r[0] == name], key=lambda r: (-r[2], r[1]))[0]
@@ -207,7 +207,7 @@ def q_select_and_refit(spark, sf_dir):
             cv = models.forest_search(_FEATS, "label", fold_col="fold", depths=[params.get("maxDepth", 4)],
                                       max_features=[params.get("featureSubsetStrategy", "2")], trees=20,
                                       min_leaf=5, k=3)
-        fit = cv.fit(folds)
-        out.append(models.predict(fit.bestModel, test, keys, "label", name)
+        fit, _ = models.fit_best(cv, folds)
+        out.append(models.predict(fit, test, keys, "label", name)
                    .withColumn("best_draw", F.lit(best[1])))
     return out[0].unionByName(out[1])
