@@ -102,10 +102,14 @@ _LIGHT_LR = dict(c_values=[0.1, 1.0], max_iter=[100], k=3)
 
 
 def _frame(spark, sf_dir):
-    c = clean.sentinel_to_null(V.cases(spark, sf_dir), _FEATS)
-    tf = features.training_frame(c, ["storm_id"], ["case_id", "BASIN", "YEAR"], "DATE_full", _FEATS,
-                                 steps=1, tiebreak=["case_id"])
-    return tf.withColumn("label", F.col("I_class").cast("double"))
+    """Labelled, averaged training frame, materialized: the hours 0-18 slice
+    of the cases is written once (labels and features both read it), and so
+    is the frame every split and fit reads."""
+    cols = ["storm_id", "case_id", "BASIN", "YEAR", "DATE_full", "TIME"] + list(dict.fromkeys(["VMAX"] + _FEATS))
+    c = materialize(V.cases(spark, sf_dir).where("TIME IN (0, 6, 12, 18)").select(*cols))
+    tf = features.training_frame(clean.sentinel_to_null(c, _FEATS), ["storm_id"], ["case_id", "BASIN", "YEAR"],
+                                 "DATE_full", _FEATS, steps=1, tiebreak=["case_id"])
+    return materialize(tf.withColumn("label", F.col("I_class").cast("double")))
 
 
 def _split(spark, sf_dir):
@@ -178,7 +182,6 @@ def q_select_and_refit(spark, sf_dir):
     checkpoint_dir(spark)
     tf = _frame(spark, sf_dir)
     train_all, test = clean.split_by_year(tf, [2000, 2001], year_col="YEAR")
-    train_all, test = materialize(train_all), materialize(test)
     draws = sampling.year_draws(train_all, "YEAR", 2, 1, seed=7).collect()  # 2 rows
     keys = ["storm_id", "case_id", "BASIN", "YEAR"]
     rows = []
