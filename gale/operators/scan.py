@@ -30,6 +30,19 @@ from pyspark.sql import types as T
 DEFAULT_BUCKETS = 128
 
 
+def _join(left: DataFrame, right: DataFrame, keys: list[str], how: str = "left") -> DataFrame:
+    """Equi-join on ``keys`` treating null keys as equal (a null group is a
+    group for the windows too); planned as an ordinary hash/sort-merge join."""
+    if not keys:
+        raise ValueError("keys required")
+    r = right.select(*[F.col(k).alias(f"__r_{k}") for k in keys], *[c for c in right.columns if c not in keys])
+    cond = None
+    for k in keys:
+        e = F.col(k).eqNullSafe(F.col(f"__r_{k}"))
+        cond = e if cond is None else cond & e
+    return left.join(r, cond, how).drop(*[f"__r_{k}" for k in keys])
+
+
 def _numeric_key(df: DataFrame, c: str) -> Column:
     dt = df.schema[c].dataType
     col = F.col(c)
@@ -56,7 +69,7 @@ def _bucketed(df: DataFrame, group_cols: list[str], first: str, descending: bool
     keyed = df.withColumn("_k", key)
     if group_cols:
         stats = keyed.groupBy(*group_cols).agg(F.min("_k").alias("_lo"), F.max("_k").alias("_hi"))
-        keyed = keyed.join(stats, group_cols, "left")
+        keyed = _join(keyed, stats, group_cols)
     else:
         lo, hi = keyed.agg(F.min("_k"), F.max("_k")).first()  # two scalars
         keyed = keyed.withColumns({"_lo": F.lit(lo).cast("double"), "_hi": F.lit(hi).cast("double")})
@@ -93,7 +106,7 @@ def running_totals(df: DataFrame, group_cols: list[str], order_cols: list[str],
     offsets = per_bucket.select(*group_cols, "_b", *[
         F.coalesce(F.sum(tmp[n]).over(wb), F.lit(0)).alias(f"_o{tmp[n]}") for n in values])
 
-    joined = base.join(offsets, group_cols + ["_b"], "left")
+    joined = _join(base, offsets, group_cols + ["_b"])
     order = [F.col(c).desc() if descending else F.col(c).asc() for c in order_cols]
     wr = Window.partitionBy(*group_cols, "_b").orderBy(*order)\
         .rowsBetween(Window.unboundedPreceding, Window.currentRow)
@@ -121,7 +134,7 @@ def shifted(df_with_pos: DataFrame, group_cols: list[str], cols: list[str], k: i
     other = df_with_pos.select(
         *group_cols, (F.col(position_col) - F.lit(k)).alias(position_col),
         *[F.col(c).alias(c + suffix) for c in cols])
-    return df_with_pos.join(other, group_cols + [position_col], how)
+    return _join(df_with_pos, other, group_cols + [position_col], how)
 
 
 def with_lead(df: DataFrame, group_cols: list[str], order_cols: list[str], cols: list[str], k: int, *,
@@ -147,7 +160,7 @@ def with_lead(df: DataFrame, group_cols: list[str], order_cols: list[str], cols:
     wb = Window.partitionBy(*group_cols).orderBy("_b").rowsBetween(Window.unboundedPreceding, -1)
     offsets = per_bucket.select(*group_cols, "_b", "_nb",
                                 F.coalesce(F.sum("_nb").over(wb), F.lit(0)).alias("_off"))
-    x = base.join(offsets, group_cols + ["_b"], "left")
+    x = _join(base, offsets, group_cols + ["_b"])
     w = Window.partitionBy(*group_cols, "_b").orderBy(*[F.col(c).asc() for c in order_cols])
     shift = F.lead if k > 0 else F.lag
     m = abs(k)
@@ -160,6 +173,6 @@ def with_lead(df: DataFrame, group_cols: list[str], order_cols: list[str], cols:
     ends = x.where((F.col("_rn") <= m) if k > 0 else (F.col("_rn") > F.col("_nb") - m))
     partner = ends.select(*group_cols, (F.col("_pos") - F.lit(k)).alias("_pos"),
                           *[F.col(c).alias(c + suffix) for c in cols])
-    edge = edge.join(partner, group_cols + ["_pos"], "left")
+    edge = _join(edge, partner, group_cols + ["_pos"])
     helpers = ["_b", "_nb", "_off", "_rn", "_in", "_pos"]
     return inside.unionByName(edge.select(*inside.columns)).drop(*helpers)

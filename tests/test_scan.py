@@ -8,9 +8,11 @@ from gale.operators.scan import running_totals, shifted, with_position
 
 
 def _data(spark):
-    # group 0 holds a third of all rows (hot key); order values unique per group
+    # group 0 holds a third of all rows (hot key), group null another slice;
+    # order values unique per group
     return spark.range(0, 3000).select(
-        F.when(F.col("id") % 3 == 0, F.lit(0)).otherwise(F.col("id") % 17).alias("g"),
+        F.when(F.col("id") % 3 == 0, F.lit(0)).when(F.col("id") % 11 == 1, F.lit(None))
+        .otherwise(F.col("id") % 17).alias("g"),
         ((F.col("id") * 7919) % 100003).cast("double").alias("x"),
         (F.col("id") % 5).alias("v"))
 
