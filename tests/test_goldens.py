@@ -90,3 +90,20 @@ def test_w1_counts_match_survey(spark):
     import __spark_entry__ as E
     rows = E.queries()["event_rate_by_basin"](spark, "/root/testdata/sf0.01").collect()
     assert sum(r.n_changes for r in rows) == 246 and sum(r.n_events for r in rows) == 54
+
+
+def test_case_edges(spark):
+    rows = [(1, -12, 50.0, 3.0, 80.0), (1, 0, 40.0, None, 120.0), (1, 6, 45.0, 5.0, None),
+            (2, 6, 30.0, 1.0, 90.0), (2, 12, 35.0, 2.0, 95.0)]            # case 2 has no hour 0
+    df = spark.createDataFrame(rows, "c int, TIME int, VMAX double, DELV double, DTL double")
+    df = df.withColumn("VMPI", F.col("VMAX") + 100)
+    pot = {(r.c, r.TIME): r.POT for r in series.potential_intensity(df, ["c"]).collect()}
+    assert pot[(1, 6)] == 145.0 - 40.0 and pot[(2, 6)] is None
+    masked = {(r.c, r.TIME): r.VMAX for r in clean.land_mask(df, ["c", "TIME"]).collect()}
+    assert masked[(1, -12)] is None and masked[(1, 0)] == 40.0 and masked[(1, 6)] == 45.0  # null DTL kept
+    gated = {r.c for r in clean.landfall_gate(df.withColumn("DTL", F.lit(50.0)), ["c"]).collect()}
+    assert gated == {2}
+    slots = {r.c: (r.a, r.b) for r in series.slot_features(df, ["c"], "TIME", "VMAX", [6, 18], ["a", "b"]).collect()}
+    assert slots[1] == (45.0, None) and slots[2] == (30.0, None)
+    fb = spark.createDataFrame([(None, 2.0, 3.0), (None, None, 3.0), (1.0, 2.0, 3.0)], "IR00 double, IRM1 double, IRM3 double")
+    assert [r.IR00 for r in series.fill_fallback(fb, {"IR00": ["IRM1", "IRM3"]}).collect()] == [2.0, 3.0, 1.0]
