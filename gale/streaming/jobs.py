@@ -1,4 +1,4 @@
-"""File-stream jobs.
+"""File-stream jobs.
 
 The reference processes one file per storm per 6-hour cycle; here new files
 are picked up by Structured Streaming. Sinks are parquet folders under the
