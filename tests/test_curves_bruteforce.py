@@ -71,3 +71,32 @@ def test_cutoff_rules(spark):
         assert f1[g] == min(t for t, v in f if v == best)
         cands = [t for t, p, r in prs if p > r]
         assert eq[g] == (min(cands) if cands else None)
+
+
+def test_exact_quantiles_match_numpy(spark):
+    import numpy as np
+
+    from gale.operators.explore import exact_quantiles
+    rnd = random.Random(11)
+    rows = []
+    for g, n in (("hot", 900), ("x", 7), ("y", 1)):
+        rows += [(g, None if rnd.random() < 0.05 else float(rnd.randint(-50, 50))) for _ in range(n)]
+    df = spark.createDataFrame(rows, "g string, v double")
+    qs = {"q05": 0.05, "q50": 0.5, "q95": 0.95}
+    got = {r.g: r for r in exact_quantiles(df, ["g"], "v", qs).collect()}
+    for g in ("hot", "x", "y"):
+        vals = [v for gg, v in rows if gg == g and v is not None]
+        for name, q in qs.items():
+            assert abs(got[g][name] - float(np.quantile(vals, q))) < 1e-9
+
+
+def test_all_scope_equals_direct_total(spark):
+    df, rows = _fixture(spark)
+    df = df.withColumn("BASIN", (df.p * 10).cast("int").cast("string")).withColumn("yhat", (df.p >= 0.5).cast("int"))
+    c = verify.class_counts(df, ["g", "BASIN"], "y", "yhat", basin_col="BASIN")
+    alls = {(r.g, r.y, r.yhat): r.n for r in c.where("BASIN = 'ALL'").collect()}
+    for g in ("hot", "a", "b"):
+        for y in (0, 1):
+            for yh in (0, 1):
+                want = sum(1 for gg, yy, s in rows if gg == g and yy == y and int(s >= 0.5) == yh)
+                assert alls.get((g, y, yh), 0) == want
