@@ -5,9 +5,12 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from gale.llm.common import table
+from gale.llm.decontaminate import decontaminate
 from gale.llm.exact_dedup import exact_dedup
 from gale.llm.packing import pack
+from gale.llm.quality import quality_scores
 from gale.llm.registry import register
+from gale.llm.simhash import simhash_dedup
 
 _NORM = ("translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')")
 
@@ -30,3 +33,40 @@ def tokenizer_file(name: str = "word_bpe_49k.json") -> str:
 def op6_packing(spark, sf_dir):
     """Concatenate-and-cut packing of all documents in windows of 4096 tokens."""
     return pack(table(spark, sf_dir, "documents"), tokenizer_file(), 4096, 2).drop("ids")
+
+
+@register("op4_simhash_dedup")
+def op4_simhash_dedup(spark, sf_dir):
+    """SimHash near-dedup of all documents: 3-word shingles, links at 3 or fewer bits."""
+    return simhash_dedup(table(spark, sf_dir, "documents"), 3, 3)
+
+
+_WORDS = rf"regexp_extract_all({_NORM}, '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+')"
+
+
+@register("op9_decontaminate", f"""
+WITH d AS (SELECT doc_id, {_WORDS} AS w FROM documents),
+b AS (SELECT item_id, {_WORDS} AS w FROM benchmark),
+bw AS (SELECT item_id, k, array_to_string(w[i:i + k - 1], ' ') AS t
+       FROM (SELECT item_id, w, least(10, len(w)) AS k, unnest(range(1, greatest(len(w) - 10, 0) + 2)) AS i
+             FROM b WHERE len(w) > 0)),
+ks AS (SELECT DISTINCT k FROM bw),
+dw AS (SELECT doc_id, k, i, array_to_string(w[i:i + k - 1], ' ') AS t
+       FROM (SELECT doc_id, w, k, unnest(range(1, len(w) - k + 2)) AS i FROM d, ks WHERE len(w) >= k)),
+occ AS (SELECT doc_id, i, k, item_id FROM dw JOIN bw USING (k, t)),
+hit AS (SELECT doc_id, count(DISTINCT p) AS n_hit
+        FROM (SELECT doc_id, unnest(range(i, i + k)) AS p FROM occ) GROUP BY 1),
+it AS (SELECT doc_id, count(*) AS n_items, string_agg(i, ',' ORDER BY i) AS s
+       FROM (SELECT DISTINCT doc_id, CAST(item_id AS VARCHAR) AS i FROM occ) GROUP BY 1)
+SELECT d.doc_id, CAST(len(w) AS BIGINT) AS n_words, coalesce(n_hit, 0) AS n_hit, coalesce(n_items, 0) AS n_items,
+       sha256(coalesce(s, '')) AS items_sha256, coalesce(n_hit, 0) > 0 AS contaminated
+FROM d LEFT JOIN hit USING (doc_id) LEFT JOIN it USING (doc_id)""")
+def op9_decontaminate(spark, sf_dir):
+    """Prefix-filtered set join of all documents with the benchmark's 10-word windows."""
+    return decontaminate(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"), 10)
+
+
+@register("op8_quality")
+def op8_quality(spark, sf_dir):
+    """Quality score of all documents: random-indexing vectors and a two-layer network."""
+    return quality_scores(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
