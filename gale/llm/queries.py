@@ -4,12 +4,13 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from gale.llm.common import table
+from gale.llm.common import fresh, table
 from gale.llm.decontaminate import decontaminate
 from gale.llm.exact_dedup import exact_dedup
 from gale.llm.packing import pack
 from gale.llm.quality import quality_scores
 from gale.llm.registry import register
+from gale.llm.resharding import reshard
 from gale.llm.simhash import simhash_dedup
 
 _NORM = ("translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')")
@@ -70,3 +71,17 @@ def op9_decontaminate(spark, sf_dir):
 def op8_quality(spark, sf_dir):
     """Quality score of all documents: random-indexing vectors and a two-layer network."""
     return quality_scores(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
+@register("op5_resharding")
+def op5_resharding(spark, sf_dir):
+    """Minimum-cost-flow resharding of all documents from their files into 40 shards of equal bytes."""
+    docs = table(spark, sf_dir, "documents")
+    old = fresh(docs, "file")
+    out = reshard(docs.withColumn(old, F.col("_metadata.file_path")), old, 40)
+    text = F.coalesce("text", F.lit(""))
+    return out["rows"].select(
+        "doc_id", (F.octet_length(text) + 16).cast("long").alias("size"),
+        F.crc32(text.cast("binary")).alias("text_crc32"), F.lit("bytes").alias("law"),
+        F.col(out["shard_col"]).alias("shard"), F.col(out["slot_col"]).cast("long").alias("slot"),
+        F.lit(None).cast("int").alias("grown_shard"))
