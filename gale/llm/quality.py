@@ -9,7 +9,9 @@ Method
      the tokens up to two places away. Every task adds up its own matrix of
      fixed size; the matrices meet in one grouped sum.
   2. *Pooling.* A document is the mean over its tokens of (centred, normalised
-     context vector; index vector) and its length on a log scale.
+     context vector; index vector), the lengths of these two means (long if few
+     different words make the text), the share of neighbours in one bucket and
+     the number of tokens on a log scale.
   3. *Network.* tanh layer and logistic output, trained with Adam on at most
      ``max_train`` labelled rows (those with the smallest hash of the id), a
      fifth of which only sets the temperature that makes the probabilities
@@ -133,14 +135,18 @@ def word_vectors(docs: DataFrame, scratch: Scratch, text_col: str = "text", buck
     return np.concatenate([context, index], axis=1).astype(np.float32)
 
 
+EXTRA = 4
+
+
 def pool(text: str | None, ids: Buckets, vectors: np.ndarray) -> np.ndarray:
-    out = np.zeros(vectors.shape[1] + 1, np.float32)
-    own = ids.of(text)
+    out = np.zeros(vectors.shape[1] + EXTRA, np.float32)
+    own, mean = ids.of(text), out[:-EXTRA]
     for lo in range(0, len(own), 65536):
-        out[:-1] += vectors[own[lo:lo + 65536]].sum(0)
+        mean += vectors[own[lo:lo + 65536]].sum(0)
     if len(own):
-        out[:-1] /= len(own)
-    out[-1] = math.log1p(len(own)) / 10
+        mean /= len(own)
+        same = np.mean(own[1:] == own[:-1]) if len(own) > 1 else 0.0
+        out[-EXTRA:] = np.linalg.norm(mean[:DIM]), np.linalg.norm(mean[DIM:]), same, math.log1p(len(own)) / 10
     return out
 
 
@@ -203,7 +209,7 @@ def scorer(vectors, model):
     @F.pandas_udf("double")
     def score(parts: "pd.Series") -> "pd.Series":
         ids = Buckets(len(vectors.value))
-        width = vectors.value.shape[1] + 1
+        width = vectors.value.shape[1] + EXTRA
         x = np.array([pool(t, ids, vectors.value) for t in parts], np.float32).reshape(-1, width)
         return pd.Series(probabilities(model.value, x))
     return score
@@ -227,7 +233,7 @@ def fit(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: st
     rows = d.join(F.broadcast(chosen), F.col("doc_id") == F.col("l_id")) \
         .select("text", "label", (F.pmod(F.xxhash64("doc_id"), F.lit(5)) == 0).alias("held"))
     got = rows.mapInArrow(_pooled(vectors), "label int, held boolean, x binary").toPandas()
-    width = table.shape[1] + 1
+    width = table.shape[1] + EXTRA
     x = np.frombuffer(b"".join(got["x"]), np.float32).reshape(-1, width).astype(float)
     model = train(x, got["label"].to_numpy(float), got["held"].to_numpy(bool))
     return vectors, spark.sparkContext.broadcast(model)

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 from gale.llm.common import fresh, table
 from gale.llm.decontaminate import decontaminate
 from gale.llm.exact_dedup import exact_dedup
+from gale.llm.maxent_lm import lm_scores
 from gale.llm.packing import pack
 from gale.llm.quality import quality_scores
 from gale.llm.registry import register
@@ -85,3 +86,9 @@ def op5_resharding(spark, sf_dir):
         F.crc32(text.cast("binary")).alias("text_crc32"), F.lit("bytes").alias("law"),
         F.col(out["shard_col"]).alias("shard"), F.col(out["slot_col"]).cast("long").alias("slot"),
         F.lit(None).cast("int").alias("grown_shard"))
+
+
+@register("op7_lm_scores")
+def op7_lm_scores(spark, sf_dir):
+    """Hashed maximum-entropy language model: log10 probability of every document."""
+    return lm_scores(table(spark, sf_dir, "documents"))
