@@ -23,8 +23,9 @@ Method
 Defined results
   null text is empty: the end token alone; the hash of a null id is that of the
   empty text (it is held out); repeated rows each get their row; empty table:
-  empty result; without training rows every count is 0 and both scores are
-  uniform (0 per token); other columns are ignored.
+  empty result; without training rows every count is 0 and a token's
+  probability is 1 in the baseline, 1 / ``classes`` in the model; other columns
+  are ignored.
 """
 
 from __future__ import annotations

@@ -12,7 +12,9 @@ from gale.llm.packing import pack
 from gale.llm.quality import quality_scores
 from gale.llm.registry import register
 from gale.llm.resharding import reshard
+from gale.llm.secret_scan import scan_secrets
 from gale.llm.simhash import simhash_dedup
+from gale.llm.url_filter import judge_urls
 
 _NORM = ("translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')")
 
@@ -92,3 +94,20 @@ def op5_resharding(spark, sf_dir):
 def op7_lm_scores(spark, sf_dir):
     """Hashed maximum-entropy language model: log10 probability of every document."""
     return lm_scores(table(spark, sf_dir, "documents"))
+
+
+@register("op2_secret_scan")
+def op2_secret_scan(spark, sf_dir):
+    """Secrets in all documents: rules and a character CNN over every other candidate."""
+    return scan_secrets(table(spark, sf_dir, "documents"))
+
+
+# The rules the contract fixes.
+URL_RULES = [("allow", "org/"), ("block", "example.org/es/"), ("block", "example.org/en/1"),
+             ("allow", "com/fr/"), ("block", "com/de/")]
+
+
+@register("op3_url_filter")
+def op3_url_filter(spark, sf_dir):
+    """Verdict on every page's url: rules, else trust and distrust over host links."""
+    return judge_urls(table(spark, sf_dir, "pages"), URL_RULES)
