@@ -47,9 +47,9 @@ ROWS = 1 << 14  # weight rows of hashed features
 _MIX = np.uint64(0x9E3779B97F4A7C15)
 
 
-def words(text: str | None) -> list[bytes]:
-    """Lower-cased (A-Z) words between ASCII white space, then the end token."""
-    out = (text or "").encode().lower().split()
+def words(text: bytes | None) -> list[bytes]:
+    """Lower-cased (A-Z) words of a UTF-8 text between ASCII white space, then the end token."""
+    out = (text or b"").lower().split()
     out.append(END)
     return out
 
@@ -57,7 +57,7 @@ def words(text: str | None) -> list[bytes]:
 def _count(batches):
     total: Counter = Counter()
     for b in batches:
-        for t in b.column("text"):
+        for t in b.column("text").cast(pa.binary()):
             total.update(words(t.as_py()))
             if len(total) > 300_000:
                 yield _counted(total)
@@ -112,8 +112,9 @@ def _blocks(batches, lexicon: Lexicon, most: int = 1 << 17):
     """Groups of documents with their token codes, at most about ``most`` tokens each."""
     docs, n = [], 0
     for b in batches:
+        texts = b.column("text").cast(pa.binary())
         for i in range(b.num_rows):
-            codes = lexicon.encode(words(b.column("text")[i].as_py()))
+            codes = lexicon.encode(words(texts[i].as_py()))
             docs.append((b, i, codes))
             n += len(codes)
             if n > most:
