@@ -1,0 +1,76 @@
+import hashlib
+import random
+import re
+
+from gale.llm.secret_scan import Network, candidate_spans, rule_spans, scan_secrets
+from tests.llm.conftest import frame
+
+NAMES = "[pP][aA][sS][sS][wW][oO][rR][dD]|[pP][aA][sS][sS][wW][dD]|[sS][eE][cC][rR][eE][tT]|[tT][oO][kK][eE][nN]|[aA][pP][iI]_?[kK][eE][yY]"
+
+
+def base(text):
+    out = []
+    for m in re.finditer(rf"""({NAMES})["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)""", text):
+        if len(m[2]) >= 8:
+            out.append((m.start(), 0, m.end(), "assign"))
+    out += [(m.start(), 1, m.end(), "access") for m in re.finditer("AKIA[A-Z0-9]+", text) if len(m[0]) >= 16]
+    out += [(m.start(), 2, m.end(), "hex") for m in re.finditer("[0-9a-f]+", text) if len(m[0]) >= 32]
+    return sorted(out)
+
+
+def check(docs, **kw):
+    got = scan_secrets(docs, **kw).collect()
+    texts = {}
+    for r in docs.select("doc_id", "text").collect():
+        texts.setdefault(r["doc_id"], []).append(r["text"] or "")
+    want, have = [], []
+    for i, ts in texts.items():
+        for t in ts:
+            b = base(t)
+            s = ",".join(f"{k}:{a}:{e}" for a, _, e, k in b)
+            want.append((i, *[sum(x[3] == k for x in b) for k in ("assign", "access", "hex")], hashlib.sha256(s.encode()).hexdigest()))
+    for r in got:
+        have.append((r["doc_id"], r["n_assign"], r["n_access"], r["n_hex"], r["base_sha256"]))
+        rules = ",".join(x for x in r["spans"].split(",") if not x.startswith("extra"))
+        assert hashlib.sha256(rules.encode()).hexdigest() == r["base_sha256"]
+        starts = [int(x.split(":")[1]) for x in r["spans"].split(",") if x]
+        assert starts == sorted(starts)
+    assert sorted(have, key=str) == sorted(want, key=str)
+    return got
+
+
+def test_rules_against_brute_force(spark, documents, messy, nothing):
+    odd = ["token=short secret: 'abcdefgh' password=token=abcdefgh1", "ÀÉ API_KEY = \"aaaaaaaa\" apikey:bbbbbbbb. x",
+           "paſſword=abcdefgh toKen=abcdefgh", "AKIA" + "A" * 11 + " AKIAAKIAAKIAAKIA1x", "0" * 31 + " " + "0f" * 16 + "G" + "a" * 40,
+           "passwd\":\"A1b2C3d4E5\" and secret=\nnot_on_this_line", "😀 token=😀 token=abc.def-ghi"]
+    check(frame(spark, list(enumerate(odd))))
+    check(documents)
+    check(messy)
+    assert scan_secrets(nothing).count() == 0
+
+
+def test_candidates_lie_outside_findings():
+    text = "x password=abcd1234efgh5678 y abcdefgh12345678ijkl z " + "q" * 200 + "7"
+    found = rule_spans(text)
+    got = [text[a:b] for a, b in candidate_spans(text, found, 16)]
+    assert got == ["abcdefgh12345678ijkl", "q" * 200 + "7"]
+
+
+def test_held_out_findings_are_told_apart(spark):
+    rng = random.Random(1)
+    hexes = lambda n: "".join(rng.choice("0123456789abcdef") for _ in range(n))
+    plain = lambda: "order-" + "-".join(str(rng.randrange(1000, 9999)) for _ in range(4))
+    docs = [(i, f"the value password={hexes(24)} was found here") for i in range(200)]
+    docs += [(1000 + i, f"we shipped {plain()} to the town") for i in range(200)]
+    docs += [(5000 + i, f"the line has Q{hexes(24)} in it") for i in range(40)]
+    got = {r["doc_id"]: r for r in check(frame(spark, docs), recall=0.9)}
+    wrong = sum(got[1000 + i]["n_extra"] for i in range(200))
+    assert wrong <= 2
+
+
+def test_scores_of_long_candidates_do_not_depend_on_the_pieces():
+    net = Network()
+    value = "".join(random.Random(2).choice("abc019") for _ in range(9000))
+    x, region = net.batch([("left ", value, " right")])
+    top, _ = net.pooled(x, region)
+    assert abs(net.logit("left ", value, " right") - float(top.reshape(-1) @ net.p["out"] + net.p["ob"][0])) < 1e-9
