@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 from gale.llm.common import fresh, table
 from gale.llm.decontaminate import decontaminate
 from gale.llm.exact_dedup import exact_dedup
+from gale.llm.line_dedup import line_dedup
 from gale.llm.maxent_lm import lm_scores
 from gale.llm.packing import pack
 from gale.llm.quality import quality_scores
@@ -111,3 +112,11 @@ URL_RULES = [("allow", "org/"), ("block", "example.org/es/"), ("block", "example
 def op3_url_filter(spark, sf_dir):
     """Verdict on every page's url: rules, else trust and distrust over host links."""
     return judge_urls(table(spark, sf_dir, "pages"), URL_RULES)
+
+
+@register("op10_line_dedup")
+def op10_line_dedup(spark, sf_dir):
+    """Lines of all documents that are similar (Jaccard 0.8 on word sets) to an earlier line."""
+    out = line_dedup(table(spark, sf_dir, "documents"))
+    return out.select("doc_id", "n_lines", F.size("removed").cast("long").alias("n_removed"),
+                      F.array_join(F.transform("removed", lambda x: x.cast("string")), ",").alias("removed"))
