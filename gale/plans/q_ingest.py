@@ -16,21 +16,24 @@ from gale.plans import views as V
 from gale.plans.catalog import R, register
 from gale.sources import decks, diagnostics, results
 
+# every case has all 23 hours, those without a source row hold the sentinel
 _S1_OUT_SQL = f"""
-SELECT 'AL' || lpad(CAST(storm_id AS VARCHAR), 2, '0') || CAST(YEAR AS VARCHAR) AS ATCFID,
-       replace(NAME, ' ', '_') AS NAME, DATE_full, TIME, {R('VMAX')} AS VMAX, {R('nullif(SHRG, 9999)')} AS SHRG,
-       {R('CASE WHEN TIME >= 0 THEN nullif(IR00, 9999) END')} AS IR00, {R('RSST')} AS RSST, '3' AS RSST_AGE,
-       CASE WHEN TIME >= 0 THEN '0' END AS PC00_AGE
-FROM cases
+SELECT 'AL' || lpad(CAST(k.storm_id AS VARCHAR), 2, '0') || CAST(k.YEAR AS VARCHAR) AS ATCFID,
+       replace(k.NAME, ' ', '_') AS NAME, k.DATE_full, CAST(t.TIME AS INTEGER) AS TIME, {R('c.VMAX')} AS VMAX,
+       {R('nullif(c.SHRG, 9999)')} AS SHRG, {R('CASE WHEN t.TIME >= 0 THEN nullif(c.IR00, 9999) END')} AS IR00,
+       {R('c.RSST')} AS RSST, {R('CASE WHEN t.TIME >= 0 THEN nullif(c.PC00, 9999) END')} AS PC00,
+       '3' AS RSST_AGE, '0' AS PC00_AGE
+FROM (SELECT DISTINCT case_id, storm_id, NAME, DATE_full, YEAR FROM cases) k
+CROSS JOIN (SELECT unnest(range(-12, 121, 6)) AS TIME) t
+LEFT JOIN cases c ON c.case_id = k.case_id AND c.TIME = t.TIME
 """
 
 
 def _s1_out(df):
-    num = ["VMAX", "SHRG", "IR00", "RSST"]
+    num = ["VMAX", "SHRG", "IR00", "RSST", "PC00"]
     x = df.withColumns({c: F.col(c).try_cast("double") for c in num})
-    x = clean.sentinel_to_null(x, num).where(F.col("VMAX").isNotNull())
-    return x.select("ATCFID", "NAME", "DATE_full", "TIME", *num, "RSST_AGE",
-                    F.when(F.col("TIME") >= 0, F.col("PC00_AGE")).alias("PC00_AGE"))
+    x = clean.sentinel_to_null(x, num)
+    return x.select("ATCFID", "NAME", "DATE_full", "TIME", *num, "RSST_AGE", "PC00_AGE")
 
 
 @register("ingest_case_diagnostics", _S1_OUT_SQL, ("cases",))
@@ -42,11 +45,11 @@ def q_ingest_case_diagnostics(spark, sf_dir):
     return _s1_out(df)
 
 
-@register("scan_cycle_files", _S1_OUT_SQL.replace("FROM cases", "FROM cases WHERE YEAR = 1996"), ("cases",))
+@register("scan_cycle_files", _S1_OUT_SQL + "WHERE strftime(k.DATE_full, '%y%m') = '9603'", ("cases",))
 def q_scan_cycle_files(spark, sf_dir):
-    """Only the cycle folders of one prefix (1996) are read."""
+    """Only the cycle files of one prefix (March 1996) are read."""
     path = render.write_case_records(spark, sf_dir, by_cycle=True)
-    df = diagnostics.scan_cycle_files(spark, path, "96", predictors=["VMAX", "SHRG", "RSST", "IR00", "PC00"],
+    df = diagnostics.scan_cycle_files(spark, path, "9603", predictors=["VMAX", "SHRG", "RSST", "IR00", "PC00"],
                                       with_age=["RSST", "PC00"])
     return _s1_out(df)
 

@@ -23,7 +23,11 @@ def _vals(m, hours, name: str) -> F.Column:
 
 def case_records(spark: SparkSession, sf_dir: str) -> DataFrame:
     """One text record per case: header, predictor lines in all four token
-    layouts (plain, with age, from hour 0, from hour 0 with age), LAST."""
+    layouts (plain, with age, from hour 0, from hour 0 with age), LAST.
+
+    By line number of the case the files also hold what the reader must cope
+    with: indented markers, lines of other lengths, an earlier line of the same
+    predictor, a truncated record in front."""
     c = V.cases(spark, sf_dir)
     g = c.groupBy("case_id", "storm_id", "NAME", "DATE_full", "YEAR").agg(
         *[F.map_from_entries(F.collect_list(F.struct("TIME", p))).alias(p)
@@ -31,24 +35,38 @@ def case_records(spark: SparkSession, sf_dir: str) -> DataFrame:
     atcf = F.concat(F.lit("AL"), F.lpad(F.col("storm_id").cast("string"), 2, "0"), F.col("YEAR").cast("string"))
     header = F.concat_ws(" ", F.regexp_replace("NAME", " ", "_"), F.date_format("DATE_full", "yyMMdd"),
                          F.lit("00"), F.lit("45"), F.lit("20.0"), F.lit("60.0"), F.lit("1000"), atcf, F.lit("HEAD"))
-    lines = [header,
-             _vals(F.col("VMAX"), HOURS, "VMAX"),
+    kind = F.col("case_id") % 4
+    vmax = _vals(F.col("VMAX"), HOURS, "VMAX")
+    odd = F.when(kind == 1, F.concat_ws("\n", F.lit("-12 0 6 TIME"), F.lit("ONE"), F.lit("7 7 SHRG"), F.lit("8 8 SHRG"), F.lit("")))
+    first = F.when(kind == 2, F.concat(F.regexp_replace(vmax, r"\d+\.\d+", "1.0"), F.lit("\n")))
+    cut = F.when(kind == 3, F.concat_ws("\n", header, F.regexp_replace(vmax, r"\d+\.\d+", "2.0"), F.lit("")))
+    last = F.when(kind == 0, F.lit("LAST")).otherwise(F.lit("          LAST  "))
+    lines = [F.concat(F.coalesce(cut, F.lit("")), header),
+             F.concat(F.coalesce(odd, F.lit("")), F.coalesce(first, F.lit("")), vmax),
              _vals(F.col("SHRG"), HOURS, "SHRG"),
              F.concat_ws(" ", _vals(F.col("RSST"), HOURS, "RSST"), F.lit("3")),
              _vals(F.col("IR00"), HOURS[2:], "IR00"),
              F.concat_ws(" ", _vals(F.col("PC00"), HOURS[2:], "PC00"), F.lit("0")),
-             F.lit("LAST")]
-    month = F.concat(F.date_format("DATE_full", "yyMM"), F.lit("AL"))
-    return g.select(F.concat_ws("\n", *lines).alias("value"), month.alias("cycle"))
+             last]
+    file = F.concat(F.date_format("DATE_full", "yyMM0100"), F.lit("AL01"), F.date_format("DATE_full", "yy"), F.lit("_lsdiag.dat"))
+    return g.select(F.concat_ws("\n", *lines).alias("value"), file.alias("file"))
 
 
 def write_case_records(spark: SparkSession, sf_dir: str, by_cycle: bool = False) -> str:
+    """``by_cycle``: entries named ``YYMMDDHHBBNNYY_lsdiag.dat``, one a month
+    (folders of that name, which Spark reads like files)."""
     path = shared_path(spark, "cases-text")
     recs = case_records(spark, sf_dir)
-    if by_cycle:
-        recs.repartition("cycle").write.partitionBy("cycle").text(path)
-    else:
+    if not by_cycle:
         recs.select("value").write.text(path)
+        return path
+    recs.repartition("file", F.xxhash64("value") % 4).write.partitionBy("file").text(path)
+    hadoop = spark._jvm.org.apache.hadoop.fs
+    fs = hadoop.Path(path).getFileSystem(spark._jsc.hadoopConfiguration())
+    for entry in fs.listStatus(hadoop.Path(path)):
+        name = entry.getPath().getName()
+        if name.startswith("file="):
+            fs.rename(entry.getPath(), hadoop.Path(f"{path}/{name.removeprefix('file=')}"))
     return path
 
 
@@ -86,7 +104,7 @@ def write_deck_lines(spark: SparkSession, sf_dir: str, by_year: bool = False) ->
     path = shared_path(spark, "decks")
     d = deck_lines(spark, sf_dir)
     if by_year:
-        d.repartition("year").write.partitionBy("year").text(path)
+        d.repartition("year", "value").write.partitionBy("year").text(path)
     else:
         d.select("value").write.text(path)
     return path

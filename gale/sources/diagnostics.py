@@ -1,11 +1,11 @@
 """Fixed-layout forecast diagnostics (S1, S2) and the factor dictionary.
 
-A case record is a header line ending in ``HEAD``, one line per predictor
-and a closing ``LAST`` line. Records are split by the text reader itself
-(``lineSep``), so files are read in parallel, splittable, with no driver
-loop; each record becomes 23 rows (forecast hours -12..120) by exploding a
-position array, and predictor values are looked up in a per-record map, so
-the reshape to a wide table needs no shuffle.
+A case record is a header line whose last token is ``HEAD``, one line per
+predictor and a closing line whose last token is ``LAST``, indented or not.
+Records are split by the text reader itself (``lineSep``), so files are read
+in parallel, splittable, with no driver loop; each record becomes 23 rows
+(forecast hours -12..120) by exploding a position array next to the arrays of
+the wanted predictors, so the reshape to a wide table needs no shuffle.
 """
 
 from __future__ import annotations
@@ -19,13 +19,22 @@ FIRST_HOUR = -12
 STEP_HOURS = 6
 HEADER_NAME, HEADER_DATE, HEADER_HOUR, HEADER_ID = 0, 1, 2, 7
 CENTURY_PIVOT = 69      # two-digit years 69..99 -> 19xx, 00..68 -> 20xx
+LINE_TOKENS = (22, 23, 24, 25)  # lines of other lengths are no predictors
 # ---------------------------------------------------------------------------
 
+# Records are cut at the marker without its first letter: a complete record
+# then ends in a line whose last token is that letter, a truncated one does not.
+RECORD_SEP, RECORD_END = "AST", "L"
+
 
 def _tokens(line: Column) -> Column:
     return F.split(F.trim(line), r"\s+")
 
 
+def _last(tok: Column) -> Column:
+    return F.try_element_at(tok, F.lit(-1))
+
+
 def _series(tok: Column) -> Column:
     """(name, values[23], age) of one predictor line by token count."""
     n = F.size(tok)
@@ -49,16 +58,17 @@ def parse_issue_time(yymmdd: Column, hh: Column) -> Column:
 
 
 def ingest_case_diagnostics(spark: SparkSession, paths: str | list[str], predictors: list[str], *,
-                            with_age: list[str] | None = None, line_sep: str = "\nLAST",
+                            with_age: list[str] | None = None, line_sep: str = RECORD_SEP,
                             path_glob: str | None = None) -> DataFrame:
     """``(ATCFID, NAME, DATE_full, TIME, <predictors> as string, <p>_AGE)``.
 
     Values stay strings here (``try_cast`` in P3 turns bad text into null);
-    ``with_age`` lists predictors whose age token becomes ``<p>_AGE``.
-    Records are split at a line starting with ``LAST`` (``\nLAST`` matches LF
-    and CRLF files); the rest of that line, a byte-order mark and carriage
-    returns are removed; fragments without a header are skipped. A final
-    record without ``LAST`` is kept."""
+    ``with_age`` lists predictors whose age token becomes ``<p>_AGE``. LF and
+    CRLF files, indented markers and a byte-order mark are read alike. Lines
+    that have neither a marker nor 22 to 25 tokens are skipped; of lines with
+    the same predictor name the last one counts; the last header before the
+    marker counts; records without header or without ``LAST`` are dropped.
+    (The marker's last three letters must not appear elsewhere in a record.)"""
     reader = spark.read.option("lineSep", line_sep)
     if path_glob:
         reader = reader.option("pathGlobFilter", path_glob)
@@ -70,32 +80,37 @@ def parse_case_records(raw: DataFrame, predictors: list[str], *,
     """Record text rows (column ``value``) -> hourly rows; only projections
     and an explode, so it runs unchanged on a streaming source (R1)."""
     text = F.regexp_replace(F.col("value"), "\ufeff|\r", "")
-    lines = F.filter(F.split(text, "\n"), lambda l: F.length(F.trim(l)) > 0)
-    rec = raw.select(lines.alias("lines")).where(F.size("lines") > 0)
-    head = F.filter(F.col("lines"), lambda l: F.element_at(_tokens(l), -1) == "HEAD")
-    body = F.filter(F.col("lines"), lambda l: F.element_at(_tokens(l), -1) != "HEAD")
-    rec = rec.select(_tokens(F.element_at(head, 1)).alias("h"),
-                     F.transform(body, lambda l: _series(_tokens(l))).alias("s"))
-    rec = rec.where(F.col("h").isNotNull())
-    m = F.map_from_arrays(F.transform("s", lambda x: x["name"]), F.transform("s", lambda x: x["values"]))
-    ages = F.map_from_arrays(F.transform("s", lambda x: x["name"]), F.transform("s", lambda x: x["age"]))
+    toks = F.filter(F.transform(F.split(text, "\n"), _tokens), lambda t: _last(t) != "")
+    rec = raw.select(toks.alias("t")).where(F.size("t") > 1)
+    # what is left of the closing line stands at the end of a complete record; before
+    # it, on the first line, may be the rest of the previous marker's line
+    rec = rec.where(_last(F.try_element_at("t", F.lit(-1))) == RECORD_END)
+    heads = F.filter(F.sequence(F.lit(1), F.greatest(F.size("t"), F.lit(1))), lambda i: _last(F.try_element_at(F.col("t"), i)) == "HEAD")
+    rec = rec.withColumn("at", F.array_max(heads)).where(F.col("at").isNotNull())
+    lines = F.filter(F.slice("t", F.col("at") + 1, F.size("t")), lambda t: F.size(t).isin(*LINE_TOKENS))
+    rec = rec.select(F.try_element_at("t", F.col("at")).alias("h"), F.transform(lines, _series).alias("s"))
+
+    def last(name: str, field: str) -> Column:
+        return F.try_element_at(F.filter("s", lambda x: x["name"] == name), F.lit(-1))[field]
     rec = rec.select(
-        F.element_at("h", HEADER_ID + 1).alias("ATCFID"),
-        F.element_at("h", HEADER_NAME + 1).alias("NAME"),
-        parse_issue_time(F.element_at("h", HEADER_DATE + 1), F.element_at("h", HEADER_HOUR + 1)).alias("DATE_full"),
-        m.alias("m"), ages.alias("a"))
-    rows = rec.select("*", F.posexplode(F.sequence(F.lit(0), F.lit(N_STEPS - 1))).alias("i", "_"))
-    cols = [F.nullif(F.element_at(F.col("m")[p], F.col("i") + 1), F.lit("")).alias(p) for p in predictors]
-    cols += [F.col("a")[p].alias(f"{p}_AGE") for p in (with_age or [])]
+        F.try_element_at("h", F.lit(HEADER_ID + 1)).alias("ATCFID"),
+        F.try_element_at("h", F.lit(HEADER_NAME + 1)).alias("NAME"),
+        parse_issue_time(F.try_element_at("h", F.lit(HEADER_DATE + 1)), F.try_element_at("h", F.lit(HEADER_HOUR + 1))).alias("DATE_full"),
+        *[last(p, "values").alias(p) for p in predictors],
+        *[last(p, "age").alias(f"{p}_AGE") for p in (with_age or [])])
+    rows = rec.select("*", F.posexplode(F.sequence(F.lit(0), F.lit(N_STEPS - 1))).alias("__i", "__"))
+    cols = [F.nullif(F.try_element_at(p, F.col("__i") + 1), F.lit("")).alias(p) for p in predictors]
     return rows.select("ATCFID", "NAME", "DATE_full",
-                       (F.lit(FIRST_HOUR) + F.col("i") * STEP_HOURS).cast("int").alias("TIME"), *cols)
+                       (F.lit(FIRST_HOUR) + F.col("__i") * STEP_HOURS).cast("int").alias("TIME"), *cols,
+                       *[f"{p}_AGE" for p in (with_age or [])])
 
 
-def scan_cycle_files(spark: SparkSession, root: str, prefix: str, *, line_sep: str = "\nLAST",
+def scan_cycle_files(spark: SparkSession, root: str, prefix: str, *, line_sep: str = RECORD_SEP,
                      predictors: list[str], with_age: list[str] | None = None) -> DataFrame:
-    """Read only the cycle folders whose name starts with ``prefix``
-    (``YYMMDDHHBB``); the glob prunes files before any task starts."""
-    return ingest_case_diagnostics(spark, f"{root.rstrip('/')}/cycle={prefix}*", predictors,
+    """Read only the files ``YYMMDDHHBBNNYY_lsdiag.dat`` whose name starts
+    with ``prefix`` (``YYMMDDHHBB`` or less of it); the glob prunes files
+    before any task starts."""
+    return ingest_case_diagnostics(spark, f"{root.rstrip('/')}/{prefix}*_lsdiag.dat", predictors,
                                    with_age=with_age, line_sep=line_sep)
 
 

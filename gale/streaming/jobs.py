@@ -11,12 +11,12 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from gale.sources.diagnostics import parse_case_records
+from gale.sources.diagnostics import RECORD_SEP, parse_case_records
 from gale.sources.results import shared_path
 
 
 def stream_ingest_cases(spark: SparkSession, src: str, predictors: list[str], *,
-                        with_age: list[str] | None = None, line_sep: str = "\nLAST") -> DataFrame:
+                        with_age: list[str] | None = None, line_sep: str = RECORD_SEP) -> DataFrame:
     """Case-record files arriving in ``src`` -> hourly rows, appended to
     a parquet sink (stateless: projections and explode only). Runs until the
     files present are processed (``availableNow``) and returns the sink."""
@@ -26,12 +26,12 @@ def stream_ingest_cases(spark: SparkSession, src: str, predictors: list[str], *,
     q = (rows.writeStream.format("parquet").option("checkpointLocation", ck)
          .outputMode("append").trigger(availableNow=True).start(out))
     q.awaitTermination()
-    return spark.read.parquet(out)
+    return spark.read.schema(rows.schema).parquet(out)
 
 
 def stream_cycle_counts(spark: SparkSession, src: str, schema, *, glob: str | None = None,
                         ts: str = "ts", key: str = "event_type", value: str = "value",
-                        window_hours: int = 6, watermark: str = "30 hours") -> DataFrame:
+                        window_hours: int = 6, watermark: str) -> DataFrame:
     """Per (``window_hours`` tumbling window of wall-clock time, key)
     count and mean of ``value``. The window start is the event's wall-clock
     hour rounded down to a multiple of ``window_hours`` (independent of the
@@ -39,8 +39,9 @@ def stream_cycle_counts(spark: SparkSession, src: str, schema, *, glob: str | No
     for a window is dropped once it is complete. Each micro-batch's updated
     windows are appended with the batch id; the current table keeps the last
     update per window (max_by over batch id), so nothing is collected on the
-    driver."""
-    reader = spark.readStream.schema(schema).option("maxFilesPerTrigger", 1)
+    driver. The files present are one micro-batch, whatever their order;
+    ``watermark`` is how late an event may come in a later one."""
+    reader = spark.readStream.schema(schema)
     if glob:
         reader = reader.option("pathGlobFilter", glob)
     slot = (F.date_trunc("hour", F.col(ts)) - F.make_dt_interval(F.lit(0), F.hour(ts) % window_hours))
@@ -57,7 +58,10 @@ def stream_cycle_counts(spark: SparkSession, src: str, schema, *, glob: str | No
     q = (agg.writeStream.outputMode("update").option("checkpointLocation", ck)
          .foreachBatch(sink).trigger(availableNow=True).start())
     q.awaitTermination()
-    upd = spark.read.parquet(out)
+    shape = agg.select(F.col("_slot").cast("timestamp_ntz").alias("window_start"), key, "n", "total",
+                       F.lit(0).alias("batch")).schema
+    spark.createDataFrame([], shape).write.mode("append").parquet(out)  # the table exists without any batch too
+    upd = spark.read.schema(shape).parquet(out)
     last = upd.groupBy("window_start", key).agg(F.max_by(F.struct("n", "total"), "batch").alias("v"))
     return last.select("window_start", key, F.col("v.n").alias("n"),
                        (F.col("v.total") / F.col("v.n")).alias("mean_value"))
@@ -65,12 +69,14 @@ def stream_cycle_counts(spark: SparkSession, src: str, schema, *, glob: str | No
 
 def stream_verify_24h(spark: SparkSession, src: str, schema, *, storm: str = "storm_id",
                       ts: str = "DATE_full", value: str = "VMAX", hours: int = 24,
-                      watermark: str = "30 hours") -> DataFrame:
+                      watermark: str) -> DataFrame:
     """R2: verify a case when the same storm's value ``hours`` later arrives:
     a stream-stream inner join on (storm, time + hours) with watermarks on
-    both sides, so join state is dropped once a case can no longer match."""
+    both sides, so join state is dropped once a case can no longer match. The
+    files present are one micro-batch, whatever their order; ``watermark`` is
+    how late a case may come in a later one (more than ``hours``)."""
     def side(alias):
-        s = (spark.readStream.schema(schema).option("maxFilesPerTrigger", 8).parquet(src)
+        s = (spark.readStream.schema(schema).parquet(src)
              .select(F.col(storm).alias(f"{alias}_storm"), F.col(ts).cast("timestamp").alias(f"{alias}_t"),
                      F.col(value).alias(f"{alias}_v")))
         return s.withWatermark(f"{alias}_t", watermark)
@@ -85,4 +91,4 @@ def stream_verify_24h(spark: SparkSession, src: str, schema, *, storm: str = "st
     q = (j.writeStream.format("parquet").option("checkpointLocation", ck).outputMode("append")
          .trigger(availableNow=True).start(out))
     q.awaitTermination()
-    return spark.read.parquet(out)
+    return spark.read.schema(j.schema).parquet(out)

@@ -28,11 +28,12 @@ def test_case_records_layouts(spark):
     d = tempfile.mkdtemp(dir=os.environ.get("TMPDIR", "/tmp"))
     a = _record("ALPHA", "820830", "06", "AL011982")
     b = _record("BETA", "200101", "18", "EP022020")
-    c = _record("GAMMA", "990505", "00", "WP031999")[:-1]  # no LAST at the end
+    c = _record("GAMMA", "990505", "00", "WP031999")
+    cut = _record("DELTA", "990505", "06", "WP041999")[:-1]  # no LAST: dropped
     with open(f"{d}/lf.dat", "w", encoding="utf-8") as f:
         f.write("﻿" + "\n".join(a + b) + "\n")
     with open(f"{d}/crlf.dat", "w", encoding="utf-8", newline="") as f:
-        f.write("\r\n".join(c) + "\r\n")
+        f.write("\r\n".join(c + cut) + "\r\n")
     df = diagnostics.ingest_case_diagnostics(spark, d, ["VMAX", "RSST", "IR00", "PC00"],
                                              with_age=["RSST", "PC00"])
     rows = {(r.ATCFID, r.TIME): r for r in df.collect()}
@@ -47,6 +48,28 @@ def test_case_records_layouts(spark):
     assert rows[("WP031999", 6)].VMAX == "13"
 
 
+def test_case_records_odd_files(spark, tmp_path):
+    """Indented markers, lines of other lengths, repeated names, a truncated record before a whole one."""
+    indent = [" " * 9 + x if x == "LAST" else x for x in _record("ALPHA", "820830", "06", "AL011982")]
+    odd = _record("BETA", "200101", "18", "EP022020", extra_lines=["ONE", "1 2 SHRG", "3 4 SHRG", _series(50, 23, "VMAX"), "", "  "])
+    cut = _record("GAMMA", "990505", "00", "WP031999")[:3]
+    (tmp_path / "a.dat").write_text("\n".join(indent + odd) + "\n  LAST  \n" + "\n".join(cut + indent) + "\n")
+    for wanted in (["VMAX", "SHRG"], []):
+        rows = diagnostics.ingest_case_diagnostics(spark, str(tmp_path), wanted).collect()
+        assert sorted({r.ATCFID for r in rows}) == ["AL011982", "EP022020"] and len(rows) == 3 * 23
+    df = diagnostics.ingest_case_diagnostics(spark, str(tmp_path), ["VMAX", "SHRG"])
+    beta = {r.TIME: r for r in df.where("ATCFID = 'EP022020'").collect()}
+    assert beta[-12].VMAX == "50" and beta[-12].SHRG is None
+
+
+def test_cycle_files_by_name(spark, tmp_path):
+    for name, hh in (("20010118EP0220_lsdiag.dat", "18"), ("20010106EP0220_lsdiag.dat", "06"),
+                     ("20010118EP0220_other.dat", "00"), ("20010118EP0320_lsdiag.dat", "18")):
+        (tmp_path / name).write_text("\n".join(_record("BETA", "200101", hh, name[8:12] + "2020")) + "\n")
+    got = diagnostics.scan_cycle_files(spark, str(tmp_path), "20010118EP", predictors=["VMAX"])
+    assert {(r.ATCFID, r.DATE_full.hour) for r in got.collect()} == {("EP022020", 18), ("EP032020", 18)}
+
+
 def test_deck_routing_and_short_tracks(spark):
     d = tempfile.mkdtemp(dir=os.environ.get("TMPDIR", "/tmp"))
     with open(f"{d}/e.dat", "w") as f:
