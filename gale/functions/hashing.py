@@ -19,10 +19,5 @@ def key_text(*cols: str | Column, seed: str | int | None = None) -> Column:
 
 
 def md5_number(*cols: str | Column, seed: str | int | None = None) -> Column:
-    """First 32 bits of md5(key) as a bigint in [0, 2^32)."""
-    return F.conv(F.substring(F.md5(key_text(*cols, seed=seed)), 1, 8), 16, 10).cast("bigint")
-
-
-def md5_uniform(*cols: str | Column, seed: str | int | None = None) -> Column:
-    """md5_number / 2^32, a double in [0, 1)."""
-    return md5_number(*cols, seed=seed) / F.lit(4294967296.0)
+    """First 60 bits of md5(key) as a bigint in [0, 2^60)."""
+    return F.conv(F.substring(F.md5(key_text(*cols, seed=seed)), 1, 15), 16, 10).cast("bigint")

@@ -1,24 +1,26 @@
 """Training, prediction and model evaluation with ``pyspark.ml``.
 
 Training runs on executors (tree building and L-BFGS are distributed by
-``pyspark.ml``); the driver only loops over the few fold/grid settings and
+``pyspark.ml``); the driver only loops over the fold and grid settings and
 holds model parameters.
 """
 
 from __future__ import annotations
 
+from multiprocessing.pool import ThreadPool
+
 from pyspark.ml import Pipeline, PipelineModel
 from pyspark.ml.classification import LogisticRegression, RandomForestClassifier
 from pyspark.ml.evaluation import MulticlassClassificationEvaluator
 from pyspark.ml.feature import StandardScaler, VectorAssembler
 from pyspark.ml.functions import vector_to_array
-from pyspark.ml.tuning import CrossValidator, ParamGridBuilder
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from gale.functions.hashing import md5_number
 from gale.operators.scan import with_position
-from gale.operators.sampling import HASH_BUCKET
+from gale.operators.sampling import HASH_BUCKET, stratified_folds
+from gale.session import materialize
 
 # --- Fixed values: reference search grids -------------------------------------
 RF_MAX_DEPTH = [5, 6, 8, 11]
@@ -30,50 +32,76 @@ LR_MAX_ITER = [100, 1000, 10000]
 # ---------------------------------------------------------------------------
 
 
-def _stages(features: list[str], clf, scale: bool = True):
-    st = [VectorAssembler(inputCols=features, outputCol="_raw", handleInvalid="skip")]
+def _pipeline(features: list[str], clf, scale: bool) -> Pipeline:
+    """A null feature is an error here: drop such rows on purpose, with
+    ``clean.drop_null_rows``, before training or predicting."""
+    st = [VectorAssembler(inputCols=features, outputCol="_raw" if scale else "features", handleInvalid="error")]
     if scale:
         st.append(StandardScaler(inputCol="_raw", outputCol="features", withMean=True, withStd=True))
-    else:
-        st[0].setOutputCol("features")
-    return st + [clf]
+    return Pipeline(stages=st + [clf])
+
+
+def logistic_grid(c_values=LR_C, max_iter=LR_MAX_ITER) -> list[dict]:
+    """The logistic grid (C x maximum iterations)."""
+    return [{"C": float(c), "maxIter": int(m)} for c in c_values for m in max_iter]
+
 
+def forest_grid(depths=RF_MAX_DEPTH, max_features=RF_MAX_FEATURES) -> list[dict]:
+    """M9: the forest grid (depth x features per split)."""
+    return [{"maxDepth": int(d), "maxFeatures": int(m)} for d in depths for m in max_features]
 
-def logistic_search(features: list[str], label: str, *, weight_col: str | None = None,
-                    c_values=LR_C, max_iter=LR_MAX_ITER, l1: bool = False, n_rows: float = 1.0,
-                    fold_col: str | None = None, k: int = 10, parallelism: int = 4) -> CrossValidator:
-    """C grid mapped to Spark's regParam = 1 / (C * sum of weights)."""
+
+def fit_logistic(train: DataFrame, features: list[str], label: str, params: dict, *,
+                 weight_col: str | None = None, l1: bool = False) -> PipelineModel:
+    """One logistic fit. Spark's regParam is 1 / (C * sum of weights) of
+    the very rows the model is fitted on."""
+    total = train.agg(F.sum(weight_col) if weight_col else F.count(F.lit(1))).first()[0]
     lr = LogisticRegression(featuresCol="features", labelCol=label, standardization=False,
-                            elasticNetParam=1.0 if l1 else 0.0)
+                            elasticNetParam=1.0 if l1 else 0.0, maxIter=params["maxIter"],
+                            regParam=1.0 / (params["C"] * float(total)))
     if weight_col:
         lr.setWeightCol(weight_col)
-    grid = (ParamGridBuilder().addGrid(lr.regParam, [1.0 / (c * n_rows) for c in c_values])
-            .addGrid(lr.maxIter, list(max_iter)).build())
-    return _search(Pipeline(stages=_stages(features, lr)), grid, label, fold_col, k, parallelism)
-
-
-def forest_search(features: list[str], label: str, *, weight_col: str | None = None,
-                  depths=RF_MAX_DEPTH, max_features=RF_MAX_FEATURES, trees: int = RF_TREES,
-                  min_leaf: int = RF_MIN_LEAF, fold_col: str | None = None, k: int = 10,
-                  parallelism: int = 4, seed: int = 0) -> CrossValidator:
-    """M9: random forest grid (depth x features per split), f1_weighted."""
-    rf = RandomForestClassifier(featuresCol="features", labelCol=label, numTrees=trees,
-                                minInstancesPerNode=min_leaf, seed=seed)
-    if weight_col:
-        rf.setWeightCol(weight_col)
-    grid = (ParamGridBuilder().addGrid(rf.maxDepth, list(depths))
-            .addGrid(rf.featureSubsetStrategy, [str(m) for m in max_features]).build())
-    return _search(Pipeline(stages=_stages(features, rf, scale=False)), grid, label, fold_col, k, parallelism)
+    return _pipeline(features, lr, True).fit(train)
 
 
-def _search(pipe, grid, label, fold_col, k, parallelism) -> CrossValidator:
-    ev = MulticlassClassificationEvaluator(labelCol=label, predictionCol="prediction",
-                                          metricName="weightedFMeasure")
-    cv = CrossValidator(estimator=pipe, estimatorParamMaps=grid, evaluator=ev,
-                        parallelism=parallelism, numFolds=k)
-    if fold_col:
-        cv.setFoldCol(fold_col)
-    return cv
+def fit_forest(train: DataFrame, features: list[str], label: str, params: dict, *, weight_col: str | None = None,
+               trees: int = RF_TREES, min_leaf: int = RF_MIN_LEAF, seed: int = 0) -> PipelineModel:
+    """M9: one forest fit."""
+    rf = RandomForestClassifier(featuresCol="features", labelCol=label, numTrees=trees, minInstancesPerNode=min_leaf,
+                                maxDepth=params["maxDepth"], featureSubsetStrategy=str(params["maxFeatures"]), seed=seed)
+    if weight_col:
+        rf.setWeightCol(weight_col)
+    return _pipeline(features, rf, False).fit(train)
+
+
+def grid_search(train: DataFrame, grid: list[dict], fit, key: str, class_col: str, label: str, *, k: int = 10,
+                repeats: int = 3, prepare=None, seed: int = 0, parallelism: int = 4) -> tuple[PipelineModel, dict, float]:
+    """Repeated stratified k-fold search by weighted F1, then a refit of
+    the best grid point (ties: the first) on all rows.
+
+    ``prepare`` (resampling, class weights) is applied to the training part of
+    each fold only; the held-out part is scored as it is. ``fit(rows, params)``
+    returns a model. Returns model, parameters and mean score; raises when a
+    fold or the training part of one has a single class."""
+    prepare = prepare or (lambda df: df)
+    ev = MulticlassClassificationEvaluator(labelCol=label, predictionCol="prediction", metricName="weightedFMeasure")
+    scores = [[] for _ in grid]
+    for r in range(repeats):
+        folded = materialize(stratified_folds(train, key, class_col, k, repeat=r, seed=seed))
+        have = {(x["fold"], x[class_col]): x["count"] for x in folded.groupBy("fold", class_col).count().collect()}
+        classes = {c for _, c in have}
+        if len(classes) < 2 or any((f, c) not in have for f in range(k) for c in classes):
+            raise ValueError(f"{k} folds need rows of two classes each: {have}")
+        for f in range(k):
+            part = materialize(prepare(folded.where(F.col("fold") != f).drop("fold")))
+            held = folded.where(F.col("fold") == f)
+            with ThreadPool(parallelism) as pool:
+                found = pool.map(lambda p: ev.evaluate(fit(part, p).transform(held)), grid)
+            for i, s in enumerate(found):
+                scores[i].append(s)
+    mean = [sum(s) / len(s) for s in scores]
+    best = max(range(len(grid)), key=lambda i: (mean[i], -i))
+    return fit(materialize(prepare(train)), grid[best]), grid[best], mean[best]
 
 
 def predict(model, df: DataFrame, keys: list[str], label: str, name: str) -> DataFrame:
@@ -84,33 +112,52 @@ def predict(model, df: DataFrame, keys: list[str], label: str, name: str) -> Dat
                       p[0].alias("p0"), p[1].alias("p1"), F.lit(name).alias("Model"))
 
 
+def weighted_f1(counts: DataFrame, group_cols: list[str], out_col: str) -> DataFrame:
+    """F1 per class weighted by the class's rows, from (group, y, y_hat, n) counts."""
+    n = F.col("n")
+    per = counts.select(*group_cols, F.explode(F.array("y", "y_hat")).alias("c")).distinct()
+    rows = per.join(counts, group_cols).groupBy(*group_cols, "c").agg(
+        F.sum(F.when((F.col("y") == F.col("c")) & (F.col("y_hat") == F.col("c")), n).otherwise(0)).alias("tp"),
+        F.sum(F.when(F.col("y") == F.col("c"), n).otherwise(0)).alias("na"),
+        F.sum(F.when(F.col("y_hat") == F.col("c"), n).otherwise(0)).alias("np"))
+    f1 = F.col("na") * 2 * F.col("tp") / (F.col("na") + F.col("np"))
+    return rows.groupBy(*group_cols).agg((F.sum(f1) / F.sum("na")).alias(out_col))
+
+
 def permutation_importance(model, df: DataFrame, keys: list[str], features: list[str], label: str,
-                           repeats: int = 3, seed: int = 0) -> DataFrame:
-    """Mean and std of the accuracy drop when one feature is shuffled.
+                           repeats: int = 3, seed: int = 0, scope_col: str | None = None) -> DataFrame:
+    """Mean and std of the drop in weighted F1 when one feature is
+    shuffled, per value of ``scope_col`` and for ALL rows.
 
     The rows are exploded once into (feature, repeat) copies. Inside each
-    copy two independent md5 orders are numbered with the distributed scan
-    (group = feature, repeat); the row at position p in the first order takes
-    the feature value of the row at position p in the second (a permutation
-    of that column, other columns untouched). All copies are scored by one
-    ``transform`` and accuracy is a grouped aggregate."""
-    ev = F.avg((F.col("prediction") == F.col(label)).cast("double"))
-    base = model.transform(df).agg(ev.alias("a")).first()["a"]
+    copy (and scope) two independent md5 orders are numbered with the
+    distributed scan; the row at position p in the first order takes the
+    feature value of the row at position p in the second (a permutation of that
+    column, other columns untouched). All copies are scored by one
+    ``transform`` and the scores come from grouped counts."""
+    scoped = df.withColumn("_scope", F.lit("ALL"))
+    if scope_col:
+        scoped = scoped.unionByName(df.withColumn("_scope", F.col(scope_col).cast("string")))
+    hit = [F.col(label).cast("int").alias("y"), F.col("prediction").cast("int").alias("y_hat")]
+
+    def score(rows: DataFrame, group: list[str], out_col: str) -> DataFrame:
+        counts = model.transform(rows).groupBy(*group, *hit).agg(F.count(F.lit(1)).alias("n"))
+        return weighted_f1(counts, group, out_col)
+    base = score(scoped, ["_scope"], "base")
     copies = F.explode(F.array(*[F.struct(F.lit(f).alias("_feature"), F.lit(r).alias("_rep"))
                                  for f in features for r in range(repeats)]))
-    ex = df.select("*", copies.alias("_e")).select("*", "_e._feature", "_e._rep").drop("_e")
-    grp = ["_feature", "_rep"]
-    a = with_position(ex.withColumn("_h", md5_number(*keys, "_feature", "_rep", seed=f"a{seed}")), grp,
+    ex = scoped.select("*", copies.alias("_e")).select("*", "_e._feature", "_e._rep").drop("_e")
+    grp = ["_scope", "_feature", "_rep"]
+    a = with_position(ex.withColumn("_h", md5_number(*keys, *grp, seed=f"a{seed}")), grp,
                       ["_h"] + keys, position_col="_p", bucket_width=HASH_BUCKET).drop("_h")
     value = F.coalesce(*[F.when(F.col("_feature") == f, F.col(f).cast("double")) for f in features])
     b = with_position(ex.select(*keys, *grp, value.alias("_v"))
-                      .withColumn("_h", md5_number(*keys, "_feature", "_rep", seed=f"b{seed}")), grp,
+                      .withColumn("_h", md5_number(*keys, *grp, seed=f"b{seed}")), grp,
                       ["_h"] + keys, position_col="_p", bucket_width=HASH_BUCKET).select(*grp, "_p", "_v")
     dealt = a.join(b, grp + ["_p"]).withColumns(
         {f: F.when(F.col("_feature") == f, F.col("_v")).otherwise(F.col(f)) for f in features})
-    s = model.transform(dealt.drop("_v", "_p")).groupBy(*grp).agg(ev.alias("acc"))
-    d = s.withColumn("drop", F.lit(base) - F.col("acc"))
-    return d.groupBy(F.col("_feature").alias("feature")).agg(
+    drop = score(dealt.drop("_v", "_p"), grp, "f1").join(base, "_scope").withColumn("drop", F.col("base") - F.col("f1"))
+    return drop.groupBy(F.col("_scope").alias("scope"), F.col("_feature").alias("feature")).agg(
         F.avg("drop").alias("mean_importance"), F.stddev_pop("drop").alias("std_importance"))
 
 
@@ -123,22 +170,3 @@ def save_model(model, path: str) -> str:
 def load_model(path: str) -> PipelineModel:
     """Load a fitted pipeline."""
     return PipelineModel.load(path)
-
-
-def fit_best(cv: CrossValidator, data: DataFrame):
-    """Cross-validated fit -> (best model, its parameters). When the data is
-    too small for the folds (an empty fold), the first grid point is fitted
-    on all rows instead of failing."""
-    try:
-        m = cv.fit(data)
-        return m.bestModel, best_params(m)
-    except ValueError:
-        pm = cv.getEstimatorParamMaps()[0]
-        return cv.getEstimator().fit(data, pm), {p.name: v for p, v in pm.items()}
-
-
-def best_params(cv_model) -> dict:
-    """The winning grid point of a cross-validated search."""
-    import numpy as np
-    i = int(np.argmax(cv_model.avgMetrics))
-    return {p.name: v for p, v in cv_model.getEstimatorParamMaps()[i].items()}

@@ -15,9 +15,9 @@ from pyspark.sql import functions as F
 from gale.functions.hashing import md5_number
 from gale.operators.scan import with_position
 
-# Grid over the 32-bit hash for ranks inside a class (a class may hold half
+# Grid over the 60-bit hash for ranks inside a class (a class may hold half
 # of all rows): 2^20 cells, so each window task sees ~1e-6 of the class.
-HASH_BUCKET = float(2 ** 32) / 2 ** 20
+HASH_BUCKET = float(2 ** 60) / 2 ** 20
 
 
 def year_draws(df: DataFrame, year_col: str, n_draws: int, k: int, seed: int = 0) -> DataFrame:
@@ -49,11 +49,10 @@ def class_counts(df: DataFrame, class_col: str) -> dict:
 
 def balanced_weights(df: DataFrame, class_col: str, out_col: str = "weight") -> DataFrame:
     """M3: scikit-learn's 'balanced' weight n / (k * n_c) as a column."""
-    counts = class_counts(df, class_col)  # one row per class
-    n, k = float(sum(counts.values())), len(counts)
-    w = df.sparkSession.createDataFrame([(c, n / (k * nc)) for c, nc in counts.items()],
-                                        [class_col, out_col])
-    return df.join(F.broadcast(w), class_col)  # one row per class
+    counts = df.groupBy(F.col(class_col).alias("_class")).agg(F.count(F.lit(1)).alias("_nc"))
+    n, k = counts.agg(F.sum("_nc"), F.count(F.lit(1))).first()  # two numbers
+    w = counts.select("_class", (F.lit(float(n or 0)) / (F.lit(k) * F.col("_nc"))).alias(out_col))
+    return df.join(w, df[class_col].eqNullSafe(w["_class"])).drop("_class")
 
 
 def random_oversample(df: DataFrame, key: str, class_col: str, minority, ratio: float = 0.7,

@@ -208,13 +208,15 @@ def cumulative_table(counts: DataFrame, group_cols: list[str]) -> DataFrame:
     return _cumulative(counts, group_cols)
 
 
-def precision_recall_curve(counts: DataFrame, group_cols: list[str], cum: DataFrame | None = None) -> DataFrame:
-    """A10: one row per distinct score from the lowest event score up
-    (scikit-learn stops once full recall is reached), with TP/FP counted at
-    score >= threshold; P = TP/(TP+FP), R = TP/P_total, F1 = 2PR/(P+R)
-    (null when P+R = 0). The (1, 0) end point is not a row."""
-    c = (cum if cum is not None else _cumulative(counts, group_cols)).where(
-        F.col("score") >= F.col("min_event_score"))
+def precision_recall_curve(counts: DataFrame, group_cols: list[str], cum: DataFrame | None = None,
+                           stop_at_full_recall: bool = False) -> DataFrame:
+    """A10: one row per distinct score, with TP/FP counted at score >=
+    threshold; P = TP/(TP+FP), R = TP/P_total, F1 = 2PR/(P+R) (null when
+    P+R = 0). The (1, 0) end point is not a row. With ``stop_at_full_recall``
+    the scores below the lowest event score are left out."""
+    c = cum if cum is not None else _cumulative(counts, group_cols)
+    if stop_at_full_recall:
+        c = c.where(F.col("score") >= F.col("min_event_score"))
     p = safe_div(F.col("TP"), F.col("TP") + F.col("FP"))
     r = safe_div(F.col("TP"), F.col("P"))
     out = c.select(*group_cols, F.col("score").alias("Thresholds"), p.alias("Precision"),

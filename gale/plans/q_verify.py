@@ -135,11 +135,11 @@ _CUM_SQL = f"""
 {_SCOPE},
 c AS (SELECT {GS}, p1 AS score, sum(y_true) AS tp_c, sum(1 - y_true) AS fp_c FROM sc GROUP BY ALL),
 cum AS (SELECT *, sum(tp_c) OVER w AS TP, sum(fp_c) OVER w AS FP, sum(tp_c) OVER g AS P, sum(fp_c) OVER g AS N,
-          min(CASE WHEN tp_c > 0 THEN score END) OVER g AS mes, row_number() OVER w AS pos, count(*) OVER g AS ns,
+          row_number() OVER w AS pos, count(*) OVER g AS ns,
           lead(tp_c) OVER w AS tpn, lead(fp_c) OVER w AS fpn
         FROM c WINDOW w AS (PARTITION BY {GS} ORDER BY score DESC ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW),
                       g AS (PARTITION BY {GS})),
-pr0 AS (SELECT {GS}, score AS Thresholds, TP / (TP + FP) AS Precision, TP / nullif(P, 0) AS Recall FROM cum WHERE score >= mes),
+pr0 AS (SELECT {GS}, score AS Thresholds, TP / (TP + FP) AS Precision, TP / nullif(P, 0) AS Recall FROM cum),
 pr AS (SELECT *, 2 * Precision * Recall / nullif(Precision + Recall, 0) AS F1 FROM pr0)
 """
 

@@ -214,9 +214,9 @@ SELECT concat_ws('|', l_orderkey, l_linenumber, l_partkey, l_suppkey) AS case_ke
        l_suppkey AS storm_id, l_shipdate AS DATE_full, r_name AS BASIN,
        l_linestatus AS Model, CAST(l_linenumber AS BIGINT) AS Fold,
        CASE WHEN l_returnflag = 'R' THEN 1 ELSE 0 END AS y_true,
-       CAST(CAST(('0x' || substr(md5(concat_ws('|', l_orderkey, l_linenumber, l_partkey, l_suppkey)), 1, 8)) AS UBIGINT) % 1000
+       CAST(CAST(('0x' || substr(md5(concat_ws('|', l_orderkey, l_linenumber, l_partkey, l_suppkey)), 1, 15)) AS UBIGINT) % 1000
         + CASE WHEN l_returnflag = 'R' THEN 300 ELSE 0 END AS DOUBLE) / 1300.0 AS p1,
-       CASE WHEN CAST(CAST(('0x' || substr(md5(concat_ws('|', l_orderkey, l_linenumber, l_partkey, l_suppkey)), 1, 8)) AS UBIGINT) % 1000
+       CASE WHEN CAST(CAST(('0x' || substr(md5(concat_ws('|', l_orderkey, l_linenumber, l_partkey, l_suppkey)), 1, 15)) AS UBIGINT) % 1000
         + CASE WHEN l_returnflag = 'R' THEN 300 ELSE 0 END AS DOUBLE) / 1300.0 >= 0.5 THEN 1 ELSE 0 END AS y_pred
 FROM lineitem JOIN supplier ON l_suppkey = s_suppkey
 JOIN nation ON s_nationkey = n_nationkey JOIN region ON n_regionkey = r_regionkey

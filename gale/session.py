@@ -50,8 +50,8 @@ def build_session(master: str | None = None, app: str = "gale",
 def checkpoint_dir(spark: SparkSession) -> str:
     """Shared folder for cutting lineage.
 
-    The cluster names it in ``spark.checkpoint.dir``; only when that is unset
-    (tests, local runs) do we create one of our own.
+    The cluster names it in ``spark.checkpoint.dir``; only a local session
+    (one machine, tests) may go without, and then gets one of its own.
     """
     sc = spark.sparkContext
     current = sc.getCheckpointDir()
@@ -59,6 +59,8 @@ def checkpoint_dir(spark: SparkSession) -> str:
         return current
     configured = spark.conf.get("spark.checkpoint.dir", None)
     if not configured:
+        if not sc.master.startswith("local[") and sc.master != "local":
+            raise RuntimeError("set spark.checkpoint.dir to a folder that all executors share")
         configured = tempfile.mkdtemp(prefix="gale-ckpt-", dir=os.environ.get("TMPDIR", "/tmp"))
         try:
             spark.conf.set("spark.checkpoint.dir", configured)

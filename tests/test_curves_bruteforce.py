@@ -37,8 +37,7 @@ def test_pr_and_roc_match_direct_computation(spark):
     roc = verify.roc_curve(counts, ["g"]).collect()
     for g in ("hot", "a", "b"):
         pts, P, N = _curve(rows, g)
-        min_pos = min(s for gg, y, s in rows if gg == g and y == 1)
-        want = {t: (tp / (tp + fp), tp / P) for t, tp, fp, _, _ in pts if t >= min_pos}
+        want = {t: (tp / (tp + fp), tp / P) for t, tp, fp, _, _ in pts}
         got = {t: (r.Precision, r.Recall) for (gg, t), r in pr.items() if gg == g}
         assert set(got) == set(want)
         for t in want:
@@ -56,6 +55,15 @@ def test_pr_and_roc_match_direct_computation(spark):
         assert len(got_auc) == 1 and abs(got_auc.pop() - auc) < 1e-12
 
 
+def test_curve_can_stop_at_full_recall(spark):
+    df, rows = _fixture(spark)
+    counts = verify.score_counts(df, ["g"], "y", "p")
+    pr = verify.precision_recall_curve(counts, ["g"], stop_at_full_recall=True).collect()
+    for g in ("hot", "a", "b"):
+        low = min(s for gg, y, s in rows if gg == g and y == 1)
+        assert {r.Thresholds for r in pr if r.g == g} == {s for gg, _, s in rows if gg == g and s >= low}
+
+
 def test_cutoff_rules(spark):
     df, rows = _fixture(spark)
     counts = verify.score_counts(df, ["g"], "y", "p")
@@ -64,8 +72,7 @@ def test_cutoff_rules(spark):
     eq = {r.g: r.Cutoff_Threshold for r in verify.choose_cutoff(pr, ["g"], "recall_weighted").collect()}
     for g in ("hot", "a", "b"):
         pts, P, _ = _curve(rows, g)
-        min_pos = min(s for gg, y, s in rows if gg == g and y == 1)
-        prs = sorted((t, tp / (tp + fp), tp / P) for t, tp, fp, _, _ in pts if t >= min_pos)
+        prs = sorted((t, tp / (tp + fp), tp / P) for t, tp, fp, _, _ in pts)
         f = [(t, 2 * p * r / (p + r) if p + r else None) for t, p, r in prs]
         best = max(v for _, v in f if v is not None)
         assert f1[g] == min(t for t, v in f if v == best)
