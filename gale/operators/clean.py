@@ -6,7 +6,7 @@ or ``filter`` so Catalyst pushes filters and column pruning into the scan.
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from gale.functions.numeric import round_half_even, safe_div
@@ -85,10 +85,10 @@ def land_mask_interval(df: DataFrame, case_keys: list[str], keys: list[str], hou
 def landfall_gate(df: DataFrame, case_keys: list[str], hour_col: str = "TIME",
                   dtl_col: str = "DTL", distance: float = LAND_DISTANCE_KM) -> DataFrame:
     """P5: drop every row of a case whose distance to land at hour 0 is at or
-    below ``distance`` (left-anti join with the failing cases)."""
-    bad = (df.where((F.col(hour_col) == 0) & (F.col(dtl_col) <= distance))
-           .select(*case_keys).distinct())
-    return df.join(bad, case_keys, "left_anti")
+    below ``distance`` (a window over the case, which later steps of a case
+    chain share)."""
+    near = F.max((F.col(hour_col) == 0) & (F.col(dtl_col) <= distance)).over(Window.partitionBy(*case_keys))
+    return df.withColumn("_landed", near).where(~F.coalesce("_landed", F.lit(False))).drop("_landed")
 
 
 def filter_years(df: DataFrame, years: list[int], date_col: str = "DATE_full",

@@ -52,11 +52,9 @@ def ir_features(df: DataFrame, case_keys: list[str], *, hour_col: str = "TIME",
     x = clean.select_predictors(df, case_keys + [hour_col], raw)
     x = clean.sentinel_to_null(x, raw)
     x = series.fill_fallback(x, IR_FALLBACK)
-    aggs = [F.max(F.when(F.col(hour_col) == s, F.col("IR00"))).alias(n) for s, n in zip(ir_slots, ir_names)]
-    aggs += [F.max(F.when(F.col(hour_col) == s, F.col("PC00"))).alias(n) for s, n in zip(pc_slots, pc_names)]
-    per_case = x.groupBy(*case_keys).agg(*aggs)
-    rows = x.where(F.col(hour_col).isin(hours)).select(*case_keys, hour_col)
-    return rows.join(per_case, case_keys, "left")
+    x = series.slot_features(x, case_keys, hour_col, "IR00", ir_slots, ir_names)
+    x = series.slot_features(x, case_keys, hour_col, "PC00", pc_slots, pc_names)
+    return x.where(F.col(hour_col).isin(hours)).select(*case_keys, hour_col, *ir_names, *pc_names)
 
 
 def join_dynamic_ir(dyn: DataFrame, ir: DataFrame, case_keys: list[str],
@@ -66,26 +64,45 @@ def join_dynamic_ir(dyn: DataFrame, ir: DataFrame, case_keys: list[str],
 
 
 def case_features(df: DataFrame, case_keys: list[str], predictors: list[str], *,
-                  hour_col: str = "TIME", hours: list[int] | None = None,
-                  factors: dict[str, float] | None = None, mask: str = "SIMPLE_MASK",
-                  gate: bool = True, ir_kw: dict | None = None, **dyn_kw) -> DataFrame:
-    """P3 -> P5 -> P4 -> F1 + F2 -> J3 on all cases at once.
-
-    The sentinel is nulled before scaling (P2 inside F1/F2 reads raw values),
-    so a scaled 9999 is never mistaken for data.
+                  hour_col: str = "TIME", hours: list[int] | None = None, carry: list[str] | None = None,
+                  factors: dict[str, float] | None = None, mask: str = "SIMPLE_MASK", gate: bool = True,
+                  basin_col: str | None = None, southern_basin: str = clean.SOUTHERN_BASIN,
+                  nsst_basins: list[str] | None = None, ir_slots: list[int] = IR_SLOTS,
+                  ir_names: list[str] = IR_NAMES, pc_slots: list[int] = PC_SLOTS, pc_names: list[str] = PC_NAMES,
+                  calc_pot: bool = True, interp: bool = True, guard_col: str = "SHRG") -> DataFrame:
+    """P2 -> P3 -> P5 -> P4 -> P10 -> P11, then F1 and F2 from that one frame.
+
+    Sentinels are nulled before scaling; scaling and mask reach the IR and PC
+    series as well as the predictors. With ``basin_col`` the southern basin's
+    Z850 is negated and NSST / NOHC come from the column the basin reports.
+    ``carry`` columns stay as they are. Everything per case (gate, POT, DELV -12,
+    slots, interpolation) is a window over the case: one exchange.
     """
-    x = df
-    if gate:
-        x = clean.landfall_gate(x, case_keys, hour_col)
+    hours = hours if hours is not None else FEATURE_HOURS
     raw_ir = ["IR00", "IRM1", "IRM3", "PC00", "PCM1", "PCM3"]
-    keys = case_keys + [hour_col]
-    masked = clean.land_mask(clean.sentinel_to_null(x, predictors), keys + ["DTL"] + raw_ir,
-                             mask_type=mask)
+    keys = case_keys + [hour_col] + [c for c in (carry or []) + ([basin_col] if basin_col else []) if c not in case_keys]
+    keys = list(dict.fromkeys(keys))
+    ocean = [r for n, r in (("NSST", "RSST"), ("NOHC", "RHCN")) if basin_col and n in predictors and r in df.columns]
+    values = list(dict.fromkeys([*predictors, *ocean, "DTL", *raw_ir]))
+    x = clean.sentinel_to_null(df.select(*keys, *values), values)
     if factors:
-        masked = clean.apply_scale_factors(masked, {k: v for k, v in factors.items() if k in predictors})
-    dyn = dynamic_features(masked, case_keys, predictors, hour_col=hour_col, hours=hours, **dyn_kw)
-    ir = ir_features(x, case_keys, hour_col=hour_col, hours=hours, **(ir_kw or {}))
-    return join_dynamic_ir(dyn, ir, case_keys, hour_col)
+        x = clean.apply_scale_factors(x, {k: v for k, v in factors.items() if k in values})
+    if gate:
+        x = clean.landfall_gate(x, case_keys, hour_col)
+    x = clean.land_mask(x, keys, mask_type=mask)
+    if basin_col:
+        if "Z850" in predictors:
+            x = clean.flip_hemisphere_sign(x, "Z850", basin_col, southern_basin)
+        x = clean.harmonise_ocean_columns(x, basin_col, nsst_basins=nsst_basins)
+    if calc_pot:
+        x = series.potential_intensity(x, case_keys, hour_col)
+    x = series.persistence(x, case_keys, hour_col)
+    x = series.fill_fallback(x, IR_FALLBACK)
+    x = series.slot_features(x, case_keys, hour_col, "IR00", ir_slots, ir_names)
+    x = series.slot_features(x, case_keys, hour_col, "PC00", pc_slots, pc_names)
+    dyn = [*predictors, *(["POT"] if calc_pot else []), "DELV -12"]
+    x = x.where(F.col(hour_col).isin(hours)).select(*keys, *dyn, *ir_names, *pc_names)
+    return series.interpolate_case(x, case_keys, hour_col, dyn, guard_col=guard_col) if interp else x
 
 
 def average_hours(df: DataFrame, case_keys: list[str], feature_cols: list[str],

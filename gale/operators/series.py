@@ -121,14 +121,18 @@ def exact_time_change(df: DataFrame, storm_keys: list[str], time_col: str,
 # ------------------------------------------------------------ per-case ops
 
 
+def at_hour(case_keys: list[str], hour_col: str, hour: int, value_col: str) -> Column:
+    """Value of ``value_col`` at forecast hour ``hour``, on every row of the
+    case; null if the case has no such hour. A window over the case (at most
+    one row per forecast hour), so that all columns of a case share one
+    partitioning."""
+    return F.max(F.when(F.col(hour_col) == hour, F.col(value_col))).over(Window.partitionBy(*case_keys))
+
+
 def value_at_hour(df: DataFrame, case_keys: list[str], hour_col: str, hour: int,
                   value_col: str, out_col: str) -> DataFrame:
-    """Value of ``value_col`` at forecast hour ``hour`` repeated on every row
-    of the case; null if the case has no such hour. A grouped aggregate
-    joined back on the case keys (bounded groups, partial aggregation)."""
-    at = (df.where(F.col(hour_col) == hour)
-          .groupBy(*case_keys).agg(F.max(value_col).alias(out_col)))
-    return df.join(at, case_keys, "left")
+    """:func:`at_hour` as a column."""
+    return df.withColumn(out_col, at_hour(case_keys, hour_col, hour, value_col))
 
 
 def potential_intensity(df: DataFrame, case_keys: list[str], hour_col: str = "TIME",
@@ -147,12 +151,8 @@ def persistence(df: DataFrame, case_keys: list[str], hour_col: str = "TIME",
 def slot_features(df: DataFrame, case_keys: list[str], hour_col: str, source_col: str,
                   slots: list[int], names: list[str]) -> DataFrame:
     """Features stored in fixed 'hour' slots of one series (IR00/PC00):
-    the value at each slot becomes its own column on every row of the case.
-    One conditional aggregate per case, joined back."""
-    aggs = [F.max(F.when(F.col(hour_col) == s, F.col(source_col))).alias(n)
-            for s, n in zip(slots, names)]
-    at = df.groupBy(*case_keys).agg(*aggs)
-    return df.join(at, case_keys, "left")
+    the value at each slot becomes its own column on every row of the case."""
+    return df.withColumns({n: at_hour(case_keys, hour_col, s, source_col) for s, n in zip(slots, names)})
 
 
 def fill_fallback(df: DataFrame, chains: dict[str, list[str]]) -> DataFrame:

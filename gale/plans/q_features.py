@@ -4,6 +4,7 @@ J7, M2)."""
 
 from __future__ import annotations
 
+from pyspark.sql import functions as F
 
 from gale.operators import clean, features, series
 from gale.plans import views as V
@@ -257,38 +258,52 @@ def q_join_dynamic_ir(spark, sf_dir):
     return features.join_dynamic_ir(dyn, ir, CASE)
 
 
+# stand-in divisors, basins and ocean columns of the case chain
+F3_DYN = DYN + ["NSST"]
+_F3_COLS = F3_DYN + ["POT", "DELV -12"]
+F3_FACTORS = {"SHRG": 10.0, "D200": 10.0, "NSST": 10.0, "RSST": 10.0, "IR00": 10.0, "IRM1": 10.0, "IRM3": 10.0,
+              "PC00": 100.0, "PCM1": 100.0, "PCM3": 100.0}
+_RAW_IR = ["IR00", "IRM1", "IRM3", "PC00", "PCM1", "PCM3"]
+
+
+def _f3(c: str) -> str:
+    return f"CASE WHEN DTL <= 100 THEN NULL ELSE nullif({c}, 9999) / {F3_FACTORS.get(c, 1.0)} END"
+
+
 _F3_SQL = f"""
-g AS (SELECT * FROM hours WHERE case_id NOT IN (SELECT case_id FROM hours WHERE TIME = 0 AND DTL <= 100)),
-x0 AS (SELECT case_id, TIME, {', '.join(f'CASE WHEN DTL <= 100 THEN NULL ELSE nullif({c}, 9999) END AS {c}' for c in DYN)} FROM g),
+g AS (SELECT * FROM cases WHERE case_id NOT IN (SELECT case_id FROM cases WHERE TIME = 0 AND DTL <= 100)),
+m AS (SELECT case_id, TIME, BASIN, NAME, DATE_full, {', '.join(f'{_f3(c)} AS {c}' for c in F3_DYN + ["RSST"] + _RAW_IR)} FROM g),
+x0 AS (SELECT * REPLACE (CASE WHEN BASIN = 'AFRICA' THEN -Z850 ELSE Z850 END AS Z850,
+                         CASE WHEN BASIN IN ('AMERICA', 'EUROPE') THEN NSST ELSE RSST END AS NSST) FROM m),
 v0 AS (SELECT case_id, max(VMAX) AS v0 FROM x0 WHERE TIME = 0 GROUP BY case_id),
 dm AS (SELECT case_id, max(DELV) AS dm FROM x0 WHERE TIME = -12 GROUP BY case_id),
 x AS (SELECT x0.*, x0.VMPI - v0.v0 AS POT, dm.dm AS "DELV -12"
       FROM x0 LEFT JOIN v0 ON x0.case_id = v0.case_id LEFT JOIN dm ON x0.case_id = dm.case_id
       WHERE TIME IN ({', '.join(map(str, FORE))})),
-{interp_sql('x', _DYN_COLS)},
-f0 AS (SELECT case_id, TIME,
-         coalesce(nullif(IR00, 9999), nullif(IRM1, 9999), IRM3) AS IR00,
-         coalesce(nullif(PC00, 9999), nullif(PCM1, 9999), PCM3) AS PC00 FROM g),
+{interp_sql('x', _F3_COLS)},
+f0 AS (SELECT case_id, TIME, coalesce(IR00, IRM1, IRM3) AS IR00, coalesce(PC00, PCM1, PCM3) AS PC00 FROM x0),
 fs AS (SELECT case_id,
   {', '.join(f'max(CASE WHEN TIME = {s} THEN IR00 END) AS {n}' for s, n in zip(IR_SLOTS, IR_NAMES))},
   {', '.join(f'max(CASE WHEN TIME = {s} THEN PC00 END) AS {n}' for s, n in zip(PC_SLOTS, PC_NAMES))}
   FROM f0 GROUP BY case_id),
-f2 AS (SELECT f0.case_id, f0.TIME, fs.* EXCLUDE (case_id) FROM f0 LEFT JOIN fs ON f0.case_id = fs.case_id
-       WHERE f0.TIME IN ({', '.join(map(str, FORE))})),
-f3 AS (SELECT i.case_id, i.TIME, {', '.join('i.' + _q(c) for c in _DYN_COLS)}, {', '.join('f2.' + c for c in _IR_COLS)}
-       FROM interp i LEFT JOIN f2 ON i.case_id = f2.case_id AND i.TIME = f2.TIME)
+f3 AS (SELECT i.case_id, i.TIME, i.NAME || CAST(year(i.DATE_full) AS VARCHAR) AS ATCFID,
+         {', '.join('i.' + _q(c) for c in _F3_COLS)}, {', '.join('fs.' + c for c in _IR_COLS)}
+       FROM interp i LEFT JOIN fs ON i.case_id = fs.case_id)
 """
 
 
 @register("case_features", f"""
 WITH {_F3_SQL}
-SELECT case_id, TIME, {', '.join(f'{R(_q(c))} AS {_q(c)}' for c in _DYN_COLS + _IR_COLS)} FROM f3
-""", ("hours",))
+SELECT case_id, TIME, ATCFID, {', '.join(f'{R(_q(c))} AS {_q(c)}' for c in _F3_COLS + _IR_COLS)} FROM f3
+""", ("cases",))
 def q_case_features(spark, sf_dir):
-    """landfall gate -> sentinel -> land mask -> F1 + F2 -> J3."""
-    return features.case_features(V.hours(spark, sf_dir, materialized=True), CASE, DYN, hours=FORE,
-                                  ir_kw=dict(ir_slots=IR_SLOTS, ir_names=IR_NAMES,
-                                             pc_slots=PC_SLOTS, pc_names=PC_NAMES))
+    """F3 + P10 + P11 + P14: sentinel -> scaling -> landfall gate -> land mask ->
+    basin rules -> F1 + F2 from one frame, storm id of name and year."""
+    f = features.case_features(V.cases(spark, sf_dir), CASE, F3_DYN, hours=FORE, carry=["NAME", "DATE_full"],
+                               factors=F3_FACTORS, basin_col="BASIN", southern_basin="AFRICA",
+                               nsst_basins=["AMERICA", "EUROPE"], ir_slots=IR_SLOTS, ir_names=IR_NAMES,
+                               pc_slots=PC_SLOTS, pc_names=PC_NAMES)
+    return f.withColumn("ATCFID", F.concat("NAME", F.year("DATE_full").cast("string"))).drop("NAME", "DATE_full", "BASIN")
 
 
 # -------------------------------------------------- P6, P10, P11, P22 on cases
