@@ -24,6 +24,8 @@ from gale.operators.scan import with_lead, with_position
 # (unix microseconds), so a long or hot series spreads over many tasks and
 # the per-series offsets table has one row per day the series spans.
 TIME_BUCKET = 86400 * 1e6
+# Days of one storm in one window task (6-hourly data: 128 rows).
+CHUNK_DAYS = 32
 
 
 def _width(df: DataFrame, time_col: str) -> float | None:
@@ -35,6 +37,26 @@ def _interval(gap: str) -> Column:
     return F.expr(f"INTERVAL {gap}")
 
 
+def _lead_within_a_day(df: DataFrame, keys: list[str], time_col: str, order: list[str], cols: list[str],
+                       steps: int, suffix: str) -> DataFrame:
+    """``lead(c, steps)`` for partners at most a day later; others may be null.
+
+    A series is cut in chunks of ``CHUNK_DAYS`` days, and the rows of a chunk's
+    first day are copied behind the previous chunk: every row sees all rows of
+    its own and the next day. One window over (series, chunk): one shuffle,
+    no join, and a long series spreads over many tasks.
+    """
+    day = F.datediff(F.to_date(time_col), F.lit("1970-01-01"))
+    chunk = F.floor(day / CHUNK_DAYS)
+    own = F.struct(chunk.alias("c"), F.lit(True).alias("own"))
+    halo = F.struct((chunk - 1).alias("c"), F.lit(False).alias("own"))
+    first = F.coalesce(F.pmod(day, F.lit(CHUNK_DAYS)) == 0, F.lit(False))
+    x = df.withColumn("_at", F.explode(F.when(first, F.array(own, halo)).otherwise(F.array(own))))
+    w = Window.partitionBy(*keys, F.col("_at.c")).orderBy(*[F.col(c).asc() for c in order])
+    x = x.withColumns({c + suffix: F.lead(c, steps).over(w) for c in cols})
+    return x.where("_at.own").drop("_at")
+
+
 def change_over_rows(df: DataFrame, keys: list[str], time_col: str, value_cols: list[str], *,
                      steps: int = 4, gap: str | None = "1 DAY", tiebreak: list[str] | None = None,
                      carry: list[str] | None = None, prefix: str = "d24_",
@@ -50,8 +72,11 @@ def change_over_rows(df: DataFrame, keys: list[str], time_col: str, value_cols:
     carry = [c for c in (carry or []) if c not in keys and c != time_col]
     order = [time_col] + list(tiebreak or [])
     base = df.select(*dict.fromkeys(keys + order + carry + value_cols))
-    j = with_lead(base, keys, order, [time_col] + value_cols, steps, suffix="_later",
-                  bucket_width=_width(df, time_col))
+    if keys and gap == "1 DAY" and _width(df, time_col):
+        j = _lead_within_a_day(base, keys, time_col, order, [time_col] + value_cols, steps, "_later")
+    else:
+        j = with_lead(base, keys, order, [time_col] + value_cols, steps, suffix="_later",
+                      bucket_width=_width(df, time_col))
     ok = F.lit(True) if gap is None else (F.col(time_col + "_later") == F.col(time_col) + _interval(gap))
     diffs = {prefix + c: F.when(ok, F.col(c + "_later") - F.col(c)) for c in value_cols}
     out = j.select(*dict.fromkeys(keys + order + carry), *[v.alias(k) for k, v in diffs.items()])
