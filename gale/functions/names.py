@@ -76,3 +76,13 @@ def basin_long_name(code: str | Column, merge_central: bool = False) -> Column:
 def technique_name(c: str | Column, older: bool = False) -> Column:
     """Technique code -> product name."""
     return lookup(c, TECHNIQUE_NAMES_2019 if older else TECHNIQUE_NAMES)
+
+
+def basin_code(name: str | Column) -> Column:
+    """Basin name -> two-letter code, merged basins under their partner's."""
+    return lookup(lookup(name, BASIN_MERGES), BASIN_CODES)
+
+
+def model_name(c: str | Column) -> Column:
+    """Model renames of the reliability tables."""
+    return lookup(c, MODEL_NAMES)

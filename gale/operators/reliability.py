@@ -45,7 +45,7 @@ def verify_forecasts(forecasts: DataFrame, observed: DataFrame, keys: list[str])
 
 def restrict_to_predicted(forecasts: DataFrame, predicted: DataFrame, keys: list[str]) -> DataFrame:
     """Keep forecasts whose keys were also predicted (left semi join)."""
-    return forecasts.join(predicted.select(*keys).distinct(), keys, "left_semi")
+    return forecasts.join(predicted.select(*keys), keys, "left_semi")
 
 
 def reliability_from_products(matched: DataFrame, tech_col: str, basin_col: str, prob_col: str,
@@ -62,16 +62,20 @@ def reliability_from_products(matched: DataFrame, tech_col: str, basin_col: str,
     return _table(x, ["Model", "Predicted_Basin", "Predicted_Pct"])
 
 
-def consensus_reliability(rel: DataFrame, member_sets: dict[str, list[str]]) -> DataFrame:
-    """For each named set of members, the mean over members of the
-    observed % per (basin, bin), zeros treated as missing. The set table is
-    the fixed definition (a handful of rows), so it is broadcast."""
-    spark = rel.sparkSession
-    sets = spark.createDataFrame([(s, m) for s, ms in member_sets.items() for m in ms],
+def consensus_reliability(model: DataFrame, products: DataFrame, member_sets: dict[str, list[str]],
+                          model_name: str = "Random Forest") -> DataFrame:
+    """For each named set, the mean over the model's row and the rows of
+    the set's products per (basin, bin): observed %, events and totals, zeros
+    treated as missing. ``model``: reliability rows of the one chosen model.
+    The set table is the fixed definition (a handful of rows), so it is
+    broadcast."""
+    spark = products.sparkSession
+    sets = spark.createDataFrame([(s, m) for s, ms in member_sets.items() for m in [model_name, *ms]],
                                  "Consensus string, Model string")
-    j = rel.join(F.broadcast(sets), "Model")
-    return j.groupBy("Consensus", "Predicted_Basin", "Predicted_Pct").agg(
-        F.avg(F.nullif(F.col("Observed_Pct"), F.lit(0.0))).alias("Observed_Pct"),
+    cols = ["Model", "Predicted_Basin", "Predicted_Pct", "Observed_Pct", "Observed_No_RI", "Observed_No_Total"]
+    both = model.withColumn("Model", F.lit(model_name)).select(*cols).unionByName(products.select(*cols))
+    return both.join(F.broadcast(sets), "Model").groupBy("Consensus", "Predicted_Basin", "Predicted_Pct").agg(
+        *[F.avg(F.nullif(F.col(c).cast("double"), F.lit(0.0))).alias(c) for c in cols[3:]],
         F.count(F.lit(1)).alias("n_members"))
 
 

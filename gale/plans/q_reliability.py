@@ -4,22 +4,27 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
+from gale.functions.names import basin_code, lookup
 from gale.operators import reliability as rel
 from gale.operators import series
 from gale.operators.clean import bin_probability
 from gale.plans import views as V
 from gale.plans.catalog import R, register
+from gale.plans.render import TECH_CODES
 
-# Stand-in product sets for the consensus (the reference names six sets of
-# operational products; here the techniques are event types).
+# The product sets joined with the model in a consensus.
 PRODUCT_SETS = {
-    "con_click_view": ["click", "view"],
-    "con_buy_sign": ["purchase", "signup"],
-    "con_error_click": ["error", "click"],
-    "con_three": ["click", "view", "purchase"],
-    "con_four": ["click", "view", "purchase", "signup"],
-    "con_all": ["click", "view", "purchase", "signup", "error"],
+    "FRIA": ["FRIA"],
+    "RIPA_FRIA": ["RAPC", "FRIA"],
+    "RII_FRIA": ["FRIA", "RIOD"],
+    "RII_RIPA": ["RAPC", "RIOD"],
+    "SHIPS-RII": ["RIOD"],
+    "ALL": ["RAPC", "FRIA", "RIOD"],
 }
+# Stand-in basins: regions and event types renamed into basin names.
+REGION_BASINS = {"AMERICA": "ATLANTIC", "EUROPE": "EAST_PACIFIC", "ASIA": "WEST_PACIFIC", "AFRICA": "SOUTHERN_HEM"}
+TYPE_BASINS = {"click": "ATLANTIC", "error": "EAST_PACIFIC", "purchase": "WEST_PACIFIC", "signup": "SOUTHERN_HEM",
+               "view": "CENTRAL_PACIFIC"}
 
 
 def _bin_sql(x: str) -> str:
@@ -115,18 +120,38 @@ def q_reliability_products(spark, sf_dir):
 
 
 _SETS_SQL = " UNION ALL ".join(f"SELECT '{s}' AS Consensus, '{m}' AS Model"
-                               for s, ms in PRODUCT_SETS.items() for m in ms)
+                               for s, ms in PRODUCT_SETS.items() for m in ["Random Forest", *ms])
+_TYPE_CODE_SQL = "CASE grp WHEN 'click' THEN 'AL' WHEN 'purchase' THEN 'WP' WHEN 'signup' THEN 'SH' ELSE 'EP' END"
+_TECH_CODE_SQL = ("CASE Tech WHEN 'click' THEN 'RIOC' WHEN 'view' THEN 'RIOD' WHEN 'purchase' THEN 'LDA0' "
+                  "WHEN 'signup' THEN 'RAPC' ELSE 'FRIA' END")
 
 
 @register("consensus_reliability", f"""
-WITH {_A15_SQL}, sets AS ({_SETS_SQL})
+WITH {_TRACK_SQL}, {_A16_SQL},
+bb AS (SELECT {_TECH_CODE_SQL} AS Model, {_TYPE_CODE_SQL} AS Predicted_Basin, {_bin_sql('prob')} AS Predicted_Pct,
+         d24_VMAX >= 30 AS ev FROM m),
+a15 AS (SELECT Model, Predicted_Basin, Predicted_Pct, CAST(count(*) FILTER (WHERE ev) AS BIGINT) AS Observed_No_RI,
+          count(*) AS Observed_No_Total, 100.0 * count(*) FILTER (WHERE ev) / count(*) AS Observed_Pct
+        FROM bb WHERE Predicted_Pct < 1000 GROUP BY ALL),
+every AS (SELECT 'Random Forest' AS Model, CASE Predicted_Basin WHEN 'AMERICA' THEN 'AL' WHEN 'EUROPE' THEN 'EP'
+            WHEN 'ASIA' THEN 'WP' WHEN 'AFRICA' THEN 'SH' ELSE Predicted_Basin END AS Predicted_Basin,
+            Predicted_Pct, Observed_No_RI, Observed_No_Total, Observed_Pct FROM a16 WHERE Model = 'O'
+          UNION ALL SELECT * FROM a15),
+sets AS ({_SETS_SQL})
 SELECT Consensus, Predicted_Basin, {R('Predicted_Pct')} AS Predicted_Pct,
-       {R('avg(nullif(Observed_Pct, 0.0))')} AS Observed_Pct, count(*) AS n_members
-FROM a15 JOIN sets USING (Model) GROUP BY ALL
-""", ("cycles", "forecasts"))
+       {R('avg(nullif(Observed_Pct, 0.0))')} AS Observed_Pct, {R('avg(nullif(Observed_No_RI, 0))')} AS Observed_No_RI,
+       {R('avg(nullif(Observed_No_Total, 0))')} AS Observed_No_Total, count(*) AS n_members
+FROM every JOIN sets USING (Model) GROUP BY ALL
+""", ("scored", "cycles", "forecasts"))
 def q_consensus_reliability(spark, sf_dir):
-    """Mean observed % (zeros as missing) over each named product set."""
-    return rel.consensus_reliability(_a15(spark, sf_dir), PRODUCT_SETS)
+    """A17 + P12: the chosen model's table averaged with each named product
+    set's (zeros as missing), basins as codes."""
+    model = _a16(spark, sf_dir).where("Model = 'O'")
+    model = model.withColumn("Predicted_Basin", basin_code(lookup("Predicted_Basin", REGION_BASINS)))
+    m = _matched(spark, sf_dir).withColumns({"Tech": lookup("Tech", TECH_CODES),
+                                             "grp": basin_code(lookup("grp", TYPE_BASINS))})
+    products = rel.reliability_from_products(m, "Tech", "grp", "prob", "d24_VMAX")
+    return rel.consensus_reliability(model, products, PRODUCT_SETS)
 
 
 @register("union_by_name", f"""

@@ -6,12 +6,15 @@ from gale.operators import explore, reliability
 
 
 def test_consensus_treats_zero_as_missing(spark):
-    rel = spark.createDataFrame(
-        [("m1", "AL", 10.0, 0.0), ("m2", "AL", 10.0, 20.0), ("m3", "AL", 10.0, 40.0), ("m1", "AL", 20.0, 30.0)],
-        "Model string, Predicted_Basin string, Predicted_Pct double, Observed_Pct double")
-    out = {(r.Consensus, r.Predicted_Pct): r.Observed_Pct for r in
-           reliability.consensus_reliability(rel, {"s12": ["m1", "m2"], "s13": ["m1", "m3"]}).collect()}
-    assert out[("s12", 10.0)] == 20.0 and out[("s13", 10.0)] == 40.0 and out[("s12", 20.0)] == 30.0
+    cols = ("Model string, Predicted_Basin string, Predicted_Pct double, Observed_Pct double, Observed_No_RI long, "
+            "Observed_No_Total long")
+    rel = spark.createDataFrame([("m1", "AL", 10.0, 0.0, 0, 4), ("m2", "AL", 10.0, 20.0, 1, 5), ("m3", "AL", 10.0, 40.0, 2, 5)], cols)
+    model = spark.createDataFrame([("any", "AL", 10.0, 60.0, 3, 5), ("any", "AL", 20.0, 30.0, 3, 10)], cols)
+    out = {(r.Consensus, r.Predicted_Pct): r for r in
+           reliability.consensus_reliability(model, rel, {"s12": ["m1", "m2"], "s3": ["m3"]}).collect()}
+    assert out[("s12", 10.0)].Observed_Pct == 40.0 and out[("s12", 10.0)].Observed_No_RI == 2.0
+    assert out[("s12", 10.0)].n_members == 3 and out[("s3", 10.0)].Observed_Pct == 50.0
+    assert out[("s12", 20.0)].Observed_Pct == 30.0 and out[("s12", 20.0)].Observed_No_Total == 10.0
 
 
 def test_class_weights_with_all(spark):

@@ -16,3 +16,49 @@ def test_no_cartesian(spark, name):
     df = E.queries()[name](spark, SMALL)
     plan = df._jdf.queryExecution().executedPlan().toString()
     assert "CartesianProduct" not in plan and "BroadcastNestedLoopJoin" not in plan
+
+
+def _exchanges(df) -> int:
+    plan = df._jdf.queryExecution().executedPlan().toString()
+    return sum("Exchange " in line and "ReusedExchange" not in line for line in plan.splitlines())
+
+
+@pytest.fixture
+def big(spark):
+    """Plans as for tables too large to broadcast, before any adaptive change."""
+    keys = {"spark.sql.autoBroadcastJoinThreshold": "-1", "spark.sql.adaptive.enabled": "false"}
+    before = {k: spark.conf.get(k) for k in keys}
+    for k, v in keys.items():
+        spark.conf.set(k, v)
+    yield spark
+    for k, v in before.items():
+        spark.conf.set(k, v)
+
+
+def test_exchange_bounds_of_operators(big):
+    from gale.operators import features, series
+    from gale.plans import q_features as Q
+    from gale.plans import views as V
+    hours = big.createDataFrame([], V.cases(big, SMALL).schema)
+    cyc = big.createDataFrame([], V.cycles(big, SMALL).schema)
+    assert _exchanges(series.change_24h(cyc, ["storm_id"], "DATE_full", ["VMAX"])) == 1
+    assert _exchanges(series.track_change(cyc, ["storm_id"], "DATE_full")) == 1
+    f = features.case_features(hours, Q.CASE, Q.F3_DYN, hours=Q.FORE, carry=["NAME", "DATE_full"],
+                               factors=Q.F3_FACTORS, basin_col="BASIN", ir_slots=Q.IR_SLOTS, ir_names=Q.IR_NAMES,
+                               pc_slots=Q.PC_SLOTS, pc_names=Q.PC_NAMES)
+    assert _exchanges(f) == 1
+
+
+def test_long_series_spreads_over_tasks(spark):
+    """One storm with 90 % of the rows: no window partition holds much of it."""
+    from pyspark.sql import functions as F
+
+    from gale.operators import series
+    rows = spark.range(7200).select(F.when(F.col("id") % 10 == 0, F.col("id")).otherwise(-1).alias("storm"),
+                                    F.expr("timestamp_ntz '1980-01-01 00:00:00' + make_dt_interval(0, int(id * 6))").alias("t"),
+                                    F.rand(1).alias("v"))
+    plan = series.change_24h(rows, ["storm"], "t", ["v"])
+    assert plan.count() == 720 * 5  # a partner four rows and 24 h later, unless one of the five rows is another storm's
+    day = F.datediff(F.to_date("t"), F.lit("1970-01-01"))
+    most = rows.groupBy("storm", F.floor(day / series.CHUNK_DAYS)).count().agg(F.max("count")).first()[0]
+    assert most <= 4 * series.CHUNK_DAYS
