@@ -69,6 +69,16 @@ def _counted(total: Counter) -> pa.RecordBatch:
     return pa.record_batch({"word": pa.array(list(total), pa.binary()), "c": pa.array(list(total.values()), pa.int64())})
 
 
+class _Codes(dict):
+    def __init__(self, add):
+        super().__init__()
+        self.add = add
+
+    def __missing__(self, word: bytes) -> int:
+        self[word] = n = self.add(word)
+        return n
+
+
 class Lexicon:
     """Codes of words: ending class, context hash, log10(count + alpha) of frequent ones."""
 
@@ -77,7 +87,7 @@ class Lexicon:
         self.reset()
 
     def reset(self) -> None:
-        self.code: dict[bytes, int] = {}
+        self.code = _Codes(self.add)
         self.words: list[bytes] = []
         self.rows = np.zeros((1024, 3))
         self.hash = np.zeros(1024, np.uint64)
@@ -91,12 +101,10 @@ class Lexicon:
         self.rows[n] = self.endings.get(word[-2:], 0), c > 0, math.log10(c + self.alpha) if c else 0.0
         self.hash[n] = zlib.crc32(word) + 1
         self.words.append(word)
-        self.code[word] = n
         return n
 
     def encode(self, tokens: list[bytes]) -> np.ndarray:
-        get, add = self.code.get, self.add
-        return np.fromiter(((c if (c := get(w)) is not None else add(w)) for w in tokens), np.int64, len(tokens))
+        return np.fromiter(map(self.code.__getitem__, tokens), np.int64, len(tokens))
 
 
 def features(h: np.ndarray) -> np.ndarray:
@@ -133,10 +141,29 @@ def _contexts(docs, lexicon: Lexicon) -> tuple[np.ndarray, np.ndarray]:
     return f, cls
 
 
-def log_softmax(weights: np.ndarray, bias: np.ndarray, f: np.ndarray) -> np.ndarray:
-    z = weights[f[0]] + weights[f[1]] + weights[f[2]] + weights[f[3]] + bias
+def shifted_logits(weights: np.ndarray, bias: np.ndarray, f: np.ndarray) -> np.ndarray:
+    """Logits of all classes, less their maximum."""
+    z = weights.take(f[0], 0)
+    for row in f[1:]:
+        z += weights.take(row, 0)
+    z += bias
     z -= z.max(1, keepdims=True)
-    return z - np.log(np.exp(z).sum(1, keepdims=True))
+    return z
+
+
+def softmax(weights: np.ndarray, bias: np.ndarray, f: np.ndarray) -> np.ndarray:
+    z = shifted_logits(weights, bias, f)
+    np.exp(z, out=z)
+    z /= z.sum(1, keepdims=True)
+    return z
+
+
+def log_probability(weights: np.ndarray, bias: np.ndarray, f: np.ndarray, cls: np.ndarray) -> np.ndarray:
+    """Natural log of the class factor of the given classes."""
+    z = shifted_logits(weights, bias, f)
+    own = z[np.arange(len(cls)), cls]
+    np.exp(z, out=z)
+    return own - np.log(z.sum(1))
 
 
 def _train(model, rate: float):
@@ -148,13 +175,16 @@ def _train(model, rate: float):
             f_all, cls_all = _contexts(docs, lexicon)
             for lo in range(0, f_all.shape[1], BLOCK):
                 f, cls = f_all[:, lo:lo + BLOCK], cls_all[lo:lo + BLOCK]
-                g = np.exp(log_softmax(w, bias, f))
+                g = softmax(w, bias, f)
                 g[np.arange(len(cls)), cls] -= 1
                 flat = f.reshape(-1).astype(np.uint16)
                 order = np.argsort(flat, kind="stable")
-                rows, first, n = np.unique(flat[order], return_index=True, return_counts=True)
-                grad = np.add.reduceat(g[order % len(cls)], first, axis=0)
-                sq[rows] += (grad * grad).sum(1)
+                n = np.bincount(flat, minlength=len(w))  # the sorted rows follow each other in these runs
+                rows = np.nonzero(n)[0]
+                n = n[rows]
+                first = np.cumsum(n) - n
+                grad = np.add.reduceat(g.take(order % len(cls), 0), first, axis=0)
+                sq[rows] += np.einsum("ij,ij->i", grad, grad)
                 w[rows] -= rate * grad / np.sqrt(sq[rows])[:, None]
                 seen[rows] += n
         rows = np.nonzero(seen)[0]
@@ -173,8 +203,7 @@ def _score(model, frequent):
             f, cls = _contexts(docs, lexicon)
             own = np.empty(f.shape[1])
             for lo in range(0, f.shape[1], BLOCK):
-                k = cls[lo:lo + BLOCK]
-                own[lo:lo + BLOCK] = log_softmax(m["weights"], m["bias"], f[:, lo:lo + BLOCK])[np.arange(len(k)), k]
+                own[lo:lo + BLOCK] = log_probability(m["weights"], m["bias"], f[:, lo:lo + BLOCK], cls[lo:lo + BLOCK])
             own = own / math.log(10) - m["class_log"][cls]
             out = {k: [] for k in ("n", "known", "logs", "model", "words", "times")}
             lo = 0

@@ -5,7 +5,7 @@ from collections import Counter
 import numpy as np
 import pytest
 
-from gale.llm.maxent_lm import features, lm_scores, log_softmax
+from gale.llm.maxent_lm import features, lm_scores, log_probability, softmax
 
 
 def crc(i):
@@ -52,7 +52,11 @@ def test_class_factor_is_a_distribution():
     w = rng.normal(size=(1 << 14, 8)).astype(np.float32)
     f = features(np.concatenate([np.zeros(3, np.uint64), rng.integers(1, 2 ** 32, 50, dtype=np.uint64)]))
     assert f.shape == (4, 50) and f.min() >= 0 and f.max() < 1 << 14
-    assert np.allclose(np.exp(log_softmax(w, np.zeros(8, np.float32), f)).sum(1), 1, atol=1e-5)
+    bias = rng.normal(size=8).astype(np.float32)
+    p = softmax(w, bias, f)
+    assert np.allclose(p.sum(1), 1, atol=1e-5)
+    for c in range(8):
+        assert np.allclose(np.exp(log_probability(w, bias, f, np.full(50, c))), p[:, c], atol=1e-5)
 
 
 def test_empty(nothing):
