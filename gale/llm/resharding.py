@@ -10,16 +10,18 @@ Method
      document: no task ever orders a whole shard.
   3. The flow cuts every line into block transfers, one interval per receiving
      shard; a document goes where its middle byte lies. A shard differs from
-     its capacity by at most half a document per cut.
+     its capacity by at most half a document per cut. All this runs on (id,
+     hash, size) alone and ends in the table of pieces: which rows of which block
+     go to which shard, from which slot on.
   4. The files of affected shards are rewritten (a shard that keeps all its
-     rows and gets none is left alone): several files a shard, each a range of
-     slots.
+     rows and gets none is left alone): the documents are shuffled once, by
+     block, and every task writes the pieces of its blocks.
 
 Defined results
   null text has no bytes (its size is ``overhead``); null and repeated ids:
-  every input row is placed once; equal documents are interchangeable; empty
-  table: empty result; other columns travel with their row, clashing names
-  included.
+  every input row is placed once (rows equal in id and text share a block); equal
+  documents are interchangeable; empty table: empty result; other columns
+  travel with their row, clashing names included.
 """
 
 from __future__ import annotations
@@ -28,7 +30,7 @@ import numpy as np
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from gale.llm.common import Scratch, fresh, shuffle_partitions
+from gale.llm.common import Scratch, fresh
 
 
 def min_cost_flow(supply: list[int], capacity: list[int], cost: np.ndarray) -> np.ndarray:
@@ -87,9 +89,24 @@ def _intervals(flow: np.ndarray) -> list[tuple[int, float, float, int]]:
     return out
 
 
+def _placed(rows: DataFrame, names: DataFrame, old: str, cols: dict[str, str]) -> DataFrame:
+    """``rows`` with their block, the bytes up to them and their number in the block.
+
+    ``cols``: names of the columns id, dk, size, no, block, upto, nth."""
+    c = {k: F.col(f"`{v}`") for k, v in cols.items()}
+    place = F.xxhash64(c["dk"], c["id"])
+    name, blocks = fresh(rows, "name"), fresh(rows, "blocks")
+    names = names.toDF(name, cols["no"], blocks)
+    numbered = rows.join(F.broadcast(names), F.col(f"`{old}`").eqNullSafe(F.col(name))) \
+        .withColumn(cols["block"], F.pmod(place, F.col(blocks))).drop(name, blocks)
+    inside = Window.partitionBy(c["no"], c["block"]).orderBy(place, c["dk"], c["id"])
+    return numbered.withColumns({
+        cols["upto"]: F.sum(c["size"]).over(inside.rowsBetween(Window.unboundedPreceding, 0)),
+        cols["nth"]: F.row_number().over(inside)})
+
+
 def reshard(docs: DataFrame, old_col: str, shards: int, weights: list[float] | None = None, cost: np.ndarray | None = None,
-            id_col: str = "doc_id", text_col: str = "text", overhead: int = 16, block_rows: int = 50_000,
-            file_rows: int = 50_000) -> dict:
+            id_col: str = "doc_id", text_col: str = "text", overhead: int = 16, block_rows: int = 20_000) -> dict:
     """Rewrites ``docs`` from the shards in ``old_col`` into ``shards`` new ones.
 
     Returns ``flow`` (bytes from old to new), ``moved_bytes``, ``affected``
@@ -99,13 +116,11 @@ def reshard(docs: DataFrame, old_col: str, shards: int, weights: list[float] | N
     """
     spark = docs.sparkSession
     scratch = Scratch(spark, "resharding")
-    text, ident = F.col(f"`{text_col}`"), F.col(f"`{id_col}`")
+    text = F.col(f"`{text_col}`")
     size = F.coalesce(F.octet_length(text), F.lit(0)).cast("long") + overhead
     dk = F.xxhash64(F.coalesce(text, F.lit("")))
-    slim = docs.select(F.col(f"`{old_col}`").cast("string").alias("old"), ident.alias("doc_id"), dk.alias("dk"),
-                       size.alias("size"),
-                       F.xxhash64(dk, F.coalesce(ident, F.monotonically_increasing_id())).alias("place"))
-    slim = scratch.write(slim, "slim")
+    slim = scratch.write(docs.select(F.col(f"`{old_col}`").cast("string").alias("old"),
+                                     F.col(f"`{id_col}`").alias("doc_id"), dk.alias("dk"), size.alias("size")), "slim")
     sizes = slim.groupBy("old").agg(F.sum("size").alias("bytes"), F.count(F.lit(1)).alias("rows")) \
         .orderBy("old").collect()  # one row per old shard
     supply = [r["bytes"] for r in sizes]
@@ -113,48 +128,49 @@ def reshard(docs: DataFrame, old_col: str, shards: int, weights: list[float] | N
         cost = (np.arange(len(sizes))[:, None] != np.arange(shards)[None, :]).astype(float)
     flow = min_cost_flow(supply, capacities(sum(supply), shards, weights), cost)
     names = spark.createDataFrame([(r["old"], i, -(-r["rows"] // block_rows)) for i, r in enumerate(sizes)],
-                                  "old string, old_no int, blocks long")
+                                  "name string, old_no int, blocks long")
     cuts = spark.createDataFrame(_intervals(flow), "old_no int, lo double, hi double, shard int")
 
-    rows = slim.withColumnRenamed("old", "o").join(F.broadcast(names), F.col("o").eqNullSafe(F.col("old"))) \
-        .withColumn("block", F.pmod("place", "blocks"))
-    block = Window.partitionBy("old_no", "block")
-    inside = rows.withColumn("upto", F.sum("size").over(
-        block.orderBy("place", "dk", "doc_id").rowsBetween(Window.unboundedPreceding, 0)))
+    # the table of pieces, from ids, hashes and sizes
+    plain = {"id": "doc_id", "dk": "dk", "size": "size", "no": "old_no", "block": "block", "upto": "upto", "nth": "nth"}
+    inside = scratch.write(_placed(slim, names, "old", plain).select("old_no", "block", "upto", "nth", "size"), "inside")
     before = Window.partitionBy("old_no").orderBy("block").rowsBetween(Window.unboundedPreceding, -1)
-    starts = rows.groupBy("old_no", "block").agg(F.sum("size").alias("bytes")) \
+    starts = inside.groupBy("old_no", "block").agg(F.sum("size").alias("bytes")) \
         .select("old_no", "block", F.coalesce(F.sum("bytes").over(before), F.lit(0)).alias("base"))
     middle = F.col("base") + F.col("upto") - F.col("size") / 2
-    placed = inside.join(starts, ["old_no", "block"]).withColumn("middle", middle) \
+    cut = inside.join(starts, ["old_no", "block"]).withColumn("middle", middle) \
         .join(F.broadcast(cuts), "old_no").filter("middle >= lo AND middle < hi")
-    placed = scratch.write(placed.select("doc_id", "dk", "old_no", "block", "upto", "shard"), "placed")
-
-    pieces = placed.groupBy("shard", "old_no", "block").agg(F.count(F.lit(1)).alias("rows"))
     earlier = Window.partitionBy("shard").orderBy("old_no", "block").rowsBetween(Window.unboundedPreceding, -1)
-    pieces = pieces.withColumn("first", F.coalesce(F.sum("rows").over(earlier), F.lit(0))).drop("rows")
-    nth = F.row_number().over(Window.partitionBy("shard", "old_no", "block").orderBy("upto")) - 1
-    again = Window.partitionBy("doc_id", "dk").orderBy("shard", "slot")
-    plan = placed.withColumn("nth", nth).join(pieces, ["shard", "old_no", "block"]) \
-        .select("doc_id", "dk", "shard", (F.col("first") + F.col("nth")).alias("slot")) \
-        .withColumn("copy", F.row_number().over(again))
+    pieces = cut.groupBy("shard", "old_no", "block").agg(F.count(F.lit(1)).alias("rows"), F.min("nth").alias("from")) \
+        .withColumn("first", F.coalesce(F.sum("rows").over(earlier), F.lit(0)))
+    pieces = scratch.write(pieces.select("old_no", "block", "shard", "from", (F.col("from") + F.col("rows")).alias("to"),
+                                         "first"), "pieces")
 
+    # the documents, shuffled once by block
     affected = [j for j in range(shards)
                 if not (j < len(sizes) and flow[j, j] == supply[j] and (flow[:, j] > 0).sum() <= 1)]
-    key, copy, shard, slot = (fresh(docs, c) for c in ("dk", "copy", "shard", "slot"))
-    numbered = docs.withColumn(key, dk).withColumn(copy, F.row_number().over(
-        Window.partitionBy(F.col(f"`{id_col}`"), key).orderBy(F.lit(0))))
-    whole = numbered.join(plan, (numbered[key] == plan["dk"]) & (numbered[copy] == plan["copy"])
-                          & numbered[f"`{id_col}`"].eqNullSafe(plan["doc_id"])) \
-        .select(*[numbered[f"`{c}`"] for c in docs.columns], plan["shard"].alias(shard), plan["slot"].alias(slot))
-    whole = whole.repartition(shuffle_partitions(spark), F.col(shard), F.floor(F.col(slot) / file_rows)) \
-        .sortWithinPartitions(shard, slot)
+    own = {k: fresh(docs, k) for k in ("dk", "size", "no", "block", "upto", "nth", "shard", "slot", "old")}
+    cols = {"id": id_col} | {k: own[k] for k in ("dk", "size", "no", "block", "upto", "nth")}
+    keyed = docs.withColumns({own["dk"]: dk, own["size"]: size, own["old"]: F.col(f"`{old_col}`").cast("string")})
+    nth = F.col(own["nth"])
+    its = {c: fresh(docs, f"piece_{c}") for c in pieces.columns}
+    piece, p = pieces.toDF(*its.values()), {c: F.col(v) for c, v in its.items()}
+    whole = _placed(keyed, names, own["old"], cols).join(
+        piece, (F.col(own["no"]) == p["old_no"]) & (F.col(own["block"]) == p["block"])
+        & (nth >= p["from"]) & (nth < p["to"])) \
+        .select(*[f"`{c}`" for c in docs.columns], p["shard"].alias(own["shard"]),
+                (p["first"] + nth - p["from"]).alias(own["slot"]))
+    shard, slot = own["shard"], own["slot"]
     path = scratch.path("shards")
-    whole.filter(F.col(shard).isin(affected)).drop(old_col).write.partitionBy(shard).parquet(path)
-    written = spark.read.parquet(path) if affected and sizes else whole.drop(old_col)
-    written = written.withColumn(shard, F.col(shard).cast("int"))
+    if affected and sizes:
+        whole.filter(F.col(shard).isin(affected)).drop(old_col).sortWithinPartitions(shard, slot) \
+            .write.partitionBy(shard).parquet(path)
+        written = spark.read.parquet(path).withColumn(shard, F.col(shard).cast("int"))
+    else:
+        written = whole.filter(F.lit(False)).drop(old_col)
     if len(affected) < shards and sizes:
         written = written.unionByName(whole.filter(~F.col(shard).isin(affected)).drop(old_col))
-    scratch.drop("slim")
+    scratch.drop("slim", "inside")
     moved = int(flow.sum() - sum(flow[i, i] for i in range(min(flow.shape))))
     return {"flow": flow, "moved_bytes": moved, "affected": affected, "old": [r["old"] for r in sizes],
             "path": path, "rows": written, "shard_col": shard, "slot_col": slot}

@@ -2,7 +2,7 @@ import pytest
 
 SMALL = "/root/testdata/sf0.001"
 CLASH = ["h", "sha", "kept", "group_size", "norm", "shard", "slot", "part", "fp", "label", "key", "dk", "pos",
-         "hash", "held_out", "old", "size", "words", "count", "__h", "__dk"]
+         "hash", "held_out", "old", "size", "words", "count", "__h", "__dk", "name", "blocks", "old_no"]
 SCHEMA = "doc_id long, text string, lang string, source string, n_chars long, " + ", ".join(f"`{c}` string" for c in CLASH)
 
 

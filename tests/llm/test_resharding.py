@@ -58,7 +58,7 @@ def check(out, docs, shards, overhead=16):
 
 def test_shards_are_near_equal_and_complete(documents):
     docs = documents.selectExpr("*", "if(doc_id % 3 = 0, 'a', if(doc_id % 7 = 0, 'b', 'c')) as old")
-    out = reshard(docs, "old", 5, block_rows=20, file_rows=10)
+    out = reshard(docs, "old", 5, block_rows=20)
     size = check(out, docs, 5)
     most = max(len(r["text"].encode()) for r in docs.collect()) + 16
     assert max(size.values()) - min(size.values()) <= 2 * most and len(size) == 5
@@ -76,7 +76,7 @@ def test_unaffected_shards_stay(spark):
 
 
 def test_messy_and_empty(messy, nothing):
-    out = reshard(messy, "old", 4, block_rows=3, file_rows=5)
+    out = reshard(messy, "old", 4, block_rows=3)
     check(out, messy, 4)
     assert set(messy.columns) - set(out["rows"].columns) == {"old"}
     assert reshard(nothing, "old", 4)["rows"].count() == 0
