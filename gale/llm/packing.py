@@ -27,6 +27,8 @@ whole-text encoding).
 
 from __future__ import annotations
 
+import functools
+import re
 import zlib
 
 import numpy as np
@@ -36,43 +38,62 @@ from pyspark.sql import functions as F
 
 from gale.llm.common import Scratch, pick
 
-CACHE_WORDS = 400_000  # per Python worker
+CACHE_WORDS = 250_000  # per Python worker
+
+
+# lower-case ASCII and Latin-1 letters in UTF-8: nothing for the normalizer to do but A-Z
+_LETTERS = re.compile(rb"(?:[A-Za-z]|\xc3[\x9f-\xb6\xb8-\xbf])+")
+# the byte-level alphabet of the vocabulary: bytes that are no printable Latin-1 character stand from 256 on
+_OTHER_BYTES = {b: 256 + n for n, b in enumerate(b for b in range(256) if not (33 <= b <= 126 or 161 <= b <= 172 or b >= 174))}
 
 
 class WordIds(dict):
-    """word -> its ids as little-endian unsigned 16-bit bytes; emptied when full."""
+    """word (UTF-8) -> its ids as little-endian unsigned 16-bit bytes; emptied when full."""
 
     def __init__(self, path: str, size: int):
         super().__init__()
         from tokenizers import Tokenizer
-        self.size, self.encode = size, Tokenizer.from_file(path).encode
-
-    def __missing__(self, word: str) -> bytes:
+        tokenizer = Tokenizer.from_file(path)
+        self.size, self.encode, self.merge = size, tokenizer.encode, tokenizer.model.tokenize
+
+    def __missing__(self, word: bytes) -> bytes:
+        # letters and the punctuation behind them are separate pre-tokens (an apostrophe may not be)
+        stem = word.rstrip(b".,;:!?%$&#*|")
+        if not _LETTERS.fullmatch(stem):
+            ids = np.array(self.encode(word.decode(), add_special_tokens=False).ids, "<u2").tobytes()
+        elif stem != word:
+            ids = self[stem] + self[word[len(stem):]]
+        elif word != (low := word.lower()):
+            ids = self[low]
+        else:  # one pre-token: only the merges are left to do
+            ids = b"".join([t.id.to_bytes(2, "little") for t in self.merge(word.decode("latin-1").translate(_OTHER_BYTES))])
         if len(self) >= self.size:
             self.clear()
-        ids = np.array(self.encode(word, add_special_tokens=False).ids, "<u2").tobytes()
         if len(word) <= 64:
             self[word] = ids
         return ids
 
 
-_SPACES = str.maketrans("\t\n\x0b\x0c\r", "     ")
+@functools.cache
+def _words_of_worker(path: str) -> WordIds:
+    """One cache per Python worker: tasks that follow each other in it share the words."""
+    return WordIds(path, CACHE_WORDS)
 
 
-def encode_words(text: str, ids: WordIds) -> bytes:
-    """Ids of a text, ASCII white space between words."""
-    return b"".join([ids[w] for w in text.translate(_SPACES).split(" ") if w])
+def encode_words(text: bytes, ids: WordIds) -> bytes:
+    """Ids of a UTF-8 text, ASCII white space between words."""
+    return b"".join(map(ids.__getitem__, text.split()))
 
 
 def _tokenizer(path: str, end_id: int):
     def run(batches):
         from pyspark import TaskContext
-        pid, before, ids = TaskContext.get().partitionId(), 0, WordIds(path, CACHE_WORDS)
+        pid, before, ids = TaskContext.get().partitionId(), 0, _words_of_worker(path)
         end = np.array([end_id], "<u2").tobytes()
         for b in batches:
-            texts = b.column("text")
+            texts = b.column("text").cast(pa.binary())
             for lo in range(0, b.num_rows, 512):
-                part = [encode_words(t or "", ids) + end for t in texts.slice(lo, 512).to_pylist()]
+                part = [encode_words(t or b"", ids) + end for t in texts.slice(lo, 512).to_pylist()]
                 n = np.array([len(x) // 2 for x in part], np.int64)
                 at = before + np.cumsum(n) - n
                 before += int(n.sum())

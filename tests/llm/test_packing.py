@@ -40,6 +40,6 @@ def test_round_trip(documents, messy, nothing):
 def test_words_alone_give_the_ids_of_the_text():
     whole, ids = Tokenizer.from_file(PATH), WordIds(PATH, 3)  # a cache that overflows
     for t in ["It's  the DON'T\t'll I'm 42nd\n\nx\x0by\x0cz\r\n", "é ́x a b c\x1cd\x85", "ΑΣ ΑΣΣ Σ İ ß ﬁ",
-              "", " ", "日本語 テキスト 漢", "a" * 300 + " " + "!?" * 50, "x <|endoftext|> y", "Word. WORD!! can't. isn't's, o'clock; 'S. 's 'LL!! a.b abc'"]:
+              "", " ", "日本語 テキスト 漢", "a" * 300 + " " + "!?" * 50, "x <|endoftext|> y", "ß àçèéêëñóöü ÿ ÉTÉ été. élève!! naïve÷x aß*** ¡hola! ªx Ünder", "Word. WORD!! can't. isn't's, o'clock; 'S. 's 'LL!! a.b abc'"]:
         got = np.frombuffer(encode_words(t.encode(), ids), "<u2").tolist()
         assert got == whole.encode(t, add_special_tokens=False).ids
