@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import uuid
+from contextlib import contextmanager
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -46,16 +47,37 @@ def shuffle_partitions(spark: SparkSession) -> int:
     return int(spark.conf.get("spark.sql.shuffle.partitions"))
 
 
+@contextmanager
+def setting(spark: SparkSession, key: str, value: str):
+    """A session setting for the jobs started inside the block."""
+    before = spark.conf.get(key, None)
+    spark.conf.set(key, value)
+    try:
+        yield
+    finally:
+        if before is None:
+            spark.conf.unset(key)
+        else:
+            spark.conf.set(key, before)
+
+
+#: Rows of one Arrow batch: whole texts, held off-heap by the JVM and again by the Python worker.
+BATCH_ROWS = 1000
+
+
 class Scratch:
     """Tables an operator writes in the cluster's shared checkpoint folder.
 
     A written table cuts lineage: tasks lost with an executor are rerun from
     these files, not from the start. ``drop`` removes a table that no later
-    step reads.
+    step reads. The session's Arrow batches are held to ``BATCH_ROWS`` rows.
     """
 
     def __init__(self, spark: SparkSession, name: str):
         self.spark = spark
+        rows = "spark.sql.execution.arrow.maxRecordsPerBatch"
+        if not 0 < int(spark.conf.get(rows)) <= BATCH_ROWS:
+            spark.conf.set(rows, str(BATCH_ROWS))
         self.root = f"{checkpoint_dir(spark).rstrip('/')}/llm-{name}-{uuid.uuid4().hex[:12]}"
 
     def path(self, name: str) -> str:

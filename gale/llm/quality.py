@@ -37,7 +37,6 @@ import re
 import zlib
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -52,7 +51,7 @@ _TOKEN = re.compile(r"[^\W\d_]+|\d+|[^\w\s]+|_+")
 class Buckets(dict):
     """token -> bucket; emptied when full."""
 
-    def __init__(self, buckets: int, size: int = 400_000):
+    def __init__(self, buckets: int, size: int = 100_000):
         super().__init__()
         self.buckets, self.size = buckets, size
 
@@ -104,7 +103,7 @@ def _accumulate(buckets: int):
             for t in b.column("text"):
                 docs.append(ids.of(t.as_py()))
                 n += len(docs[-1])
-                if n > 500_000:
+                if n > 200_000:
                     _add(total, docs, buckets, place, sign)
                     docs, n = [], 0
         if docs:
@@ -198,7 +197,7 @@ def _pooled(vectors):
     def run(batches):
         ids = Buckets(len(vectors.value))
         for b in batches:
-            x = [pool(t, ids, vectors.value) for t in b.column("text").to_pylist()]
+            x = [pool(t.as_py(), ids, vectors.value) for t in b.column("text")]
             yield pa.record_batch({"label": b.column("label"), "held": b.column("held"),
                                    "x": pa.array([v.tobytes() for v in x], pa.binary())})
     return run
@@ -206,12 +205,12 @@ def _pooled(vectors):
 
 def scorer(vectors, model):
     """Scalar UDF: text -> score (both arguments are broadcast variables)."""
-    @F.pandas_udf("double")
-    def score(parts: "pd.Series") -> "pd.Series":
+    @F.arrow_udf("double")
+    def score(texts: pa.Array) -> pa.Array:
         ids = Buckets(len(vectors.value))
         width = vectors.value.shape[1] + EXTRA
-        x = np.array([pool(t, ids, vectors.value) for t in parts], np.float32).reshape(-1, width)
-        return pd.Series(probabilities(model.value, x))
+        x = np.array([pool(t.as_py(), ids, vectors.value) for t in texts], np.float32).reshape(-1, width)
+        return pa.array(probabilities(model.value, x), pa.float64())
     return score
 
 
