@@ -8,7 +8,9 @@ of the text, then smaller line number.
 Method
   1. *Rarity.* Words are counted over all documents. The ``table_words`` most
      frequent at most (a proven bound) get their rank in a broadcast table,
-     rarest first; every other word is rarer than these and keeps its hash.
+     rarest first. Every other word is rarer than these and keeps a hash; if the
+     table holds all words that occur twice, the others can match nothing and
+     only count in the size of their line.
   2. *Sets.* Equal lines collapse before and after the shuffle into one row: first
      position, size, ids ordered by rarity, a 64-bit sketch (one bit a word).
   3. *Prefix, positional and length filters.* A similar pair shares a word among
@@ -16,14 +18,13 @@ Method
      ``n - ceil(2 t n / (1 + t)) + 1`` words of the smaller set. Rows meet on the
      word; size bounds, the number of words that can still follow, and the
      number of sketch bits that differ rule out pairs.
-  4. *Verify* the exact Jaccard of what is left, by intersection. A set needs
-     only one earlier similar set to be removed, so the crowd around one line is
-     first compared with the earliest set of each word; only sets that these do
-     not settle are compared with all others.
+  4. *Verify* the exact Jaccard of what is left, by intersection; the later set
+     of a similar pair is removed.
   5. Later occurrences of a set are removed too; positions are put together per
      document.
 
-Words are compared by 64-bit hash, lines by 64-bit hash of their lower-case text.
+Words are compared by 64-bit hash up to the table and by 31-bit hash beyond it,
+lines by 64-bit hash of their lower-case text.
 
 Defined results
   null text is empty (one empty line); rows equal in id and text are one
@@ -33,12 +34,10 @@ Defined results
 
 from __future__ import annotations
 
-import math
-
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from gale.llm.common import Scratch, fresh, pick, shuffle_partitions
+from gale.llm.common import Scratch, fresh, pick, setting, shuffle_partitions
 
 _BLANK = r"[ \t\x0B\f\r]+"
 _LEVELS = 16  # frequency levels per doubling, to choose the table's least count
@@ -54,16 +53,18 @@ def _position():
     return F.struct(F.col("doc_id").isNull().alias("last"), "doc_id", "dk", "line_no")
 
 
-def _ranks(docs: DataFrame, scratch: Scratch, id_col: str, text_col: str, table_words: int) -> DataFrame:
-    """(tok, rank) of the most frequent words, rarest first, at most ``table_words``."""
+def _ranks(docs: DataFrame, scratch: Scratch, id_col: str, text_col: str, table_words: int) -> tuple[DataFrame, bool]:
+    """(tok, rank) of the most frequent words, rarest first, at most ``table_words``;
+    whether that is every word that occurs twice."""
     words = _lines(docs, id_col, text_col).select(F.explode(F.split("line", _BLANK)).alias("w")).filter("w <> ''")
     counts = words.groupBy(F.xxhash64("w").alias("tok")).agg(F.count(F.lit(1)).alias("c")).filter("c > 1")
     counts = scratch.write(counts, "counts")
     level = F.floor(F.log2("c") * _LEVELS)
-    have, least = 0, None
+    have, least, whole = 0, None, True
     for r in counts.groupBy(level.alias("level")).count().orderBy(F.desc("level")).collect():  # some hundred levels
         have += r["count"]
         if have > table_words:
+            whole = False
             break
         least = r["level"]
     common = counts.filter(level >= least) if least is not None else counts.limit(0)
@@ -73,10 +74,12 @@ def _ranks(docs: DataFrame, scratch: Scratch, id_col: str, text_col: str, table_
         "tok", F.shiftright("at", 33).alias("part"), F.col("at").bitwiseAND((1 << 33) - 1).alias("nth"))
     before = Window.orderBy("part").rowsBetween(Window.unboundedPreceding, -1)  # one row per partition
     base = ordered.groupBy("part").count().select("part", F.coalesce(F.sum("count").over(before), F.lit(0)).alias("base"))
-    return scratch.write(ordered.join(base, "part").select("tok", (F.col("base") + F.col("nth")).alias("rank")), "ranks")
+    ranks = ordered.join(base, "part").select("tok", (F.col("base") + F.col("nth")).cast("int").alias("rank"))
+    return scratch.write(ranks, "ranks"), whole
 
 
-def _sets(docs: DataFrame, ranks: DataFrame, scratch: Scratch, id_col: str, text_col: str, min_words: int) -> DataFrame:
+def _sets(docs: DataFrame, ranks: DataFrame, whole: bool, scratch: Scratch, id_col: str, text_col: str,
+          min_words: int) -> DataFrame:
     """(key, n, first, ids, bits) of the different lines; ids from the rarest to the most frequent word."""
     words = F.transform(F.array_remove(F.split("line", _BLANK), ""), lambda w: F.xxhash64(w))
     lines = _lines(docs, id_col, text_col) \
@@ -85,10 +88,13 @@ def _sets(docs: DataFrame, ranks: DataFrame, scratch: Scratch, id_col: str, text
     each = lines.select("key", "n", "first", F.explode("toks").alias("tok")) \
         .join(F.broadcast(ranks), "tok", "left")  # at most table_words rows
     # without a rank: rarer than all others, a negative number from the hash
-    ident = F.coalesce("rank", -F.expr("shiftrightunsigned(tok, 1)") - 1)
-    return scratch.write(each.groupBy("key", "n").agg(
+    ident = F.col("rank") if whole else F.coalesce("rank", F.expr("-1 - int(tok & 2147483647)"))
+    sets = each.groupBy("key", "n").agg(
         F.min("first").alias("first"), F.array_sort(F.collect_set(ident)).alias("ids"),
-        F.bit_or(F.expr("shiftleft(1L, int(tok & 63))")).alias("bits")), "sets")
+        F.bit_or(F.expr("shiftleft(1L, int(tok & 63))")).alias("bits"))
+    # lines held at once by a task that puts words together, before it sorts instead
+    with setting(docs.sparkSession, "spark.sql.objectHashAggregate.sortBased.fallbackThreshold", "50000"):
+        return scratch.write(sets, "sets")
 
 
 def _need(t: float, a: str, b: str) -> str:
@@ -96,41 +102,28 @@ def _need(t: float, a: str, b: str) -> str:
     return f"int(ceil({t / (1 + t)!r}D * ({a} + {b}) - 1e-9D))"
 
 
-def _pairs(probe: DataFrame, index: DataFrame, t: float) -> DataFrame:
-    """(key, other) that pass all filters; ``key`` the larger set, ``other`` the smaller."""
-    a = probe.select(F.col("key").alias("ak"), F.col("n").alias("an"), F.col("i").alias("ai"), F.col("bits").alias("ab"), "id")
-    b = index.select(F.col("key").alias("bk"), F.col("n").alias("bn"), F.col("i").alias("bi"), F.col("bits").alias("bb"), "id")
-    need = _need(t, "an", "bn")
-    ok = (f"ak <> bk AND bn <= an AND bn >= {t!r}D * an - 1e-9D AND least(an - ai, bn - bi) >= {need} "
-          f"AND bit_count(ab ^ bb) <= an + bn - 2 * {need}")
-    return a.join(b, "id").filter(ok).select("ak", "bk")
-
-
-def _verified(pairs: DataFrame, sets: DataFrame, t: float) -> DataFrame:
-    """Keys with an earlier similar set, of the candidate pairs."""
-    one = sets.select(F.col("key").alias("ak"), F.col("n").alias("an"), F.col("first").alias("af"), F.col("ids").alias("ai"))
-    two = sets.select(F.col("key").alias("bk"), F.col("n").alias("bn"), F.col("first").alias("bf"), F.col("ids").alias("bi"))
-    both = pairs.distinct().join(one, "ak").join(two, "bk")
-    return both.filter(f"size(array_intersect(ai, bi)) >= {_need(t, 'an', 'bn')}") \
-        .select(F.when(F.col("af") > F.col("bf"), F.col("ak")).otherwise(F.col("bk")).alias("key")).distinct()
-
-
 def _removed(sets: DataFrame, scratch: Scratch, t: float) -> DataFrame:
     """Keys of the sets that have an earlier similar set."""
-    size = F.col("n")
-    longer = size - F.ceil(t * size - 1e-9) + 1
-    shorter = size - F.ceil(2 * t / (1 + t) * size - 1e-9) + 1
-    prefix = sets.select("key", "n", "first", "bits", shorter.cast("int").alias("short"),
-                         F.posexplode(F.slice("ids", F.lit(1), longer.cast("int"))).alias("i", "id"))
-    # the earliest set of each word settles most of a crowd: one comparison a row
-    leaders = prefix.groupBy("id").agg(F.min(F.struct("first", "key", "n", "bits", "i")).alias("l"), F.count(F.lit(1)).alias("rows")) \
-        .filter("rows > 1").select("id", "l.key", "l.n", "l.bits", "l.i")
-    led = _pairs(prefix, leaders, t).union(_pairs(leaders, prefix, t))
-    settled = scratch.write(_verified(led, sets, t), "settled")
-    # what is left to settle is compared as the larger and as the smaller set
-    open_ = prefix.join(settled, "key", "left_anti").drop("first")
-    rest = _pairs(open_, prefix.filter("i < short"), t).union(_pairs(prefix, open_.filter("i < short"), t))
-    return scratch.write(settled.union(_verified(rest, sets, t)).distinct(), "removed")
+    # the places of a set's ids are counted from its full size: words without an id are the rarest
+    missing = F.col("n") - F.size("ids")
+    longer = F.col("n") - F.ceil(t * F.col("n") - 1e-9) + 1 - missing
+    prefix = sets.filter(longer > 0).select(
+        "key", "bits", F.col("n").cast("long").alias("n"), missing.alias("missing"),
+        F.posexplode(F.slice("ids", F.lit(1), longer.cast("int"))).alias("i", "id")) \
+        .select("id", "key", "bits", F.expr("shiftleft(n, 32) | (i + missing)").alias("at"))
+    both = prefix.toDF("id", "ak", "ab", "a").join(prefix.toDF("id", "bk", "bb", "b"), "id")
+    an, ai, bn, bi = "shiftright(a, 32)", "(a & 4294967295L)", "shiftright(b, 32)", "(b & 4294967295L)"
+    need = _need(t, an, bn)
+    shorter = f"{bn} - ceil({2 * t / (1 + t)!r}D * {bn} - 1e-9D) + 1"
+    pairs = both.filter(
+        f"ak <> bk AND {bn} <= {an} AND bit_count(ab ^ bb) <= {an} + {bn} - 2 * {need} AND {bi} < {shorter} "
+        f"AND {bn} >= {t!r}D * {an} - 1e-9D AND least({an} - {ai}, {bn} - {bi}) >= {need}").select("ak", "bk").distinct()
+    one = sets.select(F.col("key").alias("ak"), F.col("n").alias("an"), F.col("first").alias("af"), F.col("ids").alias("ai"))
+    two = sets.select(F.col("key").alias("bk"), F.col("n").alias("bn"), F.col("first").alias("bf"), F.col("ids").alias("bi"))
+    similar = pairs.join(one, "ak").join(two, "bk") \
+        .filter(f"size(array_intersect(ai, bi)) >= {_need(t, 'an', 'bn')}")
+    later = F.when(F.col("af") > F.col("bf"), F.col("ak")).otherwise(F.col("bk"))
+    return scratch.write(similar.select(later.alias("key")).distinct(), "removed")
 
 
 def line_dedup(docs: DataFrame, threshold: float = 0.8, min_words: int = 5, id_col: str = "doc_id",
@@ -156,8 +149,9 @@ def remove_lines(docs: DataFrame, threshold: float = 0.8, min_words: int = 5, id
 def _per_document(docs, threshold, min_words, id_col, text_col, table_words) -> DataFrame:
     """doc_id, dk, n_lines, rows (with this id and text), removed."""
     scratch = Scratch(docs.sparkSession, "line-dedup")
-    ranks = _ranks(docs, scratch, id_col, text_col, table_words)
-    sets = _sets(docs, ranks, scratch, id_col, text_col, min_words)
+    ranks, whole = _ranks(docs, scratch, id_col, text_col, table_words)
+    sets = _sets(docs, ranks, whole, scratch, id_col, text_col, min_words)
+    scratch.drop("counts", "ordered", "ranks")
     gone = _removed(sets, scratch, threshold)
     status = sets.select("key", "first").join(gone.withColumn("gone", F.lit(True)), "key", "left")
     lines = _lines(docs, id_col, text_col).select("doc_id", "dk", "line_no", F.xxhash64("line").alias("key"),
