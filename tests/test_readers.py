@@ -4,7 +4,6 @@ layouts, two-digit years, short deck lines)."""
 import os
 import tempfile
 
-from pyspark.sql import functions as F
 
 from gale.sources import decks, diagnostics
 
