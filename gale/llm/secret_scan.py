@@ -3,18 +3,23 @@
 Method
   1. One pass over the whole texts finds the rule findings (three kinds) and the
      candidates: every run of token characters with a digit and at least
-     ``min_length`` characters that no finding touches, each with the characters
-     around it.
-  2. Labelled findings: rule findings are positive, candidates that no rule knows
-     negative; at most ``max_findings`` of each, those with the smallest hash.
-     A second copy of each positive gets the surroundings of a negative, so the
-     network learns the value's shape and not only the name in front of it.
+     ``min_length`` characters that no finding touches.
+  2. Labelled findings: rule findings are positive, candidates that no finding
+     touches negative. The fit takes at most ``max_findings`` of each, those with
+     the smallest hash (a quarter of the negatives are digits alone, if there are
+     as many: plain words must not crowd out all numbers). A second copy of
+     each positive gets the surroundings of a negative, and a third also other
+     random letters and digits for its own, so the network learns the value's
+     shape and not only the name in front of it or the alphabet the rules know.
   3. A one-layer character CNN (width 5, ReLU, maximum over the left context, the
      candidate, the right context), then a logistic output; Adam in numpy. A
-     quarter of the sample is kept for calibration (Platt scaling) and for the
-     thresholds: per alphabet (digits, hex, mixed) the largest probability that
-     keeps ``recall`` of the kept positives, one half at least.
-  4. Every candidate of every text is scored at full length; those that reach
+     quarter of the sample is kept for calibration (Platt scaling).
+  4. Thresholds, per alphabet (digits, hex, mixed): Spark scores all positives of
+     the corpus, in their own surroundings and in those of a negative; the largest
+     score (on a grid of 1/512 logit, rounded down) that keeps ``recall`` of them.
+     An alphabet without positives has the threshold of all copies together, the
+     recoded ones too.
+  5. Every candidate of every text is scored at full length; those that reach
      their threshold are added as spans of kind ``extra``. Rule spans stay.
 
 Defined results
@@ -29,6 +34,9 @@ from __future__ import annotations
 import hashlib
 import math
 import re
+import zlib
+from bisect import bisect_left
+from itertools import accumulate
 
 import numpy as np
 import pyarrow as pa
@@ -44,15 +52,15 @@ ACCESS = re.compile(r"AKIA[A-Z0-9]+")
 HEX = re.compile(r"[0-9a-f]{32,}")
 KINDS = ("assign", "access", "hex", "extra")
 
-DIGIT = re.compile(r"[0-9]")
-RUN = re.compile(r"[A-Za-z0-9+/_=-]+")
-RUN_BACK = re.compile(r"[A-Za-z0-9+/_=-]*$")
 LEFT, RIGHT, WIDTH, FILTERS = 24, 12, 5, 24
-FIT_LENGTH = 256  # longer findings are left out of the fit, never out of the scan
+FIT_LENGTH = 256  # longer findings are left out of the fit, never out of the thresholds or the scan
+LONG = 4096  # longer candidates are scored one by one, in pieces
+GRID, MOST = 512, 64  # cells of a calibrated logit, and the logit from which on all are one cell
 ALPHABET = "abcdefghijklmnopqrstuvwxyzABCDEFGHIJKLMNOPQRSTUVWXYZ0123456789 \n\"'=:+/_.-@"
 _CODE = np.full(128, len(ALPHABET) + 1, np.int64)
 for _i, _c in enumerate(ALPHABET):
     _CODE[ord(_c)] = _i + 1  # 0: no character; the last: any other
+_BYTE = _CODE.astype(np.uint8)
 
 
 def rule_spans(text: str) -> list[tuple[str, int, int, int]]:
@@ -67,27 +75,25 @@ def rule_spans(text: str) -> list[tuple[str, int, int, int]]:
     return out
 
 
-def _run_start(text: str, at: int) -> int:
-    lo, step = at, 64
-    while lo > 0:
-        part = text[max(0, lo - step):lo]
-        own = len(RUN_BACK.search(part)[0])
-        lo -= own
-        if own < len(part):
-            break
-        step *= 2
-    return lo
+def _candidates(text: str, found: list[tuple[str, int, int, int]], min_length: int) -> list[tuple[int, int, bool]]:
+    """(start, end, whether a finding touches it) of the runs with a digit that no finding touches."""
+    runs = re.finditer(rf"[A-Za-z0-9+/_=-]{{{min_length},}}", text)
+    runs = [m for m in runs if re.search("[0-9]", m[0])]
+    if not found:
+        return [(*m.span(), False) for m in runs]
+    taken = sorted((s, e) for _, s, e, _ in found)
+    starts, ends = [s for s, _ in taken], [0, *accumulate((e for _, e in taken), max)]
+    out = []
+    for m in runs:
+        lo, hi = m.span()
+        if ends[bisect_left(starts, hi)] <= lo:
+            out.append((lo, hi, False))
+    return out
 
 
 def candidate_spans(text: str, found: list[tuple[str, int, int, int]], min_length: int) -> list[tuple[int, int]]:
     """Runs with a digit of at least ``min_length`` characters outside the findings."""
-    out, at, taken = [], 0, sorted((s, e) for _, s, e, _ in found)
-    while m := DIGIT.search(text, at):
-        lo, hi = _run_start(text, m.start()), RUN.match(text, m.start()).end()
-        if hi - lo >= min_length and not any(s < hi and lo < e for s, e in taken):
-            out.append((lo, hi))
-        at = hi
-    return out
+    return [(lo, hi) for lo, hi, _ in _candidates(text, found, min_length)]
 
 
 def encode(s: str) -> np.ndarray:
@@ -95,6 +101,10 @@ def encode(s: str) -> np.ndarray:
     return np.where(code < 128, _CODE[np.minimum(code, 127)], len(ALPHABET) + 1)
 
 
+def encode_bytes(s: str) -> np.ndarray:
+    return _BYTE[np.minimum(np.frombuffer(s.encode("utf-32-le", "surrogatepass"), np.uint32), 127)]
+
+
 def sort_of(value: str) -> int:
     return 0 if re.fullmatch(r"[0-9]+", value) else 1 if re.fullmatch(r"[0-9a-fA-F]+", value) else 2
 
@@ -104,28 +114,58 @@ def _spans_text(spans) -> str:
     return ",".join(f"{k}:{s}:{e}" for k, s, e in order)
 
 
-_ITEM = "struct<start:long,end:long,label:int,left:string,value:string,right:string>"
+class _Smallest:
+    """The different items with the smallest hashes, at most ``most``."""
+
+    def __init__(self, most: int):
+        self.most, self.items, self.bound = most, set(), 1 << 32
+
+    def add(self, item: tuple[int, str, str, str]) -> None:
+        if item[0] <= self.bound:
+            self.items.add(item)
+            if len(self.items) > 4 * self.most + 64:
+                self.cut()
+
+    def cut(self) -> list[tuple[int, str, str, str]]:
+        kept = sorted(self.items)[:self.most]
+        self.items = set(kept)
+        if len(kept) == self.most:
+            self.bound = kept[-1][0] if kept else -1
+        return kept
+
+
+def _place(left: str, value: str, right: str) -> int:
+    return zlib.crc32(f"{left}\0{value}\0{right}".encode("utf-8", "surrogatepass"))
 
 
-def _scan(min_length: int):
-    item = pa.struct([("start", pa.int64()), ("end", pa.int64()), ("label", pa.int32()),
-                      ("left", pa.string()), ("value", pa.string()), ("right", pa.string())])
+def _labelled(min_length: int, quotas: tuple[int, int]):
+    """All positives; of the negatives of each stratum (0: digits, 1: others) those with the smallest hash in the task."""
+    def rows(label, stratum, items):
+        place, left, value, right = zip(*items)
+        return pa.record_batch({"label": pa.array([label] * len(items), pa.int32()),
+                                "stratum": pa.array([stratum] * len(items), pa.int32()),
+                                "place": pa.array(place, pa.int64()), "left": pa.array(left, pa.string()),
+                                "value": pa.array(value, pa.string()), "right": pa.array(right, pa.string())})
 
     def run(batches):
+        least = [_Smallest(q) for q in quotas]
         for b in batches:
-            rows = {k: [] for k in ("n_assign", "n_access", "n_hex", "base", "items")}
+            pos = []
             for t in b.column("text"):
                 text = t.as_py() or ""
                 found = rule_spans(text)
-                for kind in KINDS[:3]:
-                    rows[f"n_{kind}"].append(sum(x[0] == kind for x in found))
-                rows["base"].append(_spans_text([x[:3] for x in found]))
-                spans = [(v, e, 1) for _, _, e, v in found] + [(s, e, 0) for s, e in candidate_spans(text, found, min_length)]
-                rows["items"].append([{"start": s, "end": e, "label": y, "left": text[max(0, s - LEFT):s],
-                                       "value": text[s:e], "right": text[e:e + RIGHT]} for s, e, y in spans])
-            yield pa.record_batch({"doc_id": b.column("doc_id")} | {
-                f"n_{k}": pa.array(rows[f"n_{k}"], pa.int64()) for k in KINDS[:3]} | {
-                "base": pa.array(rows["base"], pa.string()), "items": pa.array(rows["items"], pa.list_(item))})
+                for _, _, e, v in found:
+                    item = text[max(0, v - LEFT):v], text[v:e], text[e:e + RIGHT]
+                    pos.append((_place(*item), *item))
+                for s, e, touched in _candidates(text, found, min_length):
+                    if not touched and e - s <= FIT_LENGTH:
+                        item = text[max(0, s - LEFT):s], text[s:e], text[e:e + RIGHT]
+                        least[0 if sort_of(item[1]) == 0 else 1].add((_place(*item), *item))
+            if pos:
+                yield rows(1, 0, pos)
+        for k in range(2):
+            if items := least[k].cut():
+                yield rows(0, k, items)
     return run
 
 
@@ -136,7 +176,7 @@ class Network:
         rng = np.random.default_rng(seed)
         self.p = {"conv": rng.normal(0, 0.3, (WIDTH, len(ALPHABET) + 2, FILTERS)), "cb": np.zeros(FILTERS),
                   "out": rng.normal(0, 0.2, 3 * FILTERS), "ob": np.zeros(1)}
-        self.scale, self.shift, self.thresholds = 1.0, 0.0, (0.5, 0.5, 0.5)
+        self.scale, self.shift, self.thresholds = 1.0, 0.0, (0, 0, 0)  # thresholds: cells of the grid
 
     def _conv(self, x: np.ndarray) -> np.ndarray:
         """x: (n, length + WIDTH - 1) codes -> (n, length, FILTERS)."""
@@ -175,11 +215,48 @@ class Network:
             best = np.maximum(best, top[0])
         return float(best.reshape(-1) @ self.p["out"] + self.p["ob"][0])
 
-    def logits(self, items: list[tuple[str, str, str]]) -> np.ndarray:
-        return np.array([self.logit(*i) for i in items])
-
-    def probability(self, logit):
-        return 1 / (1 + np.exp(-np.clip(self.scale * logit + self.shift, -500, 500)))
+    def tables(self) -> tuple[np.ndarray, ...]:
+        """The convolution as sums of looked-up rows: two characters, two characters, one with the bias."""
+        c = self.p["conv"]
+        two = [(c[w][:, None, :] + c[w + 1][None, :, :]).reshape(-1, FILTERS).astype(np.float32) for w in (0, 2)]
+        return *two, (c[4] + self.p["cb"]).astype(np.float32), self.p["out"].astype(np.float32)
+
+    def logits_at(self, code: np.ndarray, start: np.ndarray, end: np.ndarray, tables) -> np.ndarray:
+        """Logits of ``code[start:end]`` with their surroundings; code 0 is no character, PAD of it between texts."""
+        two, more, one, weights = tables
+        size, out, v = end - start, np.empty(len(start)), len(one)
+        for n in np.unique(size):
+            rows = np.nonzero(size == n)[0]
+            step = max(1, (1 << 14) // (LEFT + int(n) + RIGHT))
+            for lo in range(0, len(rows), step):
+                part = rows[lo:lo + step]
+                x = code[start[part][:, None] + np.arange(-LEFT - 2, n + RIGHT + 2)].astype(np.intp)
+                x[:, :2] = x[:, -2:] = 0
+                z = two.take(x[:, :-4] * v + x[:, 1:-3], 0)
+                z += more.take(x[:, 2:-2] * v + x[:, 3:-1], 0)
+                z += one.take(x[:, 4:], 0)
+                none = x[:, 2:-2] == 0
+                if none.any():
+                    z[none] = 0
+                top = np.stack([z[:, :LEFT].max(1), z[:, LEFT:LEFT + n].max(1), z[:, LEFT + n:].max(1)], 1)
+                out[part] = (np.maximum(top, 0).reshape(len(part), -1) * weights).sum(1)
+        return out + self.p["ob"][0]
+
+    def logits(self, items: list[tuple[str, str, str]], tables=None) -> np.ndarray:
+        out, short = np.empty(len(items)), [i for i, x in enumerate(items) if len(x[1]) <= LONG]
+        for i, x in enumerate(items):
+            if len(x[1]) > LONG:
+                out[i] = self.logit(*x)
+        if short:
+            code, at = joined(["".join(items[i]) for i in short])
+            start = at + np.array([len(items[i][0]) for i in short])
+            out[short] = self.logits_at(code, start, start + np.array([len(items[i][1]) for i in short]),
+                                        tables or self.tables())
+        return out
+
+    def cells(self, logit: np.ndarray) -> np.ndarray:
+        """Calibrated logits on the grid the thresholds use."""
+        return np.floor(np.clip(self.scale * logit + self.shift, -MOST, MOST) * GRID).astype(np.int64)
 
     def fit(self, items: list[tuple[str, str, str]], y: np.ndarray, epochs: int = 8, rate: float = 5e-3) -> None:
         rng = np.random.default_rng(3)
@@ -201,8 +278,8 @@ class Network:
                     v[name] = 0.999 * v[name] + 0.001 * grad[name] ** 2
                     self.p[name] = self.p[name] - rate * (m[name] / (1 - 0.9 ** t)) / (np.sqrt(v[name] / (1 - 0.999 ** t)) + 1e-8)
 
-    def calibrate(self, logit: np.ndarray, y: np.ndarray, sort: np.ndarray, recall: float) -> None:
-        """Platt scaling by Newton steps on smoothed targets, then a threshold per alphabet."""
+    def calibrate(self, logit: np.ndarray, y: np.ndarray) -> None:
+        """Platt scaling by Newton steps on smoothed targets."""
         goal = np.where(y == 1, (y.sum() + 1) / (y.sum() + 2), 1 / ((1 - y).sum() + 2))
         a, b = 1.0, 0.0
         for _ in range(50):
@@ -213,15 +290,43 @@ class Network:
             step = np.linalg.solve(h, g)
             a, b = a - step[0], b - step[1]
         self.scale, self.shift = float(max(a, 1e-3)), float(b)
-        p = self.probability(logit)
 
-        def threshold(mask: np.ndarray) -> float:
-            own = np.sort(p[mask & (y == 1)])
-            return max(0.5, float(own[math.floor((1 - recall) * len(own))])) if len(own) else 1.1
-        self.thresholds = tuple(threshold(sort == s) for s in range(3))
+LETTERS = "abcdefghijklmnopqrstuvwxyzABCDEFGHIJKLMNOPQRSTUVWXYZ0123456789"
+
+
+def recoded(value: str, seed: int) -> str:
+    """The value with random letters and digits for its own; other characters stay."""
+    draw = np.random.default_rng(seed).integers(0, len(LETTERS), len(value))
+    return "".join(LETTERS[k] if c.isalnum() else c for c, k in zip(value, draw.tolist()))
+
+
+def thresholds(counts: list[tuple[int, int, int]], recall: float) -> tuple[int, ...]:
+    """Per alphabet the largest cell that keeps ``recall`` of the positives (rows: alphabet, or 3 for
+    recoded copies, cell, number); alphabets without positives: that of all rows together."""
+    def least(rows):
+        total = sum(n for _, n in rows)
+        miss = math.floor((1 - recall) * total)
+        for cell, n in sorted(rows):
+            miss -= n
+            if miss < 0:
+                return cell
+    each = [[(c, n) for s, c, n in counts if s == k] for k in range(3)]
+    pooled = least([(c, n) for _, c, n in counts])
+    return tuple(least(rows) if rows else pooled for rows in each)
+
+
+PAD = max(LEFT, RIGHT) + WIDTH // 2
 
 
-def train(sample, recall: float) -> Network | None:
+def joined(texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
+    """Codes of the texts with PAD empty places around each, and where each begins."""
+    codes = [encode_bytes(t) for t in texts]
+    at = np.cumsum([0] + [len(c) + PAD for c in codes])[:-1] + PAD
+    gap = np.zeros(PAD, np.uint8)
+    return np.concatenate([gap] + [x for c in codes for x in (c, gap)]), at
+
+
+def train(sample) -> Network | None:
     """Network from rows (label, left, value, right, kept for calibration)."""
     pos = [r for r in sample if r["label"] == 1]
     neg = [r for r in sample if r["label"] == 0]
@@ -232,6 +337,8 @@ def train(sample, recall: float) -> Network | None:
     for r in pos:
         other = neg[rng.integers(len(neg))]
         rows.append(((other["left"], r["value"], other["right"]), 1, r["kept"]))
+        other = neg[rng.integers(len(neg))]
+        rows.append(((other["left"], recoded(r["value"], r["place"]), other["right"]), 1, r["kept"]))
     kept = np.array([r[2] for r in rows], bool)
     y = np.array([r[1] for r in rows], float)
     if len(set(y[kept])) < 2 or len(set(y[~kept])) < 2:
@@ -243,48 +350,113 @@ def train(sample, recall: float) -> Network | None:
     net.fit([rows[i][0] for i in fit], y[fit])
     held = np.nonzero(kept)[0]
     items = [rows[i][0] for i in held]
-    net.calibrate(net.logits(items), y[held], np.array([sort_of(i[1]) for i in items]), recall)
+    net.calibrate(net.logits(items), y[held])
     return net
 
 
-def _judge(network):
+def _positive_cells(shared):
+    """(alphabet, cell) of every positive: in its own surroundings, in those of a negative, and recoded (3)."""
+    def run(batches):
+        net, around = shared.value
+        tables = net.tables()
+        for b in batches:
+            rows = list(zip(*(b.column(c).to_pylist() for c in ("left", "value", "right", "place"))))
+            items = [r[:3] for r in rows]
+            for seed, made in ((0, lambda v, _: v), (1, recoded)):
+                for _, value, _, place in rows:
+                    other = around[zlib.crc32(place.to_bytes(8, "little"), seed) % len(around)]
+                    items.append((other[0], made(value, place), other[1]))
+            sort = [sort_of(i[1]) for i in items[:2 * len(rows)]] + [3] * len(rows)
+            yield pa.record_batch({"sort": pa.array(sort, pa.int32()),
+                                   "cell": pa.array(net.cells(net.logits(items, tables)), pa.int64())})
+    return run
+
+
+def _groups(column, most: int = 1 << 20):
+    """Texts in groups of at most about ``most`` characters."""
+    out, n = [], 0
+    for t in column:
+        out.append(t.as_py() or "")
+        n += len(out[-1])
+        if n > most:
+            yield out
+            out, n = [], 0
+    if out:
+        yield out
+
+
+def _judge(shared, min_length: int):
     def run(batches):
-        net = network.value
+        net = shared.value
+        tables = net.tables() if net is not None else None
         for b in batches:
-            spans, n = [], []
-            for base, items in zip(b.column("base").to_pylist(), b.column("items").to_pylist()):
-                found = [(k, int(s), int(e)) for k, s, e in (x.split(":") for x in base.split(",") if x)]
-                extra = []
-                for i in items:
-                    if net is not None and i["label"] == 0:
-                        p = net.probability(net.logit(i["left"], i["value"], i["right"]))
-                        if p >= net.thresholds[sort_of(i["value"])]:
-                            extra.append(("extra", i["start"], i["end"]))
-                spans.append(_spans_text(found + extra))
-                n.append(len(extra))
-            sha = [hashlib.sha256(x.encode()).hexdigest() for x in b.column("base").to_pylist()]
-            yield pa.record_batch({k: b.column(k) for k in ("doc_id", "n_assign", "n_access", "n_hex")} | {
-                "base_sha256": pa.array(sha, pa.string()), "spans": pa.array(spans, pa.string()),
-                "n_extra": pa.array(n, pa.int64())})
+            rows = {k: [] for k in ("n_assign", "n_access", "n_hex", "sha", "spans", "n_extra")}
+            for texts in _groups(b.column("text")):
+                all_found = [rule_spans(t) for t in texts]
+                extra = _extra(net, tables, texts, all_found, min_length) if net is not None else {}
+                for i, found in enumerate(all_found):
+                    for kind in KINDS[:3]:
+                        rows[f"n_{kind}"].append(sum(x[0] == kind for x in found))
+                    spans = [x[:3] for x in found]
+                    rows["sha"].append(hashlib.sha256(_spans_text(spans).encode()).hexdigest())
+                    rows["spans"].append(_spans_text(spans + extra.get(i, [])))
+                    rows["n_extra"].append(len(extra.get(i, [])))
+            yield pa.record_batch({"doc_id": b.column("doc_id")} | {
+                f"n_{k}": pa.array(rows[f"n_{k}"], pa.int64()) for k in KINDS[:3]} | {
+                "base_sha256": pa.array(rows["sha"], pa.string()), "spans": pa.array(rows["spans"], pa.string()),
+                "n_extra": pa.array(rows["n_extra"], pa.int64())})
     return run
 
 
+def _extra(net: Network, tables, texts: list[str], all_found, min_length: int) -> dict[int, list[tuple[str, int, int]]]:
+    """The added spans of each text (by its number)."""
+    spans = [(i, lo, hi) for i, (t, f) in enumerate(zip(texts, all_found)) for lo, hi, _ in _candidates(t, f, min_length)]
+    if not spans:
+        return {}
+    code, at = joined(texts)
+    doc, lo, hi = np.array(spans, np.int64).T
+    logit, short = np.empty(len(spans)), hi - lo <= LONG
+    logit[short] = net.logits_at(code, (at[doc] + lo)[short], (at[doc] + hi)[short], tables)
+    for k in np.nonzero(~short)[0]:
+        i, s, e = spans[k]
+        logit[k] = net.logit(texts[i][max(0, s - LEFT):s], texts[i][s:e], texts[i][e:e + RIGHT])
+    cell, out = net.cells(logit), {}
+    for k in np.nonzero(cell >= min(net.thresholds))[0]:
+        i, s, e = spans[k]
+        if cell[k] >= net.thresholds[sort_of(texts[i][s:e])]:
+            out.setdefault(i, []).append(("extra", s, e))
+    return out
+
+
+def fitted(docs: DataFrame, scratch: Scratch, min_length: int, max_findings: int, recall: float) -> Network | None:
+    """The network with its thresholds; ``docs``: a text column."""
+    spark, quotas = docs.sparkSession, (max_findings // 4, max_findings - max_findings // 4)
+    found = docs.select("text").mapInArrow(_labelled(min_length, quotas), "label int, stratum int, place long, "
+                                                                          "left string, value string, right string")
+    found = scratch.write(found, "labelled")
+    order = ["place", "left", "value", "right"]
+    fit = found.filter(F.length("value") <= FIT_LENGTH).distinct()
+    sample = [r.asDict() for label, stratum, most in [(1, 0, max_findings), (0, 0, quotas[0]), (0, 1, quotas[1])]
+              for r in fit.filter((F.col("label") == label) & (F.col("stratum") == stratum)).orderBy(*order).limit(most)
+              .withColumn("kept", F.col("place") % 4 == 0).collect()]
+    net = train(sample)
+    if net is not None:
+        around = [(r["left"], r["right"]) for r in sample if r["label"] == 0]
+        shared = spark.sparkContext.broadcast((net, around))
+        cells = found.filter("label = 1").select("left", "value", "right", "place") \
+            .mapInArrow(_positive_cells(shared), "sort int, cell long")
+        counts = cells.groupBy("sort", "cell").count().collect()  # 3 alphabets and the recoded, 2 * MOST * GRID + 1 cells at most
+        net.thresholds = thresholds([tuple(r) for r in counts], recall)
+    scratch.drop("labelled")
+    return net
+
+
 def scan_secrets(docs: DataFrame, min_length: int = 16, max_findings: int = 2000, recall: float = 0.98,
                  id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """One row per document: doc_id, n_assign, n_access, n_hex, base_sha256, spans, n_extra."""
     spark = docs.sparkSession
-    scratch = Scratch(spark, "secrets")
     d = pick(docs, doc_id=id_col, text=text_col)
     kind = d.schema["doc_id"].dataType.simpleString()
-    found = d.mapInArrow(_scan(min_length), f"doc_id {kind}, n_assign long, n_access long, n_hex long, base string, "
-                                            f"items array<{_ITEM}>")
-    found = scratch.write(found, "found")
-    each = found.select(F.explode("items").alias("i")).select("i.label", "i.left", "i.value", "i.right") \
-        .filter(F.length("value") <= FIT_LENGTH).distinct() \
-        .withColumn("place", F.xxhash64("left", "value", "right"))
-    sample = [r.asDict() for label in (1, 0) for r in
-              each.filter(F.col("label") == label).orderBy("place", "left", "value", "right").limit(max_findings)
-              .select("label", "left", "value", "right", (F.pmod("place", F.lit(4)) == 0).alias("kept")).collect()]
-    network = spark.sparkContext.broadcast(train(sample, recall))
-    return found.mapInArrow(_judge(network), f"doc_id {kind}, n_assign long, n_access long, n_hex long, "
-                                             "base_sha256 string, spans string, n_extra long")
+    network = spark.sparkContext.broadcast(fitted(d, Scratch(spark, "secrets"), min_length, max_findings, recall))
+    return d.mapInArrow(_judge(network, min_length), f"doc_id {kind}, n_assign long, n_access long, n_hex long, "
+                                                     "base_sha256 string, spans string, n_extra long")

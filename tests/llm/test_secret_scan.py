@@ -2,7 +2,9 @@ import hashlib
 import random
 import re
 
-from gale.llm.secret_scan import Network, candidate_spans, rule_spans, scan_secrets
+import numpy as np
+
+from gale.llm.secret_scan import LEFT, RIGHT, Network, candidate_spans, joined, rule_spans, scan_secrets, thresholds
 from tests.llm.conftest import frame
 
 NAMES = "[pP][aA][sS][sS][wW][oO][rR][dD]|[pP][aA][sS][sS][wW][dD]|[sS][eE][cC][rR][eE][tT]|[tT][oO][kK][eE][nN]|[aA][pP][iI]_?[kK][eE][yY]"
@@ -74,3 +76,50 @@ def test_scores_of_long_candidates_do_not_depend_on_the_pieces():
     x, region = net.batch([("left ", value, " right")])
     top, _ = net.pooled(x, region)
     assert abs(net.logit("left ", value, " right") - float(top.reshape(-1) @ net.p["out"] + net.p["ob"][0])) < 1e-9
+
+
+def planted(value):
+    """Documents with findings of one alphabet (by ``value``), plain words, and 20 tokens of unknown formats without a name."""
+    rng = random.Random(4)
+    some = lambda n, chars: "".join(rng.choice(chars) for _ in range(n))
+    mixed = "abcdefghijklmnopqrstuvwxyzABCDEFGHIJKLMNOPQRSTUVWXYZ0123456789"
+    word = lambda: rng.choice([str.lower, str.lower, str.title, str.upper])(some(rng.randrange(3, 14), "abcdefghiklmnopqrstuvwxyz"))
+    plain = lambda n: " ".join(word() for _ in range(n))
+    docs = [(i, f"{plain(8)} token = \"{value(some)}\" {plain(8)}") for i in range(200)]
+    docs += [(1000 + i, plain(20)) for i in range(400)]
+    secrets = ["ghp_" + some(36, mixed) if i % 2 else "xoxb-" + some(12, "0123456789") + "-" + some(24, mixed) for i in range(20)]
+    docs += [(2000 + i, f"{plain(8)} {s} {plain(8)}") for i, s in enumerate(secrets)]
+    return docs, secrets
+
+
+def test_planted_secrets_of_unknown_formats_are_found(spark):
+    """Hex findings only, so no positive is mixed; and findings of mixed characters."""
+    mixed = "abcdefghijklmnopqrstuvwxyzABCDEFGHIJKLMNOPQRSTUVWXYZ0123456789"
+    for value in (lambda some: some(40, "0123456789abcdef"), lambda some: some(32, mixed)):
+        docs, secrets = planted(value)
+        texts = dict(docs)
+        got = {r["doc_id"]: r for r in check(frame(spark, docs))}
+        spans = {i: [x.split(":") for x in r["spans"].split(",") if x.startswith("extra")] for i, r in got.items()}
+        found = sum(s in [texts[2000 + i][int(a):int(e)] for _, a, e in spans[2000 + i]] for i, s in enumerate(secrets))
+        assert found >= 16
+        assert sum(got[1000 + i]["n_extra"] for i in range(400)) <= 90  # of about 4400 plain words of 8 letters or more
+
+
+def test_thresholds_keep_the_recall_and_reach_every_alphabet():
+    counts = [(1, c, 1) for c in range(-5000, 5000, 10)]
+    low = thresholds(counts, 0.98)
+    assert low[0] == low[1] == low[2]  # no digits, no mixed: that of all
+    assert sum(n for _, c, n in counts if c >= low[1]) / 1000 == 0.98
+    two = thresholds(counts + [(2, -20000, 3)], 0.98)
+    assert two[2] == -20000 and two[1] == low[1] and min(two[0], low[0]) == two[0]
+
+
+def test_scores_in_a_text_are_those_of_the_candidate_alone():
+    net, rng = Network(), random.Random(6)
+    text = " ".join("".join(rng.choice("abcXYZ019é") for _ in range(rng.randrange(8, 30))) for _ in range(40))
+    spans = candidate_spans(text, [], 8)
+    code, at = joined(["other text", text])
+    lo, hi = np.array(spans).T
+    got = net.logits_at(code, at[1] + lo, at[1] + hi, net.tables())
+    want = [net.logit(text[max(0, a - LEFT):a], text[a:b], text[b:b + RIGHT]) for a, b in spans]
+    assert np.allclose(got, want, atol=1e-4) and np.allclose(net.logits([(text[max(0, a - LEFT):a], text[a:b], text[b:b + RIGHT]) for a, b in spans]), want, atol=1e-4)
