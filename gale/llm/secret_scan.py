@@ -2,8 +2,9 @@
 
 Method
   1. One pass over the whole texts finds the rule findings (three kinds) and the
-     candidates: every run of token characters with a digit and at least
-     ``min_length`` characters that no finding touches.
+     candidates: every run of at least ``min_length`` token characters, with or
+     without digits, that does not lie inside one finding; a run that is longer
+     than the finding in it is a candidate as a whole.
   2. Labelled findings: rule findings are positive, candidates that no finding
      touches negative. The fit takes at most ``max_findings`` of each, those with
      the smallest hash (a quarter of the negatives are digits alone, if there are
@@ -35,7 +36,7 @@ import hashlib
 import math
 import re
 import zlib
-from bisect import bisect_left
+from bisect import bisect_left, bisect_right
 from itertools import accumulate
 
 import numpy as np
@@ -76,9 +77,8 @@ def rule_spans(text: str) -> list[tuple[str, int, int, int]]:
 
 
 def _candidates(text: str, found: list[tuple[str, int, int, int]], min_length: int) -> list[tuple[int, int, bool]]:
-    """(start, end, whether a finding touches it) of the runs with a digit that no finding touches."""
+    """(start, end, whether a finding touches it) of the runs that no finding covers."""
     runs = re.finditer(rf"[A-Za-z0-9+/_=-]{{{min_length},}}", text)
-    runs = [m for m in runs if re.search("[0-9]", m[0])]
     if not found:
         return [(*m.span(), False) for m in runs]
     taken = sorted((s, e) for _, s, e, _ in found)
@@ -86,13 +86,13 @@ def _candidates(text: str, found: list[tuple[str, int, int, int]], min_length: i
     out = []
     for m in runs:
         lo, hi = m.span()
-        if ends[bisect_left(starts, hi)] <= lo:
-            out.append((lo, hi, False))
+        if ends[bisect_right(starts, lo)] < hi:
+            out.append((lo, hi, ends[bisect_left(starts, hi)] > lo))
     return out
 
 
 def candidate_spans(text: str, found: list[tuple[str, int, int, int]], min_length: int) -> list[tuple[int, int]]:
-    """Runs with a digit of at least ``min_length`` characters outside the findings."""
+    """Runs of at least ``min_length`` token characters that do not lie inside one finding."""
     return [(lo, hi) for lo, hi, _ in _candidates(text, found, min_length)]
 
 
@@ -451,7 +451,7 @@ def fitted(docs: DataFrame, scratch: Scratch, min_length: int, max_findings: int
     return net
 
 
-def scan_secrets(docs: DataFrame, min_length: int = 16, max_findings: int = 2000, recall: float = 0.98,
+def scan_secrets(docs: DataFrame, min_length: int = 8, max_findings: int = 2000, recall: float = 0.98,
                  id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """One row per document: doc_id, n_assign, n_access, n_hex, base_sha256, spans, n_extra."""
     spark = docs.sparkSession
