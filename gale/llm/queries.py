@@ -117,6 +117,6 @@ def op3_url_filter(spark, sf_dir):
 @register("op10_line_dedup")
 def op10_line_dedup(spark, sf_dir):
     """Lines of all documents that are similar (Jaccard 0.8 on word sets) to an earlier line."""
-    out = line_dedup(table(spark, sf_dir, "documents"))
+    out = line_dedup(table(spark, sf_dir, "documents"), min_words=1)
     return out.select("doc_id", "n_lines", F.size("removed").cast("long").alias("n_removed"),
                       F.array_join(F.transform("removed", lambda x: x.cast("string")), ",").alias("removed"))

@@ -4,6 +4,7 @@ import pytest
 import xxhash
 
 from gale.llm.line_dedup import line_dedup, remove_lines
+from gale.llm.queries import op10_line_dedup
 from tests.llm.conftest import frame
 
 
@@ -71,3 +72,17 @@ def test_lines_are_taken_out(spark):
             (3, None)]
     got = {r["doc_id"]: r["text"] for r in remove_lines(frame(spark, docs)).collect()}
     assert got == {1: docs[0][1], 2: "x\nlast", 3: None}
+
+
+def test_short_lines_against_brute_force(spark):
+    rng = random.Random(9)
+    docs = [(d, "\n".join(" ".join(rng.choice("abcdefgh") for _ in range(rng.randrange(0, 6))) for _ in range(3))) for d in range(80)]
+    got = line_dedup(frame(spark, docs), 0.8, 1).collect()
+    assert sorted(((r["doc_id"], r["n_lines"], tuple(r["removed"])) for r in got), key=str) == brute(docs, 0.8, 1)
+
+
+def test_the_query_compares_lines_of_any_length(spark, documents):
+    docs = [(r["doc_id"], r["text"]) for r in documents.collect()]
+    got = op10_line_dedup(spark, "/root/testdata/sf0.001").collect()
+    removed = lambda x: tuple(int(i) for i in x.split(",") if i)
+    assert sorted(((r["doc_id"], r["n_lines"], removed(r["removed"])) for r in got), key=str) == brute(docs, 0.8, 1)
