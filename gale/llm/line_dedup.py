@@ -23,7 +23,7 @@ Method
   5. Later occurrences of a set are removed too; positions are put together per
      document.
 
-Words are compared by 64-bit hash up to the table and by 31-bit hash beyond it,
+Words are compared by 64-bit hash up to the table and by 63 bits of it beyond,
 lines by 64-bit hash of their lower-case text.
 
 Defined results
@@ -88,7 +88,7 @@ def _sets(docs: DataFrame, ranks: DataFrame, whole: bool, scratch: Scratch, id_c
     each = lines.select("key", "n", "first", F.explode("toks").alias("tok")) \
         .join(F.broadcast(ranks), "tok", "left")  # at most table_words rows
     # without a rank: rarer than all others, a negative number from the hash
-    ident = F.col("rank") if whole else F.coalesce("rank", F.expr("-1 - int(tok & 2147483647)"))
+    ident = F.col("rank") if whole else F.coalesce(F.col("rank").cast("long"), F.expr("-1 - (tok & 9223372036854775807)"))
     sets = each.groupBy("key", "n").agg(
         F.min("first").alias("first"), F.array_sort(F.collect_set(ident)).alias("ids"),
         F.bit_or(F.expr("shiftleft(1L, int(tok & 63))")).alias("bits"))

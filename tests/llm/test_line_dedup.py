@@ -86,3 +86,16 @@ def test_the_query_compares_lines_of_any_length(spark, documents):
     got = op10_line_dedup(spark, "/root/testdata/sf0.001").collect()
     removed = lambda x: tuple(int(i) for i in x.split(",") if i)
     assert sorted(((r["doc_id"], r["n_lines"], removed(r["removed"])) for r in got), key=str) == brute(docs, 0.8, 1)
+
+
+def test_rare_words_with_equal_low_bits_are_different_words(spark):
+    seen, pair = {}, None
+    for i in range(1_000_000):
+        low = xxhash.xxh64_intdigest(f"rare{i}", 42) & 0x7FFFFFFF
+        if low in seen:
+            pair = seen[low], f"rare{i}"
+            break
+        seen[low] = f"rare{i}"
+    docs = [(1, f"a b c d e f g {pair[0]}"), (2, f"a b c d e f g {pair[1]}")]  # Jaccard 7/9
+    got = line_dedup(frame(spark, docs), 0.8, 5, table_words=0).collect()
+    assert all(r["removed"] == [] for r in got)
