@@ -20,6 +20,11 @@ Method
      number of sketch bits that differ rule out pairs.
   4. *Verify* the exact Jaccard of what is left, by intersection; the later set
      of a similar pair is removed.
+     Words with more than ``CROWD`` rows are not joined with themselves at once:
+     in each of a few rounds the rows of a word meet only its earliest set (its
+     leader), and what that settles is not compared again. One earlier similar
+     set is enough, so only sets still open are then compared with all earlier
+     ones, dealt into blocks of ``BLOCK`` rows on either side.
   5. Later occurrences of a set are removed too; positions are put together per
      document.
 
@@ -40,6 +45,9 @@ from pyspark.sql import functions as F
 from gale.llm.common import Scratch, fresh, pick, setting, shuffle_partitions
 
 _BLANK = r"[ \t\x0B\f\r]+"
+CROWD = 32  # rows of a word that are joined with each other at once
+BLOCK = 1024  # rows of a crowded word on one side of a block
+ROUNDS = 8  # rounds of leaders at most
 _LEVELS = 16  # frequency levels per doubling, to choose the table's least count
 
 
@@ -102,28 +110,88 @@ def _need(t: float, a: str, b: str) -> str:
     return f"int(ceil({t / (1 + t)!r}D * ({a} + {b}) - 1e-9D))"
 
 
-def _removed(sets: DataFrame, scratch: Scratch, t: float) -> DataFrame:
-    """Keys of the sets that have an earlier similar set."""
+def _prefix(sets: DataFrame, t: float, *more: str) -> DataFrame:
+    """id, key, bits, at (size and place of the id) of the rarest words of each set."""
     # the places of a set's ids are counted from its full size: words without an id are the rarest
     missing = F.col("n") - F.size("ids")
     longer = F.col("n") - F.ceil(t * F.col("n") - 1e-9) + 1 - missing
-    prefix = sets.filter(longer > 0).select(
-        "key", "bits", F.col("n").cast("long").alias("n"), missing.alias("missing"),
+    return sets.filter(longer > 0).select(
+        "key", "bits", F.col("n").cast("long").alias("n"), missing.alias("missing"), *more,
         F.posexplode(F.slice("ids", F.lit(1), longer.cast("int"))).alias("i", "id")) \
-        .select("id", "key", "bits", F.expr("shiftleft(n, 32) | (i + missing)").alias("at"))
-    both = prefix.toDF("id", "ak", "ab", "a").join(prefix.toDF("id", "bk", "bb", "b"), "id")
+        .select("id", "key", "bits", F.expr("shiftleft(n, 32) | (i + missing)").alias("at"), *more)
+
+
+def _near(t: float) -> str:
+    """SQL: what rows (ak, ab, a) and (bk, bb, b) of one word must meet to be similar, in either order of size;
+    the words that can follow bound the place in the smaller set too."""
     an, ai, bn, bi = "shiftright(a, 32)", "(a & 4294967295L)", "shiftright(b, 32)", "(b & 4294967295L)"
     need = _need(t, an, bn)
-    shorter = f"{bn} - ceil({2 * t / (1 + t)!r}D * {bn} - 1e-9D) + 1"
-    pairs = both.filter(
-        f"ak <> bk AND {bn} <= {an} AND bit_count(ab ^ bb) <= {an} + {bn} - 2 * {need} AND {bi} < {shorter} "
-        f"AND {bn} >= {t!r}D * {an} - 1e-9D AND least({an} - {ai}, {bn} - {bi}) >= {need}").select("ak", "bk").distinct()
+    return (f"bit_count(ab ^ bb) <= {an} + {bn} - 2 * {need} AND least({an}, {bn}) >= {t!r}D * greatest({an}, {bn}) - 1e-9D "
+            f"AND least({an} - {ai}, {bn} - {bi}) >= {need}")
+
+
+def _verified(pairs: DataFrame, sets: DataFrame, t: float) -> DataFrame:
+    """Keys with an earlier similar set, of the candidate pairs."""
     one = sets.select(F.col("key").alias("ak"), F.col("n").alias("an"), F.col("first").alias("af"), F.col("ids").alias("ai"))
     two = sets.select(F.col("key").alias("bk"), F.col("n").alias("bn"), F.col("first").alias("bf"), F.col("ids").alias("bi"))
-    similar = pairs.join(one, "ak").join(two, "bk") \
+    similar = pairs.distinct().join(one, "ak").join(two, "bk") \
         .filter(f"size(array_intersect(ai, bi)) >= {_need(t, 'an', 'bn')}")
     later = F.when(F.col("af") > F.col("bf"), F.col("ak")).otherwise(F.col("bk"))
-    return scratch.write(similar.select(later.alias("key")).distinct(), "removed")
+    return similar.select(later.alias("key")).distinct()
+
+
+def _settled(rows: DataFrame, sets: DataFrame, scratch: Scratch, t: float) -> DataFrame:
+    """Keys that the leaders of crowded words settle, round by round."""
+    crowd, gone, before = rows, None, rows.count()
+    for k in range(ROUNDS):
+        lead = scratch.write(crowd.groupBy("id").agg(F.min(F.struct("first", "key", "bits", "at")).alias("l"))
+                             .select("id", F.col("l.key").alias("bk"), F.col("l.bits").alias("bb"), F.col("l.at").alias("b")),
+                             f"lead-{k}")
+        led = crowd.select("id", F.col("key").alias("ak"), F.col("bits").alias("ab"), F.col("at").alias("a")).join(lead, "id") \
+            .filter(f"ak <> bk AND {_near(t)}").select("ak", "bk")
+        new = scratch.write(_verified(led, sets, t), f"settled-{k}")
+        gone = new if gone is None else gone.union(new)
+        # a leader has met its word's rows; it is still open itself
+        crowd = scratch.write(crowd.join(new, "key", "left_anti").join(lead.select("id", "bk"), "id")
+                              .filter("key <> bk").select(*rows.columns), f"crowd-{k + 1}")
+        scratch.drop(f"lead-{k}", f"crowd-{k}")
+        after = crowd.count()
+        if after == 0 or after > 0.9 * before:
+            break
+        before = after
+    return gone.distinct()
+
+
+def _blocks(rows: DataFrame, gone: DataFrame, scratch: Scratch, t: float) -> DataFrame:
+    """Candidate pairs (ak, bk) of the open sets of crowded words with all earlier sets."""
+    probes = scratch.write(rows.join(gone, "key", "left_anti"), "probes")
+    parts = F.ceil(F.count(F.lit(1)) / BLOCK).cast("int")
+    sizes = probes.groupBy("id").agg(parts.alias("pb"), F.max("first").alias("latest")) \
+        .join(rows.groupBy("id").agg(parts.alias("xb")), "id")
+    sizes = scratch.write(sizes, "sizes")
+    a = probes.join(sizes.drop("latest"), "id").withColumn("p", F.expr("pmod(xxhash64(key), pb)").cast("int")) \
+        .select("id", "p", F.explode(F.expr("sequence(0, xb - 1)")).alias("x"), F.col("key").alias("ak"),
+                F.col("bits").alias("ab"), F.col("at").alias("a"), F.col("first").alias("af"))
+    b = rows.join(sizes, "id").filter(F.col("first") < F.col("latest")) \
+        .withColumn("x", F.expr("pmod(xxhash64(key), xb)").cast("int")) \
+        .select("id", F.explode(F.expr("sequence(0, pb - 1)")).alias("p"), "x", F.col("key").alias("bk"),
+                F.col("bits").alias("bb"), F.col("at").alias("b"), F.col("first").alias("bf"))
+    return a.join(b, ["id", "p", "x"]).filter(F.col("bf") < F.col("af")).filter(_near(t)).select("ak", "bk")
+
+
+def _removed(sets: DataFrame, scratch: Scratch, t: float) -> DataFrame:
+    """Keys of the sets that have an earlier similar set."""
+    prefix = _prefix(sets, t)
+    hot = scratch.write(prefix.groupBy("id").count().filter(F.col("count") > CROWD).select("id"), "hot")
+    cold = prefix.join(hot, "id", "left_anti")
+    pairs = cold.toDF("id", "ak", "ab", "a").join(cold.toDF("id", "bk", "bb", "b"), "id") \
+        .filter(f"ak < bk AND {_near(t)}").select("ak", "bk")
+    if hot.isEmpty():
+        return scratch.write(_verified(pairs, sets, t), "removed")
+    rows = scratch.write(_prefix(sets, t, "first").join(hot, "id", "left_semi"), "hot-rows")
+    gone = _settled(rows, sets, scratch, t)
+    found = _verified(pairs.union(_blocks(rows, gone, scratch, t)), sets, t)
+    return scratch.write(gone.union(found).distinct(), "removed")
 
 
 def line_dedup(docs: DataFrame, threshold: float = 0.8, min_words: int = 5, id_col: str = "doc_id",

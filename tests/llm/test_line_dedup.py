@@ -3,6 +3,7 @@ import random
 import pytest
 import xxhash
 
+from gale.llm import line_dedup as module
 from gale.llm.line_dedup import line_dedup, remove_lines
 from gale.llm.queries import op10_line_dedup
 from tests.llm.conftest import frame
@@ -99,3 +100,21 @@ def test_rare_words_with_equal_low_bits_are_different_words(spark):
     docs = [(1, f"a b c d e f g {pair[0]}"), (2, f"a b c d e f g {pair[1]}")]  # Jaccard 7/9
     got = line_dedup(frame(spark, docs), 0.8, 5, table_words=0).collect()
     assert all(r["removed"] == [] for r in got)
+
+
+@pytest.mark.parametrize("table_words", [1 << 20, 0])
+def test_crowded_words_against_brute_force(spark, monkeypatch, table_words):
+    monkeypatch.setattr(module, "CROWD", 2)
+    monkeypatch.setattr(module, "BLOCK", 3)
+    docs = cases()
+    got = line_dedup(frame(spark, docs), 0.8, 1, table_words=table_words).collect()
+    assert sorted(((r["doc_id"], r["n_lines"], tuple(r["removed"])) for r in got), key=str) == brute(docs, 0.8, 1)
+
+
+def test_a_template_does_not_make_all_pairs(spark, monkeypatch):
+    docs = [(d, f"one two three four five six seven eight nine n{d}") for d in range(1500)]
+    made, verified = [], module._verified
+    monkeypatch.setattr(module, "_verified", lambda pairs, *a: made.append(pairs.count()) or verified(pairs, *a))
+    got = {r["doc_id"]: r["removed"] for r in line_dedup(frame(spark, docs)).collect()}
+    assert got == {d: [0] if d else [] for d in range(1500)}
+    assert sum(made) < 10 * len(docs)  # all pairs: 1.1 million
