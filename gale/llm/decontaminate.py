@@ -13,8 +13,8 @@ Method
      the rarest one: only it generates candidates (document, start, window).
   3. Positional and length bounds: the window must begin at or after the first
      word and end at or before the last.
-  4. Verify: the shingles that cover the whole window (at its first and last
-     position) must be found at the right places, compared as text.
+  4. Verify: the shingles that cover the whole window (every fifth, and the last)
+     must all be found at the right places, compared as text.
 
   The shingles of the benchmark are broadcast only below ``broadcast_bytes``
   (their measured size); beyond, the same join runs as a shuffle join.
@@ -108,13 +108,13 @@ def _occurrences(matched: DataFrame, parts: DataFrame, scratch: Scratch) -> Data
         .filter("start >= 0 AND start + k <= n_words") \
         .select("doc_id", "dk", "start", "k", "width", "wid").distinct()
     candidates = scratch.write(candidates, "candidates")
-    cover = parts.filter("off = 0 OR off = k - width").select("wid", "off", "sid")
+    cover = parts.filter("off % width = 0 OR off = k - width").select("wid", "off", "sid")
     need = candidates.join(cover, "wid").withColumn("pos", F.col("start") + F.col("off"))
     there = seen.withColumnsRenamed({c: f"m_{c}" for c in seen.columns})
     ok = need.join(there, need["doc_id"].eqNullSafe(there["m_doc_id"]) & (need["dk"] == there["m_dk"])
                    & (need["pos"] == there["m_pos"]) & (need["sid"] == there["m_sid"]), "left_semi")
     counted = ok.groupBy("doc_id", "dk", "start", "k", "width", "wid").agg(F.count(F.lit(1)).alias("n"))
-    return counted.filter("n = IF(k > width, 2, 1)").select("doc_id", "dk", "start", "k", "wid")
+    return counted.filter("n = ceil(k / width)").select("doc_id", "dk", "start", "k", "wid")
 
 
 def _find(docs, benchmark, scratch, window, id_col, text_col, item_col, item_text_col, broadcast_bytes):

@@ -72,3 +72,15 @@ def test_filter_drops_exactly_the_hit_documents(spark):
 def test_messy_documents(spark, messy):
     b = spark.read.parquet(f"{SMALL}/benchmark.parquet")
     assert decontaminate(messy, b).count() == messy.count()
+
+
+def test_long_windows_are_verified_word_by_word(spark):
+    """Both ends of a window with other words between them, where the shingles between are the frequent ones."""
+    for window in (7, 13, 23):
+        w = [f"w{i}" for i in range(window)]
+        docs = [(1, " ".join(w))] + [(10 + i, " ".join(w[1:-1])) for i in range(4)]
+        docs += [(100 + i, " ".join(w[:i] + ["other"] + w[i + 1:])) for i in range(window)]
+        docs.append((200, " ".join(w[:5] + ["other"] * (window - 10) + w[max(5, window - 5):])))
+        items = [(1, " ".join(w)), (2, " ".join(w[:6])), (3, " ".join(w + ["tail"]))]
+        got = run(frame(spark, docs), spark.createDataFrame(items, "item_id long, text string"), window)
+        assert got == brute(docs, items, window)
