@@ -7,14 +7,17 @@ from pyspark.sql import functions as F
 from gale.llm.common import fresh, table
 from gale.llm.decontaminate import decontaminate
 from gale.llm.exact_dedup import exact_dedup
+from gale.llm.exact_topk import top_k
 from gale.llm.line_dedup import line_dedup
 from gale.llm.maxent_lm import lm_scores
 from gale.llm.packing import pack
+from gale.llm.periodic_runs import find_runs, repeat_tail
 from gale.llm.quality import quality_scores
 from gale.llm.registry import register
 from gale.llm.resharding import reshard
 from gale.llm.secret_scan import scan_secrets
 from gale.llm.simhash import simhash_dedup
+from gale.llm.spelling import drop_letter, spelling_groups
 from gale.llm.url_filter import judge_urls
 
 _NORM = ("translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')")
@@ -120,3 +123,35 @@ def op10_line_dedup(spark, sf_dir):
     out = line_dedup(table(spark, sf_dir, "documents"), min_words=1)
     return out.select("doc_id", "n_lines", F.size("removed").cast("long").alias("n_removed"),
                       F.array_join(F.transform("removed", lambda x: x.cast("string")), ",").alias("removed"))
+
+
+@register("op11_periodic_runs")
+def op11_periodic_runs(spark, sf_dir):
+    """Runs of repeated words in all documents, after the contract's planted periods."""
+    out = find_runs(table(spark, sf_dir, "documents"), 6, 4, rewrite=repeat_tail)
+    # exact order of length / period: a fraction is larger if the cross product is
+    best = F.expr("""aggregate(runs, CAST(NULL AS struct<start: bigint, length: bigint, period: bigint>), (a, r) ->
+        IF(a IS NULL OR r.length * a.period > a.length * r.period, r, a))""")
+    lines = F.expr("array_join(transform(runs, r -> concat(r.start, ',', r.length, ',', r.period, '\n')), '')")
+    return out.withColumn("best", best).select(
+        "doc_id", F.size("runs").cast("long").alias("n_runs"), "best.start", "best.length", "best.period",
+        F.expr("1000 * best.length div best.period").alias("exponent_milli"),
+        F.sha2(lines.cast("binary"), 256).alias("runs_sha256"), F.sha2(F.col("collapsed").cast("binary"), 256).alias("collapsed_sha256"))
+
+
+@register("op12_exact_topk", """
+WITH e AS (SELECT vec_id, [floor(256 * CAST(x AS DOUBLE)) FOR x IN embedding] AS w FROM embeddings
+           WHERE embedding IS NOT NULL AND len([x FOR x IN embedding IF x IS NULL OR NOT isfinite(x)]) = 0),
+s AS (SELECT q.vec_id AS query_id, c.vec_id, CAST(list_inner_product(q.w, c.w) AS BIGINT) AS score
+      FROM e q JOIN e c ON q.vec_id % 50 = 0 AND c.vec_id <> q.vec_id)
+SELECT query_id, CAST(row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id) AS INTEGER) AS rank, vec_id, score
+FROM s QUALIFY rank <= 5""")
+def op12_exact_topk(spark, sf_dir):
+    """The 5 largest inner products of every query vector, over all vectors."""
+    return top_k(table(spark, sf_dir, "embeddings"), F.col("vec_id") % 50 == 0, 5, 256)
+
+
+@register("op13_spelling_variants")
+def op13_spelling_variants(spark, sf_dir):
+    """Words of all documents, grouped by one-edit spelling variants."""
+    return spelling_groups(table(spark, sf_dir, "documents"), 5, 3, 2, rewrite=drop_letter)
