@@ -19,15 +19,17 @@ Defined results
   pieces as windows they touch; empty table: no pieces; other columns are
   ignored.
 
-Tokens are found word by word with a bounded cache: the vocabulary's
-pre-tokenizer never joins characters across ASCII white space, so encoding the
-pieces between white space gives the ids of the whole text (tested against
-whole-text encoding).
+Where the tokenizer file says that its pre-tokenizer never joins characters across
+white space (:func:`splits_at_space`), texts are encoded by words: each different
+word of a batch that the worker's bounded cache lacks is encoded once, all of them in
+one call, and the ids of a text are put together from those of its words (tested
+against whole-text encoding). Any other tokenizer encodes whole texts.
 """
 
 from __future__ import annotations
 
 import functools
+import json
 import re
 import zlib
 
@@ -38,63 +40,88 @@ from pyspark.sql import functions as F
 
 from gale.llm.common import Scratch, pick
 
-CACHE_WORDS = 250_000  # per Python worker
+CACHE_WORDS = 800_000  # per Python worker
+LONG_WORD = 64         # bytes; longer words are not kept
 
 
-# lower-case ASCII and Latin-1 letters in UTF-8: nothing for the normalizer to do but A-Z
-_LETTERS = re.compile(rb"(?:[A-Za-z]|\xc3[\x9f-\xb6\xb8-\xbf])+")
-# the byte-level alphabet of the vocabulary: bytes that are no printable Latin-1 character stand from 256 on
-_OTHER_BYTES = {b: 256 + n for n, b in enumerate(b for b in range(256) if not (33 <= b <= 126 or 161 <= b <= 172 or b >= 174))}
+def splits_at_space(path: str) -> bool:
+    """Whether the file's steps are known to treat the pieces between ASCII white space
+    one by one: no normalizer that looks across it, a first pre-tokenizer that removes it,
+    and no template, truncation or padding around the text."""
+    with open(path, encoding="utf-8") as f:
+        spec = json.load(f)
 
+    def steps(part, name):
+        return [] if part is None else part[name] if part["type"] == "Sequence" else [part]
+    normal = all(n["type"] in ("NFC", "NFD", "Lowercase") or (n["type"] == "Replace" and n["pattern"] == {"Regex": r"\s+"} and n["content"] == " ")
+                 for n in steps(spec.get("normalizer"), "normalizers"))
+    before = steps(spec.get("pre_tokenizer"), "pretokenizers")
+    split = bool(before) and before[0]["type"] == "Split" and before[0]["behavior"] == "Removed" and before[0]["invert"] is True \
+        and r"[^\s" in before[0]["pattern"].get("Regex", "") and not re.search(r"(?<!\[\^)\\s", before[0]["pattern"]["Regex"])
+    plain = all(p["type"] == "ByteLevel" and not p["add_prefix_space"] and not p.get("use_regex", True) for p in before[1:])
+    tokens = all(not (t["lstrip"] or t["rstrip"] or re.search(r"\s", t["content"])) for t in spec.get("added_tokens") or [])
+    return normal and split and plain and tokens and not any(spec.get(k) for k in ("post_processor", "truncation", "padding"))
 
-class WordIds(dict):
-    """word (UTF-8) -> its ids as little-endian unsigned 16-bit bytes; emptied when full."""
 
-    def __init__(self, path: str, size: int):
-        super().__init__()
+class Texts:
+    """Encodes lists of UTF-8 texts; ids are little-endian, 16 bits wide if the vocabulary allows, else 32."""
+
+    def __init__(self, path: str, size: int = CACHE_WORDS):
         from tokenizers import Tokenizer
-        tokenizer = Tokenizer.from_file(path)
-        self.size, self.encode, self.merge = size, tokenizer.encode, tokenizer.model.tokenize
-
-    def __missing__(self, word: bytes) -> bytes:
-        # letters and the punctuation behind them are separate pre-tokens (an apostrophe may not be)
-        stem = word.rstrip(b".,;:!?%$&#*|")
-        if not _LETTERS.fullmatch(stem):
-            ids = np.array(self.encode(word.decode(), add_special_tokens=False).ids, "<u2").tobytes()
-        elif stem != word:
-            ids = self[stem] + self[word[len(stem):]]
-        elif word != (low := word.lower()):
-            ids = self[low]
-        else:  # one pre-token: only the merges are left to do
-            ids = b"".join([t.id.to_bytes(2, "little") for t in self.merge(word.decode("latin-1").translate(_OTHER_BYTES))])
-        if len(self) >= self.size:
-            self.clear()
-        if len(word) <= 64:
-            self[word] = ids
-        return ids
+        self.tokenizer, self.size, self.by_word = Tokenizer.from_file(path), size, splits_at_space(path)
+        self.dtype = "<u2" if self.tokenizer.get_vocab_size(with_added_tokens=True) <= 1 << 16 else "<u4"
+        self.words: dict[bytes, bytes] = {}
+
+    def _bytes(self, ids: list[int]) -> bytes:
+        return np.array(ids, self.dtype).tobytes()
+
+    def _learn(self, words: list[bytes]) -> None:
+        """Ids of different words from one call over all of them, a line each."""
+        text = [w.decode() for w in words]
+        found = self.tokenizer.encode("\n".join(text), add_special_tokens=False)
+        starts = np.cumsum([0] + [len(w) + 1 for w in text])[:-1]
+        at = np.fromiter((o[0] for o in found.offsets), np.int64, len(found.ids))
+        ids = self._bytes(found.ids)
+        ends = np.searchsorted(at, starts[1:], side="left").tolist() + [len(at)]
+        step, lo = np.dtype(self.dtype).itemsize, 0
+        for w, hi in zip(words, ends):
+            self.words[w] = ids[lo * step:hi * step]
+            lo = hi
+
+    def encode(self, texts: list[bytes]) -> list[bytes]:
+        if not self.by_word:
+            return [self._bytes(e.ids) for e in self.tokenizer.encode_batch([t.decode() for t in texts], add_special_tokens=False)]
+        parts = [t.split() for t in texts]
+        different = set().union(*parts)
+        new = [w for w in different if w not in self.words]
+        if len(self.words) + len(new) > self.size:
+            self.words.clear()
+            new = list(different)
+        if new:
+            self._learn(new)
+        out = [b"".join(map(self.words.__getitem__, p)) for p in parts]
+        for w in new:
+            if len(w) > LONG_WORD:
+                del self.words[w]
+        return out
 
 
 @functools.cache
-def _words_of_worker(path: str) -> WordIds:
+def _texts_of_worker(path: str) -> Texts:
     """One cache per Python worker: tasks that follow each other in it share the words."""
-    return WordIds(path, CACHE_WORDS)
-
-
-def encode_words(text: bytes, ids: WordIds) -> bytes:
-    """Ids of a UTF-8 text, ASCII white space between words."""
-    return b"".join(map(ids.__getitem__, text.split()))
+    return Texts(path)
 
 
 def _tokenizer(path: str, end_id: int):
     def run(batches):
         from pyspark import TaskContext
-        pid, before, ids = TaskContext.get().partitionId(), 0, _words_of_worker(path)
-        end = np.array([end_id], "<u2").tobytes()
+        pid, before, coder = TaskContext.get().partitionId(), 0, _texts_of_worker(path)
+        end, wide = np.array([end_id], coder.dtype).tobytes(), np.dtype(coder.dtype).itemsize
         for b in batches:
             texts = b.column("text").cast(pa.binary())
             for lo in range(0, b.num_rows, 512):
-                part = [encode_words(t or b"", ids) + end for t in texts.slice(lo, 512).to_pylist()]
-                n = np.array([len(x) // 2 for x in part], np.int64)
+                part = [t + end for t in coder.encode([t or b"" for t in texts.slice(lo, 512).to_pylist()])]
+                n = np.array([len(x) // wide for x in part], np.int64)
                 at = before + np.cumsum(n) - n
                 before += int(n.sum())
                 yield pa.record_batch({
@@ -127,7 +154,7 @@ def _cutter(window: int):
             at = np.asarray(b.column("base")) + np.asarray(b.column("before"))
             n, ids = np.asarray(b.column("n_tokens")), b.column("ids")
             for i in range(b.num_rows):
-                own = np.frombuffer(ids[i].as_buffer(), "<u2").astype("<u4")
+                own = np.frombuffer(ids[i].as_buffer(), "<u2" if len(ids[i].as_buffer()) == 2 * n[i] else "<u4").astype("<u4")
                 g, end = int(at[i]), int(at[i] + n[i])
                 while g < end:
                     stop = min(end, (g // window + 1) * window)

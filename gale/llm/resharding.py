@@ -3,9 +3,12 @@
 Method
   1. The sizes of the old shards (one row per shard) and the capacities of the
      new ones form a transport network: keeping a byte where it is costs 0,
-     moving it costs 1 (or ``cost[i][j]``). Successive shortest paths solve it.
+     moving it costs 1 (or ``cost[i][j]``). With these costs the free arcs, each shard to
+     itself, are filled first (no cheaper flow leaves one unused), and what is left,
+     surplus against room, costs the same whatever the way, so one pass in order
+     solves it. Given costs are solved by successive shortest paths.
   2. Every old shard is a line of documents in blocks of about ``block_rows``
-     rows, dealt by a hash of id and text. Block totals and their prefix sums
+     rows and ``block_bytes`` bytes, dealt by a hash of id and text. Block totals and their prefix sums
      place each block on the line, a running sum inside the block places each
      document: no task ever orders a whole shard.
   3. The flow cuts every line into block transfers, one interval per receiving
@@ -33,6 +36,25 @@ from pyspark.sql import functions as F
 from gale.llm.common import Scratch, fresh
 
 
+def netted_flow(supply: list[int], capacity: list[int]) -> np.ndarray:
+    """:func:`min_cost_flow` for the cost of 1 for every byte that moves: linear in the shards."""
+    flow = np.zeros((len(supply), len(capacity)), np.int64)
+    left, room = list(map(int, supply)), list(map(int, capacity))
+    for i in range(min(len(left), len(room))):
+        flow[i, i] = min(left[i], room[i])
+        left[i] -= int(flow[i, i])
+        room[i] -= int(flow[i, i])
+    j = 0
+    for i, amount in enumerate(left):
+        while amount > 0 and j < len(room):
+            part = min(amount, room[j])
+            if part:
+                flow[i, j] += part
+                amount, room[j] = amount - part, room[j] - part
+            j += not room[j]
+    return flow
+
+
 def min_cost_flow(supply: list[int], capacity: list[int], cost: np.ndarray) -> np.ndarray:
     """Bytes from each old to each new shard, at the least total cost (sum of
     supply = sum of capacity). Successive shortest paths over the shard table."""
@@ -81,7 +103,7 @@ def _intervals(flow: np.ndarray) -> list[tuple[int, float, float, int]]:
     """(old, from, to, new): the cuts of every old shard's line, the kept part first."""
     out = []
     for i in range(flow.shape[0]):
-        to = [j for j in ([i] if i < flow.shape[1] else []) + [j for j in range(flow.shape[1]) if j != i] if flow[i, j] > 0]
+        to = sorted(np.flatnonzero(flow[i] > 0).tolist(), key=lambda j: (j != i, j))
         at = 0
         for k, j in enumerate(to):
             lo, at = at, at + int(flow[i, j])
@@ -106,7 +128,8 @@ def _placed(rows: DataFrame, names: DataFrame, old: str, cols: dict[str, str]) -
 
 
 def reshard(docs: DataFrame, old_col: str, shards: int, weights: list[float] | None = None, cost: np.ndarray | None = None,
-            id_col: str = "doc_id", text_col: str = "text", overhead: int = 16, block_rows: int = 20_000) -> dict:
+            id_col: str = "doc_id", text_col: str = "text", overhead: int = 16, block_rows: int = 20_000,
+            block_bytes: int = 8 << 20) -> dict:
     """Rewrites ``docs`` from the shards in ``old_col`` into ``shards`` new ones.
 
     Returns ``flow`` (bytes from old to new), ``moved_bytes``, ``affected``
@@ -124,11 +147,10 @@ def reshard(docs: DataFrame, old_col: str, shards: int, weights: list[float] | N
     sizes = slim.groupBy("old").agg(F.sum("size").alias("bytes"), F.count(F.lit(1)).alias("rows")) \
         .orderBy("old").collect()  # one row per old shard
     supply = [r["bytes"] for r in sizes]
-    if cost is None:
-        cost = (np.arange(len(sizes))[:, None] != np.arange(shards)[None, :]).astype(float)
-    flow = min_cost_flow(supply, capacities(sum(supply), shards, weights), cost)
-    names = spark.createDataFrame([(r["old"], i, -(-r["rows"] // block_rows)) for i, r in enumerate(sizes)],
-                                  "name string, old_no int, blocks long")
+    room = capacities(sum(supply), shards, weights)
+    flow = netted_flow(supply, room) if cost is None else min_cost_flow(supply, room, cost)
+    names = spark.createDataFrame([(r["old"], i, max(-(-r["rows"] // block_rows), -(-r["bytes"] // block_bytes)))
+                                   for i, r in enumerate(sizes)], "name string, old_no int, blocks long")
     cuts = spark.createDataFrame(_intervals(flow), "old_no int, lo double, hi double, shard int")
 
     # the table of pieces, from ids, hashes and sizes

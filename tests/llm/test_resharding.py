@@ -1,9 +1,10 @@
+import time
 import zlib
 from itertools import product
 
 import numpy as np
 
-from gale.llm.resharding import capacities, min_cost_flow, reshard
+from gale.llm.resharding import capacities, min_cost_flow, netted_flow, reshard
 from tests.llm.conftest import frame
 
 
@@ -41,6 +42,28 @@ def test_only_the_surplus_moves():
     assert (flow * cost).sum() == sum(max(0, s - c) for s, c in zip(supply, capacity))
 
 
+def test_netted_flow_is_as_cheap_and_fast():
+    rng = np.random.default_rng(6)
+    for old, new in ((1, 1), (3, 7), (7, 3), (12, 12), (30, 40)):
+        supply = rng.integers(0, 1000, old).tolist()
+        room = capacities(sum(supply), new, rng.random(new) + 0.01)
+        cost = (np.arange(old)[:, None] != np.arange(new)[None, :]).astype(float)
+        a, b = netted_flow(supply, room), min_cost_flow(supply, room, cost)
+        assert (a.sum(1) == supply).all() and (a.sum(0) == room).all() and (a >= 0).all()
+        assert (a * cost).sum() == (b * cost).sum()
+    supply = rng.integers(0, 10_000, 100_000).tolist()
+    began = time.perf_counter()
+    flow = netted_flow(supply, capacities(sum(supply), 40))
+    assert time.perf_counter() - began < 10 and flow.sum() == sum(supply)
+
+
+def test_blocks_are_bounded_in_bytes(spark):
+    docs = frame(spark, [(i, "y" * 1000) for i in range(60)]).drop("old").selectExpr("*", "'a' as old")
+    out = reshard(docs, "old", 3, block_bytes=5000)
+    size = check(out, docs, 3)
+    assert max(size.values()) - min(size.values()) <= 2 * 1016
+
+
 def check(out, docs, shards, overhead=16):
     rows = out["rows"].collect()
     want = docs.collect()
