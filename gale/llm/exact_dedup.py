@@ -114,18 +114,26 @@ def exact_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
 
 def drop_copies(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
                 bucket_rows: int = 100_000) -> DataFrame:
-    """``docs`` with all its columns, one row of every group of equal texts."""
+    """``docs`` with all its columns, one row of every group of equal texts.
+
+    Only the rows to drop are looked up, in the entries of texts that occur twice or
+    more; they leave by an anti join, whose small side Spark broadcasts if its file is
+    under the session's threshold, so the documents need not be shuffled again."""
     scratch = Scratch(docs.sparkSession, "exact-dedup")
     index = build_index(docs, scratch, id_col, text_col, bucket_rows)
-    keep = index.select("h", "sha", F.col("keep_id").alias("doc_id"))
+    several = scratch.write(index.filter("group_size > 1").select("h", "sha", "keep_id"), "several")
+    copies = scratch.write(_keys(docs, id_col, text_col).join(several, ["h", "sha"]), "copies")
+    kept_row = F.col("doc_id").eqNullSafe(F.col("keep_id"))
+    dropped = scratch.write(copies.filter(~kept_row).select("doc_id", "h", "sha").distinct(), "dropped")
+    again = scratch.write(_repeated(copies.filter(kept_row)), "again")
     h, sha = fresh(docs, "h"), fresh(docs, "sha")
     norm = ascii_lower(F.col(f"`{text_col}`"))
     rows = docs.withColumns({h: F.xxhash64(norm), sha: F.sha2(norm, 256)})
-    kept = rows.join(keep, (rows[h] == keep["h"]) & (rows[sha] == keep["sha"])
-                     & rows[f"`{id_col}`"].eqNullSafe(keep["doc_id"]), "left_semi")
-    again = _repeated(_keys(docs, id_col, text_col))
+
+    def same(rows, keys):
+        return (rows[h] == keys["h"]) & (rows[sha] == keys["sha"]) & rows[f"`{id_col}`"].eqNullSafe(keys["doc_id"])
+    kept = rows.join(dropped, same(rows, dropped), "left_anti")
     if not again.isEmpty():
-        same = (kept[h] == again["h"]) & (kept[sha] == again["sha"]) & kept[f"`{id_col}`"].eqNullSafe(again["doc_id"])
-        kept = kept.join(again, same, "left_anti").unionByName(
-            kept.join(again, same, "left_semi").dropDuplicates([h, sha, id_col]))
+        kept = kept.join(again, same(kept, again), "left_anti").unionByName(
+            kept.join(again, same(kept, again), "left_semi").dropDuplicates([h, sha, id_col]))
     return kept.drop(h, sha)
