@@ -5,23 +5,32 @@ Method
      candidates: every run of at least ``min_length`` token characters, with or
      without digits, that does not lie inside one finding; a run that is longer
      than the finding in it is a candidate as a whole.
-  2. Labelled findings: rule findings are positive, candidates that no finding
-     touches negative. The fit takes at most ``max_findings`` of each, those with
-     the smallest hash (a quarter of the negatives are digits alone, if there are
-     as many: plain words must not crowd out all numbers). A second copy of
-     each positive gets the surroundings of a negative, and a third also other
-     random letters and digits for its own, so the network learns the value's
-     shape and not only the name in front of it or the alphabet the rules know.
+  2. Labelled findings: rule findings are positive; candidates that no finding
+     touches are negative if they are digits alone or look like words. Others, which
+     mix letters and digits or cases, are what unknown secrets look like, so they are
+     no labels: taken as negative they would teach the network to reject the very
+     formats it is to find. The fit takes at most ``max_findings`` of each, those with
+     the smallest hash (a quarter of the negatives are digits alone, if there are as
+     many: plain words must not crowd them out). A second copy of each positive gets the surroundings of a negative, and
+     further ones also another random value of another length, so the network
+     learns the value's shape and not only the name in front of it, the alphabet
+     or the length the rules know.
   3. A one-layer character CNN (width 5, ReLU, maximum over the left context, the
-     candidate, the right context), then a logistic output; Adam in numpy. A
-     quarter of the sample is kept for calibration (Platt scaling).
-  4. Thresholds, per alphabet (digits, hex, mixed): Spark scores all positives of
-     the corpus, in their own surroundings and in those of a negative; the largest
-     score (on a grid of 1/512 logit, rounded down) that keeps ``recall`` of them.
-     An alphabet without positives has the threshold of all copies together, the
-     recoded ones too.
-  5. Every candidate of every text is scored at full length; those that reach
-     their threshold are added as spans of kind ``extra``. Rule spans stay.
+     candidate, the right context) next to the candidate's length and its shares
+     of digits, letters of either case, other signs and changes between them; then
+     a logistic output; Adam in numpy. A quarter of the sample is kept for
+     calibration (Platt scaling).
+  4. Every candidate of every text is scored at full length.
+  5. Thresholds, per sort of value (digits; hex; mixed; plain letters in the case of
+     words), on a grid of 1/512 logit. Spark scores all positives of the corpus. Two
+     bounds hold: at least ``recall`` of a sort's labelled findings, in their own
+     surroundings, are kept; and candidates that no finding touches are added at
+     most ``max_false[sort]`` times the number of findings. Within both, the
+     threshold is the largest that also keeps ``recall`` of the sort's copies and
+     random values in a negative's surroundings. Where the bounds conflict, the recall
+     of labelled findings holds.
+  6. Candidates that reach their threshold are added as spans of kind ``extra``.
+     Rule spans stay.
 
 Defined results
   null text is empty; texts without findings have empty strings; null and
@@ -105,8 +114,35 @@ def encode_bytes(s: str) -> np.ndarray:
     return _BYTE[np.minimum(np.frombuffer(s.encode("utf-32-le", "surrogatepass"), np.uint32), 127)]
 
 
+DIGITS, HEXES, MIXED, PLAIN = range(4)  # sorts of values
+_PLAIN = re.compile(r"(?:[+/_=-]|(?<![A-Za-z])[A-Z]*[a-z]*(?<=[A-Za-z])(?![A-Za-z]))+", re.ASCII)
+
+
 def sort_of(value: str) -> int:
-    return 0 if re.fullmatch(r"[0-9]+", value) else 1 if re.fullmatch(r"[0-9a-fA-F]+", value) else 2
+    """PLAIN: no digit, and in each run of letters no capital behind a small one, like words are; DIGITS: no letter."""
+    if _PLAIN.fullmatch(value):
+        return PLAIN
+    if re.fullmatch(r"[0-9+/_=-]+", value):
+        return DIGITS
+    return HEXES if re.fullmatch(r"[0-9a-fA-F]+", value) else MIXED
+
+
+_CLASS = np.full(len(ALPHABET) + 2, 4)  # digit, lower, upper, joining sign, none of these
+for _i, _c in enumerate(ALPHABET):
+    _CLASS[_i + 1] = 0 if _c.isdigit() else 1 if _c.islower() else 2 if _c.isupper() else 3 if _c in "+/_=-" else 4
+SHAPE = 7
+
+
+def shapes(code: np.ndarray, start: np.ndarray, end: np.ndarray) -> np.ndarray:
+    """(n, SHAPE) of ``code[start:end]``: length, shares of digits, lower and upper case and signs, changes of class, digits x letters."""
+    kind = _CLASS[code]
+    n = (end - start).astype(float)
+    share = []
+    for k in range(4):
+        total = np.concatenate([[0], np.cumsum(kind == k)])
+        share.append((total[end] - total[start]) / n)
+    turn = np.concatenate([[0, 0], np.cumsum(kind[1:] != kind[:-1])])  # changes before each place
+    return np.stack([np.log2(n) / 8, *share, (turn[end] - turn[start + 1]) / n, 4 * share[0] * (share[1] + share[2])], 1)
 
 
 def _spans_text(spans) -> str:
@@ -138,8 +174,11 @@ def _place(left: str, value: str, right: str) -> int:
     return zlib.crc32(f"{left}\0{value}\0{right}".encode("utf-8", "surrogatepass"))
 
 
-def _labelled(min_length: int, quotas: tuple[int, int]):
-    """All positives; of the negatives of each stratum (0: digits, 1: others) those with the smallest hash in the task."""
+STRATUM = (0, None, None, 1)  # of the negatives, by sort; None: not labelled
+
+
+def _labelled(min_length: int, quotas: tuple[int, ...]):
+    """All positives; of the negatives of each stratum (0: digits, 1: plain) those with the smallest hash in the task."""
     def rows(label, stratum, items):
         place, left, value, right = zip(*items)
         return pa.record_batch({"label": pa.array([label] * len(items), pa.int32()),
@@ -158,12 +197,13 @@ def _labelled(min_length: int, quotas: tuple[int, int]):
                     item = text[max(0, v - LEFT):v], text[v:e], text[e:e + RIGHT]
                     pos.append((_place(*item), *item))
                 for s, e, touched in _candidates(text, found, min_length):
-                    if not touched and e - s <= FIT_LENGTH:
+                    stratum = STRATUM[sort_of(text[s:e])] if not touched and e - s <= FIT_LENGTH else None
+                    if stratum is not None:
                         item = text[max(0, s - LEFT):s], text[s:e], text[e:e + RIGHT]
-                        least[0 if sort_of(item[1]) == 0 else 1].add((_place(*item), *item))
+                        least[stratum].add((_place(*item), *item))
             if pos:
                 yield rows(1, 0, pos)
-        for k in range(2):
+        for k in range(len(quotas)):
             if items := least[k].cut():
                 yield rows(0, k, items)
     return run
@@ -175,8 +215,8 @@ class Network:
     def __init__(self, seed: int = 5):
         rng = np.random.default_rng(seed)
         self.p = {"conv": rng.normal(0, 0.3, (WIDTH, len(ALPHABET) + 2, FILTERS)), "cb": np.zeros(FILTERS),
-                  "out": rng.normal(0, 0.2, 3 * FILTERS), "ob": np.zeros(1)}
-        self.scale, self.shift, self.thresholds = 1.0, 0.0, (0, 0, 0)  # thresholds: cells of the grid
+                  "out": rng.normal(0, 0.2, 3 * FILTERS), "shape": np.zeros(SHAPE), "ob": np.zeros(1)}
+        self.scale, self.shift, self.floors = 1.0, 0.0, (0, 0, 0, 0)  # floors: least cell worth keeping, by sort
 
     def _conv(self, x: np.ndarray) -> np.ndarray:
         """x: (n, length + WIDTH - 1) codes -> (n, length, FILTERS)."""
@@ -213,7 +253,11 @@ class Network:
         for lo in range(0, region.shape[1], 4096):
             top, _ = self.pooled(x[:, lo:lo + 4096 + WIDTH - 1], region[:, lo:lo + 4096])
             best = np.maximum(best, top[0])
-        return float(best.reshape(-1) @ self.p["out"] + self.p["ob"][0])
+        return float(best.reshape(-1) @ self.p["out"] + self.shape(value) @ self.p["shape"] + self.p["ob"][0])
+
+    @staticmethod
+    def shape(value: str) -> np.ndarray:
+        return shapes(encode(value), np.zeros(1, np.int64), np.full(1, len(value)))[0]
 
     def tables(self) -> tuple[np.ndarray, ...]:
         """The convolution as sums of looked-up rows: two characters, two characters, one with the bias."""
@@ -240,7 +284,7 @@ class Network:
                     z[none] = 0
                 top = np.stack([z[:, :LEFT].max(1), z[:, LEFT:LEFT + n].max(1), z[:, LEFT + n:].max(1)], 1)
                 out[part] = (np.maximum(top, 0).reshape(len(part), -1) * weights).sum(1)
-        return out + self.p["ob"][0]
+        return out + shapes(code, start, end) @ self.p["shape"] + self.p["ob"][0]
 
     def logits(self, items: list[tuple[str, str, str]], tables=None) -> np.ndarray:
         out, short = np.empty(len(items)), [i for i, x in enumerate(items) if len(x[1]) <= LONG]
@@ -265,14 +309,15 @@ class Network:
             for part in np.array_split(rng.permutation(len(items)), max(1, len(items) // 64)):
                 x, region = self.batch([items[i] for i in part])
                 top, place = self.pooled(x, region)
+                form = np.stack([self.shape(items[i][1]) for i in part])
                 flat, t = top.reshape(len(part), -1), t + 1
-                e = (1 / (1 + np.exp(-(flat @ self.p["out"] + self.p["ob"]))) - y[part]) / len(part)
+                e = (1 / (1 + np.exp(-(flat @ self.p["out"] + form @ self.p["shape"] + self.p["ob"]))) - y[part]) / len(part)
                 back = (e[:, None] * self.p["out"]).reshape(top.shape) * (top > 0)
                 conv = np.zeros_like(self.p["conv"])
                 row, reg, k = np.nonzero(back)
                 for w in range(WIDTH):
                     np.add.at(conv[w], (x[row, place[row, reg, k] + w], k), back[row, reg, k])
-                grad = {"conv": conv, "cb": back.sum((0, 1)), "out": flat.T @ e + 1e-4 * self.p["out"], "ob": e.sum()}
+                grad = {"conv": conv, "cb": back.sum((0, 1)), "out": flat.T @ e + 1e-4 * self.p["out"], "shape": form.T @ e, "ob": e.sum()}
                 for name in self.p:
                     m[name] = 0.9 * m[name] + 0.1 * grad[name]
                     v[name] = 0.999 * v[name] + 0.001 * grad[name] ** 2
@@ -291,28 +336,68 @@ class Network:
             a, b = a - step[0], b - step[1]
         self.scale, self.shift = float(max(a, 1e-3)), float(b)
 
+
+HEX_DIGITS = "0123456789abcdef"
 LETTERS = "abcdefghijklmnopqrstuvwxyzABCDEFGHIJKLMNOPQRSTUVWXYZ0123456789"
+_DRAWN = ("0123456789", HEX_DIGITS, LETTERS, "abcdefghijklmnopqrstuvwxyz")  # alphabets by sort
+
+
+def recoded(value: str, seed: int, sort: int = MIXED) -> str:
+    """Another random value of a sort, half of them of 8 to 12 characters, half of 8 to the
+    value's length; of the mixed ones every third has a short word and a sign in front, as
+    issued keys do."""
+    rng = np.random.default_rng([seed, sort])
+    size = int(rng.integers(8, 13 if rng.random() < 0.5 else max(len(value), 12) + 1))
+    for _ in range(64):
+        out = "".join(_DRAWN[sort][k] for k in rng.integers(0, len(_DRAWN[sort]), size).tolist())
+        if sort_of(out) == sort:
+            break
+    if sort == MIXED and seed % 3 == 0:
+        word = "".join(_DRAWN[PLAIN][k] for k in rng.integers(0, 26, int(rng.integers(2, 6))).tolist())
+        out = word + "_-"[seed % 2] + out
+    return out
 
 
-def recoded(value: str, seed: int) -> str:
-    """The value with random letters and digits for its own; other characters stay."""
-    draw = np.random.default_rng(seed).integers(0, len(LETTERS), len(value))
-    return "".join(LETTERS[k] if c.isalnum() else c for c, k in zip(value, draw.tolist()))
+OWN, MOVED, RANDOM = range(3)  # labelled findings, the same in a negative's surroundings, random values there
 
 
-def thresholds(counts: list[tuple[int, int, int]], recall: float) -> tuple[int, ...]:
-    """Per alphabet the largest cell that keeps ``recall`` of the positives (rows: alphabet, or 3 for
-    recoded copies, cell, number); alphabets without positives: that of all rows together."""
-    def least(rows):
-        total = sum(n for _, n in rows)
-        miss = math.floor((1 - recall) * total)
-        for cell, n in sorted(rows):
-            miss -= n
-            if miss < 0:
-                return cell
-    each = [[(c, n) for s, c, n in counts if s == k] for k in range(3)]
-    pooled = least([(c, n) for _, c, n in counts])
-    return tuple(least(rows) if rows else pooled for rows in each)
+def _keeping(rows: list[tuple[int, int]], recall: float) -> int | None:
+    """The largest cell that keeps ``recall`` of (cell, number) rows."""
+    miss = math.floor((1 - recall) * sum(n for _, n in rows))
+    for cell, n in sorted(rows):
+        miss -= n
+        if miss < 0:
+            return cell
+    return None
+
+
+def wanted(counts: list[tuple[int, int, int, int]], recall: float) -> list[tuple[int, int | None]]:
+    """By sort: the largest cell that keeps ``recall`` of its copies and of its random
+    values, and the one that keeps it of its labelled findings (None: it has none). ``counts``: (OWN, MOVED or RANDOM; sort; cell; number)."""
+    out = []
+    for sort in range(4):
+        of = [[(c, n) for w, s, c, n in counts if w == which and s == sort] for which in range(3)]
+        goals = [_keeping(rows, recall) for rows in (of[OWN] + of[MOVED], of[RANDOM]) if rows]
+        out.append((min(goals), _keeping(of[OWN], recall) if of[OWN] else None))
+    return out
+
+
+def thresholds(goals: list[tuple[int, int | None]], untouched: list[tuple[int, int, int]], findings: int,
+               max_false: tuple[float, ...]) -> tuple[int, ...]:
+    """By sort: the goal, raised until at most ``max_false * findings`` of the ``untouched``
+    candidates (sort, cell, number) reach it, but never above what the labelled findings need."""
+    out = []
+    for sort, (goal, own) in enumerate(goals):
+        left, cell = math.floor(max_false[sort] * findings), MOST * GRID + 1
+        for c, n in sorted(((c, n) for s, c, n in untouched if s == sort and c >= goal), reverse=True):
+            left -= n
+            if left < 0:
+                break
+            cell = c
+        else:
+            cell = goal
+        out.append(cell if own is None else min(cell, own))
+    return tuple(out)
 
 
 PAD = max(LEFT, RIGHT) + WIDTH // 2
@@ -337,8 +422,9 @@ def train(sample) -> Network | None:
     for r in pos:
         other = neg[rng.integers(len(neg))]
         rows.append(((other["left"], r["value"], other["right"]), 1, r["kept"]))
-        other = neg[rng.integers(len(neg))]
-        rows.append(((other["left"], recoded(r["value"], r["place"]), other["right"]), 1, r["kept"]))
+        for sort in (HEXES, MIXED, MIXED):
+            other = neg[rng.integers(len(neg))]
+            rows.append(((other["left"], recoded(r["value"], int(rng.integers(1 << 30)), sort), other["right"]), 1, r["kept"]))
     kept = np.array([r[2] for r in rows], bool)
     y = np.array([r[1] for r in rows], float)
     if len(set(y[kept])) < 2 or len(set(y[~kept])) < 2:
@@ -355,20 +441,21 @@ def train(sample) -> Network | None:
 
 
 def _positive_cells(shared):
-    """(alphabet, cell) of every positive: in its own surroundings, in those of a negative, and recoded (3)."""
+    """(which, sort, cell) of every positive: in its own surroundings, in those of a negative, and a random value of each sort there."""
     def run(batches):
         net, around = shared.value
         tables = net.tables()
         for b in batches:
-            rows = list(zip(*(b.column(c).to_pylist() for c in ("left", "value", "right", "place"))))
-            items = [r[:3] for r in rows]
-            for seed, made in ((0, lambda v, _: v), (1, recoded)):
-                for _, value, _, place in rows:
-                    other = around[zlib.crc32(place.to_bytes(8, "little"), seed) % len(around)]
-                    items.append((other[0], made(value, place), other[1]))
-            sort = [sort_of(i[1]) for i in items[:2 * len(rows)]] + [3] * len(rows)
-            yield pa.record_batch({"sort": pa.array(sort, pa.int32()),
-                                   "cell": pa.array(net.cells(net.logits(items, tables)), pa.int64())})
+            which, items = [], []
+            for left, value, right, place in zip(*(b.column(c).to_pylist() for c in ("left", "value", "right", "place"))):
+                made = [value] + [recoded(value, place, sort) for sort in range(4)]
+                which += [OWN, MOVED] + [RANDOM] * 4
+                items.append((left, value, right))
+                for k, v in enumerate(made):
+                    other = around[zlib.crc32(place.to_bytes(8, "little"), k) % len(around)]
+                    items.append((other[0], v, other[1]))
+            yield pa.record_batch({"which": pa.array(which, pa.int32()), "sort": pa.array([sort_of(i[1]) for i in items], pa.int32()),
+                                   "cell": pa.array(net.cells(net.logits(items, tables)) if items else [], pa.int64())})
     return run
 
 
@@ -385,78 +472,102 @@ def _groups(column, most: int = 1 << 20):
         yield out
 
 
+SPANS = pa.list_(pa.struct([("kind", pa.string()), ("start", pa.int64()), ("end", pa.int64()), ("sort", pa.int32()),
+                            ("cell", pa.int64()), ("touched", pa.bool_())]))
+
+
 def _judge(shared, min_length: int):
+    """The rule spans of every text, and its candidates that reach the floor of their sort, in the order of spans."""
     def run(batches):
         net = shared.value
         tables = net.tables() if net is not None else None
         for b in batches:
-            rows = {k: [] for k in ("n_assign", "n_access", "n_hex", "sha", "spans", "n_extra")}
+            rows = {k: [] for k in ("n_assign", "n_access", "n_hex", "sha", "spans")}
             for texts in _groups(b.column("text")):
                 all_found = [rule_spans(t) for t in texts]
-                extra = _extra(net, tables, texts, all_found, min_length) if net is not None else {}
+                extra = _scored(net, tables, texts, all_found, min_length) if net is not None else {}
                 for i, found in enumerate(all_found):
                     for kind in KINDS[:3]:
                         rows[f"n_{kind}"].append(sum(x[0] == kind for x in found))
-                    spans = [x[:3] for x in found]
-                    rows["sha"].append(hashlib.sha256(_spans_text(spans).encode()).hexdigest())
-                    rows["spans"].append(_spans_text(spans + extra.get(i, [])))
-                    rows["n_extra"].append(len(extra.get(i, [])))
+                    rows["sha"].append(hashlib.sha256(_spans_text([x[:3] for x in found]).encode()).hexdigest())
+                    spans = [(k, s, e, None, None, None) for k, s, e, _ in found] + extra.get(i, [])
+                    spans.sort(key=lambda x: (x[1], KINDS.index(x[0]), x[2]))
+                    rows["spans"].append([dict(zip(("kind", "start", "end", "sort", "cell", "touched"), x)) for x in spans])
             yield pa.record_batch({"doc_id": b.column("doc_id")} | {
                 f"n_{k}": pa.array(rows[f"n_{k}"], pa.int64()) for k in KINDS[:3]} | {
-                "base_sha256": pa.array(rows["sha"], pa.string()), "spans": pa.array(rows["spans"], pa.string()),
-                "n_extra": pa.array(rows["n_extra"], pa.int64())})
+                "base_sha256": pa.array(rows["sha"], pa.string()), "found": pa.array(rows["spans"], SPANS)})
     return run
 
 
-def _extra(net: Network, tables, texts: list[str], all_found, min_length: int) -> dict[int, list[tuple[str, int, int]]]:
-    """The added spans of each text (by its number)."""
-    spans = [(i, lo, hi) for i, (t, f) in enumerate(zip(texts, all_found)) for lo, hi, _ in _candidates(t, f, min_length)]
+def _scored(net: Network, tables, texts: list[str], all_found, min_length: int) -> dict[int, list[tuple]]:
+    """The candidates of each text (by its number) that reach the floor of their sort."""
+    spans = [(i, lo, hi, t) for i, (text, f) in enumerate(zip(texts, all_found)) for lo, hi, t in _candidates(text, f, min_length)]
     if not spans:
         return {}
     code, at = joined(texts)
-    doc, lo, hi = np.array(spans, np.int64).T
+    doc, lo, hi, _ = np.array(spans, np.int64).T
     logit, short = np.empty(len(spans)), hi - lo <= LONG
     logit[short] = net.logits_at(code, (at[doc] + lo)[short], (at[doc] + hi)[short], tables)
     for k in np.nonzero(~short)[0]:
-        i, s, e = spans[k]
+        i, s, e, _ = spans[k]
         logit[k] = net.logit(texts[i][max(0, s - LEFT):s], texts[i][s:e], texts[i][e:e + RIGHT])
     cell, out = net.cells(logit), {}
-    for k in np.nonzero(cell >= min(net.thresholds))[0]:
-        i, s, e = spans[k]
-        if cell[k] >= net.thresholds[sort_of(texts[i][s:e])]:
-            out.setdefault(i, []).append(("extra", s, e))
+    for k in np.nonzero(cell >= min(net.floors))[0]:
+        i, s, e, touched = spans[k]
+        sort = sort_of(texts[i][s:e])
+        if cell[k] >= net.floors[sort]:
+            out.setdefault(i, []).append(("extra", s, e, sort, int(cell[k]), touched))
     return out
 
 
-def fitted(docs: DataFrame, scratch: Scratch, min_length: int, max_findings: int, recall: float) -> Network | None:
-    """The network with its thresholds; ``docs``: a text column."""
-    spark, quotas = docs.sparkSession, (max_findings // 4, max_findings - max_findings // 4)
+def fitted(docs: DataFrame, scratch: Scratch, min_length: int, max_findings: int, recall: float):
+    """The network and the goals of its thresholds, by sort; (None, None) without labels. ``docs``: a text column."""
+    spark, part = docs.sparkSession, max_findings // 4
+    quotas = (part, max_findings - part)
     found = docs.select("text").mapInArrow(_labelled(min_length, quotas), "label int, stratum int, place long, "
                                                                           "left string, value string, right string")
     found = scratch.write(found, "labelled")
     order = ["place", "left", "value", "right"]
     fit = found.filter(F.length("value") <= FIT_LENGTH).distinct()
-    sample = [r.asDict() for label, stratum, most in [(1, 0, max_findings), (0, 0, quotas[0]), (0, 1, quotas[1])]
+    sample = [r.asDict() for label, stratum, most in [(1, 0, max_findings), *((0, k, q) for k, q in enumerate(quotas))]
               for r in fit.filter((F.col("label") == label) & (F.col("stratum") == stratum)).orderBy(*order).limit(most)
               .withColumn("kept", F.col("place") % 4 == 0).collect()]
-    net = train(sample)
+    net, goals = train(sample), None
     if net is not None:
         around = [(r["left"], r["right"]) for r in sample if r["label"] == 0]
         shared = spark.sparkContext.broadcast((net, around))
         cells = found.filter("label = 1").select("left", "value", "right", "place") \
-            .mapInArrow(_positive_cells(shared), "sort int, cell long")
-        counts = cells.groupBy("sort", "cell").count().collect()  # 3 alphabets and the recoded, 2 * MOST * GRID + 1 cells at most
-        net.thresholds = thresholds([tuple(r) for r in counts], recall)
+            .mapInArrow(_positive_cells(shared), "which int, sort int, cell long")
+        counts = cells.groupBy("which", "sort", "cell").count().collect()  # 12 x (2 * MOST * GRID + 1) cells at most
+        goals = wanted([tuple(r) for r in counts], recall)
+        net.floors = tuple(goal if own is None else min(goal, own) for goal, own in goals)
     scratch.drop("labelled")
-    return net
+    return net, goals
 
 
 def scan_secrets(docs: DataFrame, min_length: int = 8, max_findings: int = 2000, recall: float = 0.98,
-                 id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """One row per document: doc_id, n_assign, n_access, n_hex, base_sha256, spans, n_extra."""
+                 max_false: tuple[float, ...] = (0.05, 1.0, 1.0, 0.05), id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """One row per document: doc_id, n_assign, n_access, n_hex, base_sha256, spans, n_extra.
+
+    ``max_false``: added spans that no finding touches, for each finding of the corpus, by sort of value."""
     spark = docs.sparkSession
+    scratch = Scratch(spark, "secrets")
     d = pick(docs, doc_id=id_col, text=text_col)
     kind = d.schema["doc_id"].dataType.simpleString()
-    network = spark.sparkContext.broadcast(fitted(d, Scratch(spark, "secrets"), min_length, max_findings, recall))
-    return d.mapInArrow(_judge(network, min_length), f"doc_id {kind}, n_assign long, n_access long, n_hex long, "
-                                                     "base_sha256 string, spans string, n_extra long")
+    net, goals = fitted(d, scratch, min_length, max_findings, recall)
+    judged = scratch.write(d.mapInArrow(
+        _judge(spark.sparkContext.broadcast(net), min_length),
+        f"doc_id {kind}, n_assign long, n_access long, n_hex long, base_sha256 string, found array<struct<"
+        "kind: string, start: long, end: long, sort: int, cell: long, touched: boolean>>"), "judged")
+    least = (MOST * GRID + 1,) * 4
+    if net is not None:
+        findings = judged.agg(F.coalesce(F.sum(F.expr("n_assign + n_access + n_hex")), F.lit(0))).first()[0]
+        untouched = judged.select(F.explode("found").alias("x")).filter("NOT x.touched") \
+            .groupBy("x.sort", "x.cell").count().collect()  # 4 x (2 * MOST * GRID + 1) cells at most
+        least = thresholds(goals, [tuple(r) for r in untouched], findings, max_false)
+    bounds = F.array(*[F.lit(t).cast("long") for t in least])
+    kept = F.filter("found", lambda x: x["cell"].isNull() | (x["cell"] >= F.element_at(bounds, x["sort"] + 1)))
+    out = judged.withColumn("found", kept)
+    text = F.transform("found", lambda x: F.concat_ws(":", x["kind"], x["start"], x["end"]))
+    return out.select("doc_id", "n_assign", "n_access", "n_hex", "base_sha256", F.array_join(text, ",").alias("spans"),
+                      F.size(F.filter("found", lambda x: x["cell"].isNotNull())).cast("long").alias("n_extra"))

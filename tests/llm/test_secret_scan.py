@@ -3,8 +3,11 @@ import random
 import re
 
 import numpy as np
+import pytest
+from pyspark.sql import functions as F
 
-from gale.llm.secret_scan import LEFT, RIGHT, Network, candidate_spans, joined, rule_spans, scan_secrets, thresholds
+from gale.llm.secret_scan import (DIGITS, HEXES, LEFT, MIXED, MOVED, OWN, PLAIN, RANDOM, RIGHT, Network, candidate_spans, encode,
+                                  joined, recoded, rule_spans, scan_secrets, shapes, sort_of, thresholds, wanted)
 from tests.llm.conftest import frame
 
 NAMES = "[pP][aA][sS][sS][wW][oO][rR][dD]|[pP][aA][sS][sS][wW][dD]|[sS][eE][cC][rR][eE][tT]|[tT][oO][kK][eE][nN]|[aA][pP][iI]_?[kK][eE][yY]"
@@ -78,40 +81,73 @@ def test_scores_of_long_candidates_do_not_depend_on_the_pieces():
     assert abs(net.logit("left ", value, " right") - float(top.reshape(-1) @ net.p["out"] + net.p["ob"][0])) < 1e-9
 
 
-def planted(value):
-    """Documents with findings of one alphabet (by ``value``), plain words, and 20 tokens of unknown formats without a name."""
+def some(rng, n, chars):
+    return "".join(rng.choice(chars) for _ in range(n))
+
+
+MIXED_CHARS = "abcdefghijklmnopqrstuvwxyzABCDEFGHIJKLMNOPQRSTUVWXYZ0123456789"
+
+
+def unknown_formats(rng):
+    """Secrets that no rule knows: issued keys, base64 and 8 characters."""
+    return ["ghp_" + some(rng, 36, MIXED_CHARS), "xoxb-" + some(rng, 12, "0123456789") + "-" + some(rng, 24, MIXED_CHARS),
+            some(rng, 43, MIXED_CHARS + "+/") + "=", some(rng, 7, MIXED_CHARS) + rng.choice("0123456789")]
+
+
+def extras(rows, texts):
+    return {r["doc_id"]: [texts[r["doc_id"]][int(a):int(b)] for k, a, b in (x.split(":") for x in r["spans"].split(",") if x)
+                          if k == "extra"] for r in rows}
+
+
+@pytest.mark.parametrize("value", [lambda rng: some(rng, 40, "0123456789abcdef"), lambda rng: some(rng, 32, MIXED_CHARS)])
+def test_secrets_of_unknown_formats_are_found_and_words_are_not(spark, value):
+    """Findings of one sort only (all hex; all mixed) among the given documents."""
     rng = random.Random(4)
-    some = lambda n, chars: "".join(rng.choice(chars) for _ in range(n))
-    mixed = "abcdefghijklmnopqrstuvwxyzABCDEFGHIJKLMNOPQRSTUVWXYZ0123456789"
-    word = lambda: rng.choice([str.lower, str.lower, str.title, str.upper])(some(rng.randrange(3, 14), "abcdefghiklmnopqrstuvwxyz"))
-    plain = lambda n: " ".join(word() for _ in range(n))
-    docs = [(i, f"{plain(8)} token = \"{value(some)}\" {plain(8)}") for i in range(200)]
-    docs += [(1000 + i, plain(20)) for i in range(400)]
-    secrets = ["ghp_" + some(36, mixed) if i % 2 else "xoxb-" + some(12, "0123456789") + "-" + some(24, mixed) for i in range(20)]
-    docs += [(2000 + i, f"{plain(8)} {s} {plain(8)}") for i, s in enumerate(secrets)]
-    return docs, secrets
-
-
-def test_planted_secrets_of_unknown_formats_are_found(spark):
-    """Hex findings only, so no positive is mixed; and findings of mixed characters."""
-    mixed = "abcdefghijklmnopqrstuvwxyzABCDEFGHIJKLMNOPQRSTUVWXYZ0123456789"
-    for value in (lambda some: some(40, "0123456789abcdef"), lambda some: some(32, mixed)):
-        docs, secrets = planted(value)
-        texts = dict(docs)
-        got = {r["doc_id"]: r for r in check(frame(spark, docs))}
-        spans = {i: [x.split(":") for x in r["spans"].split(",") if x.startswith("extra")] for i, r in got.items()}
-        found = sum(s in [texts[2000 + i][int(a):int(e)] for _, a, e in spans[2000 + i]] for i, s in enumerate(secrets))
-        assert found >= 16
-        assert sum(got[1000 + i]["n_extra"] for i in range(400)) <= 90  # of about 4400 plain words of 8 letters or more
-
-
-def test_thresholds_keep_the_recall_and_reach_every_alphabet():
-    counts = [(1, c, 1) for c in range(-5000, 5000, 10)]
-    low = thresholds(counts, 0.98)
-    assert low[0] == low[1] == low[2]  # no digits, no mixed: that of all
-    assert sum(n for _, c, n in counts if c >= low[1]) / 1000 == 0.98
-    two = thresholds(counts + [(2, -20000, 3)], 0.98)
-    assert two[2] == -20000 and two[1] == low[1] and min(two[0], low[0]) == two[0]
+    given = [r["text"] for r in spark.read.parquet("/root/testdata/sf0.01/documents.parquet").select("text").collect()]
+    given = [t for t in given if t and not rule_spans(t)]
+    docs = list(enumerate(given))
+    put = lambda t, s: (lambda w: " ".join(w[:len(w) // 2] + [s] + w[len(w) // 2:]))(t.split(" "))
+    docs += [(10_000 + i, put(rng.choice(given), f'token = "{value(rng)}"')) for i in range(200)]
+    secrets = [s for _ in range(25) for s in unknown_formats(rng)]
+    docs += [(20_000 + i, put(rng.choice(given), s)) for i, s in enumerate(secrets)]
+    rows = check(frame(spark, docs))
+    found, base = extras(rows, dict(docs)), sum(r["n_assign"] + r["n_access"] + r["n_hex"] for r in rows)
+    assert sum(s in found[20_000 + i] for i, s in enumerate(secrets)) >= 0.95 * len(secrets)
+    assert sum(len(v) for k, v in found.items() if k < 20_000) <= base / 10
+
+
+@pytest.mark.parametrize("size", ["sf0.01", "sf0.1"])
+def test_given_documents_get_few_added_spans(spark, size):
+    out = scan_secrets(spark.read.parquet(f"/root/testdata/{size}/documents.parquet"))
+    base, added = out.agg(F.sum(F.expr("n_assign + n_access + n_hex")), F.sum("n_extra")).first()
+    assert base >= 13 and added <= base / 10
+
+
+def test_thresholds_hold_recall_and_bound_false_spans():
+    own = [(OWN, HEXES, c, 1) for c in range(100, 1100, 10)] + [(MOVED, HEXES, c, 1) for c in range(-900, 100, 10)]
+    made = [(RANDOM, k, c, 1) for k in range(4) for c in range(0, 500, 5)]
+    goals = wanted(own + made, 0.98)
+    assert goals[HEXES] == (-860, 120) and goals[PLAIN] == goals[DIGITS] == (10, None)
+    most = (0.05, 1.0, 1.0, 0.05)
+    assert thresholds(goals, [], 100, most) == (10, -860, 10, 10)  # nothing is false: all of the goals
+    words = [(k, c, 1) for k in range(4) for c in range(-1000, 400)]
+    cut = thresholds(goals, words, 100, most)
+    assert cut[PLAIN] == cut[DIGITS] == 395 and cut[MIXED] == 300
+    assert cut[HEXES] == 120  # 300 would lose labelled findings: their recall holds
+    assert thresholds(goals, words, 0, most)[PLAIN] > 400
+
+
+def test_sorts_and_shapes():
+    sorts = {"20201010": DIGITS, "555-1234-5678": DIGITS, "deadbeef01": HEXES, "ghp_Ab12cd34": MIXED, "aBcXyZqR": MIXED,
+             "Saint-Germain": PLAIN, "foo_bar/BAZ": PLAIN, "--------": PLAIN, "covid-19x": MIXED, "correcthorse": PLAIN,
+             "SSchheit": PLAIN, "PDFs-and": PLAIN, "aAxxxxxx": MIXED}
+    assert {v: sort_of(v) for v in sorts} == sorts
+    for sort in range(4):
+        made = [recoded("0123456789abcdef" * 2, k, sort) for k in range(50)]
+        assert all(sort_of(v) == sort for v in made) and len({len(v) for v in made}) > 5
+    code = encode("ab12-X")
+    assert np.allclose(shapes(code, np.array([0]), np.array([6]))[0],
+                       [np.log2(6) / 8, 2 / 6, 2 / 6, 1 / 6, 1 / 6, 3 / 6, 4 * (2 / 6) * (3 / 6)])
 
 
 def test_every_token_run_is_a_candidate():
@@ -125,6 +161,7 @@ def test_every_token_run_is_a_candidate():
 
 def test_scores_in_a_text_are_those_of_the_candidate_alone():
     net, rng = Network(), random.Random(6)
+    net.p["shape"] = np.array([1.0, -2, 3, 0.5, -1, 2, 4])
     text = " ".join("".join(rng.choice("abcXYZ019é") for _ in range(rng.randrange(8, 30))) for _ in range(40))
     spans = candidate_spans(text, [], 8)
     code, at = joined(["other text", text])
