@@ -20,10 +20,9 @@ Defined results
   ignored.
 
 Where the tokenizer file says that its pre-tokenizer never joins characters across
-white space (:func:`splits_at_space`), texts are encoded by words: each different
-word of a batch that the worker's bounded cache lacks is encoded once, all of them in
-one call, and the ids of a text are put together from those of its words (tested
-against whole-text encoding). Any other tokenizer encodes whole texts.
+white space (:func:`splits_at_space`), texts are encoded by words with a bounded cache
+per worker (tested against whole-text encoding); words of letters, which are one
+pre-token, go straight to the merges. Any other tokenizer encodes whole texts.
 """
 
 from __future__ import annotations
@@ -42,6 +41,11 @@ from gale.llm.common import Scratch, pick
 
 CACHE_WORDS = 800_000  # per Python worker
 LONG_WORD = 64         # bytes; longer words are not kept
+# lower-case ASCII and Latin-1 letters in UTF-8: one pre-token, nothing left for the normalizer
+_LETTERS = re.compile(rb"(?:[a-z]|\xc3[\x9f-\xb6\xb8-\xbf])+")
+_MARKS = b".,;:!?%$&#*|"
+# the byte-level alphabet: bytes that are no printable Latin-1 character stand from 256 on
+_OTHER_BYTES = {b: 256 + n for n, b in enumerate(b for b in range(256) if not (33 <= b <= 126 or 161 <= b <= 172 or b >= 174))}
 
 
 def splits_at_space(path: str) -> bool:
@@ -63,47 +67,52 @@ def splits_at_space(path: str) -> bool:
     return normal and split and plain and tokens and not any(spec.get(k) for k in ("post_processor", "truncation", "padding"))
 
 
+class _Words(dict):
+    """word (UTF-8) -> bytes of its ids; emptied when full."""
+
+    def __init__(self, tokenizer, dtype: str, size: int, by_merges: bool):
+        super().__init__()
+        self.dtype, self.size, self.encode, self.merge, self.by_merges = dtype, size, tokenizer.encode, tokenizer.model.tokenize, by_merges
+
+    def __missing__(self, word: bytes) -> bytes:
+        # letters and the marks behind them are separate pre-tokens
+        stem = word.rstrip(_MARKS) if self.by_merges else b""
+        if not stem or not _LETTERS.fullmatch(stem):
+            ids = np.array(self.encode(word.decode(), add_special_tokens=False).ids, self.dtype).tobytes()
+        elif stem != word:
+            ids = self[stem] + self[word[len(stem):]]
+        else:  # one pre-token: only the merges are left to do
+            name = word.decode("latin-1").translate(_OTHER_BYTES)
+            ids = np.array([t.id for t in self.merge(name)], self.dtype).tobytes()
+        if len(self) >= self.size:
+            self.clear()
+        if len(word) <= LONG_WORD:
+            self[word] = ids
+        return ids
+
+
 class Texts:
     """Encodes lists of UTF-8 texts; ids are little-endian, 16 bits wide if the vocabulary allows, else 32."""
 
     def __init__(self, path: str, size: int = CACHE_WORDS):
         from tokenizers import Tokenizer
-        self.tokenizer, self.size, self.by_word = Tokenizer.from_file(path), size, splits_at_space(path)
+        self.tokenizer, self.by_word = Tokenizer.from_file(path), splits_at_space(path)
+        with open(path, encoding="utf-8") as f:
+            spec = json.load(f)
         self.dtype = "<u2" if self.tokenizer.get_vocab_size(with_added_tokens=True) <= 1 << 16 else "<u4"
-        self.words: dict[bytes, bytes] = {}
-
-    def _bytes(self, ids: list[int]) -> bytes:
-        return np.array(ids, self.dtype).tobytes()
-
-    def _learn(self, words: list[bytes]) -> None:
-        """Ids of different words from one call over all of them, a line each."""
-        text = [w.decode() for w in words]
-        found = self.tokenizer.encode("\n".join(text), add_special_tokens=False)
-        starts = np.cumsum([0] + [len(w) + 1 for w in text])[:-1]
-        at = np.fromiter((o[0] for o in found.offsets), np.int64, len(found.ids))
-        ids = self._bytes(found.ids)
-        ends = np.searchsorted(at, starts[1:], side="left").tolist() + [len(at)]
-        step, lo = np.dtype(self.dtype).itemsize, 0
-        for w, hi in zip(words, ends):
-            self.words[w] = ids[lo * step:hi * step]
-            lo = hi
+        # the short ways need lower-casing, a byte-level alphabet and letters as one pre-token
+        steps = json.dumps([spec.get("normalizer"), spec.get("pre_tokenizer")])
+        self.lowers = self.by_word and '"Lowercase"' in steps
+        letters = r"[\p{L}]+" in ((spec.get("pre_tokenizer") or {}).get("pretokenizers") or [{}])[0].get("pattern", {}).get("Regex", "")
+        self.words = _Words(self.tokenizer, self.dtype, size, self.lowers and letters and '"ByteLevel"' in steps)
 
     def encode(self, texts: list[bytes]) -> list[bytes]:
         if not self.by_word:
-            return [self._bytes(e.ids) for e in self.tokenizer.encode_batch([t.decode() for t in texts], add_special_tokens=False)]
-        parts = [t.split() for t in texts]
-        different = set().union(*parts)
-        new = [w for w in different if w not in self.words]
-        if len(self.words) + len(new) > self.size:
-            self.words.clear()
-            new = list(different)
-        if new:
-            self._learn(new)
-        out = [b"".join(map(self.words.__getitem__, p)) for p in parts]
-        for w in new:
-            if len(w) > LONG_WORD:
-                del self.words[w]
-        return out
+            return [np.array(e.ids, self.dtype).tobytes()
+                    for e in self.tokenizer.encode_batch([t.decode() for t in texts], add_special_tokens=False)]
+        get = self.words.__getitem__
+        # fewer different words in lower case; a special token's own spelling (in <| |>) must not be touched
+        return [b"".join(map(get, (t.lower() if self.lowers and b"<" not in t else t).split())) for t in texts]
 
 
 @functools.cache

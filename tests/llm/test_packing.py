@@ -52,7 +52,7 @@ def test_words_alone_give_the_ids_of_the_text():
         assert coder.by_word and coder.dtype == "<u2"
         got = [x for lo in range(0, len(texts), 64) for x in coder.encode([t.encode() for t in texts[lo:lo + 64]])]
         assert [np.frombuffer(x, "<u2").tolist() for x in got] == [whole.encode(t, add_special_tokens=False).ids for t in texts]
-        assert all(len(w) <= 64 for w in coder.words)
+        assert all(len(w) <= 64 for w in coder.words) and coder.words.by_merges and len(coder.words) <= size
 
 
 def test_other_tokenizers_encode_whole_texts(spark, tmp_path):
@@ -83,5 +83,5 @@ def test_wide_ids_pass_through(spark, monkeypatch):
 def _wide(init):
     def run(self, *args):
         init(self, *args)
-        self.dtype = "<u4"
+        self.dtype = self.words.dtype = "<u4"
     return run
