@@ -69,39 +69,38 @@ def _counted(total: Counter) -> pa.RecordBatch:
     return pa.record_batch({"word": pa.array(list(total), pa.binary()), "c": pa.array(list(total.values()), pa.int64())})
 
 
-class _Codes(dict):
-    def __init__(self, add):
-        super().__init__()
-        self.add = add
-
-    def __missing__(self, word: bytes) -> int:
-        self[word] = n = self.add(word)
-        return n
-
-
 class Lexicon:
-    """Codes of words: ending class, context hash, log10(count + alpha) of frequent ones."""
+    """Codes of words: ending class, context hash, log10(count + alpha) of frequent ones.
+    Emptied between blocks when it has more than ``size`` words."""
 
-    def __init__(self, endings: dict[bytes, int], frequent: dict[bytes, int], alpha: float, size: int = 400_000):
+    def __init__(self, endings: dict[bytes, int], frequent: dict[bytes, int], alpha: float, size: int = 800_000):
         self.endings, self.frequent, self.alpha, self.size = endings, frequent, alpha, size
         self.reset()
 
     def reset(self) -> None:
-        self.code = _Codes(self.add)
+        self.code: dict[bytes, int] = {}
         self.words: list[bytes] = []
         self.rows = np.zeros((1024, 3))
         self.hash = np.zeros(1024, np.uint64)
 
-    def add(self, word: bytes) -> int:
-        n = len(self.words)
-        if n == len(self.rows):
-            self.rows = np.concatenate([self.rows, np.zeros_like(self.rows)])
-            self.hash = np.concatenate([self.hash, np.zeros_like(self.hash)])
-        c = self.frequent.get(word, 0)
-        self.rows[n] = self.endings.get(word[-2:], 0), c > 0, math.log10(c + self.alpha) if c else 0.0
-        self.hash[n] = zlib.crc32(word) + 1
-        self.words.append(word)
-        return n
+    def learn(self, texts: list[list[bytes]]) -> None:
+        """Codes for the words of the texts that have none, all at once."""
+        new = list(set().union(*texts).difference(self.code))
+        n, k = len(self.words), len(new)
+        if n + k > len(self.rows):
+            more = max(n + k, 2 * len(self.rows)) - len(self.rows)
+            self.rows = np.concatenate([self.rows, np.zeros((more, 3))])
+            self.hash = np.concatenate([self.hash, np.zeros(more, np.uint64)])
+        at = slice(n, n + k)
+        get, count = self.endings.get, self.frequent.get
+        self.rows[at, 0] = np.fromiter((get(w[-2:], 0) for w in new), np.int64, k)
+        if self.frequent:
+            c = np.fromiter((count(w, 0) for w in new), np.int64, k)
+            self.rows[at, 1] = c > 0
+            self.rows[at, 2] = np.where(c > 0, np.log10(c + self.alpha), 0.0)
+        self.hash[at] = np.fromiter(map(zlib.crc32, new), np.uint64, k) + np.uint64(1)
+        self.code.update(zip(new, range(n, n + k)))
+        self.words += new
 
     def encode(self, tokens: list[bytes]) -> np.ndarray:
         return np.fromiter(map(self.code.__getitem__, tokens), np.int64, len(tokens))
@@ -119,19 +118,22 @@ def features(h: np.ndarray) -> np.ndarray:
 def _blocks(batches, lexicon: Lexicon, most: int = 1 << 17):
     """Groups of documents with their token codes, at most about ``most`` tokens each."""
     docs, n = [], 0
+
+    def coded():
+        if len(lexicon.words) > lexicon.size:
+            lexicon.reset()
+        lexicon.learn([tokens for _, _, tokens in docs])
+        return [(b, i, lexicon.encode(tokens)) for b, i, tokens in docs]
     for b in batches:
         texts = b.column("text").cast(pa.binary())
         for i in range(b.num_rows):
-            codes = lexicon.encode(words(texts[i].as_py()))
-            docs.append((b, i, codes))
-            n += len(codes)
+            docs.append((b, i, words(texts[i].as_py())))
+            n += len(docs[-1][2])
             if n > most:
-                yield docs
+                yield coded()
                 docs, n = [], 0
-                if len(lexicon.words) > lexicon.size:
-                    lexicon.reset()
     if docs:
-        yield docs
+        yield coded()
 
 
 def _contexts(docs, lexicon: Lexicon) -> tuple[np.ndarray, np.ndarray]:
