@@ -9,7 +9,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from gale.functions.names import basin_long_name, technique_name
+from gale.functions.names import basin_long_name, model_name, technique_name
 from gale.operators import clean, series
 from gale.plans import render
 from gale.plans import views as V
@@ -19,7 +19,8 @@ from gale.sources import decks, diagnostics, results
 # every case has all 23 hours, those without a source row hold the sentinel
 _S1_OUT_SQL = f"""
 SELECT 'AL' || lpad(CAST(k.storm_id AS VARCHAR), 2, '0') || CAST(k.YEAR AS VARCHAR) AS ATCFID,
-       replace(k.NAME, ' ', '_') AS NAME, k.DATE_full, CAST(t.TIME AS INTEGER) AS TIME, {R('c.VMAX')} AS VMAX,
+       CASE k.case_id % 7 {' '.join(f"WHEN {n} THEN '{x}'" for n, x in enumerate(render.ODD_NAMES))}
+         ELSE replace(k.NAME, ' ', '_') END AS NAME, k.DATE_full, CAST(t.TIME AS INTEGER) AS TIME, {R('c.VMAX')} AS VMAX, {R('c.VMAX')} AS ASTX,
        {R('nullif(c.SHRG, 9999)')} AS SHRG, {R('CASE WHEN t.TIME >= 0 THEN nullif(c.IR00, 9999) END')} AS IR00,
        {R('c.RSST')} AS RSST, {R('CASE WHEN t.TIME >= 0 THEN nullif(c.PC00, 9999) END')} AS PC00,
        '3' AS RSST_AGE, '0' AS PC00_AGE
@@ -30,7 +31,7 @@ LEFT JOIN cases c ON c.case_id = k.case_id AND c.TIME = t.TIME
 
 
 def _s1_out(df):
-    num = ["VMAX", "SHRG", "IR00", "RSST", "PC00"]
+    num = ["VMAX", "ASTX", "SHRG", "IR00", "RSST", "PC00"]
     x = df.withColumns({c: F.col(c).try_cast("double") for c in num})
     x = clean.sentinel_to_null(x, num)
     return x.select("ATCFID", "NAME", "DATE_full", "TIME", *num, "RSST_AGE", "PC00_AGE")
@@ -40,7 +41,7 @@ def _s1_out(df):
 def q_ingest_case_diagnostics(spark, sf_dir):
     """HEAD...LAST records (four token layouts, ages) parsed into hours."""
     path = render.write_case_records(spark, sf_dir)
-    df = diagnostics.ingest_case_diagnostics(spark, path, ["VMAX", "SHRG", "RSST", "IR00", "PC00"],
+    df = diagnostics.ingest_case_diagnostics(spark, path, ["VMAX", "ASTX", "SHRG", "RSST", "IR00", "PC00"],
                                              with_age=["RSST", "PC00"])
     return _s1_out(df)
 
@@ -49,7 +50,7 @@ def q_ingest_case_diagnostics(spark, sf_dir):
 def q_scan_cycle_files(spark, sf_dir):
     """Only the cycle files of one prefix (March 1996) are read."""
     path = render.write_case_records(spark, sf_dir, by_cycle=True)
-    df = diagnostics.scan_cycle_files(spark, path, "9603", predictors=["VMAX", "SHRG", "RSST", "IR00", "PC00"],
+    df = diagnostics.scan_cycle_files(spark, path, "9603", predictors=["VMAX", "ASTX", "SHRG", "RSST", "IR00", "PC00"],
                                       with_age=["RSST", "PC00"])
     return _s1_out(df)
 
@@ -99,6 +100,33 @@ def q_ingest_intensity_records(spark, sf_dir):
                     F.col("ProbItem").try_cast("double").alias("ProbItem"), "HalfRange")
 
 
+@register("ingest_wind_records", f"""
+SELECT printf('%02d', storm_id) AS "CYCLONE NO", DATE_full, {_NAME_SQL} AS Tech, {R('prob')} AS ProbItem, 30 AS "Intensity Change",
+       CASE WHEN n > 1 THEN 48 ELSE 24 END AS RIstopTAU
+FROM forecasts WHERE Tech IN ('purchase', 'signup')
+""", ("forecasts",))
+def q_ingest_wind_records(spark, sf_dir):
+    """S3: RW records (the RI layout) routed on the 4th field."""
+    t = _ri(spark, sf_dir, "RW")
+    return t.select("CYCLONE NO", F.to_timestamp_ntz(F.col("DATE"), F.lit("yyyyMMddHH")).alias("DATE_full"), technique_name("Tech").alias("Tech"),
+                    F.col("ProbItem").try_cast("double").alias("ProbItem"), F.col("Intensity Change").try_cast("int").alias("Intensity Change"),
+                    F.col("RIstopTAU").try_cast("int").alias("RIstopTAU"))
+
+
+@register("map_older_names", f"""
+SELECT CASE Tech WHEN 'click' THEN 'Consensus' ELSE {_CODE_SQL} END AS Technique,
+       CASE Tech WHEN 'view' THEN 'Logistic Reg.' ELSE Tech END AS Model, count(*) AS n
+FROM forecasts WHERE Tech <> 'error' GROUP BY ALL
+""", ("forecasts",))
+def q_map_older_names(spark, sf_dir):
+    """2019 technique names and model renames (an RI model is saved under its solver's name)."""
+    t = decks.ingest_prob_forecasts_v2019(spark, render.write_deck_lines(spark, sf_dir)).where(F.col("Format") != "IN")
+    solver = {v: k for k, v in render.TECH_CODES.items()}
+    saved = F.create_map(*[F.lit(x) for code, name in solver.items() for x in (code, "lbfgs" if name == "view" else name)])
+    return t.groupBy(technique_name("Technique", older=True).alias("Technique"), model_name(saved[F.col("Technique")]).alias("Model")).count() \
+        .withColumnRenamed("count", "n")
+
+
 @register("select_forecast_window", f"""
 SELECT storm_id, DATE_full, {R('prob')} AS ProbItem FROM forecasts WHERE Tech = 'click' AND n <= 1
 """, ("forecasts",))
@@ -185,6 +213,17 @@ def q_ingest_prob_forecasts_multi_year(spark, sf_dir):
     return t.select("YEAR", "ATCFID", "Tech", F.col("ProbItem").try_cast("double").alias("ProbItem"))
 
 
+@register("drop_long_paths", f"""
+SELECT CAST(year(DATE_full) AS INTEGER) AS YEAR, count(*) AS n FROM forecasts WHERE Tech <> 'error' AND year(DATE_full) % 2 = 0 GROUP BY ALL
+""", ("forecasts",))
+def q_drop_long_paths(spark, sf_dir):
+    """Files whose path is longer than the limit take no part (here: those of odd years)."""
+    root = render.write_deck_lines(spark, sf_dir, by_year=True, long_name=lambda year: year % 2 == 1)
+    sizes = spark.read.text(f"{root}/*/year=*").select(F.length(F.col("_metadata.file_path")).alias("n")).agg(F.min("n")).first()  # one row
+    t = decks.ingest_prob_forecasts_multi_year(spark, [f"{root}/*/year=*"], max_path_len=(sizes[0] or 0) + render.LONG_NAME // 2)
+    return t.groupBy("YEAR").count().withColumnRenamed("count", "n")
+
+
 @register("ingest_best_track", f"""
 WITH p AS (SELECT *, row_number() OVER (PARTITION BY storm_id ORDER BY DATE_full) AS pos FROM cycles)
 SELECT 'AL' || printf('%02d', a.storm_id) || CAST(year(a.DATE_full) AS VARCHAR) AS ATCFID,
@@ -208,6 +247,14 @@ def q_load_scale_factors(spark, sf_dir):
     return diagnostics.load_scale_factors(spark, render.write_factor_json(spark, sf_dir), json_lines=True)
 
 
+@register("load_scale_factors_by_file", """
+SELECT p_name || ' ' || p_partkey AS name, CAST(p_size AS DOUBLE) AS factor, p_brand AS unit, p_type AS descr FROM part
+""")
+def q_load_scale_factors_by_file(spark, sf_dir):
+    """One JSON object per file, over many lines, with many names."""
+    return diagnostics.load_scale_factors(spark, render.write_factor_files(spark, sf_dir))
+
+
 @register("factor_lookup", f"""
 SELECT case_id, TIME, {R('VMAX / 10.0')} AS VMAX, {R('SHRG')} AS SHRG
 FROM (SELECT case_id, TIME, VMAX, nullif(SHRG, 9999) AS SHRG FROM hours)

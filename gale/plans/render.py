@@ -21,19 +21,26 @@ def _vals(m, hours, name: str) -> F.Column:
     return F.concat_ws(" ", *[F.coalesce(m[h].cast("string"), F.lit("9999")) for h in hours], F.lit(name))
 
 
+ODD_NAMES = ("ASTRIDE", "BEAST", "LASTHEAD")  # of the cases with case_id % 7 = 0, 1, 2
+
+
 def case_records(spark: SparkSession, sf_dir: str) -> DataFrame:
     """One text record per case: header, predictor lines in all four token
     layouts (plain, with age, from hour 0, from hour 0 with age), LAST.
 
     By line number of the case the files also hold what the reader must cope
     with: indented markers, lines of other lengths, an earlier line of the same
-    predictor, a truncated record in front."""
+    predictor, a truncated record in front, and marker letters in names of storms
+    (``ODD_NAMES``) and of a predictor (``ASTX``, a copy of VMAX)."""
     c = V.cases(spark, sf_dir)
     g = c.groupBy("case_id", "storm_id", "NAME", "DATE_full", "YEAR").agg(
         *[F.map_from_entries(F.collect_list(F.struct("TIME", p))).alias(p)
           for p in ("VMAX", "SHRG", "IR00", "RSST", "PC00")])
     atcf = F.concat(F.lit("AL"), F.lpad(F.col("storm_id").cast("string"), 2, "0"), F.col("YEAR").cast("string"))
-    header = F.concat_ws(" ", F.regexp_replace("NAME", " ", "_"), F.date_format("DATE_full", "yyMMdd"),
+    named = F.regexp_replace("NAME", " ", "_")
+    for n, odd_name in enumerate(ODD_NAMES):
+        named = F.when(F.col("case_id") % 7 == n, odd_name).otherwise(named)
+    header = F.concat_ws(" ", named, F.date_format("DATE_full", "yyMMdd"),
                          F.lit("00"), F.lit("45"), F.lit("20.0"), F.lit("60.0"), F.lit("1000"), atcf, F.lit("HEAD"))
     kind = F.col("case_id") % 4
     vmax = _vals(F.col("VMAX"), HOURS, "VMAX")
@@ -44,6 +51,7 @@ def case_records(spark: SparkSession, sf_dir: str) -> DataFrame:
     lines = [F.concat(F.coalesce(cut, F.lit("")), header),
              F.concat(F.coalesce(odd, F.lit("")), F.coalesce(first, F.lit("")), vmax),
              _vals(F.col("SHRG"), HOURS, "SHRG"),
+             _vals(F.col("VMAX"), HOURS, "ASTX"),
              F.concat_ws(" ", _vals(F.col("RSST"), HOURS, "RSST"), F.lit("3")),
              _vals(F.col("IR00"), HOURS[2:], "IR00"),
              F.concat_ws(" ", _vals(F.col("PC00"), HOURS[2:], "PC00"), F.lit("0")),
@@ -70,6 +78,32 @@ def write_case_records(spark: SparkSession, sf_dir: str, by_cycle: bool = False)
     return path
 
 
+def write_feature_records(spark: SparkSession, sf_dir: str, files: int = 48) -> str:
+    """Every predictor of every case as record files; the id token is ``<basin>-<case>``, blanks are ``~``.
+    Hours without a source row hold the sentinel in every predictor."""
+    g = V.cases(spark, sf_dir).groupBy("case_id", "BASIN", "NAME", "DATE_full").agg(
+        *[F.map_from_entries(F.collect_list(F.struct("TIME", p))).alias(p) for p in V.PREDICTORS])
+    header = F.concat_ws(" ", F.translate("NAME", " ", "~"), F.date_format("DATE_full", "yyMMdd"), F.lit("00 45 20.0 60.0 1000"),
+                         F.concat_ws("-", F.translate("BASIN", " ", "~"), F.col("case_id").cast("string")), F.lit("HEAD"))
+    path = shared_path(spark, "feature-records")
+    lines = F.concat_ws("\n", header, *[_vals(F.col(p), HOURS, p) for p in V.PREDICTORS], F.lit("LAST"))
+    g.select(lines.alias("value")).repartition(files, "value").write.text(path)
+    return path
+
+
+def write_arrivals(rows: DataFrame, time_col: str, name: str, files: int) -> str:
+    """``rows`` as ``files`` files in the order of ``time_col``, which arrive (by modification time) in that order."""
+    spark, path = rows.sparkSession, shared_path(rows.sparkSession, name)
+    rows.repartitionByRange(files, time_col).write.parquet(path)
+    hadoop = spark._jvm.org.apache.hadoop.fs
+    fs = hadoop.Path(path).getFileSystem(spark._jsc.hadoopConfiguration())
+    found = sorted((s.getPath().getName(), s) for s in fs.listStatus(hadoop.Path(path)) if s.getPath().getName().startswith("part-"))
+    first = min((s.getModificationTime() for _, s in found), default=0)
+    for i, (_, s) in enumerate(found):
+        fs.setTimes(s.getPath(), first - 1000 * (len(found) - i), -1)
+    return path
+
+
 # Stand-in technique codes: event types renamed into the deck's code domain.
 TECH_CODES = {"click": "RIOC", "view": "RIOD", "purchase": "LDA0", "signup": "RAPC", "error": "FRIA"}
 
@@ -100,10 +134,17 @@ def deck_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
                     F.year("DATE_full").alias("year"))
 
 
-def write_deck_lines(spark: SparkSession, sf_dir: str, by_year: bool = False) -> str:
+LONG_NAME = 60  # letters that a long folder name adds to a path
+
+
+def write_deck_lines(spark: SparkSession, sf_dir: str, by_year: bool = False, long_name=None) -> str:
+    """``long_name``: years, as a condition, whose files lie in a folder with a long name."""
     path = shared_path(spark, "decks")
     d = deck_lines(spark, sf_dir)
-    if by_year:
+    if long_name is not None:
+        for folder, cond in (("s", ~long_name(F.col("year"))), ("l" * LONG_NAME, long_name(F.col("year")))):
+            d.where(cond).repartition("year", "value").write.partitionBy("year").text(f"{path}/{folder}")
+    elif by_year:
         d.repartition("year", "value").write.partitionBy("year").text(path)
     else:
         d.select("value").write.text(path)
@@ -132,6 +173,19 @@ def write_track_lines(spark: SparkSession, sf_dir: str) -> str:
     return path
 
 
+def write_factor_files(spark: SparkSession, sf_dir: str) -> str:
+    """Factor dictionaries of many names, each a file of several lines."""
+    p = V.read_table(spark, sf_dir, "part")
+    name = F.concat_ws(" ", "p_name", F.col("p_partkey").cast("string"))
+    entry = F.concat(F.lit('"'), name, F.lit('": '), F.to_json(F.array(F.col("p_size").cast("string"), "p_brand", "p_type")))
+    # 500 parts a file
+    files = p.groupBy(F.expr("p_partkey div 500").alias("file")).agg(
+        F.concat(F.lit("{\n"), F.array_join(F.collect_list(entry), ",\n"), F.lit("\n}")).alias("value"))
+    path = shared_path(spark, "factor-files")
+    files.write.partitionBy("file").text(path)
+    return path
+
+
 def write_factor_json(spark: SparkSession, sf_dir: str) -> str:
     """A factor dictionary per line: ``{"<part name>": [size, brand, type]}``."""
     p = V.read_table(spark, sf_dir, "part")

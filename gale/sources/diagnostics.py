@@ -2,10 +2,10 @@
 
 A case record is a header line whose last token is ``HEAD``, one line per
 predictor and a closing line whose last token is ``LAST``, indented or not.
-Records are split by the text reader itself (``lineSep``), so files are read
-in parallel, splittable, with no driver loop; each record becomes 23 rows
-(forecast hours -12..120) by exploding a position array next to the arrays of
-the wanted predictors, so the reshape to a wide table needs no shuffle.
+:mod:`gale.sources.records` reads them, one row per record, from byte ranges of
+the files; here each record becomes 23 rows (forecast hours -12..120) by
+exploding a position array next to the value arrays, so the reshape to a table
+of hours needs no shuffle.
 """
 
 from __future__ import annotations
@@ -13,40 +13,14 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-# --- Fixed values: record layout ---------------------------------------------
-N_STEPS = 23            # -12 h .. +120 h every 6 h
+from gale.sources.records import N_STEPS, SPLIT_BYTES, case_records
+
+# --- Fixed values: forecast hours and two-digit years --------------------------
 FIRST_HOUR = -12
 STEP_HOURS = 6
-HEADER_NAME, HEADER_DATE, HEADER_HOUR, HEADER_ID = 0, 1, 2, 7
 CENTURY_PIVOT = 69      # two-digit years 69..99 -> 19xx, 00..68 -> 20xx
-LINE_TOKENS = (22, 23, 24, 25)  # lines of other lengths are no predictors
 # ---------------------------------------------------------------------------
 
-# Records are cut at the marker without its first letter: a complete record
-# then ends in a line whose last token is that letter, a truncated one does not.
-RECORD_SEP, RECORD_END = "AST", "L"
-
-
-def _tokens(line: Column) -> Column:
-    return F.split(F.trim(line), r"\s+")
-
-
-def _last(tok: Column) -> Column:
-    return F.try_element_at(tok, F.lit(-1))
-
-
-def _series(tok: Column) -> Column:
-    """(name, values[23], age) of one predictor line by token count."""
-    n = F.size(tok)
-    pad = F.array(F.lit(""), F.lit(""))
-    name = F.when(n.isin(24, 22), F.element_at(tok, -1)).otherwise(F.element_at(tok, -2))
-    vals = (F.when(n == 24, F.slice(tok, 1, 23))
-            .when(n == 25, F.slice(tok, 1, 23))
-            .when(n == 22, F.concat(pad, F.slice(tok, 1, 21)))
-            .when(n == 23, F.concat(pad, F.slice(tok, 1, 21))))
-    age = F.when(n.isin(25, 23), F.element_at(tok, -1))
-    return F.struct(name.alias("name"), vals.alias("values"), age.alias("age"))
-
 
 def parse_issue_time(yymmdd: Column, hh: Column) -> Column:
     """``yyMMdd`` + hour with Python's two-digit-year pivot."""
@@ -57,9 +31,21 @@ def parse_issue_time(yymmdd: Column, hh: Column) -> Column:
                                 F.lit(0), F.lit(0))
 
 
+def hourly_rows(records: DataFrame, predictors: list[str], ages: list[str] | None = None) -> DataFrame:
+    """Records (:func:`gale.sources.records.case_records`) -> one row per forecast hour."""
+    rec = records.select(F.col("atcf_id").alias("ATCFID"), F.col("name").alias("NAME"),
+                         parse_issue_time(F.col("yymmdd"), F.col("hh")).alias("DATE_full"),
+                         *predictors, *[f"{p}_AGE" for p in (ages or [])])
+    rows = rec.select("*", F.explode(F.sequence(F.lit(0), F.lit(N_STEPS - 1))).alias("__i"))
+    cols = [F.nullif(F.try_element_at(p, F.col("__i") + 1), F.lit("")).alias(p) for p in predictors]
+    return rows.select("ATCFID", "NAME", "DATE_full",
+                       (F.lit(FIRST_HOUR) + F.col("__i") * STEP_HOURS).cast("int").alias("TIME"), *cols,
+                       *[f"{p}_AGE" for p in (ages or [])])
+
+
 def ingest_case_diagnostics(spark: SparkSession, paths: str | list[str], predictors: list[str], *,
-                            with_age: list[str] | None = None, line_sep: str = RECORD_SEP,
-                            path_glob: str | None = None) -> DataFrame:
+                            with_age: list[str] | None = None, path_glob: str | None = None,
+                            split_bytes: int = SPLIT_BYTES) -> DataFrame:
     """``(ATCFID, NAME, DATE_full, TIME, <predictors> as string, <p>_AGE)``.
 
     Values stay strings here (``try_cast`` in P3 turns bad text into null);
@@ -67,51 +53,18 @@ def ingest_case_diagnostics(spark: SparkSession, paths: str | list[str], predict
     CRLF files, indented markers and a byte-order mark are read alike. Lines
     that have neither a marker nor 22 to 25 tokens are skipped; of lines with
     the same predictor name the last one counts; the last header before the
-    marker counts; records without header or without ``LAST`` are dropped.
-    (The marker's last three letters must not appear elsewhere in a record.)"""
-    reader = spark.read.option("lineSep", line_sep)
-    if path_glob:
-        reader = reader.option("pathGlobFilter", path_glob)
-    return parse_case_records(reader.text(paths), predictors, with_age=with_age)
-
-
-def parse_case_records(raw: DataFrame, predictors: list[str], *,
-                       with_age: list[str] | None = None) -> DataFrame:
-    """Record text rows (column ``value``) -> hourly rows; only projections
-    and an explode, so it runs unchanged on a streaming source (R1)."""
-    text = F.regexp_replace(F.col("value"), "\ufeff|\r", "")
-    toks = F.filter(F.transform(F.split(text, "\n"), _tokens), lambda t: _last(t) != "")
-    rec = raw.select(toks.alias("t")).where(F.size("t") > 1)
-    # what is left of the closing line stands at the end of a complete record; before
-    # it, on the first line, may be the rest of the previous marker's line
-    rec = rec.where(_last(F.try_element_at("t", F.lit(-1))) == RECORD_END)
-    heads = F.filter(F.sequence(F.lit(1), F.greatest(F.size("t"), F.lit(1))), lambda i: _last(F.try_element_at(F.col("t"), i)) == "HEAD")
-    rec = rec.withColumn("at", F.array_max(heads)).where(F.col("at").isNotNull())
-    lines = F.filter(F.slice("t", F.col("at") + 1, F.size("t")), lambda t: F.size(t).isin(*LINE_TOKENS))
-    rec = rec.select(F.try_element_at("t", F.col("at")).alias("h"), F.transform(lines, _series).alias("s"))
-
-    def last(name: str, field: str) -> Column:
-        return F.try_element_at(F.filter("s", lambda x: x["name"] == name), F.lit(-1))[field]
-    rec = rec.select(
-        F.try_element_at("h", F.lit(HEADER_ID + 1)).alias("ATCFID"),
-        F.try_element_at("h", F.lit(HEADER_NAME + 1)).alias("NAME"),
-        parse_issue_time(F.try_element_at("h", F.lit(HEADER_DATE + 1)), F.try_element_at("h", F.lit(HEADER_HOUR + 1))).alias("DATE_full"),
-        *[last(p, "values").alias(p) for p in predictors],
-        *[last(p, "age").alias(f"{p}_AGE") for p in (with_age or [])])
-    rows = rec.select("*", F.posexplode(F.sequence(F.lit(0), F.lit(N_STEPS - 1))).alias("__i", "__"))
-    cols = [F.nullif(F.try_element_at(p, F.col("__i") + 1), F.lit("")).alias(p) for p in predictors]
-    return rows.select("ATCFID", "NAME", "DATE_full",
-                       (F.lit(FIRST_HOUR) + F.col("__i") * STEP_HOURS).cast("int").alias("TIME"), *cols,
-                       *[f"{p}_AGE" for p in (with_age or [])])
+    marker counts; records without header or without ``LAST`` are dropped."""
+    records = case_records(spark, paths, predictors, ages=with_age, path_glob=path_glob, split_bytes=split_bytes)
+    return hourly_rows(records, predictors, with_age)
 
 
-def scan_cycle_files(spark: SparkSession, root: str, prefix: str, *, line_sep: str = RECORD_SEP,
-                     predictors: list[str], with_age: list[str] | None = None) -> DataFrame:
+def scan_cycle_files(spark: SparkSession, root: str, prefix: str, *, predictors: list[str],
+                     with_age: list[str] | None = None, split_bytes: int = SPLIT_BYTES) -> DataFrame:
     """Read only the files ``YYMMDDHHBBNNYY_lsdiag.dat`` whose name starts
     with ``prefix`` (``YYMMDDHHBB`` or less of it); the glob prunes files
     before any task starts."""
     return ingest_case_diagnostics(spark, f"{root.rstrip('/')}/{prefix}*_lsdiag.dat", predictors,
-                                   with_age=with_age, line_sep=line_sep)
+                                   with_age=with_age, split_bytes=split_bytes)
 
 
 def load_scale_factors(spark: SparkSession, path: str, *, json_lines: bool = False) -> DataFrame:
@@ -119,7 +72,7 @@ def load_scale_factors(spark: SparkSession, path: str, *, json_lines: bool = Fal
     ``(name, factor, unit, descr)``; one object per file, or one per line
     with ``json_lines``. The dictionary is small and fixed; the result is
     meant to be broadcast (J8)."""
-    txt = spark.read.option("wholetext", str(not json_lines).lower()).text(path)
+    txt = spark.read.text(path, wholetext=not json_lines)
     m = F.from_json(F.col("value"), "map<string, array<string>>")
     e = txt.select(F.explode(m).alias("name", "v"))
     return e.select("name", F.element_at("v", 1).try_cast("double").alias("factor"),

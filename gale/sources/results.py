@@ -7,7 +7,6 @@ columns, not file names.
 
 from __future__ import annotations
 
-import os
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
@@ -58,7 +57,3 @@ def load_csv(spark: SparkSession, paths, schema: str, *, drop: tuple[str, ...] =
 def reload_results(spark: SparkSession, path: str) -> DataFrame:
     """Re-read a written result table."""
     return spark.read.parquet(path)
-
-
-def exists(path: str) -> bool:
-    return os.path.exists(path.replace("file:", ""))
