@@ -14,7 +14,7 @@ from pyspark.ml.classification import LogisticRegression, RandomForestClassifier
 from pyspark.ml.evaluation import MulticlassClassificationEvaluator
 from pyspark.ml.feature import StandardScaler, VectorAssembler
 from pyspark.ml.functions import vector_to_array
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from gale.functions.hashing import md5_number
@@ -124,17 +124,29 @@ def weighted_f1(counts: DataFrame, group_cols: list[str], out_col: str) -> DataF
     return rows.groupBy(*group_cols).agg((F.sum(f1) / F.sum("na")).alias(out_col))
 
 
+# Multipliers of the permutations: the first that shares no factor with a scope's number of rows is used.
+MULTIPLIERS = [1_000_003, 2_147_483_647, 998_244_353, 1_000_000_007]
+
+
+def dealt_position(position: Column, n: Column, copy: Column, seed: int) -> Column:
+    """A bijection of 1..n, another for each ``copy``: a * p + b modulo n, with b drawn
+    from md5 and a prime a that does not divide n (n < 2^31, else a = 1)."""
+    a = F.coalesce(*[F.when((n < 2 ** 31) & ((n % m) != 0), F.lit(m) % n) for m in MULTIPLIERS], F.lit(1))
+    b = md5_number(copy, seed=f"deal{seed}") % n
+    return F.pmod(a * (position - 1) + b, n) + 1
+
+
 def permutation_importance(model, df: DataFrame, keys: list[str], features: list[str], label: str,
                            repeats: int = 3, seed: int = 0, scope_col: str | None = None) -> DataFrame:
     """Mean and std of the drop in weighted F1 when one feature is
     shuffled, per value of ``scope_col`` and for ALL rows.
 
-    The rows are exploded once into (feature, repeat) copies. Inside each
-    copy (and scope) two independent md5 orders are numbered with the
-    distributed scan; the row at position p in the first order takes the
-    feature value of the row at position p in the second (a permutation of that
-    column, other columns untouched). All copies are scored by one
-    ``transform`` and the scores come from grouped counts."""
+    Rows are numbered once per scope in md5 order (the distributed scan). In copy
+    (feature, repeat) the row at position p takes the feature value of the row at a
+    position that a bijection of 1..n gives, so a column's values are dealt anew and the
+    other columns stay. Only (position, copy, value) moves: the dealt values of all
+    copies are gathered per row, joined to it once, and the copies are made, scored
+    and counted where the row is."""
     scoped = df.withColumn("_scope", F.lit("ALL"))
     if scope_col:
         scoped = scoped.unionByName(df.withColumn("_scope", F.col(scope_col).cast("string")))
@@ -144,23 +156,28 @@ def permutation_importance(model, df: DataFrame, keys: list[str], features: list
         counts = model.transform(rows).groupBy(*group, *hit).agg(F.count(F.lit(1)).alias("n"))
         return weighted_f1(counts, group, out_col)
     base = score(scoped, ["_scope"], "base")
-    copies = F.explode(F.array(*[F.struct(F.lit(f).alias("_feature"), F.lit(r).alias("_rep"))
-                                 for f in features for r in range(repeats)]))
-    ex = scoped.select("*", copies.alias("_e")).select("*", "_e._feature", "_e._rep").drop("_e")
-    grp = ["_scope", "_feature", "_rep"]
-    a = with_position(ex.withColumn("_h", md5_number(*keys, *grp, seed=f"a{seed}")), grp,
-                      ["_h"] + keys, position_col="_p", bucket_width=HASH_BUCKET).drop("_h")
-    value = F.coalesce(*[F.when(F.col("_feature") == f, F.col(f).cast("double")) for f in features])
-    b = with_position(ex.select(*keys, *grp, value.alias("_v"))
-                      .withColumn("_h", md5_number(*keys, *grp, seed=f"b{seed}")), grp,
-                      ["_h"] + keys, position_col="_p", bucket_width=HASH_BUCKET).select(*grp, "_p", "_v")
-    dealt = a.join(b, grp + ["_p"]).withColumns(
-        {f: F.when(F.col("_feature") == f, F.col("_v")).otherwise(F.col(f)) for f in features})
-    drop = score(dealt.drop("_v", "_p"), grp, "f1").join(base, "_scope").withColumn("drop", F.col("base") - F.col("f1"))
+    placed = materialize(with_position(scoped.withColumn("_h", md5_number(*keys, "_scope", seed=seed)), ["_scope"],
+                                       ["_h"] + keys, position_col="_p", bucket_width=HASH_BUCKET).drop("_h"))
+    sizes = placed.groupBy("_scope").agg(F.count(F.lit(1)).alias("_n"))
+    moved = dealt_values(placed, sizes, features, repeats, seed)
+    rows = placed.join(moved, ["_scope", "_p"]).withColumn("_e", F.explode("_dealt")) \
+        .select("*", "_e._feature", "_e._rep", "_e._v").drop("_e", "_dealt")
+    dealt = rows.withColumns({f: F.when(F.col("_feature") == f, F.col("_v")).otherwise(F.col(f)) for f in features})
+    drop = score(dealt.drop("_v", "_p"), ["_scope", "_feature", "_rep"], "f1").join(base, "_scope") \
+        .withColumn("drop", F.col("base") - F.col("f1"))
     return drop.groupBy(F.col("_scope").alias("scope"), F.col("_feature").alias("feature")).agg(
         F.avg("drop").alias("mean_importance"), F.stddev_pop("drop").alias("std_importance"))
 
 
+def dealt_values(placed: DataFrame, sizes: DataFrame, features: list[str], repeats: int, seed: int) -> DataFrame:
+    """(_scope, _p, _dealt): for every row the values that each (feature, repeat) copy deals it."""
+    copies = F.explode(F.array(*[F.struct(F.lit(f).alias("_feature"), F.lit(r).alias("_rep"), F.col(f).cast("double").alias("_v"))
+                                 for f in features for r in range(repeats)]))
+    giver = placed.join(sizes, "_scope").select("_scope", "_p", "_n", copies.alias("e"))
+    to = dealt_position(F.col("_p"), F.col("_n"), F.concat_ws("|", "_scope", "e._feature", F.col("e._rep").cast("string")), seed)
+    return giver.select("_scope", to.alias("_p"), "e").groupBy("_scope", "_p").agg(F.collect_list("e").alias("_dealt"))
+
+
 def save_model(model, path: str) -> str:
     """Persist a fitted pipeline."""
     model.write().overwrite().save(path)

@@ -1,4 +1,4 @@
-"""Resampling and splits.
+"""Resampling and splits.
 
 Every draw is a deterministic function of ``md5(seed | key)`` (see
 :mod:`gale.functions.hashing`), so results do not depend on partitioning and
@@ -13,7 +13,9 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from gale.functions.hashing import md5_number
+from gale.operators.neighbours import nearest_neighbours
 from gale.operators.scan import with_position
+from gale.session import materialize
 
 # Grid over the 60-bit hash for ranks inside a class (a class may hold half
 # of all rows): 2^20 cells, so each window task sees ~1e-6 of the class.
@@ -42,9 +44,15 @@ def stratified_folds(df: DataFrame, key: str, class_col: str, k: int = 10, repea
     return pos.withColumn(out_col, ((F.col("_r") - 1) % k).cast("int")).drop("_h", "_r")
 
 
+MAX_CLASSES = 1000
+
+
 def class_counts(df: DataFrame, class_col: str) -> dict:
-    """Number of rows per class (a tiny aggregate, one row per class)."""
-    return {r[0]: r[1] for r in df.groupBy(class_col).count().collect()}
+    """Number of rows per class: at most MAX_CLASSES rows, more is an error (the column is no class)."""
+    found = df.groupBy(class_col).count().limit(MAX_CLASSES + 1).collect()
+    if len(found) > MAX_CLASSES:
+        raise ValueError(f"{class_col} has more than {MAX_CLASSES} values: not a class")
+    return {r[0]: r[1] for r in found}
 
 
 def balanced_weights(df: DataFrame, class_col: str, out_col: str = "weight") -> DataFrame:
@@ -77,6 +85,35 @@ def random_oversample(df: DataFrame, key: str, class_col: str, minority, ratio:
     return df.unionByName(added.select(*df.columns))
 
 
+def smote(df: DataFrame, key: str, class_col: str, minority, features: list[str], ratio: float = 0.7,
+          k: int = 5, seed: int = 0, cap: int = 2048) -> DataFrame:
+    """M5: append synthetic minority rows until the minority has exactly
+    floor(ratio * majority) rows (counted among rows without a null or NaN feature,
+    which stay as they are). Draw j takes the minority row at position
+    1 + md5(seed|j) mod n_min, one of its exact k nearest minority neighbours and a
+    gap in [0, 1): its features are x + gap * (neighbour - x), its other columns the
+    row's. A minority of one row has no neighbours and is left as it is."""
+    value = {f: F.col(f).cast("double") for f in features}
+    whole = ~F.exists(F.array(*value.values()), lambda v: v.isNull() | F.isnan(v))
+    counts = class_counts(df.where(whole), class_col)
+    n_min = counts.get(minority, 0)
+    extra = int(ratio * max((v for c, v in counts.items() if c != minority), default=0)) - n_min
+    if extra <= 0 or n_min < 2:
+        return df
+    mino = materialize(df.where(whole & (F.col(class_col) == minority)))
+    near = nearest_neighbours(mino, key, features, k, cap).groupBy(key).agg(
+        F.transform(F.sort_array(F.collect_list(F.struct("rank", "neighbour"))), lambda e: e["neighbour"]).alias("_near"))
+    pos = with_position(mino.withColumn("_h", md5_number(key, seed=seed)), [], ["_h", key], position_col="_p",
+                        bucket_width=HASH_BUCKET).drop("_h").join(near, key)
+    draws = df.sparkSession.range(extra).select(
+        (md5_number("id", seed=f"sm{seed}") % n_min + 1).alias("_p"), md5_number("id", seed=f"nn{seed}").alias("_n"),
+        (md5_number("id", seed=f"gap{seed}").cast("double") / float(2 ** 60)).alias("_gap"))
+    base = draws.join(pos, "_p").withColumn("_other", F.element_at("_near", (F.col("_n") % F.size("_near") + 1).cast("int")))
+    other = mino.select(F.col(key).alias("_other"), *[value[f].alias(f"_to_{f}") for f in features])
+    made = base.join(other, "_other").withColumns({f: value[f] + F.col("_gap") * (F.col(f"_to_{f}") - value[f]) for f in features})
+    return df.withColumns(value).unionByName(made.select(*df.columns))
+
+
 def random_undersample(df: DataFrame, key: str, class_col: str, minority, seed: int = 0) -> DataFrame:
     """M6: keep every minority row and as many rows of each other class
     (lowest md5 ranks)."""

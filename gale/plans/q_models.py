@@ -1,10 +1,10 @@
-"""Sampling and model queries."""
+"""Sampling and model queries."""
 
 from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from gale.operators import clean, features, models, sampling, verify
+from gale.operators import clean, evaluate, features, models, sampling, search, verify
 from gale.plans import views as V
 from gale.plans.catalog import R, register
 from gale.session import checkpoint_dir, materialize
@@ -152,25 +152,69 @@ def q_train_and_predict(spark, sf_dir):
             .unionByName(models.predict(loaded, test, keys, "label", "Random Forest")))
 
 
+def _four_models(train):
+    """The four searches on one training frame: weights and resampling on the training part of each fold only."""
+    weights = lambda df: sampling.balanced_weights(df, "I_class")
+    return {"Logistic Reg.": _logistic(train, weights, "weight"),
+            "Random Forest (weights)": _forest(train, weights, "weight"),
+            "Random Forest (ROS)": _forest(train, lambda df: sampling.random_oversample(df, "case_id", "I_class", 1, 0.7)),
+            "Random Forest (SMOTE)": _forest(train, lambda df: sampling.smote(df, "case_id", "I_class", 1, _FEATS, 0.7))}
+
+
+def _union(parts):
+    out = None
+    for p in parts:
+        out = p if out is None else out.unionByName(p)
+    return out
+
+
+_KEYS = ["storm_id", "case_id", "BASIN", "YEAR"]
+
+
 @register("fit_four_models")
 def q_fit_four_models(spark, sf_dir):
-    """M11 + M3 + M4 + M6 + M15: logistic, weighted forest, oversampled and
-    undersampled forests on one split (weights and resampling on the training
-    part of each fold only), then contingency scores per basin and ALL."""
+    """M11 + M3 + M4 + M5 + M15: logistic, weighted forest, randomly oversampled and
+    SMOTE forests on one split, then contingency scores per basin and ALL."""
     train, test = _split(spark, sf_dir)
-    keys = ["storm_id", "case_id", "BASIN", "YEAR"]
-    weights = lambda df: sampling.balanced_weights(df, "I_class")
-    fits = {"Logistic Reg.": _logistic(train, weights, "weight"),
-            "Random Forest (weights)": _forest(train, weights, "weight"),
-            "Random Forest (oversample)": _forest(train, lambda df: sampling.random_oversample(df, "case_id", "I_class", 1, 0.7)),
-            "Random Forest (undersample)": _forest(train, lambda df: sampling.random_undersample(df, "case_id", "I_class", 1))}
-    pred = None
-    for name, (model, _, _) in fits.items():
-        p = models.predict(model, test, keys, "label", name)
-        pred = p if pred is None else pred.unionByName(p)
+    pred = _union(models.predict(m, test, _KEYS, "label", name) for name, (m, _, _) in _four_models(train).items())
     return verify.contingency_stats(pred, ["Model", "BASIN"], "y_true", "y_pred", [0, 1], basin_col="BASIN")
 
 
+@register("evaluate_model")
+def q_evaluate_model(spark, sf_dir):
+    """The seven tables of the four fitted models, each basin and ALL, from one
+    saved prediction store, stacked as (table, Model, draw, BASIN, item, metric, value)."""
+    train, test = _split(spark, sf_dir)
+    fits = {name: m for name, (m, _, _) in _four_models(train).items()}
+    pred = _union(models.predict(m, test, _KEYS, "label", name).withColumn("draw", F.lit(0)) for name, m in fits.items())
+    importance = _union(models.permutation_importance(m, test, ["case_id"], _FEATS, "label", repeats=2, scope_col="BASIN")
+                        .withColumnsRenamed({"scope": "BASIN"}).withColumns({"Model": F.lit(name), "draw": F.lit(0)}) for name, m in fits.items())
+    tables = evaluate.evaluation_tables(evaluate.save_predictions(pred), [0, 1], importance=importance)
+    return evaluate.stacked(tables, {"predictions": ["storm_id", "case_id", "YEAR"], "report": ["label"], "contingency": ["Category"],
+                                     "brier": ["Threshold"], "precision_recall": ["Thresholds"], "roc": ["Threshold"], "importance": ["feature"]})
+
+
+@register("smote", f"""
+WITH x AS (SELECT case_id, VMPI, DELV, D200, Z850, CAST(VMAX >= 46 AS INTEGER) AS y FROM hours WHERE TIME = 0),
+c AS (SELECT count(*) FILTER (WHERE y = 1) AS nmin, count(*) FILTER (WHERE y = 0) AS nmaj FROM x),
+e AS (SELECT CAST(floor(CAST(0.7 AS DOUBLE) * nmaj) AS BIGINT) - nmin AS extra, nmin FROM c),
+m AS (SELECT *, row_number() OVER (ORDER BY {_h("'0|' || case_id")}, case_id) AS p FROM x WHERE y = 1),
+d AS (SELECT a.case_id, b.case_id AS other, row_number() OVER (PARTITION BY a.case_id ORDER BY
+        (a.VMPI - b.VMPI) * (a.VMPI - b.VMPI) + (a.DELV - b.DELV) * (a.DELV - b.DELV)
+        + (a.D200 - b.D200) * (a.D200 - b.D200) + (a.Z850 - b.Z850) * (a.Z850 - b.Z850), b.case_id) AS r
+      FROM m a JOIN m b ON a.case_id <> b.case_id QUALIFY r <= 5),
+j AS (SELECT {_h("'sm0|' || i")} % (SELECT nmin FROM e) + 1 AS p, {_h("'nn0|' || i")} % least(5, (SELECT nmin - 1 FROM e)) + 1 AS r,
+        CAST({_h("'gap0|' || i")} AS DOUBLE) / 1152921504606846976.0 AS gap FROM range(0, (SELECT greatest(extra, 0) FROM e)) t(i)),
+made AS (SELECT a.case_id, {', '.join(f'a.{f} + gap * (b.{f} - a.{f}) AS {f}' for f in ('VMPI', 'DELV', 'D200', 'Z850'))}, 1 AS y
+         FROM j JOIN m a USING (p) JOIN d ON d.case_id = a.case_id AND d.r = j.r JOIN m b ON b.case_id = d.other)
+SELECT case_id, {', '.join(f'{R(f)} AS {f}' for f in ('VMPI', 'DELV', 'D200', 'Z850'))}, y FROM (SELECT * FROM x UNION ALL SELECT * FROM made)
+""", ("hours",))
+def q_smote(spark, sf_dir):
+    """M5: minority topped up to floor(0.7 * majority) between exact nearest neighbours."""
+    x = V.hours(spark, sf_dir).where("TIME = 0").select("case_id", "VMPI", "DELV", "D200", "Z850", (F.col("VMAX") >= 46).cast("int").alias("y"))
+    return sampling.smote(materialize(x), "case_id", "y", 1, ["VMPI", "DELV", "D200", "Z850"], 0.7)
+
+
 @register("permutation_importance")
 def q_permutation_importance(spark, sf_dir):
     """Drop in weighted F1 per shuffled feature, per basin and ALL, on held-out years."""
@@ -181,30 +225,27 @@ def q_permutation_importance(spark, sf_dir):
 
 @register("select_and_refit")
 def q_select_and_refit(spark, sf_dir):
-    """M14 + J12 + M1: for each draw of held-out years, search on the other
-    training years and score the event Threat on the ALL scope; per model the
-    best draw's parameters (ties: lowest draw) are looked up and refitted on
-    all training years, then used on the test years."""
+    """M14 + J12 + M1: for each draw of held-out years, a resumable search on the other
+    training years; the best point of each draw is refitted and scored on the held-out
+    years by the event Threat; per model the best draw's parameters (ties: lowest draw)
+    are looked up and refitted on all training years, then used on the test years."""
     checkpoint_dir(spark)
     tf = _frame(spark, sf_dir)
-    train_all, test = clean.split_by_year(tf, [2000, 2001], year_col="YEAR")
-    train_all = materialize(train_all)
-    draws = sampling.year_draws(train_all, "YEAR", 2, 1, seed=7).collect()  # 2 rows
-    keys = ["storm_id", "case_id", "BASIN", "YEAR"]
-    searches = {"Logistic Reg.": _logistic, "Random Forest": _forest}
-    rows = []
-    for d in draws:
-        tr, va = clean.split_by_year(train_all, [d["year"]], year_col="YEAR")
-        for name, search in searches.items():
-            m, params, _ = search(tr)
-            cm = verify.contingency_stats(models.predict(m, va, keys, "label", name),
-                                          ["Model"], "y_true", "y_pred", [0, 1]).where("Category = 1")
-            first = cm.select("Threat").first()
-            threat = first["Threat"] if first is not None else None
-            rows.append((name, int(d["draw"]), float(threat) if threat is not None else -1.0, params))
-    out = []
-    for name, search in searches.items():
-        _, draw, _, params = min((r for r in rows if r[0] == name), key=lambda r: (-r[2], r[1]))
-        fit, _, _ = search(train_all, grid=[params])
-        out.append(models.predict(fit, test, keys, "label", name).withColumn("best_draw", F.lit(draw)))
-    return out[0].unionByName(out[1])
+    train, test = clean.split_by_year(tf, [2000, 2001], year_col="YEAR")
+    train = materialize(train)
+    drawn = sampling.year_draws(train, "YEAR", 2, 1, seed=7).collect()  # draws x held-out years
+    draws = [(d, [r["year"] for r in drawn if r["draw"] == d]) for d in sorted({r["draw"] for r in drawn})]
+    specs = [search.Spec("Logistic Reg.", _LR_GRID, lambda rows, p: models.fit_logistic(rows, _FEATS, "label", p)),
+             search.Spec("Random Forest", _RF_GRID, lambda rows, p: models.fit_forest(rows, _FEATS, "label", p, trees=_TREES, min_leaf=_LEAF))]
+    store = search.ResultStore(spark, shared_path(spark, "search"))
+    search.run_search(train, draws, specs, store, key="case_id", class_col="I_class", label="label", year_col="YEAR", **_FOLDS)
+    best = search.best_points(store.table(), _FOLDS["k"] * _FOLDS["repeats"])
+    chosen = {(r["draw"], r["model"]): r["point"] for r in best.collect()}  # draws x models
+    scored = _union(models.predict(s.fit(train.where(~F.col("YEAR").isin(years)), s.grid[chosen[d, s.name]]),
+                                   train.where(F.col("YEAR").isin(years)), _KEYS, "label", s.name).withColumn("draw", F.lit(d))
+                    for d, years in draws for s in specs)
+    threat = verify.contingency_stats(scored, ["Model", "draw"], "y_true", "y_pred", [0, 1]).where("Category = 1") \
+        .select(F.col("Model").alias("model"), "draw", F.col("Threat").alias("threat")).join(best, ["model", "draw"])
+    final = {r["model"]: r for r in search.best_draws(threat).collect()}  # one row a model
+    return _union(models.predict(s.fit(train, s.grid[final[s.name]["point"]]), test, _KEYS, "label", s.name)
+                  .withColumn("best_draw", F.lit(final[s.name]["draw"])) for s in specs)
