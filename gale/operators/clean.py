@@ -45,9 +45,8 @@ def apply_scale_factors(df: DataFrame, factors: dict[str, float], *,
 def apply_scale_factors_long(long_df: DataFrame, factor_table: DataFrame, *,
                              name_col: str = "name", value_col: str = "value") -> DataFrame:
     """P3/J8 (long): one row per (case, predictor, hour); factors joined by
-    predictor name. The factor table is a fixed dictionary (138 rows), so it
-    is broadcast."""
-    f = F.broadcast(factor_table.select(F.col("name").alias(name_col), "factor"))
+    predictor name. Spark broadcasts the factor table if its size allows."""
+    f = factor_table.select(F.col("name").alias(name_col), "factor")
     j = long_df.join(f, name_col, "left")
     v = F.col(value_col).try_cast("double")
     return j.withColumn(value_col, F.when(F.col("factor").isNotNull(), v / F.col("factor"))

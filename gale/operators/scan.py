@@ -123,18 +123,86 @@ def with_position(df: DataFrame, group_cols: list[str], order_cols: list[str], *
                           position_col=position_col, buckets=buckets, bucket_width=bucket_width)
 
 
-def shifted(df_with_pos: DataFrame, group_cols: list[str], cols: list[str], k: int,
-            position_col: str = "_pos", suffix: str | None = None, how: str = "left") -> DataFrame:
-    """Attach the columns of the row ``k`` positions later (k<0: earlier).
-
-    An equi-join on (group, position): the key includes the position, so a
-    large group spreads over all partitions.
-    """
-    suffix = suffix or (f"_lead{k}" if k >= 0 else f"_lag{-k}")
-    other = df_with_pos.select(
-        *group_cols, (F.col(position_col) - F.lit(k)).alias(position_col),
-        *[F.col(c).alias(c + suffix) for c in cols])
-    return _join(df_with_pos, other, group_cols + [position_col], how)
+def segmented_scan(df: DataFrame, group_cols: list[str], order_cols: list[str], sums: dict[str, Column], *,
+                   following: dict[str, str] | None = None, totals: dict[str, Column] | None = None,
+                   products: dict[str, tuple[Column, str]] | None = None, descending: bool = False,
+                   position_col: str = "pos", bucket_width: float) -> DataFrame:
+    """Inclusive running sums, the next row's values and group totals in one scan.
+
+    Rows are hashed once on (group, bucket); a window inside the bucket gives the
+    local running sums, each bucket's totals and first row go through one small
+    window per group (carry-in: what stands before the bucket; carry-out: the first
+    row of the next one), and the carry rows are joined back on (group, bucket), which
+    the rows are already partitioned by. So the rows are shuffled once.
+
+    ``following`` maps an output name to the column whose value in the next row (in
+    scan order) it holds, null in a group's last row. ``totals`` are aggregates of a
+    whole group, ``products`` sums over a group of (factor, name of a running sum) that
+    need the running sum itself, e.g. the area under a curve: both come on every row."""
+    names = {**sums, position_col: F.lit(1).cast("bigint")}
+    values = {n: f"_v{i}" for i, n in enumerate(names)}
+    local = {n: f"_w{i}" for i, n in enumerate(names)}
+    x = _bucketed(df, group_cols, order_cols[0], descending, DEFAULT_BUCKETS, bucket_width)
+    x = x.withColumns({values[n]: c for n, c in names.items()}).repartition(*group_cols, "_b")
+    order = [F.col(c).desc() if descending else F.col(c).asc() for c in order_cols]
+    w = Window.partitionBy(*group_cols, "_b").orderBy(*order)
+    upto = w.rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    next_row = {o: F.lead(c).over(w).alias(o) for o, c in (following or {}).items()}
+    x = x.select("*", *[F.sum(values[n]).over(upto).alias(local[n]) for n in names], *next_row.values(),
+                 F.lead(F.lit(True)).over(w).isNull().alias("_last"))
+    first = F.struct(*[F.col(c).alias(f"f{i}") for i, c in enumerate((following or {}).values())], F.lit(1).alias("one"))
+    per = x.groupBy(*group_cols, "_b").agg(
+        *[F.sum(values[n]).alias(values[n]) for n in names], F.max(F.when(F.col(local[position_col]) == 1, first)).alias("_first"),
+        *[c.alias(n) for n, c in (totals or {}).items()],
+        *[F.sum(f * F.col(local[n])).alias(f"_p{i}") for i, (f, n) in enumerate((products or {}).values())],
+        *[F.sum(f).alias(f"_q{i}") for i, (f, _) in enumerate((products or {}).values())])
+    g = Window.partitionBy(*group_cols)
+    before = g.orderBy("_b").rowsBetween(Window.unboundedPreceding, -1)
+    carry = per.select(*group_cols, "_b", *[F.coalesce(F.sum(values[n]).over(before), F.lit(0)).alias(f"_o{i}") for i, n in enumerate(names)],
+                       F.lead("_first").over(g.orderBy("_b")).alias("_next"), *(totals or {}),
+                       *[F.col(f"_{k}{i}") for i in range(len(products or {})) for k in "pq"])
+    merged = {n: F.sum(n).over(g) if not n.startswith("min_") else F.min(n).over(g) for n in (totals or {})}
+    place = {n: i for i, n in enumerate(names)}
+    merged |= {o: F.sum(F.col(f"_p{i}") + F.col(f"_o{place[n]}") * F.col(f"_q{i}")).over(g)
+               for i, (o, (_, n)) in enumerate((products or {}).items())}
+    carry = carry.select(*group_cols, "_b", "_next", *[f"_o{i}" for i in range(len(names))], *[c.alias(n) for n, c in merged.items()])
+    j = _join(x, carry, group_cols + ["_b"])
+    j = j.withColumns({n: F.col(local[n]) + F.col(f"_o{i}") for i, n in enumerate(names)})
+    j = j.withColumns({o: F.when(F.col("_last"), F.col("_next")[f"f{i}"]).otherwise(F.col(o))
+                       for i, o in enumerate(following or {})})
+    return j.drop("_b", "_last", "_next", *values.values(), *local.values(), *[f"_o{i}" for i in range(len(names))])
+
+
+def range_shift(df: DataFrame, keys: list[str], order_cols: list[str], cols: list[str], k: int, *, suffix: str) -> DataFrame:
+    """``lead(c, k)`` (k > 0) or ``lag(c, -k)`` (k < 0) inside each value of ``keys`` (or over
+    the whole table: ``keys`` empty), for series of any length and rows at any density.
+
+    The rows are range-partitioned on (keys, order), so equally many land in every
+    partition however they crowd; a window inside the partition shifts them, and only
+    the at most 2|k| border rows of each partition meet in one small window. (keys,
+    order) should be unique. The partitioned rows are checkpointed: both uses of
+    them must see the same borders."""
+    from gale.session import materialize
+    if k == 0:
+        raise ValueError("k must be non-zero")
+    sort = list(dict.fromkeys([*keys, *order_cols]))
+    x = materialize(df.repartitionByRange(*sort).withColumn("_pid", F.spark_partition_id()))
+    up = [F.col(c).asc() for c in sort]
+    down = [F.col(c).desc() for c in sort]
+    shift, m = (F.lead if k > 0 else F.lag), abs(k)
+    partner = F.struct(*[F.col(c).alias(f"k{i}") for i, c in enumerate(keys)], *[F.col(c).alias(f"v{i}") for i, c in enumerate(cols)],
+                       F.lit(1).alias("one"))
+    inside = Window.partitionBy("_pid")
+    x = x.withColumns({"_up": F.row_number().over(inside.orderBy(*up)), "_down": F.row_number().over(inside.orderBy(*down)),
+                       "_to": shift(partner, m).over(inside.orderBy(*up))})
+    edge = F.col("_down") <= m if k > 0 else F.col("_up") <= m  # partner, if any, in another partition
+    border = x.where((F.col("_up") <= m) | (F.col("_down") <= m)).withColumn("_to", shift(partner, m).over(Window.orderBy(*up)))
+    out = x.where(~edge).unionByName(border.where(edge))
+    same = F.col("_to").isNotNull()
+    for i, c in enumerate(keys):
+        same = same & F.col("_to")[f"k{i}"].eqNullSafe(F.col(c))
+    return out.withColumns({c + suffix: F.when(same, F.col("_to")[f"v{i}"]) for i, c in enumerate(cols)}) \
+        .drop("_pid", "_up", "_down", "_to")
 
 
 def with_lead(df: DataFrame, group_cols: list[str], order_cols: list[str], cols: list[str], k: int, *,

@@ -3,9 +3,9 @@
 Two kinds of grouping appear:
 
 * a **storm** (series) may be arbitrarily long, so row offsets inside it are
-  computed with :func:`gale.operators.scan.with_lead` (a window per (storm,
-  day bucket) plus a small join for rows whose partner is in another
-  bucket); no task ever holds a whole storm;
+  computed in chunks of time with a day of overlap, or, without a bound on the
+  gap, with :func:`gale.operators.scan.range_shift` (range partitions and a
+  small window of their border rows); no task ever holds a whole storm;
 * a **case** holds one row per forecast hour, at most 23 rows by the data
   model (TIME is one of -12..120 step 6, unique per case), so windows and
   grouped aggregates partitioned by the case are bounded.
@@ -18,7 +18,7 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from gale.operators.scan import with_lead, with_position
+from gale.operators.scan import range_shift, with_position
 
 # Grid for numbering rows of a storm series: one bucket per day of time
 # (unix microseconds), so a long or hot series spreads over many tasks and
@@ -75,8 +75,7 @@ def change_over_rows(df: DataFrame, keys: list[str], time_col: str, value_cols:
     if keys and gap == "1 DAY" and _width(df, time_col):
         j = _lead_within_a_day(base, keys, time_col, order, [time_col] + value_cols, steps, "_later")
     else:
-        j = with_lead(base, keys, order, [time_col] + value_cols, steps, suffix="_later",
-                      bucket_width=_width(df, time_col))
+        j = range_shift(base, keys, order, [time_col] + value_cols, steps, suffix="_later")
     ok = F.lit(True) if gap is None else (F.col(time_col + "_later") == F.col(time_col) + _interval(gap))
     diffs = {prefix + c: F.when(ok, F.col(c + "_later") - F.col(c)) for c in value_cols}
     out = j.select(*dict.fromkeys(keys + order + carry), *[v.alias(k) for k, v in diffs.items()])
@@ -124,8 +123,7 @@ def change_reverse(df: DataFrame, keys: list[str], time_col: str, value_col: str
     """Value ``steps`` rows *earlier* minus the value now, null below
     ``floor``; rows without a value are dropped."""
     order = [time_col] + list(tiebreak or [])
-    j = with_lead(df.select(*dict.fromkeys(keys + order + [value_col])), keys, order, [value_col], -steps,
-                  suffix="_earlier", bucket_width=_width(df, time_col))
+    j = range_shift(df.select(*dict.fromkeys(keys + order + [value_col])), keys, order, [value_col], -steps, suffix="_earlier")
     d = F.col(value_col + "_earlier") - F.col(value_col)
     return (j.select(*dict.fromkeys(keys + order), F.when(d >= floor, d).alias(out_col))
             .where(F.col(out_col).isNotNull()))
@@ -226,13 +224,5 @@ def number_cases(df: DataFrame, partition_cols: list[str], order_cols: list[str]
                          bucket_width=_width(df, order_cols[0]))
 
 
-def share_of_group(df: DataFrame, group_cols: list[str], count_col: str,
-                   out_col: str = "FRAC") -> DataFrame:
-    """Count / total of its group (aggregate joined back)."""
-    tot = df.groupBy(*group_cols).agg(F.sum(count_col).alias("_tot"))
-    return df.join(tot, group_cols, "left").withColumn(
-        out_col, F.try_divide(F.col(count_col).cast("double"), F.col("_tot").cast("double"))).drop("_tot")
-
-
 def union_all(frames: list[DataFrame]) -> DataFrame:
     return reduce(lambda a, b: a.unionByName(b, allowMissingColumns=True), frames)

@@ -5,17 +5,18 @@ true class, the predicted class and the event probability. Everything is a
 grouped aggregate over (group, class) or (group, distinct score) counts, so
 the big table is scanned once with map-side partial aggregation. Curves need
 running sums over scores inside a group; those go through
-:func:`gale.operators.scan.running_totals`, which never puts a whole group in
-one task.
+:func:`gale.operators.scan.segmented_scan`, which never puts a whole group in
+one task. A null in a group column is a group like any other value.
 """
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from gale.functions.numeric import round_half_even, safe_div
-from gale.operators.scan import running_totals, with_lead
+from gale.operators.clean import classify_at_threshold
+from gale.operators.scan import _join, segmented_scan
 
 ALL = "ALL"
 # Probability grid for the two-level scan over distinct scores: 2^20 cells,
@@ -120,8 +121,7 @@ def report_from_counts(counts: DataFrame, group_cols: list[str], y_true: str, y_
     per = (counts.select(*group_cols, F.explode(parts).alias("p")).select(*group_cols, "p.*")
            .groupBy(*group_cols, "c").agg(F.sum("np").alias("np"), F.sum("na").alias("na"),
                                           F.sum("tp").alias("tp")))
-    tot = per.groupBy(*group_cols).agg(F.sum("na").alias("tot"))
-    per = per.join(tot, group_cols)
+    per = per.withColumn("tot", F.sum("na").over(Window.partitionBy(*group_cols)))  # a row per observed class
     p = _zdiv(F.col("tp"), F.col("np"))
     r = _zdiv(F.col("tp"), F.col("na"))
     per = per.withColumns({"precision": p, "recall": r})
@@ -164,6 +164,11 @@ def brier_table(pred: DataFrame, group_cols: list[str], y_true: str, score: str,
         F.sum(F.pow(F.col(score) - y, 2)).alias("sse"))
     if basin_col:
         g = with_all_scope(g, basin_col, ["n", "pos", "sse"], [k for k in group_cols if k != basin_col])
+    return brier_from_sums(g, group_cols, steps)
+
+
+def brier_from_sums(g: DataFrame, group_cols: list[str], steps: int = 10) -> DataFrame:
+    """A9 from rows, events and the model's squared error (``n``, ``pos``, ``sse``) per group."""
     thr = F.explode(F.array(*[F.lit(k / steps) for k in range(steps + 1)])).alias("Threshold")
     t = g.select("*", thr)
     p, n, pos = F.col("Threshold"), F.col("n").cast("double"), F.col("pos")
@@ -190,22 +195,21 @@ def score_counts(pred: DataFrame, group_cols: list[str], y_true: str, score: str
     return c
 
 
-def _cumulative(counts: DataFrame, group_cols: list[str]) -> DataFrame:
-    """TP, FP at threshold = each distinct score (score >= threshold), with
-    the descending position, group totals P, N, number of distinct scores and
-    the lowest event score."""
-    cum = running_totals(counts, group_cols, ["score"], {"TP": F.col("tp_c"), "FP": F.col("fp_c")},
-                         descending=True, position_col="pos", bucket_width=SCORE_BUCKET)
-    tot = counts.groupBy(*group_cols).agg(
-        F.sum("tp_c").alias("P"), F.sum("fp_c").alias("N"), F.count(F.lit(1)).alias("n_scores"),
-        F.min(F.when(F.col("tp_c") > 0, F.col("score"))).alias("min_event_score"))
-    return cum.join(tot, group_cols)
-
-
 def cumulative_table(counts: DataFrame, group_cols: list[str]) -> DataFrame:
-    """The per-score cumulative table shared by the PR and ROC curves
-    (pass it as ``cum`` to compute both from one materialized scan)."""
-    return _cumulative(counts, group_cols)
+    """TP, FP at threshold = each distinct score (score >= threshold) with the
+    descending position, the next lower score's counts (``tp_next``, ``fp_next``), the
+    group's totals P, N, number of distinct scores and lowest event score, and the
+    area under its ROC curve (W13): everything the curves need, from one scan. Pass
+    it as ``cum`` to compute several curves from one materialized table."""
+    tp, fp = F.col("tp_c"), F.col("fp_c")
+    # twice the area in counts: each score adds fp_c * (2 * TP - tp_c); as doubles, products of counts may pass 64 bits
+    x = counts.withColumn("_own", fp.cast("double") * tp)
+    cum = segmented_scan(x, group_cols, ["score"], {"TP": tp, "FP": fp}, following={"tp_next": "tp_c", "fp_next": "fp_c"},
+                         totals={"P": F.sum("tp_c"), "N": F.sum("fp_c"), "n_scores": F.count(F.lit(1)), "_own_sum": F.sum("_own"),
+                                 "min_event_score": F.min(F.when(tp > 0, F.col("score")))},
+                         products={"_area": (fp.cast("double"), "TP")}, descending=True, position_col="pos", bucket_width=SCORE_BUCKET)
+    area = safe_div(2 * F.col("_area") - F.col("_own_sum"), 2.0 * F.col("P") * F.col("N"))
+    return cum.withColumn("AUC", area).drop("_own", "_own_sum", "_area")
 
 
 def precision_recall_curve(counts: DataFrame, group_cols: list[str], cum: DataFrame | None = None,
@@ -214,7 +218,7 @@ def precision_recall_curve(counts: DataFrame, group_cols: list[str], cum: DataFr
     threshold; P = TP/(TP+FP), R = TP/P_total, F1 = 2PR/(P+R) (null when
     P+R = 0). The (1, 0) end point is not a row. With ``stop_at_full_recall``
     the scores below the lowest event score are left out."""
-    c = cum if cum is not None else _cumulative(counts, group_cols)
+    c = cum if cum is not None else cumulative_table(counts, group_cols)
     if stop_at_full_recall:
         c = c.where(F.col("score") >= F.col("min_event_score"))
     p = safe_div(F.col("TP"), F.col("TP") + F.col("FP"))
@@ -253,34 +257,24 @@ def roc_curve(counts: DataFrame, group_cols: list[str], drop_intermediate: bool
     per group. With ``drop_intermediate`` a point is dropped when the step
     out of it equals the step into it (scikit-learn's rule); the area is
     computed over every point (dropping collinear points leaves it equal)."""
-    c = cum if cum is not None else _cumulative(counts, group_cols)
-    tpr = safe_div(F.col("TP"), F.col("P"))
-    fpr = safe_div(F.col("FP"), F.col("N"))
-    tpr_prev = safe_div(F.col("TP") - F.col("tp_c"), F.col("P"))
-    fpr_prev = safe_div(F.col("FP") - F.col("fp_c"), F.col("N"))
-    area = c.groupBy(*group_cols).agg(
-        F.sum((fpr - fpr_prev) * (tpr + tpr_prev) / 2).alias("AUC"))
-    pts = c
+    c = cum if cum is not None else cumulative_table(counts, group_cols)
     if drop_intermediate:
-        # next row in descending score order = previous row in ascending order
-        pts = with_lead(c, group_cols, ["score"], ["tp_c", "fp_c"], -1, suffix="_next",
-                        bucket_width=SCORE_BUCKET)
-        same = (F.col("tp_c_next") == F.col("tp_c")) & (F.col("fp_c_next") == F.col("fp_c"))
-        keep = (F.col("pos") == 1) | (F.col("pos") == F.col("n_scores")) | ~same
-        pts = pts.where(keep)
-    rows = pts.select(*group_cols, fpr.alias("FPR"), tpr.alias("TPR"), F.col("score").alias("Threshold"))
-    start = (c.where(F.col("pos") == 1)
-             .select(*group_cols, F.lit(0.0).alias("FPR"), F.lit(0.0).alias("TPR"),
-                     (F.col("score") + 1).alias("Threshold")))
-    return rows.unionByName(start).join(area, group_cols, "left")
+        same = (F.col("tp_next") == F.col("tp_c")) & (F.col("fp_next") == F.col("fp_c"))
+        c = c.withColumn("_keep", (F.col("pos") == 1) | (F.col("pos") == F.col("n_scores")) | ~same)
+    else:
+        c = c.withColumn("_keep", F.lit(True))
+    point = F.struct(safe_div(F.col("FP"), F.col("N")).alias("FPR"), safe_div(F.col("TP"), F.col("P")).alias("TPR"), F.col("score").alias("Threshold"))
+    start = F.struct(F.lit(0.0).alias("FPR"), F.lit(0.0).alias("TPR"), (F.col("score") + 1).alias("Threshold"))
+    points = F.when(F.col("pos") == 1, F.array(start, point)).otherwise(F.array(point))
+    return c.where("_keep").select(*group_cols, "AUC", F.explode(points).alias("p")).select(*group_cols, "p.*", "AUC")
 
 
 def scores_at_cutoff(counts: DataFrame, cutoffs: DataFrame, group_cols: list[str]) -> DataFrame:
     """Recall and precision of both classes when the event is
     predicted at score >= round(cutoff, 1)."""
     t = round_half_even("Cutoff_Threshold", 1)
-    j = counts.join(cutoffs.select(*group_cols, t.alias("t")), group_cols)
-    on = F.col("score") >= F.col("t")
+    j = _join(counts, cutoffs.select(*group_cols, t.alias("t")), group_cols, "inner")
+    on = classify_at_threshold("score", F.col("t")) == 1
     g = j.groupBy(*group_cols, "t").agg(
         F.sum(F.when(on, F.col("tp_c")).otherwise(0)).alias("TP"),
         F.sum(F.when(on, F.col("fp_c")).otherwise(0)).alias("FP"),
@@ -292,15 +286,16 @@ def scores_at_cutoff(counts: DataFrame, cutoffs: DataFrame, group_cols: list[str
                     _zdiv(tn, tn + fp).alias("recall_nonevent"), _zdiv(tn, tn + fn).alias("precision_nonevent"))
 
 
-def area_under_performance(pr: DataFrame, group_cols: list[str]) -> DataFrame:
+def area_under_performance(cum: DataFrame, group_cols: list[str]) -> DataFrame:
     """Signed trapezoid of POD (recall) over success ratio (precision),
-    rows by threshold ascending, i.e. each row paired with the next lower
-    threshold (a lag in ascending threshold order, see ``with_lead``)."""
-    nx = with_lead(pr.select(*group_cols, "Thresholds", "Precision", "Recall"), group_cols, ["Thresholds"],
-                   ["Precision", "Recall"], -1, suffix="_low", bucket_width=SCORE_BUCKET)
-    nx = nx.where(F.col("Precision_low").isNotNull() | F.col("Recall_low").isNotNull())
-    term = (F.col("Precision") - F.col("Precision_low")) * (F.col("Recall") + F.col("Recall_low")) / 2
-    return nx.groupBy(*group_cols).agg(F.sum(term).alias("AUPD"))
+    rows by threshold ascending, i.e. each row of the cumulative table
+    (:func:`cumulative_table`) paired with the next lower threshold."""
+    tp, fp = F.col("TP"), F.col("FP")
+    tp_low, fp_low = tp + F.col("tp_next"), fp + F.col("fp_next")
+    p, p_low = safe_div(tp, tp + fp), safe_div(tp_low, tp_low + fp_low)
+    r, r_low = safe_div(tp, F.col("P")), safe_div(tp_low, F.col("P"))
+    pairs = cum.where(F.col("tp_next").isNotNull())
+    return pairs.groupBy(*group_cols).agg(F.sum((p - p_low) * (r + r_low) / 2).alias("AUPD"))
 
 
 # -------------------------------------------------------------- A18 - A24

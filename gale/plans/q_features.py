@@ -299,7 +299,12 @@ SELECT case_id, TIME, ATCFID, {', '.join(f'{R(_q(c))} AS {_q(c)}' for c in _F3_C
 def q_case_features(spark, sf_dir):
     """F3 + P10 + P11 + P14: sentinel -> scaling -> landfall gate -> land mask ->
     basin rules -> F1 + F2 from one frame, storm id of name and year."""
-    f = features.case_features(V.cases(spark, sf_dir), CASE, F3_DYN, hours=FORE, carry=["NAME", "DATE_full"],
+    return f3(V.cases(spark, sf_dir))
+
+
+def f3(cases):
+    """The case chain with the stand-in basins, divisors and slots."""
+    f = features.case_features(cases, CASE, F3_DYN, hours=FORE, carry=["NAME", "DATE_full"],
                                factors=F3_FACTORS, basin_col="BASIN", southern_basin="AFRICA",
                                nsst_basins=["AMERICA", "EUROPE"], ir_slots=IR_SLOTS, ir_names=IR_NAMES,
                                pc_slots=PC_SLOTS, pc_names=PC_NAMES)

@@ -197,6 +197,28 @@ def q_roc_curve_auc(spark, sf_dir):
     return verify.roc_curve(None, G, cum=_cum(spark, sf_dir))
 
 
+@register("choose_cutoff_precision", f"""
+WITH {_CUM_SQL}
+SELECT {GS}, {R('min(CASE WHEN Recall > Precision THEN Thresholds END)')} AS Cutoff_Threshold FROM pr GROUP BY ALL
+""", ("scored",))
+def q_choose_cutoff_precision(spark, sf_dir):
+    """precision_weighted/'equal' rule: lowest threshold where R > P."""
+    return verify.choose_cutoff(_pr(spark, sf_dir), G, "precision_weighted", "equal")
+
+
+@register("choose_cutoff_numeric", f"""
+WITH {_CUM_SQL}
+SELECT 'recall' AS rule, {GS}, {R('min(CASE WHEN round_even(Recall * 10, 0) / 10 < 1 - 0.2 THEN Thresholds END)')} AS Cutoff_Threshold FROM pr GROUP BY ALL
+UNION ALL
+SELECT 'precision', {GS}, {R('min(CASE WHEN round_even(Precision * 10, 0) / 10 < 1 - 0.2 THEN Thresholds END)')} FROM pr GROUP BY ALL
+""", ("scored",))
+def q_choose_cutoff_numeric(spark, sf_dir):
+    """Numeric cut of 0.2: lowest threshold whose recall (precision), rounded to 0.1, is below 0.8."""
+    pr = materialize(_pr(spark, sf_dir))
+    return verify.choose_cutoff(pr, G, "recall_weighted", 0.2).withColumn("rule", F.lit("recall")).unionByName(
+        verify.choose_cutoff(pr, G, "precision_weighted", 0.2).withColumn("rule", F.lit("precision")))
+
+
 @register("scores_at_cutoff", f"""
 WITH {_CUM_SQL}, m AS (SELECT {GS}, max(F1) AS mf FROM pr GROUP BY ALL),
 co AS (SELECT pr.Model, pr.BASIN, pr.Fold, round_even(min(Thresholds) * 10, 0) / 10 AS t FROM pr
@@ -225,7 +247,7 @@ SELECT {GS}, {R('sum((Precision - pl) * (Recall + rl) / 2)')} AS AUPD FROM l WHE
 """, ("scored",))
 def q_area_under_performance(spark, sf_dir):
     """A14 + W13: signed trapezoid of POD over success ratio per group."""
-    return verify.area_under_performance(_pr(spark, sf_dir), G)
+    return verify.area_under_performance(verify.cumulative_table(_counts(spark, sf_dir), G), G)
 
 
 _PERF_SQL = f"""
@@ -310,7 +332,7 @@ def q_threshold_band(spark, sf_dir):
     """Range of cutoff and AUC over folds per model and basin."""
     cum = _cum(spark, sf_dir)
     cut = verify.choose_cutoff(_pr(spark, sf_dir, cum), G, "f1_weighted")
-    auc = verify.roc_curve(None, G, drop_intermediate=False, cum=cum).select(*G, "AUC").distinct()
+    auc = cum.where("pos = 1").select(*G, "AUC")
     j = cut.join(auc, G)
     return j.groupBy("Model", "BASIN").agg(
         F.min("Cutoff_Threshold").alias("min_cutoff"), F.max("Cutoff_Threshold").alias("max_cutoff"),

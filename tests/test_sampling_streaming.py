@@ -82,6 +82,60 @@ def test_cycle_counts_whatever_the_file_order(spark):
     assert jobs.stream_cycle_counts(spark, empty, ev.schema, watermark="30 hours").count() == 0
 
 
+def test_twenty_batches_with_a_restart_and_late_rows(spark):
+    """20 files, one a batch, the job started again in the middle: the batch answer; late rows are listed, none is lost."""
+    import datetime as dt
+
+    from gale.operators import series
+    from gale.plans import render
+    from gale.sources.results import shared_path
+    from gale.streaming import jobs
+    cyc = V.cycles(spark, SMALL).select("storm_id", "DATE_full", "VMAX")
+    days = sorted(r[0] for r in cyc.select("DATE_full").distinct().collect())
+    cyc = cyc.where(F.col("DATE_full") < F.lit(days[0] + dt.timedelta(days=20)))
+    schema = "storm_id bigint, DATE_full timestamp_ntz, VMAX double"
+    first = F.col("DATE_full") < F.lit(days[0] + dt.timedelta(days=10))
+    src, work = shared_path(spark, "t-arrive"), shared_path(spark, "t-work")
+    hadoop, conf = spark._jvm.org.apache.hadoop.fs, spark._jsc.hadoopConfiguration()
+
+    def arrive(rows, files):
+        part = render.write_arrivals(rows, "DATE_full", "t-part", files)
+        fs = hadoop.Path(part).getFileSystem(conf)
+        fs.mkdirs(hadoop.Path(src))
+        for s in fs.listStatus(hadoop.Path(part)):
+            if s.getPath().getName().startswith("part-"):
+                fs.rename(s.getPath(), hadoop.Path(f"{src}/{s.getPath().getName()}"))
+    job = lambda: jobs.stream_verify_24h(spark, src, schema, watermark="30 hours", files_per_batch=1, work=work)
+    arrive(cyc.where(first), 10)
+    half = job().count()
+    late = [(1, days[0], 99.0), (2, None, 98.0)]
+    arrive(cyc.where(~first), 10)
+    spark.createDataFrame(late, schema).coalesce(1).write.mode("append").parquet(src)
+    got = job()
+    want = series.exact_time_change(cyc, ["storm_id"], "DATE_full").where(F.col("d_V").isNotNull()).select("storm_id", "DATE_full", "d_V")
+    assert sorted(map(tuple, got.collect())) == sorted(map(tuple, want.collect())) and 0 < half < want.count()
+    rows = jobs.late_rows(spark, work, jobs._struct(schema)).collect()
+    assert sorted((r["storm_id"], r["VMAX"]) for r in rows) == [(1, 99.0), (2, 98.0)] and {r["batch"] for r in rows} == {20}
+
+
+def test_late_events_are_listed_and_not_counted(spark):
+    from gale.plans import render
+    from gale.sources.results import shared_path
+    from gale.sources.tables import read_table
+    from gale.streaming import jobs
+    ev = read_table(spark, SMALL, "events")
+    work, src = shared_path(spark, "t-late"), render.write_arrivals(ev, "ts", "t-events", 6)
+    ev.orderBy("ts").limit(5).coalesce(1).write.mode("append").parquet(src)  # the five oldest once more, last of all
+    got = jobs.stream_cycle_counts(spark, src, ev.schema, watermark="30 hours", files_per_batch=1, work=work)
+    assert got.agg(F.sum("n")).first()[0] == ev.count() and jobs.late_rows(spark, work, ev.schema).count() == 5
+
+
+def test_record_stream_to_features_equals_batch(spark):
+    import __spark_entry__ as E
+    a, b = (E.queries()[q](spark, SMALL) for q in ("stream_case_features", "case_features"))
+    assert sorted(map(tuple, a.select(b.columns).collect()), key=str) == sorted(map(tuple, b.collect()), key=str)
+
+
 def test_permutation_importance_constant_feature(spark):
     from pyspark.ml import Pipeline
     from pyspark.ml.classification import LogisticRegression
