@@ -91,12 +91,16 @@ def exact_quantiles(df: DataFrame, group_cols: list[str], value: str, qs: dict[s
         *g, "_c", "_v", "_base", "_total", fine.alias("_f")))
     cells = near.groupBy(*g, "_c", "_f", "_base", "_total").agg(F.count(F.lit(1)).alias("_n"))
     cells = materialize(placed(cells, cell, "_f", F.col("_base")).select(*g, "_c", "_f", "_before"))
-    last = _join(near.drop("_base"), cells, g + ["_c", "_f"], "inner").groupBy(*g, "_c", "_f", "_before", "_total", "_v") \
-        .agg(F.count(F.lit(1)).alias("_n")).withColumnRenamed("_before", "_base")
-    hits = placed(last, Window.partitionBy(*g, "_c", "_f"), "_v", F.col("_base")).select(*g, "_v", F.explode("_want").alias("w"))
-    both = hits.groupBy(*g, "w.q", "w.h").agg(F.max(F.when(~F.col("w.upper"), v)).alias("a"), F.max(F.when(F.col("w.upper"), v)).alias("b"))
-    val = F.col("a") + (F.col("b") - F.col("a")) * (F.col("h") - F.floor("h"))
-    return both.groupBy(*g).agg(*[F.max(F.when(F.col("q") == name, val)).alias(name) for name in qs])
+    # one key column that is never null: join, counts and window share its partitioning
+    key = F.struct(*g, "_c", "_f").alias("_k")
+    last = near.select(key, *g, "_total", "_v").join(cells.select(key, F.col("_before").alias("_base")), "_k") \
+        .groupBy("_k", *g, "_base", "_total", "_v").agg(F.count(F.lit(1)).alias("_n"))
+    hits = placed(last, Window.partitionBy("_k"), "_v", F.col("_base")).select(*g, "_v", F.explode("_want").alias("w"))
+
+    def of(name: str, upper: bool) -> Column:
+        return F.max(F.when((F.col("w.q") == name) & (F.col("w.upper") == upper), v))
+    frac = {name: F.max(F.when(F.col("w.q") == name, F.col("w.h") - F.floor("w.h"))) for name in qs}
+    return hits.groupBy(*g).agg(*[(of(name, False) + (of(name, True) - of(name, False)) * frac[name]).alias(name) for name in qs])
 
 
 def pearson_pairs(df: DataFrame, cols: list[str], min_abs: float = 0.0) -> DataFrame:

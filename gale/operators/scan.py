@@ -143,34 +143,37 @@ def segmented_scan(df: DataFrame, group_cols: list[str], order_cols: list[str],
     values = {n: f"_v{i}" for i, n in enumerate(names)}
     local = {n: f"_w{i}" for i, n in enumerate(names)}
     x = _bucketed(df, group_cols, order_cols[0], descending, DEFAULT_BUCKETS, bucket_width)
-    x = x.withColumns({values[n]: c for n, c in names.items()}).repartition(*group_cols, "_b")
+    # one key column that is never null (null groups are equal inside it), so that the join needs no other partitioning
+    x = x.withColumns({"_g": F.struct(*group_cols), **{values[n]: c for n, c in names.items()}}).repartition("_g", "_b")
     order = [F.col(c).desc() if descending else F.col(c).asc() for c in order_cols]
-    w = Window.partitionBy(*group_cols, "_b").orderBy(*order)
+    w = Window.partitionBy("_g", "_b").orderBy(*order)
     upto = w.rowsBetween(Window.unboundedPreceding, Window.currentRow)
     next_row = {o: F.lead(c).over(w).alias(o) for o, c in (following or {}).items()}
     x = x.select("*", *[F.sum(values[n]).over(upto).alias(local[n]) for n in names], *next_row.values(),
                  F.lead(F.lit(True)).over(w).isNull().alias("_last"))
-    first = F.struct(*[F.col(c).alias(f"f{i}") for i, c in enumerate((following or {}).values())], F.lit(1).alias("one"))
-    per = x.groupBy(*group_cols, "_b").agg(
+    # every column stands in the one row kept of a bucket, so that both uses of the rows read the same exchange
+    first = F.struct(*[F.col(c).alias(f"f{i}") for i, c in enumerate((following or {}).values())],
+                     *[F.col(c).alias(f"e{i}") for i, c in enumerate([*df.columns, *values.values()])])
+    per = x.groupBy("_g", "_b").agg(
         *[F.sum(values[n]).alias(values[n]) for n in names], F.max(F.when(F.col(local[position_col]) == 1, first)).alias("_first"),
         *[c.alias(n) for n, c in (totals or {}).items()],
         *[F.sum(f * F.col(local[n])).alias(f"_p{i}") for i, (f, n) in enumerate((products or {}).values())],
         *[F.sum(f).alias(f"_q{i}") for i, (f, _) in enumerate((products or {}).values())])
-    g = Window.partitionBy(*group_cols)
+    g = Window.partitionBy("_g")
     before = g.orderBy("_b").rowsBetween(Window.unboundedPreceding, -1)
-    carry = per.select(*group_cols, "_b", *[F.coalesce(F.sum(values[n]).over(before), F.lit(0)).alias(f"_o{i}") for i, n in enumerate(names)],
+    carry = per.select("_g", "_b", *[F.coalesce(F.sum(values[n]).over(before), F.lit(0)).alias(f"_o{i}") for i, n in enumerate(names)],
                        F.lead("_first").over(g.orderBy("_b")).alias("_next"), *(totals or {}),
                        *[F.col(f"_{k}{i}") for i in range(len(products or {})) for k in "pq"])
     merged = {n: F.sum(n).over(g) if not n.startswith("min_") else F.min(n).over(g) for n in (totals or {})}
     place = {n: i for i, n in enumerate(names)}
     merged |= {o: F.sum(F.col(f"_p{i}") + F.col(f"_o{place[n]}") * F.col(f"_q{i}")).over(g)
                for i, (o, (_, n)) in enumerate((products or {}).items())}
-    carry = carry.select(*group_cols, "_b", "_next", *[f"_o{i}" for i in range(len(names))], *[c.alias(n) for n, c in merged.items()])
-    j = _join(x, carry, group_cols + ["_b"])
+    carry = carry.select("_g", "_b", "_next", *[f"_o{i}" for i in range(len(names))], *[c.alias(n) for n, c in merged.items()])
+    j = x.join(carry, ["_g", "_b"])
     j = j.withColumns({n: F.col(local[n]) + F.col(f"_o{i}") for i, n in enumerate(names)})
     j = j.withColumns({o: F.when(F.col("_last"), F.col("_next")[f"f{i}"]).otherwise(F.col(o))
                        for i, o in enumerate(following or {})})
-    return j.drop("_b", "_last", "_next", *values.values(), *local.values(), *[f"_o{i}" for i in range(len(names))])
+    return j.drop("_g", "_b", "_last", "_next", *values.values(), *local.values(), *[f"_o{i}" for i in range(len(names))])
 
 
 def range_shift(df: DataFrame, keys: list[str], order_cols: list[str], cols: list[str], k: int, *, suffix: str) -> DataFrame:

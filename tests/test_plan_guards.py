@@ -49,6 +49,23 @@ def test_exchange_bounds_of_operators(big):
     assert _exchanges(f) == 1
 
 
+def test_exchange_bounds_of_scans_and_curves(big):
+    """Exchanges of the last step; earlier ones end in a checkpoint (counts of values, range-partitioned rows)."""
+    from gale.operators import evaluate, explore, scan, series, verify
+    from gale.plans import views as V
+    cyc = big.createDataFrame([], V.cycles(big, SMALL).schema)
+    pred = big.createDataFrame([], "m string, BASIN string, y int, p double")
+    assert _exchanges(series.change_24h_realtime(cyc, "DATE_full", ["VMAX"], tiebreak=["storm_id"])) <= 3
+    assert _exchanges(series.change_reverse(cyc, ["storm_id"], "DATE_full")) <= 3
+    assert _exchanges(scan.range_shift(cyc, [], ["DATE_full", "storm_id"], ["VMAX"], 1, suffix="_n")) <= 3
+    counts = verify.score_counts(pred, ["m"], "y", "p")
+    cum = verify.cumulative_table(counts, ["m"])
+    assert _exchanges(cum) <= 5 and _exchanges(verify.roc_curve(None, ["m"], cum=cum)) <= 5
+    assert _exchanges(verify.area_under_performance(cum, ["m"])) <= 6
+    assert _exchanges(explore.exact_quantiles(pred, ["m"], "p", {"q50": 0.5})) <= 3
+    assert evaluate.CELLS > 1
+
+
 def test_long_series_spreads_over_tasks(spark):
     """One storm with 90 % of the rows: no window partition holds much of it."""
     from pyspark.sql import functions as F
