@@ -17,8 +17,17 @@ from gale.sources.results import shared_path
 HOURS = list(range(-12, 121, 6))
 
 
-def _vals(m, hours, name: str) -> F.Column:
-    return F.concat_ws(" ", *[F.coalesce(m[h].cast("string"), F.lit("9999")) for h in hours], F.lit(name))
+def _by_case(cases: DataFrame, keys: list[str], predictors: list[str]) -> DataFrame:
+    """One row per case: an array with the predictors' cells (as text) at each of ``HOURS``, null at hours without a row."""
+    cells = F.struct(*[F.col(p).cast("string").alias(p) for p in predictors])
+    g = cases.groupBy(*keys).agg(F.map_from_entries(F.collect_list(F.struct("TIME", cells))).alias("_at"))
+    return g.select(*keys, F.transform(F.array(*[F.lit(h) for h in HOURS]), lambda h: F.col("_at")[h]).alias("_cells"))
+
+
+def _vals(predictor: str, name: str | None = None, skip: int = 0) -> F.Column:
+    """The predictor's line: its cells from step ``skip`` on, then its name."""
+    cells = F.col("_cells")[predictor]
+    return F.concat_ws(" ", F.array_join(F.slice(cells, skip + 1, len(HOURS) - skip) if skip else cells, " ", "9999"), F.lit(name or predictor))
 
 
 ODD_NAMES = ("ASTRIDE", "BEAST", "LASTHEAD")  # of the cases with case_id % 7 = 0, 1, 2
@@ -33,9 +42,7 @@ def case_records(spark: SparkSession, sf_dir: str) -> DataFrame:
     predictor, a truncated record in front, and marker letters in names of storms
     (``ODD_NAMES``) and of a predictor (``ASTX``, a copy of VMAX)."""
     c = V.cases(spark, sf_dir)
-    g = c.groupBy("case_id", "storm_id", "NAME", "DATE_full", "YEAR").agg(
-        *[F.map_from_entries(F.collect_list(F.struct("TIME", p))).alias(p)
-          for p in ("VMAX", "SHRG", "IR00", "RSST", "PC00")])
+    g = _by_case(c, ["case_id", "storm_id", "NAME", "DATE_full", "YEAR"], ["VMAX", "SHRG", "IR00", "RSST", "PC00"])
     atcf = F.concat(F.lit("AL"), F.lpad(F.col("storm_id").cast("string"), 2, "0"), F.col("YEAR").cast("string"))
     named = F.regexp_replace("NAME", " ", "_")
     for n, odd_name in enumerate(ODD_NAMES):
@@ -43,18 +50,18 @@ def case_records(spark: SparkSession, sf_dir: str) -> DataFrame:
     header = F.concat_ws(" ", named, F.date_format("DATE_full", "yyMMdd"),
                          F.lit("00"), F.lit("45"), F.lit("20.0"), F.lit("60.0"), F.lit("1000"), atcf, F.lit("HEAD"))
     kind = F.col("case_id") % 4
-    vmax = _vals(F.col("VMAX"), HOURS, "VMAX")
+    vmax = _vals("VMAX")
     odd = F.when(kind == 1, F.concat_ws("\n", F.lit("-12 0 6 TIME"), F.lit("ONE"), F.lit("7 7 SHRG"), F.lit("8 8 SHRG"), F.lit("")))
     first = F.when(kind == 2, F.concat(F.regexp_replace(vmax, r"\d+\.\d+", "1.0"), F.lit("\n")))
     cut = F.when(kind == 3, F.concat_ws("\n", header, F.regexp_replace(vmax, r"\d+\.\d+", "2.0"), F.lit("")))
     last = F.when(kind == 0, F.lit("LAST")).otherwise(F.lit("          LAST  "))
     lines = [F.concat(F.coalesce(cut, F.lit("")), header),
              F.concat(F.coalesce(odd, F.lit("")), F.coalesce(first, F.lit("")), vmax),
-             _vals(F.col("SHRG"), HOURS, "SHRG"),
-             _vals(F.col("VMAX"), HOURS, "ASTX"),
-             F.concat_ws(" ", _vals(F.col("RSST"), HOURS, "RSST"), F.lit("3")),
-             _vals(F.col("IR00"), HOURS[2:], "IR00"),
-             F.concat_ws(" ", _vals(F.col("PC00"), HOURS[2:], "PC00"), F.lit("0")),
+             _vals("SHRG"),
+             _vals("VMAX", "ASTX"),
+             F.concat_ws(" ", _vals("RSST"), F.lit("3")),
+             _vals("IR00", skip=2),
+             F.concat_ws(" ", _vals("PC00", skip=2), F.lit("0")),
              last]
     file = F.concat(F.date_format("DATE_full", "yyMM0100"), F.lit("AL01"), F.date_format("DATE_full", "yy"), F.lit("_lsdiag.dat"))
     return g.select(F.concat_ws("\n", *lines).alias("value"), file.alias("file"))
@@ -81,12 +88,11 @@ def write_case_records(spark: SparkSession, sf_dir: str, by_cycle: bool = False)
 def write_feature_records(spark: SparkSession, sf_dir: str, files: int = 48) -> str:
     """Every predictor of every case as record files; the id token is ``<basin>-<case>``, blanks are ``~``.
     Hours without a source row hold the sentinel in every predictor."""
-    g = V.cases(spark, sf_dir).groupBy("case_id", "BASIN", "NAME", "DATE_full").agg(
-        *[F.map_from_entries(F.collect_list(F.struct("TIME", p))).alias(p) for p in V.PREDICTORS])
+    g = _by_case(V.cases(spark, sf_dir), ["case_id", "BASIN", "NAME", "DATE_full"], V.PREDICTORS)
     header = F.concat_ws(" ", F.translate("NAME", " ", "~"), F.date_format("DATE_full", "yyMMdd"), F.lit("00 45 20.0 60.0 1000"),
                          F.concat_ws("-", F.translate("BASIN", " ", "~"), F.col("case_id").cast("string")), F.lit("HEAD"))
     path = shared_path(spark, "feature-records")
-    lines = F.concat_ws("\n", header, *[_vals(F.col(p), HOURS, p) for p in V.PREDICTORS], F.lit("LAST"))
+    lines = F.concat_ws("\n", header, *[_vals(p) for p in V.PREDICTORS], F.lit("LAST"))
     g.select(lines.alias("value")).repartition(files, "value").write.text(path)
     return path
 

@@ -30,6 +30,7 @@ from collections.abc import Iterator
 from fnmatch import fnmatchcase
 
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql.datasource import DataSource, DataSourceReader, InputPartition
 
@@ -42,9 +43,11 @@ LINE_LAYOUTS = {24: (0, False), 25: (0, True), 22: (2, False), 23: (2, True)}
 
 SPLIT_BYTES = 32 << 20  # of one task
 OPEN_BYTES = 1 << 20    # what opening a file costs, in bytes read
+PACKED_RATIO = 8        # bytes of text in a byte of a compressed file, about
 ROWS = 512              # records of one Arrow batch
 _PACKED = (".gz", ".bz2", ".zst", ".lz4")
 _BOM = b"\xef\xbb\xbf"
+_WHITE = b"\t\n\r\x0b\x0c"  # white space other than blanks
 
 
 def file_system(path: str):
@@ -97,7 +100,8 @@ def plan_ranges(files: list[tuple[str, str, int]], split_bytes: int) -> list[lis
         cuts += [(root, path, lo, min(lo + step, size)) for lo in range(0, size, max(step, 1))]
     out, room = [], 0
     for cut in cuts:
-        cost = min(cut[3] - cut[2] + min(OPEN_BYTES, split_bytes), split_bytes)
+        size = (cut[3] - cut[2]) * (PACKED_RATIO if cut[1].endswith(_PACKED) else 1)
+        cost = min(size + min(OPEN_BYTES, split_bytes), split_bytes)
         if cost > room:
             out.append([])
             room = split_bytes
@@ -106,9 +110,9 @@ def plan_ranges(files: list[tuple[str, str, int]], split_bytes: int) -> list[lis
     return out
 
 
-def read_records(stream, start: int, end: int | None, wanted: frozenset[bytes]) -> Iterator[tuple[int, list[bytes], dict]]:
-    """(offset, header tokens, {predictor: (values, age)}) of the records whose header
-    starts in [start, end). ``stream`` is at ``start`` - 1, or at 0 if ``start`` is 0.
+def raw_records(stream, start: int, end: int | None, wanted: frozenset[bytes]) -> Iterator[tuple[int, list[bytes], dict]]:
+    """(offset, header tokens, {predictor: (values, one blank between them; age)}) of the records
+    whose header starts in [start, end). ``stream`` is at ``start`` - 1, or at 0 if ``start`` is 0.
 
     The last header before a ``LAST`` counts, of lines of one predictor the last;
     lines that are neither a marker nor have a layout's number of tokens are skipped."""
@@ -116,10 +120,11 @@ def read_records(stream, start: int, end: int | None, wanted: frozenset[bytes])
     if start:
         at += len(stream.readline()) - 1  # the rest of a line that starts before the range
     head, begun, lines = None, 0, {}
+    readline, layouts = stream.readline, LINE_LAYOUTS.get
     while True:
         if head is None and end is not None and at >= end:
             return
-        line = stream.readline()
+        line = readline()
         if not line:
             return
         here, at = at, at + len(line)
@@ -139,14 +144,22 @@ def read_records(stream, start: int, end: int | None, wanted: frozenset[bytes])
             yield begun, head, lines
             head = None
         elif last in wanted or (len(tail) > 1 and tail[-2] in wanted):
-            tokens = line.split()
-            layout = LINE_LAYOUTS.get(len(tokens))
+            text = line.strip()
+            if b"  " in text or len(text.translate(None, _WHITE)) < len(text):
+                text = b" ".join(text.split())
+            layout = layouts(text.count(b" ") + 1)
             if layout is None:
                 continue
             pad, aged = layout
-            name, values = (tokens[-2], tokens[:-2]) if aged else (last, tokens[:-1])
+            name, rest = (tail[-2], len(last) + len(tail[-2]) + 2) if aged else (last, len(last) + 1)
             if name in wanted:
-                lines[name] = ([b""] * pad + values, last if aged else None)
+                lines[name] = (b" " * pad + text[:-rest], last if aged else None)
+
+
+def read_records(stream, start: int, end: int | None, wanted: frozenset[bytes]) -> Iterator[tuple[int, list[bytes], dict]]:
+    """:func:`raw_records` with the values as lists."""
+    for begun, head, lines in raw_records(stream, start, end, wanted):
+        yield begun, head, {name: (values.split(b" "), age) for name, (values, age) in lines.items()}
 
 
 def _text(token: bytes | None) -> str | None:
@@ -169,20 +182,15 @@ class CaseRecordReader(DataSourceReader):
         rows = []
         for root, path, start, end in partition.ranges if partition is not None else []:
             system, _ = file_system(root)
-            if path.endswith(_PACKED):
-                with system.open_input_stream(path, compression="detect", buffer_size=1 << 20) as raw:
-                    rows += [(path, *r) for r in read_records(_Lines(raw), 0, None, wanted)]
-            else:
-                with system.open_input_file(path) as raw:
+            packed = path.endswith(_PACKED)
+            with system.open_input_stream(path, compression="detect", buffer_size=1 << 20) if packed else system.open_input_file(path) as raw:
+                if not packed:
                     raw.seek(max(start - 1, 0))
-                    for record in read_records(_Lines(raw), start, end, wanted):
-                        rows.append((path, *record))
-                        if len(rows) >= ROWS:
-                            yield self._batch(rows)
-                            rows = []
-            if len(rows) >= ROWS:
-                yield self._batch(rows)
-                rows = []
+                for record in raw_records(_Lines(raw), 0 if packed else start, None if packed else end, wanted):
+                    rows.append((path, *record))
+                    if len(rows) >= ROWS:
+                        yield self._batch(rows)
+                        rows = []
         if rows:
             yield self._batch(rows)
 
@@ -193,7 +201,8 @@ class CaseRecordReader(DataSourceReader):
         cols |= {c: header(place) for c, place in HEADER.items()}
         for p in self.predictors:
             key = p.encode()
-            cols[p] = pa.array([[_text(v) for v in r[3][key][0]] if key in r[3] else None for r in rows], pa.list_(pa.string()))
+            # a line's values stay one string until Arrow splits them
+            cols[p] = pc.split_pattern(pa.array([_text(r[3][key][0]) if key in r[3] else None for r in rows], pa.string()), " ")
         for p in self.ages:
             key = p.encode()
             cols[f"{p}_AGE"] = pa.array([_text(r[3][key][1]) if key in r[3] else None for r in rows], pa.string())

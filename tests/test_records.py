@@ -5,7 +5,7 @@ import io
 import random
 
 from gale.sources import diagnostics
-from gale.sources.records import Ranges, case_records, list_files, plan_ranges, read_records
+from gale.sources.records import ROWS, CaseRecordReader, Ranges, case_records, list_files, plan_ranges, raw_records, read_records
 from tests.test_readers import _record, _series
 
 WANTED = frozenset([b"VMAX", b"ASTX", b"RSST"])
@@ -115,3 +115,34 @@ def test_records_carry_where_they_stand(spark, tmp_path):
     want = naive(data)
     assert [(r.offset, r.atcf_id, r.RSST, r.RSST_AGE) for r in rows] == \
         [(o, h[7].decode(), [v.decode() for v in m[b"RSST"][0]], m[b"RSST"][1].decode()) for o, h, m in want]
+
+
+def test_packed_files_come_in_batches_and_share_a_task_by_their_text(tmp_path):
+    """A packed file is read in one task: never all of its records at once."""
+    text = "\n".join(x for i in range(2 * ROWS + 5) for x in _record("ALPHA", "820830", "06", f"AL{i:04d}1982")) + "\n"
+    path = str(tmp_path / "a.dat.gz")
+    (tmp_path / "a.dat.gz").write_bytes(gzip.compress(text.encode()))
+    sizes = [b.num_rows for b in CaseRecordReader({"path": path}, ["VMAX"], []).read(Ranges([(path, path, 0, 1)]))]
+    assert sizes == [ROWS, ROWS, 5]
+    assert len(plan_ranges([("r", f"f{i}.gz", 6 << 20) for i in range(16)], 32 << 20)) == 16
+
+
+def test_values_of_a_line_stay_one_string():
+    lines = [b"A 820830 06 1 2 3 4 AL011982 HEAD", b" \t" + b"  ".join(b"%d" % i for i in range(23)) + b"\x0bVMAX \r",
+             b" ".join(b"%d" % i for i in range(21)) + b" RSST 3", b"LAST"]
+    (_, _, found), = raw_records(io.BytesIO(b"\n".join(lines)), 0, None, WANTED)
+    assert found == {b"VMAX": (b" ".join(b"%d" % i for i in range(23)), None), b"RSST": (b"  " + b" ".join(b"%d" % i for i in range(21)), b"3")}
+
+
+def test_bytes_that_are_no_text_are_replaced(spark, tmp_path):
+    line = b" ".join([b"1"] * 22 + [b"\xff\xc3", b"VMAX"])
+    (tmp_path / "a.dat").write_bytes(b"\n".join([b"A 820830 06 1 2 3 4 AL011982 HEAD", line, b"LAST\n"]))
+    row, = case_records(spark, str(tmp_path), ["VMAX"]).collect()
+    assert row.VMAX == ["1"] * 22 + [b"\xff\xc3".decode("utf-8", "replace")]
+
+
+def test_rendered_records_collect_one_array_a_case(spark):
+    from gale.plans import render
+    from tests.conftest import SMALL
+    plan = render.case_records(spark, SMALL)._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count("collect_list(") == 1
