@@ -87,13 +87,13 @@ def write_case_records(spark: SparkSession, sf_dir: str, by_cycle: bool = False)
 
 def write_feature_records(spark: SparkSession, sf_dir: str, files: int = 48) -> str:
     """Every predictor of every case as record files; the id token is ``<basin>-<case>``, blanks are ``~``.
-    Hours without a source row hold the sentinel in every predictor."""
+    Hours without a source row hold the sentinel in every predictor. The files are packed (gzip): a case is 2 KB of text."""
     g = _by_case(V.cases(spark, sf_dir), ["case_id", "BASIN", "NAME", "DATE_full"], V.PREDICTORS)
     header = F.concat_ws(" ", F.translate("NAME", " ", "~"), F.date_format("DATE_full", "yyMMdd"), F.lit("00 45 20.0 60.0 1000"),
                          F.concat_ws("-", F.translate("BASIN", " ", "~"), F.col("case_id").cast("string")), F.lit("HEAD"))
     path = shared_path(spark, "feature-records")
     lines = F.concat_ws("\n", header, *[_vals(p) for p in V.PREDICTORS], F.lit("LAST"))
-    g.select(lines.alias("value")).repartition(files, "value").write.text(path)
+    g.select(lines.alias("value")).repartition(files, "value").write.option("compression", "gzip").text(path)
     return path
 
 

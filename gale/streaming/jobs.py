@@ -15,7 +15,6 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.types import LongType, StructField, StructType
 
-from gale.session import materialize
 from gale.sources.diagnostics import ingest_case_diagnostics
 from gale.sources.results import shared_path
 
@@ -24,7 +23,8 @@ def stream_ingest_cases(spark: SparkSession, src: str, predictors: list[str], *,
                         transform: Callable[[DataFrame], DataFrame] | None = None, files_per_batch: int = 64) -> DataFrame:
     """Case-record files arriving in ``src`` -> hourly rows, or what ``transform``
     makes of them (a chain per case, like :func:`gale.operators.features.case_features`:
-    a record and so a case lies in one file). Spark's file stream finds new files and
+    a record and so a case lies in one file). Rows are not stored in between: a
+    transform that reads its rows more than once stores them itself. Spark's file stream finds new files and
     remembers them; each micro-batch reads its files with the record source and
     overwrites its own ``batch=<id>`` folder, so a batch run again after a failure
     leaves no row twice. Runs until the files present are processed
@@ -33,7 +33,7 @@ def stream_ingest_cases(spark: SparkSession, src: str, predictors: list[str], *,
 
     def rows(paths: list[str]) -> DataFrame:
         hourly = ingest_case_diagnostics(spark, paths, predictors, with_age=with_age)
-        return transform(materialize(hourly)) if transform else hourly  # the chain reads the parsed rows, not the files
+        return transform(hourly) if transform else hourly
 
     def sink(batch: DataFrame, batch_id: int) -> None:
         paths = [r["path"] for r in batch.select("path").collect()]  # at most files_per_batch

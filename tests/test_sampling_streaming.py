@@ -149,3 +149,16 @@ def test_permutation_importance_constant_feature(spark):
     imp = {r.feature: r.mean_importance for r in
            permutation_importance(pipe, df, ["k"], ["x", "c"], "label", repeats=2).where("scope = 'ALL'").collect()}
     assert imp["c"] == 0.0 and imp["x"] > 0.2
+
+
+def test_record_stream_does_not_store_the_parsed_rows(spark):
+    """The chain of a micro-batch reads the record source itself; hours of all cases are many times the files."""
+    from gale.plans import render
+    from gale.streaming import jobs
+    plans = []
+
+    def chain(rows):
+        plans.append(rows._jdf.queryExecution().executedPlan().toString())
+        return rows.where("TIME = 0")
+    got = jobs.stream_ingest_cases(spark, render.write_case_records(spark, SMALL), ["VMAX"], transform=chain)
+    assert got.count() > 0 and len(plans) > 1 and all("BatchScan case_records" in p for p in plans)
