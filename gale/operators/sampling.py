@@ -57,9 +57,11 @@ def class_counts(df: DataFrame, class_col: str) -> dict:
 
 def balanced_weights(df: DataFrame, class_col: str, out_col: str = "weight") -> DataFrame:
     """M3: scikit-learn's 'balanced' weight n / (k * n_c) as a column."""
-    counts = df.groupBy(F.col(class_col).alias("_class")).agg(F.count(F.lit(1)).alias("_nc"))
+    counts = materialize(df.groupBy(F.col(class_col).alias("_class")).agg(F.count(F.lit(1)).alias("_nc")))
     n, k = counts.agg(F.sum("_nc"), F.count(F.lit(1))).first()  # two numbers
     w = counts.select("_class", (F.lit(float(n or 0)) / (F.lit(k) * F.col("_nc"))).alias(out_col))
+    if k <= MAX_CLASSES:  # a join by shuffle would send a class, and so most rows, to one task
+        w = F.broadcast(w)
     return df.join(w, df[class_col].eqNullSafe(w["_class"])).drop("_class")
 
 

@@ -79,3 +79,19 @@ def test_long_series_spreads_over_tasks(spark):
     day = F.datediff(F.to_date("t"), F.lit("1970-01-01"))
     most = rows.groupBy("storm", F.floor(day / series.CHUNK_DAYS)).count().agg(F.max("count")).first()[0]
     assert most <= 4 * series.CHUNK_DAYS
+
+
+def test_balanced_weights_do_not_shuffle_rows_by_class(big):
+    from gale.operators import sampling
+    rows = big.createDataFrame([(i, int(i % 10 == 0)) for i in range(100)], "k int, y int")
+    out = sampling.balanced_weights(rows, "y")
+    plan = out._jdf.queryExecution().executedPlan().toString()
+    assert "BroadcastHashJoin" in plan and "SortMergeJoin" not in plan and "hashpartitioning(y" not in plan
+    assert {(r.y, r.weight) for r in out.collect()} == {(0, 100 / 180), (1, 5.0)}
+
+
+def test_weights_of_many_classes_are_not_broadcast(big):
+    from gale.operators import sampling
+    out = sampling.balanced_weights(big.range(sampling.MAX_CLASSES + 1), "id")
+    assert "Broadcast" not in out._jdf.queryExecution().executedPlan().toString()
+    assert out.where("weight = 1").count() == sampling.MAX_CLASSES + 1
