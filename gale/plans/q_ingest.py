@@ -269,7 +269,8 @@ def q_factor_lookup(spark, sf_dir):
     ).select("case_id", "TIME", "p.*")
     factors = spark.createDataFrame([("VMAX", 10.0)], "name string, factor double")
     scaled = clean.apply_scale_factors_long(long, factors)
-    return scaled.groupBy("case_id", "TIME").pivot("name", ["VMAX", "SHRG"]).agg(F.first("value"))
+    # one aggregate; a pivot groups by (case, hour, name) first, in tables twice as long
+    return scaled.groupBy("case_id", "TIME").agg(*[F.first(F.when(F.col("name") == p, F.col("value")), ignorenulls=True).alias(p) for p in ("VMAX", "SHRG")])
 
 
 @register("apply_scale_factors", f"""

@@ -95,3 +95,8 @@ def test_weights_of_many_classes_are_not_broadcast(big):
     out = sampling.balanced_weights(big.range(sampling.MAX_CLASSES + 1), "id")
     assert "Broadcast" not in out._jdf.queryExecution().executedPlan().toString()
     assert out.where("weight = 1").count() == sampling.MAX_CLASSES + 1
+
+
+def test_factor_lookup_groups_the_long_rows_once(big):
+    plan = E.queries()["factor_lookup"](big, SMALL)._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("HashAggregate(") + plan.count("SortAggregate(") == 4  # the view's and the query's own, in two steps each
