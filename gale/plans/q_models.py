@@ -103,15 +103,15 @@ _RF_GRID = models.forest_grid([4, 6], [2])
 _TREES, _LEAF, _FOLDS = 20, 5, {"k": 3, "repeats": 1}
 
 
-def _logistic(train, prepare=None, weight_col=None, grid=_LR_GRID):
+def _logistic(train, prepare=None, weight_col=None, grid=_LR_GRID, **shared):
     fit = lambda rows, p: models.fit_logistic(rows, _FEATS, "label", p, weight_col=weight_col)
-    return models.grid_search(train, grid, fit, "case_id", "I_class", "label", prepare=prepare, **_FOLDS)
+    return models.grid_search(train, grid, fit, "case_id", "I_class", "label", prepare=prepare, **_FOLDS, **shared)
 
 
-def _forest(train, prepare=None, weight_col=None, grid=_RF_GRID):
+def _forest(train, prepare=None, weight_col=None, grid=_RF_GRID, **shared):
     fit = lambda rows, p: models.fit_forest(rows, _FEATS, "label", p, weight_col=weight_col,
                                             trees=_TREES, min_leaf=_LEAF)
-    return models.grid_search(train, grid, fit, "case_id", "I_class", "label", prepare=prepare, **_FOLDS)
+    return models.grid_search(train, grid, fit, "case_id", "I_class", "label", prepare=prepare, **_FOLDS, **shared)
 
 
 def _frame(spark, sf_dir):
@@ -153,12 +153,18 @@ def q_train_and_predict(spark, sf_dir):
 
 
 def _four_models(train):
-    """The four searches on one training frame: weights and resampling on the training part of each fold only."""
+    """The four searches on one training frame: weights and resampling on the training part of each fold only.
+    The folds are dealt once, and the weighted parts serve both weighted searches."""
+    folds = list(models.dealt_folds(train, "case_id", "I_class", **_FOLDS))
+    parts = lambda prepare: models.fold_parts(folds, _FOLDS["k"], prepare)
     weights = lambda df: sampling.balanced_weights(df, "I_class")
-    return {"Logistic Reg.": _logistic(train, weights, "weight"),
-            "Random Forest (weights)": _forest(train, weights, "weight"),
-            "Random Forest (ROS)": _forest(train, lambda df: sampling.random_oversample(df, "case_id", "I_class", 1, 0.7)),
-            "Random Forest (SMOTE)": _forest(train, lambda df: sampling.smote(df, "case_id", "I_class", 1, _FEATS, 0.7))}
+    ros = lambda df: sampling.random_oversample(df, "case_id", "I_class", 1, 0.7)
+    synthetic = lambda df: sampling.smote(df, "case_id", "I_class", 1, _FEATS, 0.7)
+    weighted = {"parts": list(parts(weights)), "whole": materialize(weights(train))}
+    return {"Logistic Reg.": _logistic(train, weights, "weight", **weighted),
+            "Random Forest (weights)": _forest(train, weights, "weight", **weighted),
+            "Random Forest (ROS)": _forest(train, ros, parts=parts(ros)),
+            "Random Forest (SMOTE)": _forest(train, synthetic, parts=parts(synthetic))}
 
 
 def _union(parts):

@@ -162,3 +162,17 @@ def test_record_stream_does_not_store_the_parsed_rows(spark):
         return rows.where("TIME = 0")
     got = jobs.stream_ingest_cases(spark, render.write_case_records(spark, SMALL), ["VMAX"], transform=chain)
     assert got.count() > 0 and len(plans) > 1 and all("BatchScan case_records" in p for p in plans)
+
+
+def test_the_four_searches_share_their_folds(spark, monkeypatch):
+    from gale.operators import models
+    from gale.plans import q_models as Q
+    rows = spark.createDataFrame([(i, int(i % 4 == 0), *[float(i * 7 % (11 + j)) for j in range(len(Q._FEATS))]) for i in range(120)],
+                                 "case_id long, I_class int, " + ", ".join(f"{f} double" for f in Q._FEATS))
+    dealt, seen, deal = [], [], models.stratified_folds
+    monkeypatch.setattr(models, "stratified_folds", lambda *a, **k: dealt.append(a) or deal(*a, **k))
+    monkeypatch.setattr(models, "grid_search", lambda *a, parts, whole=None, **k: seen.append((parts, [(p.count(), h.count()) for p, h in parts], whole)))
+    Q._four_models(rows)
+    assert len(dealt) == 1 and [len(n) for _, n, _ in seen] == [3] * 4
+    assert seen[0][0] is seen[1][0] and seen[0][2] is seen[1][2] and seen[0][2].count() == 120
+    assert seen[0][1] == [(80, 40)] * 3 and all(p > 80 and h == 40 for _, n, _ in seen[2:] for p, h in n)
