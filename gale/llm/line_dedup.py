@@ -28,6 +28,10 @@ Method
   5. Later occurrences of a set are removed too; positions are put together per
      document.
 
+Disk: the words a set is found by are dealt into ``PASSES`` parts by hash, one after the
+other, the shuffle files of a step go when its table is written, and candidate pairs get the
+ids of their sets in as many parts.
+
 Words are compared by 64-bit hash up to the table and by 63 bits of it beyond,
 lines by 64-bit hash of their lower-case text.
 
@@ -39,6 +43,8 @@ Defined results
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -48,6 +54,8 @@ _BLANK = r"[ \t\x0B\f\r]+"
 CROWD = 32  # rows of a word that are joined with each other at once
 BLOCK = 1024  # rows of a crowded word on one side of a block
 ROUNDS = 8  # rounds of leaders at most
+PASSES = 2  # parts of the words whose rows are shuffled one after the other
+_CLEAN = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"  # shuffle files go with the job that wrote them
 _LEVELS = 16  # frequency levels per doubling, to choose the table's least count
 
 
@@ -102,7 +110,7 @@ def _sets(docs: DataFrame, ranks: DataFrame, whole: bool, scratch: Scratch, id_c
         F.bit_or(F.expr("shiftleft(1L, int(tok & 63))")).alias("bits"))
     # lines held at once by a task that puts words together, before it sorts instead
     with setting(docs.sparkSession, "spark.sql.objectHashAggregate.sortBased.fallbackThreshold", "50000"):
-        return scratch.write(sets, "sets")
+        return scratch.write(sets, "sets", "zstd")
 
 
 def _need(t: float, a: str, b: str) -> str:
@@ -130,14 +138,22 @@ def _near(t: float) -> str:
             f"AND least({an} - {ai}, {bn} - {bi}) >= {need}")
 
 
-def _verified(pairs: DataFrame, sets: DataFrame, t: float) -> DataFrame:
-    """Keys with an earlier similar set, of the candidate pairs."""
-    one = sets.select(F.col("key").alias("ak"), F.col("n").alias("an"), F.col("first").alias("af"), F.col("ids").alias("ai"))
-    two = sets.select(F.col("key").alias("bk"), F.col("n").alias("bn"), F.col("first").alias("bf"), F.col("ids").alias("bi"))
-    similar = pairs.distinct().join(one, "ak").join(two, "bk") \
-        .filter(f"size(array_intersect(ai, bi)) >= {_need(t, 'an', 'bn')}")
+def _verified(pairs: DataFrame, sets: DataFrame, scratch: Scratch, name: str, t: float) -> DataFrame:
+    """Keys with an earlier similar set, of the candidate pairs (a written table, each pair once). The sets of a
+    pair are written first, so that the others are not shuffled; pairs get their ids in ``PASSES`` parts."""
+    met = sets.join(pairs.select(F.explode(F.array("ak", "bk")).alias("key")).distinct(), "key", "left_semi")
+    met = scratch.write(met, f"{name}-met", "zstd")
+    one = met.select(F.col("key").alias("ak"), F.col("n").alias("an"), F.col("first").alias("af"), F.col("ids").alias("ai"))
+    two = met.select(F.col("key").alias("bk"), F.col("n").alias("bn"), F.col("first").alias("bf"), F.col("ids").alias("bi"))
     later = F.when(F.col("af") > F.col("bf"), F.col("ak")).otherwise(F.col("bk"))
-    return similar.select(later.alias("key")).distinct()
+    found = []
+    for k in range(PASSES):
+        mine = F.pmod(F.xxhash64("ak"), F.lit(PASSES)) == k
+        similar = pairs.filter(mine).join(one.filter(mine), "ak").join(two, "bk") \
+            .filter(f"size(array_intersect(ai, bi)) >= {_need(t, 'an', 'bn')}")
+        found.append(scratch.write(similar.select(later.alias("key")).distinct(), f"{name}-{k}"))
+    scratch.drop(f"{name}-met")
+    return reduce(DataFrame.union, found).distinct()
 
 
 def _settled(rows: DataFrame, sets: DataFrame, scratch: Scratch, t: float) -> DataFrame:
@@ -148,13 +164,14 @@ def _settled(rows: DataFrame, sets: DataFrame, scratch: Scratch, t: float) -> Da
                              .select("id", F.col("l.key").alias("bk"), F.col("l.bits").alias("bb"), F.col("l.at").alias("b")),
                              f"lead-{k}")
         led = crowd.select("id", F.col("key").alias("ak"), F.col("bits").alias("ab"), F.col("at").alias("a")).join(lead, "id") \
-            .filter(f"ak <> bk AND {_near(t)}").select("ak", "bk")
-        new = scratch.write(_verified(led, sets, t), f"settled-{k}")
+            .filter(f"ak <> bk AND {_near(t)}").select("ak", "bk").distinct()
+        led = scratch.write(led, f"led-{k}")
+        new = scratch.write(_verified(led, sets, scratch, f"verified-{k}", t), f"settled-{k}")
         gone = new if gone is None else gone.union(new)
         # a leader has met its word's rows; it is still open itself
         crowd = scratch.write(crowd.join(new, "key", "left_anti").join(lead.select("id", "bk"), "id")
                               .filter("key <> bk").select(*rows.columns), f"crowd-{k + 1}")
-        scratch.drop(f"lead-{k}", f"crowd-{k}")
+        scratch.drop(f"lead-{k}", f"led-{k}", f"crowd-{k}")
         after = crowd.count()
         if after == 0 or after > 0.9 * before:
             break
@@ -183,15 +200,25 @@ def _removed(sets: DataFrame, scratch: Scratch, t: float) -> DataFrame:
     """Keys of the sets that have an earlier similar set."""
     prefix = _prefix(sets, t)
     hot = scratch.write(prefix.groupBy("id").count().filter(F.col("count") > CROWD).select("id"), "hot")
+    gone = None
+    if not hot.isEmpty():
+        rows = scratch.write(_prefix(sets, t, "first").join(hot, "id", "left_semi"), "hot-rows")
+        gone = _settled(rows, sets, scratch, t)
+        pairs = scratch.write(_blocks(rows, gone, scratch, t).distinct(), "hot-pairs")
+        gone = scratch.write(gone.union(_verified(pairs, sets, scratch, "verified-hot", t)).distinct(), "hot-gone")
+        scratch.drop("hot-rows", "hot-pairs", "probes", "sizes", *(f"crowd-{k + 1}" for k in range(ROUNDS)))
     cold = prefix.join(hot, "id", "left_anti")
-    pairs = cold.toDF("id", "ak", "ab", "a").join(cold.toDF("id", "bk", "bb", "b"), "id") \
-        .filter(f"ak < bk AND {_near(t)}").select("ak", "bk")
-    if hot.isEmpty():
-        return scratch.write(_verified(pairs, sets, t), "removed")
-    rows = scratch.write(_prefix(sets, t, "first").join(hot, "id", "left_semi"), "hot-rows")
-    gone = _settled(rows, sets, scratch, t)
-    found = _verified(pairs.union(_blocks(rows, gone, scratch, t)), sets, t)
-    return scratch.write(gone.union(found).distinct(), "removed")
+    for k in range(PASSES):
+        part = cold.filter(F.pmod(F.xxhash64("id"), F.lit(PASSES)) == k)
+        pairs = part.toDF("id", "ak", "ab", "a").join(part.toDF("id", "bk", "bb", "b"), "id") \
+            .filter(f"ak < bk AND {_near(t)}").select("ak", "bk")
+        scratch.write(pairs.distinct(), f"pairs/part={k}")
+    pairs = sets.sparkSession.read.schema("ak long, bk long").parquet(*(scratch.path(f"pairs/part={k}") for k in range(PASSES)))
+    pairs = scratch.write(pairs.distinct(), "cold-pairs")
+    scratch.drop("pairs")
+    found = scratch.write(_verified(pairs, sets, scratch, "verified-cold", t), "cold-gone")
+    scratch.drop("cold-pairs")
+    return found if gone is None else gone.union(found).distinct()
 
 
 def line_dedup(docs: DataFrame, threshold: float = 0.8, min_words: int = 5, id_col: str = "doc_id",
@@ -217,15 +244,17 @@ def remove_lines(docs: DataFrame, threshold: float = 0.8, min_words: int = 5, id
 def _per_document(docs, threshold, min_words, id_col, text_col, table_words) -> DataFrame:
     """doc_id, dk, n_lines, rows (with this id and text), removed."""
     scratch = Scratch(docs.sparkSession, "line-dedup")
-    ranks, whole = _ranks(docs, scratch, id_col, text_col, table_words)
-    sets = _sets(docs, ranks, whole, scratch, id_col, text_col, min_words)
-    scratch.drop("counts", "ordered", "ranks")
-    gone = _removed(sets, scratch, threshold)
-    status = sets.select("key", "first").join(gone.withColumn("gone", F.lit(True)), "key", "left")
-    lines = _lines(docs, id_col, text_col).select("doc_id", "dk", "line_no", F.xxhash64("line").alias("key"),
-                                                  _position().alias("pos"))
+    with setting(docs.sparkSession, _CLEAN, "true"):
+        ranks, whole = _ranks(docs, scratch, id_col, text_col, table_words)
+        sets = _sets(docs, ranks, whole, scratch, id_col, text_col, min_words)
+        scratch.drop("counts", "ordered", "ranks")
+        gone = _removed(sets, scratch, threshold)
+        status = sets.select("key", "first").join(gone.withColumn("gone", F.lit(True)), "key", "left")
+        status = scratch.write(status, "status")
+        scratch.drop("sets")
+    lines = _lines(docs, id_col, text_col).select("doc_id", "dk", "line_no", F.xxhash64("line").alias("key"))
     out = lines.join(status, "key", "left").withColumn(
-        "out", F.coalesce(F.col("gone") | (F.col("pos") > F.col("first")), F.lit(False)))
+        "out", F.coalesce(F.col("gone") | (_position() > F.col("first")), F.lit(False)))
     return out.groupBy("doc_id", "dk").agg(
         (F.max("line_no") + 1).cast("long").alias("n_lines"), F.count(F.when(F.col("line_no") == 0, 1)).alias("rows"),
         F.array_sort(F.collect_set(F.when(F.col("out"), F.col("line_no")))).alias("removed"))

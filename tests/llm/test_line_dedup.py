@@ -1,4 +1,6 @@
 import random
+import time
+from pathlib import Path
 
 import pytest
 import xxhash
@@ -118,3 +120,31 @@ def test_a_template_does_not_make_all_pairs(spark, monkeypatch):
     got = {r["doc_id"]: r["removed"] for r in line_dedup(frame(spark, docs)).collect()}
     assert got == {d: [0] if d else [] for d in range(1500)}
     assert sum(made) < 10 * len(docs)  # all pairs: 1.1 million
+
+
+def test_shuffle_files_go_with_the_step_that_wrote_them(spark, monkeypatch):
+    monkeypatch.setattr(module, "CROWD", 2)
+    dirs = [Path(d.getPath()) for d in spark._jvm.org.apache.spark.SparkEnv.get().blockManager().diskBlockManager().localDirs()]
+    held = lambda: {f for d in dirs for f in d.glob("*/shuffle_*.data")}
+    kept = [spark.range(2000).repartition(3) for _ in range(2)]
+    assert [k.count() for k in kept] == [2000, 2000]
+    start, left, write = held(), [], module.Scratch.write
+
+    def watched(self, df, name, *more):
+        out, until = write(self, df, name, *more), time.time() + 5
+        while held() - start and time.time() < until:
+            time.sleep(0.1)  # files are removed in the background
+        left.append((name, len(held() - start)))
+        return out
+    monkeypatch.setattr(module.Scratch, "write", watched)
+    docs = cases()
+    got = line_dedup(frame(spark, docs), 0.8, 1).collect()
+    assert len(got) == len(docs) and len(left) > 12 and all(n == 0 for _, n in left), left
+
+
+@pytest.mark.parametrize("passes", [1, 5])
+def test_parts_of_the_words_find_the_same_lines(spark, monkeypatch, passes):
+    monkeypatch.setattr(module, "PASSES", passes)
+    docs = cases()
+    got = line_dedup(frame(spark, docs), 0.8, 1).collect()
+    assert sorted(((r["doc_id"], r["n_lines"], tuple(r["removed"])) for r in got), key=str) == brute(docs, 0.8, 1)
