@@ -44,6 +44,7 @@ from gale.llm.common import Scratch, id_hash, pick
 END = b""  # no word is empty
 BLOCK = 8192  # tokens of one numpy step
 ROWS = 1 << 14  # weight rows of hashed features
+SHORT = 8  # rows of a run of one feature that are added one place at a time
 _MIX = np.uint64(0x9E3779B97F4A7C15)
 
 
@@ -168,6 +169,28 @@ def log_probability(weights: np.ndarray, bias: np.ndarray, f: np.ndarray, cls: n
     return own - np.log(z.sum(1))
 
 
+def run_sums(rows: np.ndarray, first: np.ndarray, n: np.ndarray) -> np.ndarray:
+    """Sums of the runs of rows that start at ``first`` and have ``n`` rows each.
+    Most runs are short: those are added place by place, all runs at once, in reduceat's order."""
+    out = rows.take(first, 0)
+    long = n > SHORT
+    if long.any():
+        starts, sizes = first[long], n[long]
+        ends = np.cumsum(sizes)
+        at = np.arange(ends[-1]) + np.repeat(starts - ends + sizes, sizes)
+        out[long] = np.add.reduceat(rows.take(at, 0), ends - sizes, axis=0)
+    left = np.nonzero((n > 1) & ~long)[0]
+    left = left[np.argsort(-n[left], kind="stable")]  # the longest first: each place is a leading part
+    if len(left):
+        starts, sizes = first[left], n[left]
+        rest = rows.take(starts + 1, 0)
+        for k in range(2, int(sizes[0])):
+            more = np.searchsorted(-sizes, -k, "left")  # runs of more than k rows
+            rest[:more] += rows.take(starts[:more] + k, 0)
+        out[left] += rest
+    return out
+
+
 def _train(model, rate: float):
     def run(batches):
         m = model.value
@@ -185,7 +208,7 @@ def _train(model, rate: float):
                 rows = np.nonzero(n)[0]
                 n = n[rows]
                 first = np.cumsum(n) - n
-                grad = np.add.reduceat(g.take(order % len(cls), 0), first, axis=0)
+                grad = run_sums(g.take(order % len(cls), 0), first, n)
                 sq[rows] += np.einsum("ij,ij->i", grad, grad)
                 w[rows] -= rate * grad / np.sqrt(sq[rows])[:, None]
                 seen[rows] += n

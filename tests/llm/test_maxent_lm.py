@@ -5,7 +5,7 @@ from collections import Counter
 import numpy as np
 import pytest
 
-from gale.llm.maxent_lm import features, lm_scores, log_probability, softmax
+from gale.llm.maxent_lm import SHORT, features, lm_scores, log_probability, run_sums, softmax
 
 
 def crc(i):
@@ -61,3 +61,23 @@ def test_class_factor_is_a_distribution():
 
 def test_empty(nothing):
     assert lm_scores(nothing).count() == 0
+
+
+@pytest.mark.parametrize("longest", [1, 2, SHORT, SHORT + 1, 60])
+def test_only_long_runs_are_added_one_by_one(monkeypatch, longest):
+    rng = np.random.default_rng(longest)
+    n = rng.integers(1, longest + 1, 300)
+    first, rows = np.cumsum(n) - n, rng.standard_normal((n.sum(), 8)).astype(np.float32)
+    want = np.array([rows[a:a + k].astype(float).sum(0) for a, k in zip(first, n)])
+    runs, add = [], np.add
+
+    class Watched:
+        @staticmethod
+        def reduceat(x, starts, axis):
+            runs.append(len(starts))
+            return add.reduceat(x, starts, axis=axis)
+    with monkeypatch.context() as m:
+        m.setattr(np, "add", Watched)
+        got = run_sums(rows, first, n)
+    assert np.allclose(got, want, atol=1e-5) and (got == np.add.reduceat(rows, first, axis=0)).all()
+    assert sum(runs) == (n > SHORT).sum()
