@@ -140,7 +140,7 @@ def _near(t: float) -> str:
 
 def _verified(pairs: DataFrame, sets: DataFrame, scratch: Scratch, name: str, t: float) -> DataFrame:
     """Keys with an earlier similar set, of the candidate pairs (a written table, each pair once). The sets of a
-    pair are written first, so that the others are not shuffled; pairs get their ids in ``PASSES`` parts."""
+    pair are written first, so that the others are shuffled once at most; pairs get their ids in ``PASSES`` parts."""
     met = sets.join(pairs.select(F.explode(F.array("ak", "bk")).alias("key")).distinct(), "key", "left_semi")
     met = scratch.write(met, f"{name}-met", "zstd")
     one = met.select(F.col("key").alias("ak"), F.col("n").alias("an"), F.col("first").alias("af"), F.col("ids").alias("ai"))
