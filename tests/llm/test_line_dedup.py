@@ -148,3 +148,15 @@ def test_parts_of_the_words_find_the_same_lines(spark, monkeypatch, passes):
     docs = cases()
     got = line_dedup(frame(spark, docs), 0.8, 1).collect()
     assert sorted(((r["doc_id"], r["n_lines"], tuple(r["removed"])) for r in got), key=str) == brute(docs, 0.8, 1)
+
+
+def test_long_lines_of_other_words_are_no_candidates(spark, monkeypatch):
+    rng = random.Random(5)
+    pool = [f"w{i}" for i in range(400)]
+    docs = [(d, " ".join(rng.sample(pool, 200))) for d in range(40)]  # two share about a third of their words
+    docs.append((40, docs[7][1].upper().replace(" ", "  \t") + " new"))
+    made, verified = [], module._verified
+    monkeypatch.setattr(module, "_verified", lambda pairs, *a: made.append(pairs.count()) or verified(pairs, *a))
+    got = line_dedup(frame(spark, docs), 0.8, 1).collect()
+    assert sorted(((r["doc_id"], r["n_lines"], tuple(r["removed"])) for r in got), key=str) == brute(docs, 0.8, 1)
+    assert 1 <= sum(made) < 10, made
