@@ -57,6 +57,7 @@ _BLANK = r"[ \t\x0B\f\r]+"
 CROWD = 256  # rows of a word that are joined with each other at once
 BLOCK = 1024  # rows of a crowded word on one side of a block
 ROUNDS = 8  # rounds of leaders at most
+FEW = 1 << 16  # pairs whose keys are broadcast
 PASSES = 2  # parts of the words, and of the texts, that are shuffled one after the other
 _CLEAN = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"  # shuffle files go with the job that wrote them
 _LEVELS = 4  # levels per doubling of a counter; 127 at most
@@ -148,8 +149,14 @@ def _met(sets: DataFrame, keys: DataFrame, scratch: Scratch, name: str) -> DataF
     return sets.sparkSession.read.schema(sets.schema).parquet(*(scratch.path(f"{name}/part={k}") for k in range(PASSES)))
 
 
+def _ends(pairs: DataFrame) -> DataFrame:
+    return pairs.select(F.explode(F.array("ak", "bk")).alias("key")).distinct()
+
+
 def _verified(pairs: DataFrame, sets: DataFrame, scratch: Scratch, name: str, t: float) -> DataFrame:
     """Keys with an earlier similar set, of the candidate pairs (a written table, each pair once)."""
+    if pairs.count() <= FEW:  # the other texts are not shuffled
+        sets = sets.join(F.broadcast(_ends(pairs)), "key", "left_semi")
     one = sets.select(F.col("key").alias("ak"), F.col("n").alias("an"), F.col("first").alias("af"), F.col("line").alias("al"))
     two = sets.select(F.col("key").alias("bk"), F.col("n").alias("bn"), F.col("first").alias("bf"), F.col("line").alias("bl"))
     both = F.size(F.array_intersect(F.array_remove(_words("al"), ""), _words("bl")))
@@ -219,7 +226,7 @@ def _removed(sets: DataFrame, scratch: Scratch, t: float, levels: bytes) -> Data
     pairs = sets.sparkSession.read.schema("ak long, bk long").parquet(*(scratch.path(f"pairs/part={k}") for k in range(PASSES)))
     pairs = scratch.write(pairs.distinct(), "cold-pairs")
     scratch.drop("pairs")
-    keys, crowded = pairs.select(F.explode(F.array("ak", "bk")).alias("key")), not hot.isEmpty()
+    keys, crowded = _ends(pairs), not hot.isEmpty()
     if crowded:
         rows = scratch.write(_prefix(sets, "first").join(hot, "id", "left_semi"), "hot-rows")
         keys = keys.union(rows.select("key"))
